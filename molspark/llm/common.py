@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -58,17 +60,21 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n+1 offsets into them, without a copy; nulls are empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1] if offsets and len(column) else np.zeros(len(column) + 1, kind)
-    raw = np.frombuffer(data, dtype=np.uint8) if data and data.size else np.zeros(0, np.uint8)
-    return raw, at.astype(np.int64)
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> SparkSession:
+    """Bounds the bytes of an Arrow batch in this session, as texts may be long; returns the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if int(now.rstrip("kmg") or 0) * scale > limit or int(now.rstrip("kmg") or 0) <= 0:
+        spark.conf.set(key, str(limit))
+    return spark
+
+
+def trim() -> None:
+    """Gives a Python worker's freed memory back to the machine, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, load
+from .common import id_crc, load, small_batches, trim
 
 ORDERS, BITS, TIERS = (4, 7), 20, 3
 #: Labelled documents that the classifier is fitted on at most (those with the least hash of their id),
@@ -53,26 +53,31 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 40, penalty: float
     if not 0 < y.sum() < len(y):
         return np.zeros(size, np.float32), float(prior)
     own = [tiered(t) for t in texts]
-    df = np.bincount(np.concatenate(own), minlength=size)
-    toxic = np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if t]), minlength=size)
+    df, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for x, t in zip(own, y, strict=True):
+        df[x] += 1
+        toxic[x] += int(t)
     keep = df >= LEAST_DOCS
     if not keep.any():
         return np.zeros(size, np.float32), float(prior)
     p, q = toxic[keep] + alpha, (df - toxic)[keep] + alpha
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     ratio -= np.average(ratio, weights=df[keep])  # features that most documents have say nothing
-    compact = np.cumsum(keep) - 1
-    own = [compact[x[keep[x]]].astype(np.int32) for x in own]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-    idx, rows = np.concatenate(own), np.repeat(np.arange(len(own)), np.diff(bounds))
+    compact = (np.cumsum(keep) - 1).astype(np.int32)
+    for i, x in enumerate(own):
+        own[i] = compact[x[keep[x]]]
 
-    def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, weights=(ratio * w)[idx], minlength=len(y))
+    def times(w: np.ndarray, weigh: np.ndarray = ratio) -> np.ndarray:
+        by = weigh * w
+        return np.array([by[x].sum() for x in own])
 
     def back(g: np.ndarray) -> np.ndarray:
-        return np.bincount(idx, weights=g[rows], minlength=len(ratio)) * ratio
+        out = np.zeros(len(ratio))
+        for x, v in zip(own, g.tolist(), strict=True):
+            out[x] += v  # a document has a feature once
+        return out * ratio
 
-    scale = np.sqrt(np.bincount(rows, weights=ratio[idx] ** 2, minlength=len(y)).mean())
+    scale = np.sqrt(times(np.ones(len(ratio)), ratio**2).mean())
     w, b = np.zeros(len(ratio)), prior
     past: list[tuple[np.ndarray, np.ndarray]] = []
     z = times(w)
@@ -139,23 +144,37 @@ def scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, longest: int = LONGEST, may_learn=None) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``limit`` labelled documents, the same in every run. A document with
+def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, longest: int = LONGEST, may_learn=None) -> DataFrame:
+    """(doc_id, text, y) of at most ``limit`` labelled documents, the same in every run. A document with
     several labels is toxic if one says so; null labels and texts are left out."""
     known = labels.where("toxic is not null and doc_id is not null")
     if may_learn is not None:
         known = known.where(may_learn)
+    small_batches(docs.sparkSession)
     one = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     one = one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
     ids = docs.sparkSession.createDataFrame(one.collect(), "_id long, _y int")  # at most ``limit`` rows
-    rows = docs.where("text is not null").select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").limit(2 * limit).collect()
-    rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text))}.values())
-    return [r.text.encode() for r in rows], np.array([r._y for r in rows], np.float64)
+    rows = docs.where("text is not null").select("doc_id", "text").where(F.length("text") <= longest)
+    return rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y"))
+
+
+def _train(batches):
+    rows = sorted((r["doc_id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
+    weights, bias = fit_calibrated([r[1].encode() for r in rows], np.array([r[2] for r in rows], np.float64))
+    at = np.flatnonzero(weights).astype("<i4")
+    del rows
+    trim()
+    yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([weights[at].astype("<f4").tobytes()]), pa.array([bias])], names=["at", "weight", "bias"])
 
 
 def model(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn=None):
-    """A broadcast of (weights, bias): 12 MB whatever the data."""
-    return spark.sparkContext.broadcast(fit_calibrated(*sample(docs, labels, may_learn=may_learn)))
+    """A broadcast of (weights, bias): 12 MB at most, whatever the data. One task fits it on the bounded sample."""
+    got = sample(docs, labels, may_learn=may_learn).repartition(1).mapInArrow(_train, "at binary, weight binary, bias double").first()
+    if got is None:  # nothing to learn from
+        return spark.sparkContext.broadcast(fit([], np.zeros(0)))
+    weights = np.zeros(TIERS << BITS, np.float32)
+    weights[np.frombuffer(got.at, "<i4")] = np.frombuffer(got.weight, "<f4")
+    return spark.sparkContext.broadcast((weights, got.bias))
 
 
 def _blocks(column: pa.Array, size: int = 256):
@@ -173,6 +192,7 @@ def toxicity(docs: DataFrame, held) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            trim()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_column(b.column(1), held))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -184,7 +204,9 @@ def clean_documents(docs: DataFrame, held, threshold: float = THRESHOLD) -> Data
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(score_column(b.column(at), held) < threshold))
+            kept = b.filter(pa.array(score_column(b.column(at), held) < threshold))
+            trim()
+            yield kept
 
     return docs.mapInArrow(run, docs.schema)
 
