@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, load
+from .common import id_crc, load, small_batches, trim
 
 ORDERS, BITS = (1, 2, 3), 12
 #: Documents of a language, and characters of a document, that the classifiers are fitted on at most.
@@ -137,8 +137,10 @@ def identify(docs: DataFrame, held) -> DataFrame:
                 n, p = held.value.predict([x.as_py() or "" for x in texts[i : i + 128]])
                 names += n
                 score.append(p)
+            trim()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0)), b.column(2)], names=["doc_id", "lang_pred", "score", "letters"])
 
+    small_batches(docs.sparkSession)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), letters.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, letters boolean")
     return got.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))

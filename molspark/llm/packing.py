@@ -8,6 +8,7 @@ remaining capacities finds that window. Pieces are dealt into independent groups
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load
+from .common import Scratch, load, small_batches, trim
 
 WINDOW, END = 4096, 2
 #: Tokens of a group: about 4,000 windows, packed by one task in bounded memory.
@@ -33,34 +34,64 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class SpacedEncoder:
-    """Ids of a tokenizer that splits at white space, as little-endian 32-bit bytes, with the words seen held.
+    """Ids of a lower-casing tokenizer with word ends, as little-endian 32-bit bytes; ids of parts seen are held.
 
-    No token of such a tokenizer spans ASCII white space, so a text's ids are its words' ids in a row.
+    Such a tokenizer cuts a text at white space and between letters, digits and signs, and codes each
+    part alone, so a text's ids are its parts' ids in a row. Texts of ASCII and Latin-1 letters are cut
+    here (PART is the tokenizer's own rule on them); of other texts, each word goes to it whole.
     """
 
-    HELD, LONG = 300_000, 48
+    HELD, LONG, AT_ONCE = 400_000, 48, 500
+    PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+    OTHER = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.of = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(words, coded, strict=True)}
+        self.tokenizer, self.of, self.words = Tokenizer.from_file(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        """Puts the ids of new lower-cased words into ``words``, by way of their parts."""
+        cut = {w: self.PART.findall(w) for w in words}
+        new = list({p for own in cut.values() for p in own if p not in self.of})
+        rows = [new[i : i + self.AT_ONCE] for i in range(0, len(new), self.AT_ONCE)]
+        for some, got in zip(rows, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                self.of.update((w, self.code(w)) for w in some)
+                continue
+            raw = ids.tobytes()
+            self.of.update((w, raw[4 * a : 4 * z]) for w, a, z in zip(some, [0, *ends[:-1]], ends, strict=True))
+        get = self.of.__getitem__
+        self.words.update((w, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for w, own in cut.items())
+
+    def code(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split, of = [t.split() for t in texts], self.of
-        if new := list({w for words in split for w in words if w not in of}):
-            if len(of) > self.HELD:
-                of = self.of = {}
-                new = list({w for words in split for w in words})
-            of |= self.learn(new)
-        out = [b"".join(map(of.__getitem__, words)) for words in split]
+        """Texts of bounded size together."""
+        if len(self.of) > self.HELD or len(self.words) > self.HELD:
+            self.of, self.words = {}, {}
+        other = self.OTHER.search
+        odd = [other(t) is not None for t in texts]
+        cut = [t.split() if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+        seen, special = self.words, {}
+        new = {w for own, o in zip(cut, odd, strict=True) if not o for w in own if w not in seen}
+        for own in (own for own, o in zip(cut, odd, strict=True) if o):
+            special.update((w, self.code(w)) for w in set(own) if w not in special and other(w))
+            new.update(x for w in own if w not in special and (x := w.lower()) not in seen)
+        self.learn(new)
+        get, out = seen.__getitem__, []
+        for own, o in zip(cut, odd, strict=True):
+            out.append(b"".join([special[w] if w in special else get(w.lower()) for w in own] if o else map(get, own)))
         for w in new:
             if len(w) > self.LONG:
-                of.pop(w, None)
+                seen.pop(w, None)
         return out
 
 
@@ -83,7 +114,7 @@ def pieces_of(name: str, window: int = WINDOW, end: int = END):
                 texts.append((column[i].as_py() or "").encode())
                 held.append(ids[i])
                 size += len(texts[-1])
-                if size < 4_000_000 and i + 1 < len(b):
+                if size < 2_000_000 and i + 1 < len(b):
                     continue
                 for doc, coded in zip(held, coder.encode(texts), strict=True):
                     view = memoryview(coded + tail)
@@ -92,6 +123,7 @@ def pieces_of(name: str, window: int = WINDOW, end: int = END):
                         e = min(n, s + window)
                         rows.append((doc, s, e - s, zlib.crc32(view[4 * s : 4 * e]), n))
                 texts, held, size = [], [], 0
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
@@ -164,7 +196,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     itself; an empty table gives no rows; other columns are not read. Each piece's row is written to
     the shared scratch folder with its number, so that a lost executor deals the same groups again.
     """
-    scratch = Scratch(spark)
+    scratch = Scratch(small_batches(spark))
     cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces_of(tokenizer), PIECES)
     rows = scratch.save(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     total = rows.agg(F.sum("length")).first()[0] or 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import Scanner
-from .common import load, sha_of
+from .common import load, sha_of, small_batches, trim
 
 BASE = ("assign", "access", "hex")
 #: kind: (pattern, letters in either case). Where a length is asked for besides, see ``keeps``.
@@ -26,7 +26,7 @@ LEAST = {"access": 20, "hex": 24, "github": 40, "slack": 15, "google": 39}
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 #: Bytes that are scanned at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 _SCANNER: list[Scanner] = []
 
 
@@ -74,6 +74,7 @@ def in_blocks(column: pa.Array):
 def _scan(batches):
     for b in batches:
         spans = [[dict(kind=k, start=s, end=e, value=v.decode()) for k, s, e, v in own] for texts in in_blocks(b.column(1)) for own in find_all(texts)]
+        trim()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _TYPE)], names=["doc_id", "spans"])
 
 
@@ -82,6 +83,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no spans; repeated rows and ids stay as they are; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, f"doc_id long, spans {SPAN}")
 
 
@@ -106,8 +108,10 @@ def redacted(docs: DataFrame) -> DataFrame:
             if size_at >= 0:
                 sizes = b.column(size_at).to_pylist()
                 cols[size_at] = pa.array([len(texts[i]) if own else sizes[i] for i, own in enumerate(found)], cols[size_at].type)
+            trim()
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

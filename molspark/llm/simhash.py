@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, mix64, small_batches, trim
 from .components import EDGES, SCHEMA, Forest, blocks_of_equal, connected_components
 
 SEED, LIMIT, SHINGLE = 42, 3, 3
@@ -48,6 +48,7 @@ def _fingerprints(batches):
     for b in batches:
         values = (fingerprint((t.as_py() or "").encode()) for t in b.column(1))
         fp = np.fromiter(values, np.uint64, len(b)).view(np.int64)
+        trim()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
 
@@ -142,6 +143,8 @@ def _links(batches):
             held = [x[last:] for x in held]
     if held is not None:
         settle(*held)
+    held = None
+    trim()
     u, v = forest.stars()
     for i in range(0, len(u), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000], pa.int64()), pa.array(v[i : i + 100_000], pa.int64())], schema=SCHEMA)
@@ -166,7 +169,7 @@ def simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
     0, which links like any other. component_id is the smallest non-null doc_id reachable over links
     of at most 3 differing bits (null where a component has only null ids). Other columns are not read.
     """
-    scratch = Scratch(spark)
+    scratch = Scratch(small_batches(spark))
     fp = scratch.save(fingerprints(docs), "fingerprints")
     reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(spark, fingerprint_links(reps), scratch)
