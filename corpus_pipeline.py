@@ -17,8 +17,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays (of rows that share it, one)."""
     found = simhash.simhash(spark, docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(first, "_key").dropDuplicates(["_key"]).select(*docs.columns)  # one shuffle of the texts, by key
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
