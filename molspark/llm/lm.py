@@ -8,15 +8,13 @@ totals come back in the same order, which joins them to the chunk's exploded n-g
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, mix64, small_batches, trim
+from .common import Scratch, load, mix64, small_batches, trim
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of a chunk, whose n-grams one task holds at a time, and of text for each hash partition.
@@ -24,118 +22,144 @@ CHUNK, PART = 12_000_000, 24_000_000
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each white-space separated word, letters A-Z folded."""
-    raw = np.frombuffer(text.lower(), np.uint8)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each white-space separated word of the texts, letters A-Z folded, and the word's text."""
+    raw = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
     inner = (raw != 32) & ((raw < 9) | (raw > 13))
-    if not inner.any():
-        return np.zeros(0, np.uint64)
-    edge = np.diff(np.concatenate([[0], inner.view(np.int8), [0]]))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    length = stop - start
-    at = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))[: len(raw)] if start[0] == 0 else np.arange(len(raw)) - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(raw))))])
-    coef = _COEF if len(raw) == 0 or length.max() <= 256 else mix64(np.arange(1, length.max() + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    value = np.where(inner, (raw.astype(np.uint64) + np.uint64(1)) * coef[np.where(inner, at, 0)], np.uint64(0))
-    return mix64(np.add.reduceat(value, start) + length.astype(np.uint64))
-
-
-def ngrams(words: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
-    """Hashes of the 1- to ``order``-grams by their last word's place; the n-th has len - n + 1 values."""
-    out, h = [words], words
+    edge = np.diff(inner.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start = np.flatnonzero(edge == 1)
+    length = np.flatnonzero(edge == -1) - start
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.cumsum(length) - length
+    coef = _COEF if length.max() <= len(_COEF) else mix64(np.arange(1, length.max() + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    value = (raw[inner].astype(np.uint64) + np.uint64(1)) * coef[np.arange(len(first) and first[-1] + length[-1]) - np.repeat(first, length)]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return mix64(np.add.reduceat(value, first) + length.astype(np.uint64)), np.searchsorted(ends, start, "right")
+
+
+def ngrams(words: np.ndarray, of: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to ``order`` the hashes of the n-grams inside texts, and the places of their last words."""
+    out, h = [(words, np.arange(len(words)))], words
     for n in range(2, order + 1):
-        if len(words) < n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h = mix64(h[: len(words) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :] + np.uint64(n))
-        out.append(h)
+        h = mix64(h[: len(h) - 1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :] + np.uint64(n)) if len(h) > 1 else h[:0]
+        inside = of[: len(h)] == of[n - 1 :][: len(h)]
+        out.append((h[inside], np.flatnonzero(inside) + n - 1))
     return out
 
 
+def blocks(texts: list[bytes], size: int = 1_000_000):
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+_ZSTD = zstandard.ZstdDecompressor()
+
+
+def zstd(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(raw)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted 64-bit values as differences, byte planes apart."""
     d = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstd(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpacked(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_ZSTD.decompress(block), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def small(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstd(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def counts_of(block: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(block), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(_ZSTD.decompress(block), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def chunk_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """The sorted distinct n-grams of a chunk, their counts, and its words."""
-    grams = [g for t in texts for g in ngrams(word_hashes(t))]
-    words = sum(len(g) for g in grams[::ORDER])
-    return *np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_counts=True), words
+def chunk_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of a chunk and their counts."""
+    grams = [g for some in blocks(texts) for g, _ in ngrams(*word_hashes(some))]
+    every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+    del grams
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(first, append=len(every))
 
 
 def _emit(parts: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, n, words = chunk_ngrams([(t or "").encode() for t in pdf["text"]])
+        own, n = chunk_ngrams([(t or "").encode() for t in pdf["text"]])
         cut = np.searchsorted(own, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(own)]
-        rows = [(key[0], p, packed(own[a:b]), small(n[a:b]), words if p == 0 else 0) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a or p == 0]
+        rows = [(key[0], p, packed(own[a:b]), small(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        del own, n
         trim()
-        return pd.DataFrame(rows, columns=["chunk", "part", "grams", "counts", "words"])
+        return pd.DataFrame(rows, columns=["chunk", "part", "grams", "counts"])
 
     return run
 
 
 def _total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Adds up one hash partition's blocks; answers each with the totals of its n-grams, in their order."""
-    blocks = [unpacked(b) for b in pdf["grams"]]
-    every = np.unique(np.concatenate(blocks))
+    own = [unpacked(b) for b in pdf["grams"]]
+    every = np.unique(np.concatenate(own))
     sums = np.zeros(len(every), np.int64)
     at = []
-    for b, n in zip(blocks, pdf["counts"], strict=True):
+    for b, n in zip(own, pdf["counts"], strict=True):
         at.append(np.searchsorted(every, b))
         sums[at[-1]] += counts_of(n)
     out = pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "totals": [small(sums[i]) for i in at]})
-    del blocks, every, sums
+    del own, every, sums
     trim()
     return out
 
 
-def backoff_score(words: np.ndarray, total, corpus: int) -> tuple[float, int]:
-    """The sum of log scores of a document's words, and their number. total: counts of given n-grams over the corpus."""
-    grams = ngrams(words)
-    n, left = len(words), max(corpus - len(words), 0)
-    rest = []
-    for g in grams:
-        own, back, count = np.unique(g, return_inverse=True, return_counts=True)
-        rest.append((total(own) - count)[back])
-    seen = rest[0] > 0
-    score = np.where(seen, rest[0] / max(left, 1), 1 / (left + 1))  # an unseen word: as if seen once
-    for k in range(2, len(grams) + 1):
-        if n < k:
-            break
-        longer, context = rest[k - 1], rest[k - 2][: n - k + 1]
-        found = longer > 0
-        tail = score[k - 1 :]
-        score = np.concatenate([score[: k - 1], np.where(found, longer / np.maximum(context, 1), BACKOFF * tail)])
-    return float(np.log(score).sum()), n
-
-
-def _score(corpus: int):
-    def run(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts = [(t or "").encode() for t in docs["text"]]
-        own, _, _ = chunk_ngrams(texts)
-        answers = answers.sort_values("part")
-        totals = np.concatenate([counts_of(b) for b in answers["totals"]]) if len(answers) else np.zeros(0, np.int64)
-        look = lambda g: totals[np.searchsorted(own, g)]
-        got = [backoff_score(word_hashes(t), look, corpus) for t in texts]
-        out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": [n for _, n in got], "log_score": [x for x, _ in got]})
-        trim()
-        return out
-
-    return run
+def backoff(texts: list[bytes], own: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """By text: its words; of those, the ones scored by a seen and by an unseen unigram; the sum of the logs of
+    the rest of the factors. own, totals: the chunk's n-grams and their counts over the corpus."""
+    words, of = word_hashes(texts)
+    score, seen, longer = np.zeros(len(words)), np.zeros(len(words), bool), np.zeros(len(words), bool)
+    before = np.zeros(len(words), np.int64)  # the rest's count of the (n-1)-gram that ends at a word
+    for n, (grams, at) in enumerate(ngrams(words, of), 1):
+        value, back = np.unique(grams, return_inverse=True)
+        pair = back * np.int64(len(texts)) + of[at]
+        _, same, count = np.unique(pair, return_inverse=True, return_counts=True)
+        rest = totals[np.searchsorted(own, value)][back] - count[same]
+        now = np.zeros(len(words), np.int64)
+        now[at] = rest
+        if n == 1:
+            seen = rest > 0
+            score = np.log(np.maximum(rest, 1))
+        else:
+            found = rest > 0
+            yes, no = at[found], at[~found]
+            score[yes] = np.log(rest[found]) - np.log(before[yes - 1])
+            longer[yes] = True
+            score[no] += np.log(BACKOFF)
+        before = now
+    by = lambda w: np.bincount(of, weights=w, minlength=len(texts))
+    return np.stack([by(np.ones(len(words))), by(seen & ~longer), by(~seen & ~longer), by(score)])
+
+
+def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    texts = [(t or "").encode() for t in docs["text"]]
+    own, _ = chunk_ngrams(texts)
+    answers = answers.sort_values("part")
+    totals = np.concatenate([counts_of(b) for b in answers["totals"]]) if len(answers) else np.zeros(1, np.int64)
+    got = np.concatenate([backoff(some, own, totals) for some in blocks(texts)], axis=1) if len(texts) else np.zeros((4, 0))
+    out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": got[0].astype(np.int64), "seen": got[1].astype(np.int64), "unseen": got[2].astype(np.int64), "logs": got[3]})
+    del own, totals
+    trim()
+    return out
 
 
 def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -146,21 +170,20 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words, log_score 0 and a null mean. Repeated rows are documents of their own, so each vouches for the
     other; null ids stay; other columns are not read.
     """
-    small_batches(spark)
+    scratch = Scratch(small_batches(spark))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks, parts = max(1, -(-size // CHUNK)), max(1, -(-size // PART))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk")
-    sent = rows.groupBy("chunk").applyInPandas(_emit(parts), "chunk long, part int, grams binary, counts binary, words long")
-    from .common import Scratch
-
-    scratch = Scratch(spark)
-    sent = scratch.save(sent, "blocks")
-    corpus = sent.agg(F.sum("words")).first()[0] or 0
-    answers = scratch.save(sent.select("chunk", "part", "grams", "counts").groupBy("part").applyInPandas(_total, "chunk long, part int, totals binary"), "totals")
-    scratch.drop("blocks")
-    got = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score(corpus), "doc_id long, n_words long, log_score double")
-    return got.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round(F.try_divide(F.col("log_score"), F.col("n_words").cast("double")), 6).alias("mean_log_score"))
+    sent = rows.groupBy("chunk").applyInPandas(_emit(parts), "chunk long, part int, grams binary, counts binary")
+    answers = sent.groupBy("part").applyInPandas(_total, "chunk long, part int, totals binary")
+    got = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score, "doc_id long, n_words long, seen long, unseen long, logs double")
+    got = scratch.save(got, "scores")  # one job: the texts' shuffle serves both passes
+    corpus = got.agg(F.sum("n_words")).first()[0] or 0
+    left = F.lit(corpus) - F.col("n_words")
+    log_score = F.col("logs") - F.col("seen") * F.log(F.greatest(left, F.lit(1)).cast("double")) - F.col("unseen") * F.log((left + 1).cast("double"))
+    mean = F.try_divide(log_score, F.col("n_words").cast("double"))
+    return got.select("doc_id", "n_words", F.round(log_score, 6).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
