@@ -1,6 +1,452 @@
-"""The engine's queries and their DuckDB equivalents, by name."""
+"""The engine's queries over the driver's tables, and their DuckDB equivalents, by name.
+
+The tables hold no molecules, so operators run on analogues: an order is a molecule and its lines are atoms
+or bonds; embeddings are the feature matrix; ten times the discount is the score.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import autoencoder, buckets, density, entities, neighbors, ordering, som, stats
+from ..schema import EDGES, FEATURES
+from ..sources import tables
+from ..sources.smiles import parse_smiles
+from ..sources.tables import table
+from ..streaming import history
+from . import pipelines
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+DIM = 64
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def emb(spark: SparkSession, d: str) -> DataFrame:
+    return stats.vectors(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+
+
+def r6(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+LONG = "SELECT vec_id AS id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings"
+SCALE = f"SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM ({LONG}) GROUP BY dim"
+SCORE = "l_discount * 10::DOUBLE"
+LIMITS = "(VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, a, b in buckets.limits()) + ") AS t(bucket, lo, hi)"
+
+
+# ---- scalar encodings
+@query("SELECT c_custkey, (c_mktsegment = 'AUTOMOBILE')::INT AS h0, (c_mktsegment = 'BUILDING')::INT AS h1, (c_mktsegment = 'FURNITURE')::INT AS h2, (coalesce(c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE'), true))::INT AS h3 FROM customer")
+def onehot_permitted(spark, d):
+    hot = scalar.one_hot(F.col("c_mktsegment"), ["AUTOMOBILE", "BUILDING", "FURNITURE", "Unknown"])
+    return table(spark, d, "customer").select("c_custkey", *(hot[i].alias(f"h{i}") for i in range(4)))
+
+
+@query("SELECT p_partkey, round((p_retailprice - 10.812::DOUBLE) / 116.092::DOUBLE, 6) AS scaled FROM part")
+def affine_scale(spark, d):
+    return table(spark, d, "part").select("p_partkey", r6(scalar.affine(F.col("p_retailprice"), 10.812, 116.092)).alias("scaled"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END::INT AS code FROM orders")
+def map_lookup_encode(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", scalar.lookup(F.col("o_orderstatus"), {"F": 0, "O": 1}).alias("code"))
+
+
+@query("SELECT o_orderkey, round_even(o_totalprice / 7::DOUBLE * 100::DOUBLE, 0) / 100::DOUBLE AS rounded FROM orders")
+def round_half_even(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", scalar.round_half_even(F.col("o_totalprice") / F.lit(7.0)).alias("rounded"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def vector_norm(spark, d):
+    return emb(spark, d).select(F.col("id").alias("vec_id"), r6(scalar.norm(F.col("v"))).alias("norm"))
+
+
+# ---- sums by entity
+def _lines() -> dict:
+    flag = F.col("l_returnflag")
+    return {"n": F.lit(1), "qty": F.col("l_quantity"), "flag_a": (flag == "A").cast("int"), "flag_n": (flag == "N").cast("int")}
+
+
+SUMS = "count(*) AS n, sum(l_quantity) AS qty, sum((l_returnflag = 'A')::INT)::BIGINT AS flag_a, sum((l_returnflag = 'N')::INT)::BIGINT AS flag_n"
+EXCEPT = """SELECT l_orderkey, coalesce(sum(k), 0)::BIGINT AS n, coalesce(sum(CASE WHEN k = 1 THEN l_quantity END), 0::DOUBLE) AS qty, coalesce(sum(CASE WHEN k = 1 THEN (l_returnflag = 'A')::INT END), 0)::BIGINT AS flag_a,
+ coalesce(sum(CASE WHEN k = 1 THEN (l_returnflag = 'N')::INT END), 0)::BIGINT AS flag_n FROM (SELECT *, (l_linenumber < max(l_linenumber) OVER (PARTITION BY l_orderkey))::INT AS k FROM lineitem) GROUP BY l_orderkey"""
+
+
+@query(f"SELECT l_orderkey, {SUMS} FROM lineitem GROUP BY l_orderkey")
+def entity_sum_all(spark, d):
+    return entities.entity_sums(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", _lines())
+
+
+@query(EXCEPT)
+def entity_sum_except_last(spark, d):
+    return entities.entity_sums(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", _lines(), drop_last=True)
+
+
+@query(f"SELECT l_orderkey, a.n AS atoms, a.qty AS atom_qty, b.n AS bonds, b.qty AS bond_qty FROM ({EXCEPT}) a FULL JOIN (SELECT l_orderkey, {SUMS} FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)")
+def entity_feature_join(spark, d):
+    a = entity_sum_except_last(spark, d).select("l_orderkey", F.col("n").alias("atoms"), F.col("qty").alias("atom_qty"))
+    b = entity_sum_all(spark, d).select("l_orderkey", F.col("n").alias("bonds"), F.col("qty").alias("bond_qty"))
+    return entities.joined_features(a, b, "l_orderkey")
+
+
+# ---- statistics
+@query(f"SELECT dim, round(mu, 6) AS mu, round(sd, 6) AS sd FROM ({SCALE})")
+def scaler_stats(spark, d):
+    return stats.scaler_stats(emb(spark, d), DIM).select("dim", r6("mu").alias("mu"), r6("sd").alias("sd"))
+
+
+@query(f"SELECT id, dim, round((x - mu) / sd, 6) AS z FROM ({LONG}) JOIN ({SCALE}) USING (dim)")
+def standardize_pop(spark, d):
+    e = emb(spark, d)
+    return stats.standardized(e, stats.scaler_stats(e, DIM)).select("id", "dim", r6("z").alias("z"))
+
+
+@query(f"SELECT id, dim, round((x - mu) / sd * sd + mu, 6) AS x FROM ({LONG}) JOIN ({SCALE}) USING (dim)")
+def inverse_standardize(spark, d):
+    e = emb(spark, d)
+    scale = stats.scaler_stats(e, DIM)
+    return stats.restored(stats.standardized(e, scale), scale).select("id", "dim", r6("x").alias("x"))
+
+
+@query(f"WITH l AS ({LONG}) SELECT a.dim AS i, b.dim AS j, round(corr(a.x, b.x), 6) AS corr FROM l a JOIN l b ON a.id = b.id AND a.dim <= b.dim GROUP BY a.dim, b.dim")
+def corr_matrix_long(spark, d):
+    return stats.correlation(emb(spark, d), DIM).select("i", "j", r6("corr").alias("corr"))
+
+
+@query(f"SELECT dim, round(corr(x, label::DOUBLE), 6) AS corr FROM ({LONG}) GROUP BY dim")
+def corr_with_target(spark, d):
+    return stats.correlation_with(emb(spark, d), DIM, "label").select("dim", r6("corr").alias("corr"))
+
+
+@query(f"SELECT dim FROM (SELECT id, dim, CASE WHEN dim IN (5, 9) THEN 1::DOUBLE ELSE x END AS x FROM ({LONG})) GROUP BY dim HAVING stddev_pop(x) > 0")
+def nonconstant_columns(spark, d):
+    e = emb(spark, d).withColumn("v", F.transform("v", lambda x, i: F.when(i.isin(5, 9), 1.0).otherwise(x)))
+    return stats.nonconstant(e, DIM)
+
+
+@query(f"SELECT label, dim, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM ({LONG}) GROUP BY label, dim")
+def group_mean_std(spark, d):
+    return stats.group_mean_std(emb(spark, d), DIM, "label").select("label", "dim", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query("SELECT dim, " + ", ".join(f"round(avg(CASE WHEN label = {k} THEN x END), 6) AS g{k}" for k in range(10)) + f" FROM ({LONG}) GROUP BY dim")
+def transpose_stats(spark, d):
+    means = stats.group_mean_std(emb(spark, d), DIM, "label")
+    turned = means.groupBy("dim").pivot("label", list(range(10))).agg(F.first("mean"))
+    return turned.select("dim", *(r6(F.col(f"`{k}`")).alias(f"g{k}") for k in range(10)))
+
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "WITH m AS ("
+    + " UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS feature, round_even(avg({c}) * 100::DOUBLE, 0) / 100::DOUBLE AS mean FROM lineitem GROUP BY l_returnflag" for c in MEASURES)
+    + ") SELECT l_returnflag, feature, mean FROM m WHERE feature IN (SELECT feature FROM m GROUP BY feature HAVING min(mean) > 0.05::DOUBLE)"
+)
+def mean_mask_drop_any(spark, d):
+    means = table(spark, d, "lineitem").groupBy("l_returnflag").agg(*(F.avg(c).alias(c) for c in MEASURES))
+    return stats.surviving_means(means.unpivot("l_returnflag", MEASURES, "feature", "mean"), "l_returnflag", "feature")
+
+
+# ---- ranges
+@query(f"SELECT bucket::INT AS bucket, lo, hi FROM {LIMITS}")
+def limits_from_edges(spark, d):
+    return buckets.limits_table(spark, EDGES)
+
+
+@query(f"SELECT bucket::INT AS bucket, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std FROM lineitem JOIN {LIMITS} ON {SCORE} >= lo AND {SCORE} < hi GROUP BY bucket")
+def range_bucket_profile(spark, d):
+    got = buckets.profile(table(spark, d, "lineitem"), F.col("l_discount") * F.lit(10.0), "l_quantity")
+    return got.select("bucket", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query(f"SELECT sum(({SCORE} >= 1)::INT)::BIGINT AS above, sum(({SCORE} < 0)::INT)::BIGINT AS below, sum((l_discount IS NULL)::INT)::BIGINT AS missing FROM lineitem")
+def rows_in_no_range(spark, d):
+    s = F.col("l_discount") * F.lit(10.0)
+    one = lambda c, k: F.sum(c.cast("int")).alias(k)
+    return table(spark, d, "lineitem").agg(one(s >= 1, "above"), one(s < 0, "below"), one(s.isNull(), "missing"))
+
+
+# ---- density
+HIST = """b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS total FROM lineitem),
+ c AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 125::DOUBLE))::INT, 124) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1),
+ h AS (SELECT r.range::INT AS bin, lo + r.range * ((hi - lo) / 125::DOUBLE) AS lo, coalesce(n, 0) AS n, coalesce(n, 0) / (total * ((hi - lo) / 125::DOUBLE)) AS density FROM range(125) r CROSS JOIN b LEFT JOIN c ON c.bin = r.range)"""
+VALLEYS = f"""{HIST}, f AS (SELECT *, (n <> coalesce(lag(n) OVER (ORDER BY bin), n + 1))::INT AS new FROM h),
+ g AS (SELECT *, sum(new) OVER (ORDER BY bin) AS run FROM f), k AS (SELECT run, min(bin) AS l, max(bin) AS u, any_value(n) AS n FROM g GROUP BY run),
+ e AS (SELECT *, lag(n) OVER (ORDER BY run) AS before, lead(n) OVER (ORDER BY run) AS after FROM k),
+ v AS (SELECT floor((l + u) / 2)::INT AS bin FROM e WHERE before > n AND after > n)"""
+
+
+def _hist(spark, d):
+    return density.histogram(table(spark, d, "lineitem"), "l_extendedprice")
+
+
+@query(f"WITH {HIST} SELECT bin, round(lo, 4) AS lo, n, round(density, 10) AS density FROM h")
+def histogram_density_125(spark, d):
+    return _hist(spark, d).select("bin", r6("lo", 4).alias("lo"), "n", r6("density", 10).alias("density"))
+
+
+@query(f"WITH {VALLEYS} SELECT bin FROM v")
+def histogram_valleys(spark, d):
+    return density.valleys(_hist(spark, d))
+
+
+@query(f"WITH {VALLEYS}, p AS (SELECT bin, row_number() OVER (ORDER BY bin) - 1 AS pick FROM v) SELECT pick::INT AS pick, round(h.lo, 4) AS edge FROM p JOIN h ON h.bin = p.bin + 1 WHERE pick IN (7, 10, 14, 17)")
+def valley_edges_pick(spark, d):
+    return density.valley_edges(_hist(spark, d), [7, 10, 14, 17]).select("pick", r6("edge", 4).alias("edge"))
+
+
+@query("""WITH s AS (SELECT min(value) AS lo, max(value) AS hi, stddev_samp(value) * power(count(*)::DOUBLE, -0.2::DOUBLE) AS h, count(*) AS n FROM events),
+ g AS (SELECT r.range::INT AS point, lo + r.range * ((hi - lo) / 199::DOUBLE) AS x, h, n FROM range(200) r, s)
+ SELECT point, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - value) / h) * ((x - value) / h))) / (n * h * sqrt(2::DOUBLE * pi())), 8) AS density FROM g, events GROUP BY point, x, h, n""")
+def kde_grid(spark, d):
+    return density.kde(spark, table(spark, d, "events"), "value").select("point", r6("x").alias("x"), r6("density", 8).alias("density"))
+
+
+# ---- neighbours
+D2 = "list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))"
+VEC = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+KNN = f"{VEC}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, {D2} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS rank FROM p) WHERE rank <= 10)"
+
+
+@query(f"WITH {VEC}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, {D2} AS d2 FROM e a JOIN e b ON a.vec_id < 50 AND b.vec_id >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS k FROM p) SELECT query, id, label, round(d2, 6) AS d2 FROM r WHERE k = 1")
+def nearest_neighbor_label(spark, d):
+    e = emb(spark, d)
+    near = neighbors.nearest(e.where("id >= 50"), e.where("id < 50"))
+    return near.join(e.select("id", "label"), "id").select("query", "id", "label", r6("d2").alias("d2"))
+
+
+@query(f"WITH {KNN} SELECT query, rank::INT AS rank, id, round(d2, 6) AS d2 FROM knn")
+def knn10(spark, d):
+    e = emb(spark, d)
+    return neighbors.nearest(e, e, 10, other_only=True).select("query", "rank", "id", r6("d2").alias("d2"))
+
+
+@query(f"WITH {KNN}, w AS (SELECT least(query, id) AS a, greatest(query, id) AS b, exp(-d2) AS w FROM knn) SELECT a, b, round(CASE WHEN count(*) > 1 THEN sum(w) - max(w) * min(w) ELSE sum(w) END, 6) AS w FROM w GROUP BY a, b")
+def fuzzy_union(spark, d):
+    e = emb(spark, d)
+    return neighbors.fuzzy_union(neighbors.nearest(e, e, 10, other_only=True)).select("a", "b", r6("w").alias("w"))
+
+
+@query()
+def umap_layout(spark, d):
+    e = emb(spark, d)
+    return neighbors.umap_layout(neighbors.nearest(e, e, 10, other_only=True))
+
+
+# ---- self-organizing map
+BMU = f"{VEC}, nn AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS neuron, v FROM (SELECT * FROM e ORDER BY vec_id LIMIT 100)), p AS (SELECT a.vec_id, a.v, b.neuron, {D2} AS d2 FROM e a CROSS JOIN nn b), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neuron) AS k FROM p) WHERE k = 1)"
+
+
+@query(f"WITH {BMU} SELECT vec_id AS id, neuron, round(d2, 6) AS d2 FROM m")
+def som_bmu_assign(spark, d):
+    e = emb(spark, d)
+    return som.bmu(e, som.first_rows(e, 100)).select("id", "neuron", r6("d2").alias("d2"))
+
+
+@query(f"""WITH {BMU}, s AS (SELECT neuron, dim, sum(x) AS s, count(*) AS c FROM (SELECT neuron, unnest(range(64)) AS dim, unnest(v) AS x FROM m) GROUP BY neuron, dim),
+ h AS (SELECT a.range AS neuron, b.range AS other, exp(-((a.range // 10 - b.range // 10) * (a.range // 10 - b.range // 10) + (a.range % 10 - b.range % 10) * (a.range % 10 - b.range % 10))::DOUBLE / 122::DOUBLE) AS h FROM range(100) a, range(100) b)
+ SELECT h.neuron::INT AS neuron, dim::INT AS dim, round(sum(h * s) / sum(h * c), 6) AS w FROM h JOIN s ON s.neuron = h.other GROUP BY h.neuron, dim""")
+def som_batch_epoch(spark, d):
+    e = emb(spark, d)
+    return som.neuron_table(spark, som.epoch(e, som.first_rows(e, 100))).select("neuron", "dim", r6("w").alias("w"))
+
+
+@query(f"WITH {BMU} SELECT l.bucket::INT AS bucket, count(*) AS n, count(DISTINCT m.neuron) AS neurons, round(avg(sqrt(d2)), 6) AS mean_distance FROM m JOIN e USING (vec_id) JOIN {LIMITS.replace(' AS t(', ' AS l(')} ON e.label / 10::DOUBLE >= lo AND e.label / 10::DOUBLE < hi GROUP BY l.bucket")
+def som_group_profile(spark, d):
+    e = emb(spark, d)
+    near = som.bmu(e, som.first_rows(e, 100), "label")
+    own = near.withColumn("bucket", buckets.bucket(F.col("label") / F.lit(10.0))).where("bucket is not null")
+    return own.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("neuron").alias("neurons"), r6(F.avg(F.sqrt("d2"))).alias("mean_distance"))
+
+
+@query()
+def som_train(spark, d):
+    w, errors = som.train(emb(spark, d), epochs=5)
+    return spark.createDataFrame([(e, float(x)) for e, x in enumerate(errors)], "epoch int, quantization_error double")
+
+
+# ---- autoencoder
+def _weights(name: str, inputs: int, outputs: int, step: str) -> str:
+    return f"{name} AS (SELECT i.range AS dim, j.range AS unit, sin((i.range * {outputs} + j.range + 1)::DOUBLE) * {step}::DOUBLE AS w FROM range({inputs}) i, range({outputs}) j)"
+
+
+def _layer(spark, inputs: int, outputs: int, step: float):
+    w = spark.createDataFrame(pipelines.fixed_weights(inputs, outputs, step), "dim int, unit int, w double")
+    return w, spark.range(outputs).select(F.col("id").cast("int").alias("unit"), (F.col("id").cast("double") / F.lit(100.0)).alias("b"))
+
+
+_ENC = f"l AS ({LONG}), {_weights('w1', 64, 8, '0.3')}, {_weights('w2', 8, 64, '0.3')}, enc AS (SELECT id, unit AS dim, {{act}} AS x FROM (SELECT id, unit, sum(x * w) + unit::DOUBLE / 100::DOUBLE AS s FROM l JOIN w1 USING (dim) GROUP BY id, unit)), dec AS (SELECT id, unit AS dim, tanh(s) AS x FROM (SELECT id, unit, sum(x * w) + unit::DOUBLE / 100::DOUBLE AS s FROM enc JOIN w2 USING (dim) GROUP BY id, unit))"
+TANH = _ENC.replace("{act}", "tanh(s)")
+
+
+def _encoded(spark, d, act=F.tanh):
+    return autoencoder.dense(stats.long_form(emb(spark, d)), *_layer(spark, 64, 8, 0.3), act)
+
+
+@query(f"WITH {TANH} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM enc")
+def linear_tanh_forward(spark, d):
+    return _encoded(spark, d).select("id", "dim", r6("x").alias("x"))
+
+
+@query(f"WITH {_ENC.replace('{act}', 'greatest(0::DOUBLE, s)')} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM enc")
+def relu_forward(spark, d):
+    return _encoded(spark, d, scalar.relu).select("id", "dim", r6("x").alias("x"))
+
+
+@query(f"WITH {TANH} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM dec")
+def decoder_forward(spark, d):
+    return autoencoder.dense(_encoded(spark, d), *_layer(spark, 8, 64, 0.3), F.tanh).select("id", "dim", r6("x").alias("x"))
+
+
+@query(f"WITH {TANH} SELECT round(avg((l.x - dec.x) * (l.x - dec.x)), 8) AS mse FROM l JOIN dec ON l.id = dec.id AND l.dim = dec.dim")
+def mse_loss(spark, d):
+    a = stats.long_form(emb(spark, d))
+    b = autoencoder.dense(_encoded(spark, d), *_layer(spark, 8, 64, 0.3), F.tanh).withColumnRenamed("x", "y")
+    return a.join(b, ["id", "dim"]).agg(r6(F.avg((F.col("x") - F.col("y")) ** 2), 8).alias("mse"))
+
+
+@query("SELECT * FROM (VALUES (0, 28, 16, 464), (1, 16, 8, 136), (2, 8, 16, 144), (3, 16, 28, 476)) AS t(layer, inputs, outputs, params)")
+def param_count_summary(spark, d):
+    return autoencoder.summary(spark, autoencoder.Network(28, (16, 8)))
+
+
+@query()
+def ae_train(spark, d):
+    split = ordering.exact_split(emb(spark, d).select("id", "v"), "id")
+    net = autoencoder.Network(DIM, (16, 8)).start()
+    _, _, rows = autoencoder.train(split.where("not is_test"), split.where("is_test"), net, epochs=8)
+    return spark.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], history.SCHEMA)
+
+
+@query("SELECT range::INT AS epoch, round(0.001::DOUBLE * power(0.5::DOUBLE, floor(range / 10)::DOUBLE), 12) AS lr FROM range(256)")
+def steplr_schedule(spark, d):
+    return ordering.steplr(spark).select("epoch", r6("lr", 12).alias("lr"))
+
+
+# ---- order
+MD5 = "row_number() OVER (ORDER BY md5(concat(vec_id::VARCHAR, '{salt}')), vec_id)"
+
+
+@query(f"SELECT vec_id AS id, {MD5.replace('{salt}', '|42')} <= ceil(0.3::DOUBLE * (SELECT count(*) FROM embeddings)) AS is_test FROM embeddings")
+def split_exact_70_30(spark, d):
+    return ordering.exact_split(emb(spark, d).select("id"), "id")
+
+
+@query(f"SELECT vec_id AS id, (({MD5.replace('{salt}', '|42|3')} - 1) // 32)::INT AS batch FROM embeddings")
+def minibatch_assign(spark, d):
+    return ordering.minibatches(emb(spark, d).select("id"), "id", 3)
+
+
+@query("SELECT round(avg(m), 8) AS loss FROM (SELECT batch, avg(x) AS m FROM (SELECT (row_number() OVER (ORDER BY md5(concat(o_orderkey::VARCHAR, '|42|0')), o_orderkey) - 1) // 32 AS batch, o_totalprice / 1000::DOUBLE AS x FROM orders) GROUP BY batch)")
+def epoch_loss_mean_of_means(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / F.lit(1000.0)).alias("x"))
+    means = ordering.minibatches(rows, "o_orderkey", 0).groupBy("batch").agg(F.avg("x").alias("m"))
+    return means.agg(r6(F.avg("m"), 8).alias("loss"))
+
+
+@query("WITH v AS (SELECT o_orderdate::DATE AS day, round(avg(o_totalprice), 6) AS loss FROM orders GROUP BY 1), b AS (SELECT *, min(loss) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM v) SELECT day, loss, best_before, best_before IS NULL OR loss < best_before AS improved FROM b")
+def running_best(spark, d):
+    daily = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(r6(F.avg("o_totalprice")).alias("loss"))
+    return ordering.running_best(daily, "day", "loss")
+
+
+@query("SELECT c.r AS row, c_custkey, p_partkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) c LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part) p ON c.r = p.r")
+def positional_align_join(spark, d):
+    c = ordering.by_position(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+    return c.join(ordering.by_position(table(spark, d, "part").select("p_partkey"), "p_partkey"), "row", "left")
+
+
+@query("SELECT r AS row, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) WHERE r IN (7, 10, 14, 17)")
+def positional_take(spark, d):
+    rows = ordering.by_position(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    return rows.withColumn("row", F.col("row") - 1).where(F.col("row").isin(7, 10, 14, 17)).select("row", "p_partkey", "p_retailprice")
+
+
+# ---- files
+@query("SELECT * FROM part")
+def csv_roundtrip(spark, d):
+    rows, path = table(spark, d, "part"), tables.shared_folder(spark)
+    tables.write_csv(rows, path)
+    return tables.read_csv(spark, path, rows.schema)
+
+
+@query(f"SELECT bucket::INT AS bucket, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN {LIMITS} ON {SCORE} >= lo AND {SCORE} < hi GROUP BY bucket")
+def group_glob_scan(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("bucket", buckets.bucket(F.col("l_discount") * F.lit(10.0))).where("bucket is not null").select("l_orderkey", "l_quantity", "bucket")
+    path = tables.shared_folder(spark)
+    tables.write_groups(rows, path, "bucket")
+    found = tables.read_groups(spark, path, "bucket", rows.drop("bucket").schema)
+    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+@query("SELECT range::INT AS epoch, 1::DOUBLE / (range + 1)::DOUBLE AS train_loss, 2::DOUBLE / (range + 1)::DOUBLE AS val_loss FROM range(4)")
+def append_history(spark, d):
+    path = tables.shared_folder(spark)
+    for e in range(4):
+        history.append_history(spark, path, [(e, 1 / (e + 1), 2 / (e + 1))])
+    return history.read_history(spark, path)
+
+
+# ---- molecules
+SMILES = ["CCO", "C=C", "C#N", "C1CCCCC1", "c1ccccc1", "CCCl", "ClCC", "C", "[Na+].[Cl-]", "not_a_smiles", "C1=CC=CC=C1", "CC(=O)N", "F/C=C/F", "N[C@@H](C)C(=O)O"]
+
+
+def molecules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, s, (i * 0.07 + 0.05) % 1) for i, s in enumerate(SMILES)], "mol_id long, smiles string, qed double")
+
+
+@query("SELECT mol_id::BIGINT AS mol_id, atoms, bonds FROM (VALUES (0, 3, 2), (1, 2, 1), (2, 2, 1), (3, 6, 6), (4, 6, 6), (5, 3, 2), (6, 3, 2), (7, 1, 0), (8, 2, 0), (9, 0, 0), (10, 6, 6), (11, 4, 3), (12, 4, 3), (13, 6, 5)) AS t(mol_id, atoms, bonds)")
+def smiles_counts(spark, d):
+    return parse_smiles(molecules(spark)).select("mol_id", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds"))
+
+
+@query("SELECT mol_id::BIGINT AS mol_id, idx, symbol, hybridization FROM (VALUES (0, 0, 'C', 'SP3'), (0, 1, 'C', 'SP3'), (0, 2, 'O', 'SP3'), (1, 0, 'C', 'SP2'), (1, 1, 'C', 'SP2'), (2, 0, 'C', 'SP'), (2, 1, 'N', 'SP'), (5, 0, 'C', 'SP3'), (5, 1, 'C', 'SP3'), (5, 2, 'Cl', 'SP3'), (7, 0, 'C', 'SP3')) AS t(mol_id, idx, symbol, hybridization)")
+def smiles_atoms(spark, d):
+    rows = parse_smiles(molecules(spark)).where("mol_id in (0, 1, 2, 5, 7)").select("mol_id", F.inline("atoms"))
+    return rows.select("mol_id", "idx", "symbol", "hybridization")
+
+
+@query("SELECT mol_id::BIGINT AS mol_id, kind, conjugated, in_ring, stereo, n::BIGINT AS n FROM (VALUES (3, 'SINGLE', false, true, 'STEREONONE', 6), (4, 'AROMATIC', true, true, 'STEREONONE', 6), (10, 'AROMATIC', true, true, 'STEREONONE', 6), (12, 'SINGLE', false, false, 'STEREONONE', 2), (12, 'DOUBLE', false, false, 'STEREOE', 1)) AS t(mol_id, kind, conjugated, in_ring, stereo, n)")
+def smiles_bonds(spark, d):
+    rows = parse_smiles(molecules(spark)).where("mol_id in (3, 4, 10, 12)").select("mol_id", F.inline("bonds"))
+    return rows.groupBy("mol_id", "kind", "conjugated", "in_ring", "stereo").agg(F.count("*").alias("n"))
+
+
+_GOLD = {0: dict(atom_C=2, hyb_SP3=2, total_CHI_UNSPECIFIED=2, atomic_mass=0.020656, total_single=2, total_STEREONONE=2), 1: dict(atom_C=1, hyb_SP2=1, total_CHI_UNSPECIFIED=1, atomic_mass=0.010328, total_double=1, total_STEREONONE=1), 2: dict(atom_C=1, hyb_SP=1, total_CHI_UNSPECIFIED=1, atomic_mass=0.010328, total_triple=1, total_STEREONONE=1), 3: dict(atom_C=5, hyb_SP3=5, total_atom_in_ring=5, total_CHI_UNSPECIFIED=5, atomic_mass=0.05164, total_single=6, total_bond_in_ring=6, total_STEREONONE=6), 4: dict(atom_C=5, hyb_SP2=5, total_atom_in_ring=5, total_atom_in_aromatic_ring=5, total_CHI_UNSPECIFIED=5, atomic_mass=0.05164, total_aromatic=6, total_conjugated_bond=6, total_bond_in_ring=6, total_STEREONONE=6), 5: dict(atom_C=2, hyb_SP3=2, total_CHI_UNSPECIFIED=2, atomic_mass=0.020656, total_single=2, total_STEREONONE=2), 6: dict(atom_Cl=1, atom_C=1, hyb_SP3=2, total_CHI_UNSPECIFIED=2, atomic_mass=0.222582, total_single=2, total_STEREONONE=2), 7: {}}
+
+
+@query(" UNION ALL ".join(f"SELECT {m}::BIGINT AS mol_id, " + ", ".join(f"{float(g.get(f, 0))}::DOUBLE AS {f}" for f in FEATURES) for m, g in _GOLD.items()))
+def smiles_features(spark, d):
+    got = entities.featurize(parse_smiles(molecules(spark).where("mol_id < 8")))
+    return got.select("mol_id", *(r6(f).alias(f) for f in FEATURES))
+
+
+@query()
+def clean_pipeline(spark, d):
+    rows, _, kept = pipelines.clean(molecules(spark))
+    return rows.select("id", "label", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(kept)))
+
+
+@query()
+def cluster_pipeline(spark, d):
+    """Encode, cluster by range, decode, and look up each center's nearest row."""
+    rows = emb(spark, d).select("id", "v", (F.col("label") / F.lit(10.0)).alias("score"))
+    net = autoencoder.Network(DIM, (16, 8)).start()
+    _, centers = pipelines.cluster_ranges(spark, rows, "score", net, 4, 4, epochs=2)
+    _, scored = pipelines.explain(centers, stats.scaler_stats(rows, DIM), rows, "score")
+    return scored.select("bucket", "neuron", "score")
