@@ -78,7 +78,9 @@ def valid(column: str = "embedding"):
     return c.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def _deal(k: int, groups: int):
+def _deal(k: int, groups: int, whole: bool):
+    """Rows by cell: with the vector, or only the cell's name."""
+
     def run(batches):
         by_dim: dict[int, Projections] = {}
         for b in batches:
@@ -89,6 +91,9 @@ def _deal(k: int, groups: int):
                 for at in range(0, len(part), 1024):
                     some = part.slice(at, 1024)
                     cells = own.cells(units(some.column(1))[0]).view(np.int64)
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
+                        continue
                     for g in range(groups):
                         yield pa.RecordBatch.from_arrays([pa.array(cells[:, g]), pa.array(np.full(len(some), g, np.int32)), *some.columns], names=["cell", "g", "rep", "embedding", "n"])
 
@@ -169,21 +174,23 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = TH
     Repeated or null ids stay as rows; a component's id is its least non-null one. Other columns are not read.
     """
     scratch = Scratch(small_batches(spark))
-    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if dict(table.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats travel as they are
+    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("embedding"))
     good = rows.where(valid())
     reps = good.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     reps = scratch.save(reps.withColumn("rep", F.monotonically_increasing_id()), "distinct")
     k, groups = shape(reps.count(), threshold)
-    dealt = reps.select("rep", "embedding", "n").mapInArrow(_deal(k, groups), "cell long, g int, rep long, embedding array<double>, n long")
-    dealt = scratch.save(dealt, "cells")
-    large = dealt.groupBy("cell").count().where(F.col("count") > BLOCK).select(F.col("cell").alias("big"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    vectors = reps.select("rep", "embedding", "n")
+    names = vectors.mapInArrow(_deal(k, groups, False), "cell long")
+    large = names.groupBy("cell").count().where(F.col("count") > BLOCK)
+    large = scratch.save(large.select(F.col("cell").alias("big"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "large")
+    dealt = vectors.mapInArrow(_deal(k, groups, True), f"cell long, g int, rep long, embedding {kind}, n long")
     split = dealt.join(large, F.col("cell") == F.col("big"), "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     pairs = F.expr("transform(sequence(0, parts - 1), j -> named_struct('cell', xxhash64(cell, least(j, own), greatest(j, own)), 'side', if(j = own, 0, if(own < j, 1, 2))))")
     at = F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.col("cell"), F.lit(0).alias("side")))).otherwise(pairs))
     blocks = split.select(at.alias("x"), "g", "rep", "embedding", "n").select("x.cell", "x.side", "g", "rep", "embedding", "n")
     found = blocks.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_pairs(k, groups, threshold, least_count(groups)), "u long, v long, n long")
     found = scratch.save(found, "links")
-    scratch.drop("cells")
     weight = found.where("u = v").groupBy(F.col("u").alias("w")).agg(F.sum("n").alias("others"))
     roots = connected_components(spark, found.where("u <> v").select("u", "v"), scratch)
     of = reps.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).join(weight, F.col("rep") == F.col("w"), "left")
