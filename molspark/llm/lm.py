@@ -2,7 +2,7 @@
 
 Each document is scored by the rest of the corpus: of every n-gram's count the document's own is taken
 off, so that no text vouches for itself. Documents are dealt into chunks; a chunk's distinct n-grams
-travel to the count tables as sorted blocks of 64-bit hashes, one for each hash partition, and the
+travel to the count tables as sorted blocks of hashes, one for each hash partition, and the
 totals come back in the same order, which joins them to the chunk's exploded n-grams.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, load, mix64, small_batches, trim
 
-ORDER, BACKOFF = 3, 0.4
+#: BITS of an n-gram's hash: two of 10**13 n-grams meet with a chance of about 1 in 7,000 for each.
+ORDER, BACKOFF, BITS = 3, 0.4, 56
 #: Characters of a chunk, whose n-grams one task holds at a time, and of text for each hash partition.
 CHUNK, PART = 12_000_000, 24_000_000
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -45,7 +46,7 @@ def ngrams(words: np.ndarray, of: np.ndarray, order: int = ORDER) -> list[tuple[
         h = mix64(h[: len(h) - 1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :] + np.uint64(n)) if len(h) > 1 else h[:0]
         inside = of[: len(h)] == of[n - 1 :][: len(h)]
         out.append((h[inside], np.flatnonzero(inside) + n - 1))
-    return out
+    return [(g >> np.uint64(64 - BITS), at) for g, at in out]
 
 
 def blocks(texts: list[bytes], size: int = 1_000_000):
@@ -99,7 +100,7 @@ def chunk_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _emit(parts: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own, n = chunk_ngrams([(t or "").encode() for t in pdf["text"]])
-        cut = np.searchsorted(own, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(own)]
+        cut = np.searchsorted(own, np.array([(p << BITS) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(own)]
         rows = [(key[0], p, packed(own[a:b]), small(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
         del own, n
         trim()
