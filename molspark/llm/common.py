@@ -24,6 +24,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def text_key() -> Column:
+    """A 64-bit hash of the whole text, which tells rows of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, load
+from .common import WORD, Scratch, load, text_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, REPEATS = 1.5, 2
@@ -23,6 +23,10 @@ SCHEDULES: tuple[Schedule, ...] = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0,
 SPREAD = 3
 
 
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -68,12 +72,17 @@ def curriculum(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
     position is that of the document's first word in 0..1, and above 1 for documents not taken.
     Only the three columns are read, so further columns of any name do no harm.
     """
+    return _mix(spark, docs, weights, schedules, share, repeats, scratch).drop("key", "text_key")
+
+
+def _mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES, share: float = SHARE, repeats: int = REPEATS, scratch: Scratch | None = None) -> DataFrame:
+    """curriculum() with the source's key and the text's hash; rows alike in both and in the id follow each other."""
     scratch = scratch or Scratch(spark)
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    key = source_key()
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string"), key.alias("key"), word_count(F.col("text")).alias("size"), h.alias("h")), "sizes")
+    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string"), key.alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"), text_key().alias("text_key")), "sizes")
     sized = sized.withColumn("part", F.substring("h", 1, SPREAD))
-    inner = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("inner", F.sum("size").over(inner) - F.col("size"))
     parts = sized.groupBy("key", "part").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +99,7 @@ def curriculum(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
         position = F.when(here, at) if position is None else position.when(here, at)
     unplaced = F.lit(1.0) + F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("source_size").cast("double")), F.lit(0.0))
     position = F.when((rest > 0) & (F.col("size") > 0), position).otherwise(unplaced)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.round(position, 9).alias("position"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.round(position, 9).alias("position"), "key", "text_key")
 
 
 def range_sorted(mixed: DataFrame) -> DataFrame:
@@ -103,17 +112,28 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each once for every pass over its source that takes it,
-    the last pass's document cut to the words taken, rows not taken left out. Needs distinct ids (of rows
-    that share an id each is taken as the curriculum says for one of them). n_chars follows the text."""
-    mix = curriculum(spark, docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "position").dropDuplicates(["_id"])
-    copies = F.expr("sequence(0, cast((taken - 1) div size as int))")
-    each = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_pass", F.explode(copies))
-    left = F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size"))
+    the last pass's document cut to the words taken, rows not taken left out. n_chars follows the text.
+
+    Rows that share an id, or have none, but differ in text or source are taken each for itself. Of rows
+    alike in all three, which the mix can't tell apart, one stands for all: its copies hold the words
+    that the mix takes from them together. Further columns come along, whatever their names."""
+    id_, row, n, size, taken, place, block, copy, cut = (f"__mix_{x}" for x in ("id", "row", "n", "size", "taken", "position", "block", "copy", "text"))
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.xxhash64(F.col("doc_id").isNull(), F.col("key"), F.col("text_key")).alias(row)]
+    mix = _mix(spark, docs).select(*keys, "size", "taken", "position").groupBy(id_, row)
+    mix = mix.agg(F.count("*").alias(n), F.min("size").alias(size), F.sum("taken").alias(taken), F.min("position").alias(place)).where(F.col(taken) > 0)
+    own = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row: F.xxhash64(F.col("doc_id").isNull(), source_key(), text_key())})
+    alone = own.join(mix.where(F.col(n) == 1), [id_, row])
+    alike = own.join(mix.where(F.col(n) > 1), [id_, row]).dropDuplicates([id_, row])
+    each = alone.unionByName(alike).withColumn("__mix_last", F.expr(f"({taken} - 1) div {size}"))
+    each = each.withColumn(block, F.explode(F.expr("sequence(0, __mix_last div 1024)")))  # in blocks, as rows alike may be many
+    each = each.withColumn(copy, F.explode(F.expr(f"sequence({block} * 1024, least(__mix_last, {block} * 1024 + 1023))")))
+    left = F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
-    text = F.when(left < F.col("size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
-    out = each.withColumn("_text", text).withColumn("_order", F.col("_pass") + F.col("position"))
-    cols = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.repartitionByRange("_order", "_id").sortWithinPartitions("_order", "_id").select(*cols)
+    text = F.when(left < F.col(size), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
+    out = each.withColumn(cut, text).withColumn("__mix_order", F.floor(F.col(copy) / F.col(n)) + F.col(place))
+    cols = [F.col(cut).alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    order = ["__mix_order", id_, row, copy]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)
 
 
 ORACLE = """

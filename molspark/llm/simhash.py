@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, small_batches, trim
+from .common import Scratch, load, mix64, small_batches, text_key, trim
 from .components import EDGES, SCHEMA, Forest, blocks_of_equal, connected_components
 
 SEED, LIMIT, SHINGLE = 42, 3, 3
@@ -49,12 +49,15 @@ def _fingerprints(batches):
         values = (fingerprint((t.as_py() or "").encode()) for t in b.column(1))
         fp = np.fromiter(values, np.uint64, len(b)).view(np.int64)
         trim()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row; a null text has no words and so the fingerprint 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row; a null text has no words and so the fingerprint 0. keyed: text_key besides."""
+    own, schema = [F.col("doc_id").cast("long"), F.col("text").cast("string")], "doc_id long, fp long"
+    if keyed:
+        own, schema = [*own, text_key().alias("text_key")], f"{schema}, text_key long"
+    return docs.select(*own).mapInArrow(_fingerprints, schema)
 
 
 def counts(fp: np.ndarray) -> np.ndarray:
@@ -162,6 +165,18 @@ def fingerprint_links(reps: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_links, EDGES)
 
 
+def grouped(spark: SparkSession, docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row, with text_key if ``keyed``; root names the row's component."""
+    scratch = Scratch(small_batches(spark))
+    fp = scratch.save(fingerprints(docs, keyed), "fingerprints")
+    reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = connected_components(spark, fingerprint_links(reps), scratch)
+    of = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = of.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    label = of.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
+    return fp.join(label, F.col("fp") == F.col("f"), "left").drop("f")
+
+
 def simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -169,17 +184,19 @@ def simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
     0, which links like any other. component_id is the smallest non-null doc_id reachable over links
     of at most 3 differing bits (null where a component has only null ids). Other columns are not read.
     """
-    scratch = Scratch(small_batches(spark))
-    fp = scratch.save(fingerprints(docs), "fingerprints")
-    reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(spark, fingerprint_links(reps), scratch)
-    of = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    label = of.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return fp.join(label, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    return grouped(spark, docs).select("doc_id", "fp", "component_id")
 
 
-def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import load
+def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Of each component exactly one row of ``docs`` stays, with all its columns: that of the least doc_id
+    (a null id only where there is no other; of rows that share the id, by the text's hash). Groups are
+    told apart by their fingerprints, so different texts under one id or without an id each keep a row."""
+    id_, null, key = "__simhash_id", "__simhash_null", "__simhash_key"
+    pick = F.struct(F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("text_key").alias(key))
+    first = grouped(spark, docs, keyed=True).groupBy("root").agg(F.min(pick).alias("pick")).select("pick.*")
+    own = docs.withColumns({null: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), key: text_key()})
+    return own.join(first, [null, id_, key]).dropDuplicates([null, id_, key]).select(*docs.columns)  # one shuffle of the texts, by key
+
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(spark, load(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

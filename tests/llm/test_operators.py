@@ -256,3 +256,54 @@ def test_pipeline_brute(spark, data):
     want = sum(r.taken for r in mixing.curriculum(spark, safe).collect())
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixed.collect()) == want
     assert p.pack_windows(spark, mixed, data).count() >= mixed.count()
+
+
+def plain_groups(texts):
+    fp, groups = [simhash.fingerprint((t or "").encode()) for t in texts], []
+    for i, a in enumerate(fp):
+        near = [g for g in groups if any((fp[j] ^ a).bit_count() <= 3 for j in g)]
+        groups = [g for g in groups if g not in near] + [sum(near, [i])]
+    return groups
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    many = [(None, f"no id here {i} apart from {i * 7} others {i * i}", "en", None, 0, 1, "x", "s") for i in range(6)]
+    same_id = [(5, f"one id but {i} texts {i * 31} of it {i * i}", "en", "b", 0, 1, "x", "s") for i in range(6)]
+    rows = [*ODD, *many, *same_id, *same_id[:3], *ODD[3:5]]
+    single = p.one_of_each_group(spark, texts(spark, rows), None)
+    kept = single.collect()
+    groups = plain_groups([r[1] for r in rows])
+    assert single.columns == texts(spark).columns and len(kept) == len(groups)
+    for g in groups:
+        first = min((rows[i] for i in g), key=lambda r: (r[0] is None, r[0] or 0))
+        assert [r.doc_id for r in kept if r.text in {rows[i][1] for i in g}] == [first[0]]
+    safe = p.redact_secrets(spark, texts(spark, rows), None)
+    assert safe.count() == len(rows) and safe.columns == single.columns
+    taken = {}
+    for r in mixing._mix(spark, texts(spark, rows)).collect():
+        at = (r.doc_id, r.key, r.text_key)
+        taken[at] = taken.get(at, 0) + r.taken
+    got = p.mix_sources(spark, texts(spark, rows), None)
+    words = sorted(len(r.text.split()) for r in got.collect())
+    assert got.columns == single.columns and sum(words) == sum(taken.values())
+    none = texts(spark, [])
+    assert p.one_of_each_group(spark, none, None).count() == p.mix_sources(spark, none, None).count() == p.pack_windows(spark, none, None).count() == 0
+
+
+def test_mix_of_shared_ids(spark):
+    """Each text under one id or none is taken for itself; rows alike in all count together."""
+    rows = [(1, "a b c d", "s", 9), (1, "e f", "s", 9), (None, "g h i", "s", 9), (None, "j", "s", 9), (2, "k l", "s", 9), (2, "k l", "s", 9), (2, "k l", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
+    got = mixing.mixed_documents(spark, docs)
+    assert got.columns == docs.columns
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.doc_id, r.source), []).append(r.text)
+    want = {}
+    for r in mixing.curriculum(spark, docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert {i: sum(len(t.split()) for (d, _), own in found.items() if d == i for t in own) for i in want} == want
+    whole = {t for _, t, _, _ in rows}
+    assert all(any(t == w or w.startswith(t + " ") for w in whole) for own in found.values() for t in own)
