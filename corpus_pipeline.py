@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from molspark.llm import mixing, packing, secrets, simhash, toxicity
 from molspark.llm.common import Scratch, load
@@ -15,11 +14,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays (of rows that share it, one)."""
-    found = simhash.simhash(spark, docs.select("doc_id", "text"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(first, "_key").dropDuplicates(["_key"]).select(*docs.columns)  # one shuffle of the texts, by key
+    """Of each group of near-duplicates the row with the least id stays."""
+    return simhash.one_of_each_group(spark, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
