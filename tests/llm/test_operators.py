@@ -199,6 +199,26 @@ def test_neardup_brute(spark):
     assert all(got[len(x) + k].n_links == 0 and got[len(x) + k].kept for k in range(4))
 
 
+def test_odd_vectors(spark):
+    """Null ids and components, other lengths, repeated rows, zeros of either sign, clashing columns."""
+    nan, inf = float("nan"), float("inf")
+    x = [[1.0, 0.0], [1.0, 0.0], [1.0, 0.05], [-1.0, 0.0], [1.0, -0.0], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [], None, [1.0, 0.0, 0.0], [1e-30, 0.0], [3e30, 1e28]]
+    rows = [(i, v, 1, 2.0, 3) for i, v in enumerate(x)] + [(None, [1.0, 0.0], 1, 2.0, 3), (0, [1.0, 0.0], 1, 2.0, 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int, score double, rank int")
+    got = neardup.near_duplicates(spark, table).collect()
+    assert len(got) == len(rows)
+    alike = [i for i, v, *_ in rows if v and len(v) == 2 and i in (0, 1, 2, 4, 12, 13, None)]
+    for r in got:
+        if r.vec_id in alike:
+            assert (r.n_links, r.component_id) == (len(alike) - 1, 0)
+        else:
+            assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
+    assert sum(r.kept for r in got if r.vec_id in alike) == 2  # id 0 is there twice
+    found = ann.search(spark, table).collect()
+    assert sorted((r.query_id, r["rank"]) for r in found) == sorted([(0, k) for k in range(1, 6)] * 2)
+    assert {r.vec_id for r in found} == {1, 2, 4, 12, 13}
+
+
 def test_ann_recall(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
