@@ -119,12 +119,15 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     that the mix takes from them together. Further columns come along, whatever their names."""
     id_, row, n, size, taken, place, block, copy, cut = (f"__mix_{x}" for x in ("id", "row", "n", "size", "taken", "position", "block", "copy", "text"))
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.xxhash64(F.col("doc_id").isNull(), F.col("key"), F.col("text_key")).alias(row)]
-    mix = _mix(spark, docs).select(*keys, "size", "taken", "position").groupBy(id_, row)
+    scratch = Scratch(spark)
+    mix = _mix(spark, docs, scratch=scratch).select(*keys, "size", "taken", "position").groupBy(id_, row)
     mix = mix.agg(F.count("*").alias(n), F.min("size").alias(size), F.sum("taken").alias(taken), F.min("position").alias(place)).where(F.col(taken) > 0)
+    mix = scratch.save(mix, "taken")
     own = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row: F.xxhash64(F.col("doc_id").isNull(), source_key(), text_key())})
-    alone = own.join(mix.where(F.col(n) == 1), [id_, row])
-    alike = own.join(mix.where(F.col(n) > 1), [id_, row]).dropDuplicates([id_, row])
-    each = alone.unionByName(alike).withColumn("__mix_last", F.expr(f"({taken} - 1) div {size}"))
+    each = own.join(mix.where(F.col(n) == 1), [id_, row])
+    if not (repeated := mix.where(F.col(n) > 1)).isEmpty():  # else the texts need not be read for them
+        each = each.unionByName(own.join(repeated, [id_, row]).dropDuplicates([id_, row]))
+    each = each.withColumn("__mix_last", F.expr(f"({taken} - 1) div {size}"))
     each = each.withColumn(block, F.explode(F.expr("sequence(0, __mix_last div 1024)")))  # in blocks, as rows alike may be many
     each = each.withColumn(copy, F.explode(F.expr(f"sequence({block} * 1024, least(__mix_last, {block} * 1024 + 1023))")))
     left = F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size))
