@@ -2,10 +2,10 @@
 
 Unit vectors are projected on many random directions. Projections come in groups; the windows of a
 group are laid out as a randomly shifted grid, so that vectors whose projections collide throughout a
-group meet in one cell. Within a cell, vectors are sorted along the group's first projection; around
-each, a window holds its possible links, whose window collisions over one projection of every group are
-counted. Pairs that reach the count which pairs at the threshold reach almost surely are verified
-exactly. A pair counts in the first group in which it meets, so each link counts once.
+group meet in one cell. Within a cell, each pair's window collisions over one projection of every group
+are counted, and the pairs that reach the count which pairs at the threshold reach almost surely are verified
+exactly. A pair counts in the first group in which it shares a cell, so each link counts once; therefore a
+cell must leave out no pair for reasons of its own group.
 """
 
 from __future__ import annotations
@@ -115,13 +115,9 @@ def _pairs(k: int, groups: int, threshold: float, need: int):
             own = by_dim.setdefault(unit.shape[1], Projections(unit.shape[1], k, groups))
             rep, n, g = rows.column("rep").to_numpy(), rows.column("n").to_numpy(), int(rows.column("g")[0].as_py())
             along, names = own.along(unit), None
-            order = np.argsort(along[:, g], kind="stable")
-            unit, along, rep, n, side = unit[order], along[order], rep[order], n[order], side[order]
-            stop = np.searchsorted(along[:, g], along[:, g] + reach, "right")
             for i0 in range(0, len(rep), 256):
-                i1, last = min(len(rep), i0 + 256), int(stop[min(len(rep), i0 + 256) - 1])
-                left, right = np.arange(i0, i1), np.arange(i0, last)
-                open_ = (right[None, :] > left[:, None]) & (right[None, :] < stop[left][:, None])
+                left, right = np.arange(i0, min(len(rep), i0 + 256)), np.arange(i0, len(rep))
+                open_ = right[None, :] > left[:, None]
                 if side[0] or side[-1]:
                     open_ &= side[left][:, None] != side[right][None, :]
                 if groups > 1 and len(right) * len(left) > 64:

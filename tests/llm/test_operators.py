@@ -199,6 +199,27 @@ def test_neardup_brute(spark):
     assert all(got[len(x) + k].n_links == 0 and got[len(x) + k].kept for k in range(4))
 
 
+def test_neardup_pairs_far_apart_in_their_first_cell(spark):
+    """Pairs at cosine 0.90 to 0.92 whose first shared cell holds them far apart along its first projection, and which meet again."""
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((2, 60_000, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    c = rng.uniform(0.901, 0.92, (len(a), 1))
+    b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    k, groups = neardup.shape(2)
+    own = neardup.Projections(16, k, groups)
+    shared, gap = own.cells(a) == own.cells(b), np.abs(own.along(a) - own.along(b))
+    reach, first = neardup.SPAN * np.sqrt(0.2), shared.argmax(1)
+    odd = np.flatnonzero((shared & (gap <= reach)).any(1) & (gap[np.arange(len(a)), first] > reach))[:40]
+    assert len(odd) >= 20 and neardup.shape(2 * len(odd)) == (k, groups)
+    few = (gap[odd] <= reach).sum(1) >= neardup.least_count(groups)
+    x = np.concatenate([a[odd[few]], b[odd[few]]])
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark, vectors(spark, x)).collect()}
+    n = len(x) // 2
+    assert [i for i in range(n) if got[i].component_id != got[n + i].component_id] == []
+
+
 def test_odd_vectors(spark):
     """Null ids and components, other lengths, repeated rows, zeros of either sign, clashing columns."""
     nan, inf = float("nan"), float("inf")
