@@ -17,8 +17,14 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the first four characters, so that no match swallows the next one's; then, looked ahead at, all that may belong to it, and the letter or digit behind
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))",
 }
+#: Length of a country's IBANs; other codes may have 15 to 34 characters.
+IBAN = dict(zip(*[iter("""AD 24 AE 23 AL 28 AT 20 AZ 28 BA 20 BE 16 BG 22 BH 22 BI 27 BR 29 BY 28 CH 21 CR 22 CY 28 CZ 24 DE 22 DJ 27 DK 18 DO 28 EE 20 EG 29
+ ES 24 FI 18 FK 18 FO 18 FR 27 GB 22 GE 22 GI 23 GL 18 GR 27 GT 28 HN 28 HR 21 HU 28 IE 22 IL 23 IQ 23 IS 26 IT 27 JO 30 KW 30 KZ 20 LB 28 LC 32 LI 21 LT 20
+ LU 20 LV 21 LY 25 MC 27 MD 24 ME 22 MK 19 MN 20 MR 27 MT 31 MU 30 NI 28 NL 18 NO 15 OM 23 PK 24 PL 28 PS 29 PT 25 QA 29 RO 24 RS 22 RU 33 SA 24 SC 31 SD 18
+ SE 24 SI 19 SK 24 SM 27 ST 25 SV 28 TL 23 TN 24 TR 26 UA 29 VA 22 VG 24 XK 20 YE 30""".split())] * 2, strict=True))
 #: (score of a confirmed span, words that raise it by BOOST within NEAR characters before or AFTER characters behind).
 CONTEXT = {
     "email": (0.8, "mail|contact|write to"),
@@ -53,7 +59,21 @@ def confirmed(kind: str, m: str) -> str:
         return f"length({digits}) between 14 and 19 and {luhn(digits)}"
     if kind == "phone":
         return f"length({digits}) between 10 and 15"
-    return mod97(f"replace({m}, ' ', '')")
+    return f"{m} is not null"
+
+
+def _ibans(walked: str) -> str:
+    """Candidates cut to the IBAN that they begin with: the longest piece up to a token's end that has the country's
+    length, if that is known, and passes mod-97; null if there is none. What begins inside the IBAN before is left out."""
+    lengths = ", ".join(f"'{c}', {n}" for c, n in IBAN.items())
+    compact = "replace(substring(s.value, 1, e), ' ', '')"
+    fits = f"length({compact}) between coalesce(element_at(map({lengths}), substring(s.value, 1, 2)), 15) and coalesce(element_at(map({lengths}), substring(s.value, 1, 2)), 34)"
+    ends = "substring(s.value, e, 1) <> ' ' and not substring(s.value, e + 1, 1) rlike '[A-Za-z0-9]'"
+    best = f"array_max(filter(sequence(15, length(s.value)), e -> if({ends}, if({fits}, {mod97(compact)}, false), false)))"
+    cut = f"filter(transform({walked}, s -> named_struct('s', s, 'n', {best})), t -> t.n is not null)"
+    whole = f"transform({cut}, t -> named_struct('kind', t.s.kind, 'start', t.s.start, 'end', t.s.start + t.n, 'value', substring(t.s.value, 1, t.n)))"
+    return f"""aggregate({whole}, cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>),
+        (b, t) -> if(size(b) > 0 and t.start < try_element_at(b, -1).end, b, array_append(b, t)))"""
 
 
 def spans_of(kind: str) -> Column:
@@ -63,6 +83,8 @@ def spans_of(kind: str) -> Column:
     walked = f"""aggregate({pieces}, named_struct('at', 0L, 'out', cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>)), (a, x) -> named_struct(
         'at', a.at + x.gap + coalesce(length(x.hit), 0),
         'out', if(x.hit is null, a.out, array_append(a.out, named_struct('kind', '{kind}', 'start', a.at + x.gap, 'end', a.at + x.gap + length(x.hit), 'value', x.hit)))), a -> a.out)"""
+    if kind == "iban":
+        walked = _ibans(f"zip_with({walked}, regexp_extract_all(text, {pattern}, 1), (s, m) -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'value', concat(s.value, m)))")
     near = f"lower(substring(text, cast(greatest(1, s.start + 1 - {NEAR}) as int), cast(least(s.start, {NEAR}) + s.end - s.start + {AFTER} as int)))"
     scored = f"transform(filter({walked}, s -> {confirmed(kind, 's.value')}), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'value', s.value, 'score', if({near} rlike {_quoted(words)}, {score + BOOST:.1f}D, {score}D)))"
     none = "cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>)"

@@ -145,6 +145,36 @@ def test_pii_brute(spark):
     assert [(s.kind, s.start, s.end, s.score) for s in iban] == [("iban", 5, 32, 1.0)]
 
 
+def test_ibans_before_other_words(spark):
+    """An IBAN is found whatever follows it; random rows against a plain version that tries every start and end."""
+    de, fr, no, one = "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "NO93 8601 1117 947", "GB29NWBK60161331926819"
+    ends = ["", " Please pay", " BIC COBADEFFXXX", " EUR 50 by", " 2024", " 7", f" {fr}", f" {de}", "\nX", ".", ", A1", " or", " é"]
+    some = [f"{p}{i}{e}" for p in ("", "AB12 ", "DE12 ", "To ") for i in (de, de.replace(" ", ""), fr, no, one) for e in ends]
+    random.seed(8)
+    bits = [de, fr, no, one, "DE89", "3704", "00", "AB12", "Pay", "X", "é", "a", "GB29NWBK60161331926818", "123456789012345678901234567890"]
+    some += [random.choice(["", " "]).join(random.choices(bits, k=random.randint(1, 8))) for _ in range(300)]
+    some += [" ".join(random.choices(bits, k=random.randint(1, 8))) for _ in range(300)]
+
+    def plain(text):
+        found, at = [], 0
+        for s in (m.start() for m in re.finditer(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})", text)):
+            fits = []
+            for e in range(s + 15, min(len(text), s + 68) + 1):
+                if re.fullmatch(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}", text[s:e]) and not re.match("[A-Za-z0-9]", text[e:]):
+                    c = text[s:e].replace(" ", "")
+                    if len(c) == int(pii.IBAN.get(c[:2], len(c))) and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1:
+                        fits.append(e)
+            if s >= at and fits:
+                found.append((s, at := max(fits)))
+        return found
+
+    got = pii.pii_spans(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    for r in got:
+        assert [(s.start, s.end) for s in r.spans if s.kind == "iban"] == plain(some[r.doc_id]), some[r.doc_id]
+        assert all(s.value == some[r.doc_id][s.start : s.end] for s in r.spans)
+    assert plain(f"{de} Please pay") == [(0, 27)] and plain(f"{de} {fr}") == [(0, 27), (28, 55)]
+
+
 def test_packing_round_trip(spark, data):
     from tokenizers import Tokenizer
 
