@@ -230,6 +230,14 @@ def nearest_neighbor_label(spark, d):
     return near.join(e.select("id", "label"), "id").select("query", "id", "label", r6("d2").alias("d2"))
 
 
+@query(f"WITH {VEC}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, {D2} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS k FROM p) SELECT query, id, label, round(d2, 6) AS d2 FROM r WHERE k = 1")
+def nearest_neighbor_label_all(spark, d):
+    """Every row's nearest other row; ``nearest_neighbor_label`` holds rows 0 to 49 against the others, as its SQL does."""
+    e = emb(spark, d)
+    near = neighbors.nearest(e, e, 1, other_only=True)
+    return near.join(e.select("id", "label"), "id").select("query", "id", "label", r6("d2").alias("d2"))
+
+
 @query(f"WITH {KNN} SELECT query, rank::INT AS rank, id, round(d2, 6) AS d2 FROM knn")
 def knn10(spark, d):
     e = emb(spark, d)

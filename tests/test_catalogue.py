@@ -16,6 +16,18 @@ def test_query_has_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_every_row_gets_a_neighbour_label(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    label = {r.vec_id: r.label for r in rows}
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    want = {int(i): int(ids[np.lexsort((ids, d))[0]]) for i, d in zip(ids, d2, strict=True)}
+    got = QUERIES["nearest_neighbor_label_all"](spark, data).collect()
+    assert len(got) == len(rows) and {r["query"]: r.id for r in got} == want and all(r.label == label[r.id] for r in got)
+    assert any(r.id < 50 for r in got)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as driver
 
