@@ -22,6 +22,8 @@ NEIGHBOURS, PER_PART, MOST_PARTS = 10, 1500, 256
 TOP, EVERY, RECALL = 5, 50, 0.97
 #: Candidates and queries that one block of the rerank compares.
 BLOCK, QUERIES = 20_000, 4_000
+#: More than rounding can part the matrix product from the exact score.
+MARGIN = 1e-9
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -150,13 +152,13 @@ def _rerank(key: tuple, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFra
         q, b = unit(q0), unit(b0)
         keys, own, ids = queries["qkey"].to_numpy(), queries["query_id"].to_numpy(), base["vec_id"].to_numpy()
         length_b = np.sqrt((b0 * b0).sum(axis=1))
-        take = min(len(ids), 4 * TOP + 8)  # each vector is there at most TOP + 1 times, so ties past this are none of the nearest
+        kth = min(len(ids), TOP) - 1
         for i in range(0, len(q), 256):
             sims = q[i : i + 256] @ b.T
             sims[own[i : i + 256][:, None] == ids[None, :]] = -np.inf
-            near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-            for r, at in enumerate(near):
-                at = at[np.isfinite(sims[r, at])]
+            least = -np.partition(-sims, kth, axis=1)[:, kth] - MARGIN
+            for r in range(len(sims)):
+                at = np.flatnonzero((sims[r] >= least[r]) & np.isfinite(sims[r]))
                 x = q0[i + r]
                 score = (b0[at] * x).sum(axis=1) / (length_b[at] * np.sqrt((x * x).sum()))
                 at, score = at[order := np.lexsort((ids[at], -score))[:TOP]], score[order]
@@ -172,14 +174,16 @@ def search(spark: SparkSession, table: DataFrame, every: int = EVERY, top: int =
     """(query_id, rank, vec_id, score): for each row of ``table`` (vec_id, embedding) whose id divides by ``every``
     its nearest other rows by cosine, ties to the smaller id.
 
-    Null ids and vectors that are null, empty, zero or not finite take no part. Of equal vectors the
-    ``top`` + 1 with the least ids can be among a query's nearest, so those alone are candidates; no row
-    that could be a result is left out. Repeated ids: each query row has its own ranks. Other columns are not read.
+    Null ids and vectors that are null, empty, zero or not finite take no part. Of equal vectors those of the
+    ``top`` + 1 least ids, and of each id ``top`` rows, can be among a query's nearest, so those alone are
+    candidates; no row that could be a result is left out. Repeated ids: each query row has its own ranks. Other columns are not read.
     """
     scratch = Scratch(small_batches(spark))
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(valid() & F.col("vec_id").isNotNull())
     w = Window.partitionBy("embedding").orderBy("vec_id")
-    base = scratch.save(rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top + 1).drop("k"), "candidates")
+    own = Window.partitionBy("embedding", "vec_id").orderBy("vec_id")
+    thin = rows.withColumn("k", F.dense_rank().over(w)).withColumn("c", F.row_number().over(own)).where((F.col("k") <= top + 1) & (F.col("c") <= top))
+    base = scratch.save(thin.drop("k", "c"), "candidates")
     total = base.count()
     got = base.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()
     by_dim: dict[int, list] = {}

@@ -291,6 +291,16 @@ def test_ann_ties(spark):
     assert [v for q, _, v in got if q == 0] == [1, 2, 3, 4, 5]
 
 
+def test_ann_many_ties(spark):
+    """More unequal vectors of one cosine than a fixed number of candidates holds, and an id with many equal rows."""
+    x = [[1.0, 0.5]] + [[2.0 ** (20 - k), 2.0 ** (19 - k)] for k in range(60)] + [[0.0, 1.0]] * 3
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(spark, vectors(spark, x[::-1], [*range(len(x))][::-1])).collect())
+    assert [v for q, _, v in got if q == 0] == [1, 2, 3, 4, 5]
+    many = vectors(spark, [[1.0, 0.0]] * 12 + [[0.0, 1.0]] * 4, [0] * 8 + [1, 2, 3, 4, 5, 6, 7, 8])
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(spark, many).collect())
+    assert got == sorted([(0, k, v) for k, v in enumerate([1, 2, 3, 4, 5], 1)] * 8)
+
+
 def test_router_probes_less_than_all():
     rng = np.random.default_rng(0)
     x = (rng.standard_normal((8, 16))[rng.integers(0, 8, 1600)] + 0.3 * rng.standard_normal((1600, 16)))
