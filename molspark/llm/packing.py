@@ -7,8 +7,10 @@ remaining capacities finds that window. Pieces are dealt into independent groups
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -33,66 +35,99 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Coded(dict):
+    """Ids of words, as little-endian 32-bit bytes. Words that it lacks are coded as they are asked for."""
+
+    def __init__(self, code, older: dict):
+        super().__init__()
+        self.code, self.older = code, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.code(word)
+        if len(word) <= SpacedEncoder.LONG:
+            self[word] = got
+        return got
+
+
 class SpacedEncoder:
-    """Ids of a lower-casing tokenizer with word ends, as little-endian 32-bit bytes; ids of parts seen are held.
+    """Ids of a lower-casing tokenizer with word ends, as little-endian 32-bit bytes; ids of words seen of late are held.
 
     Such a tokenizer cuts a text at white space and between letters, digits and signs, and codes each
-    part alone, so a text's ids are its parts' ids in a row. Texts of ASCII and Latin-1 letters are cut
-    here (PART is the tokenizer's own rule on them); of other texts, each word goes to it whole.
+    part alone, so a text's ids are its parts' ids in a row. Words of ASCII and Latin-1 letters are cut
+    here (PART is the tokenizer's own rule on them) and their parts go to its model; other words go to it
+    whole, as do the texts of a tokenizer with another rule.
     """
 
-    HELD, LONG, AT_ONCE = 400_000, 48, 500
+    HELD, LONG = 300_000, 48
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    STEPS = ["NFC", "Replace", "Lowercase"]
     PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[^\sa-z0-9\x80-\xff]+")
     OTHER = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
+    PACK = [struct.Struct(f"<{n}I").pack for n in range(LONG + 1)]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.of, self.words = Tokenizer.from_file(path), {}, {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def learn(self, words: set[bytes]) -> None:
-        """Puts the ids of new lower-cased words into ``words``, by way of their parts."""
-        cut = {w: self.PART.findall(w) for w in words}
-        new = list({p for own in cut.values() for p in own if p not in self.of})
-        rows = [new[i : i + self.AT_ONCE] for i in range(0, len(new), self.AT_ONCE)]
-        for some, got in zip(rows, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in rows], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(some):
-                self.of.update((w, self.code(w)) for w in some)
-                continue
-            raw = ids.tobytes()
-            self.of.update((w, raw[4 * a : 4 * z]) for w, a, z in zip(some, [0, *ends[:-1]], ends, strict=True))
-        get = self.of.__getitem__
-        self.words.update((w, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for w, own in cut.items())
+        self.tokenizer = Tokenizer.from_file(path)
+        how = json.loads(self.tokenizer.to_str())
+        cuts = (how["pre_tokenizer"] or {}).get("pretokenizers", [])
+        steps = [x["type"] for x in (how["normalizer"] or {}).get("normalizers", [])]
+        self.spaced = steps == self.STEPS and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": self.RULE} and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"]
+        self.model, self.letters, self.words = self.tokenizer.model, byte_letters(), Coded(self.code, {})
 
     def code(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isalpha():  # of bytes, so ASCII letters alone
+            return self.part(word)
+        parts = self.PART.findall(word)
+        return self.part(word) if len(parts) == 1 else b"".join(map(self.known, parts))
+
+    def known(self, part: bytes) -> bytes:
+        """Of a part of a word, which may be a word itself."""
+        got = self.words.get(part) or self.words.older.get(part)
+        if got is None:
+            got = self.part(part)
+            if len(part) <= self.LONG:
+                self.words[part] = got
+        return got
+
+    def part(self, part: bytes) -> bytes:
+        if part.isalpha():
+            letters = part.decode()
+        else:
+            letters = (part if part.isascii() else part.decode().lower().encode()).decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(letters)])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return self.PACK[n](*ids) if (n := len(ids)) <= self.LONG else np.array(ids, "<u4").tobytes()
+
+    def mixed(self, text: bytes) -> bytes:
+        """Of a text with other signs: words that hold one go to the tokenizer, each of them once."""
+        own, get = {}, self.words.__getitem__
+        for word in set(text.split()):
+            odd = self.OTHER.search(word)
+            own[word] = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids) if odd else get(word.lower())
+        return b"".join(map(own.__getitem__, text.split()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Texts of bounded size together."""
-        if len(self.of) > self.HELD or len(self.words) > self.HELD:
-            self.of, self.words = {}, {}
-        other = self.OTHER.search
-        odd = [other(t) is not None for t in texts]
-        cut = [t.split() if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
-        seen, special = self.words, {}
-        new = {w for own, o in zip(cut, odd, strict=True) if not o for w in own if w not in seen}
-        for own in (own for own, o in zip(cut, odd, strict=True) if o):
-            special.update((w, self.code(w)) for w in set(own) if w not in special and other(w))
-            new.update(x for w in own if w not in special and (x := w.lower()) not in seen)
-        self.learn(new)
-        get, out = seen.__getitem__, []
-        for own, o in zip(cut, odd, strict=True):
-            out.append(b"".join([special[w] if w in special else get(w.lower()) for w in own] if o else map(get, own)))
-        for w in new:
-            if len(w) > self.LONG:
-                seen.pop(w, None)
-        return out
+        if not self.spaced:
+            got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in got]
+        if len(self.words) > self.HELD:
+            self.words = Coded(self.code, dict(self.words))
+        get = self.words.__getitem__
+        odd = self.OTHER.search
+        return [self.mixed(t) if not t.isascii() and odd(t) or b"<|" in t else b"".join(map(get, t.lower().split())) for t in texts]
 
 
 def encoder(path: str) -> SpacedEncoder:
