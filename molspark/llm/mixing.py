@@ -20,7 +20,7 @@ Schedule = Sequence[tuple[float, float]]
 #: (time, relative weight) knots by the source's place in WEIGHTS; each integrates to 1, so that a source's weight is its schedule's mean.
 SCHEDULES: tuple[Schedule, ...] = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 #: Hex digits of the order key that deal a source's documents into independent prefix sums.
-SPREAD = 3
+SPREAD = 4
 
 
 def source_key() -> Column:
@@ -66,20 +66,22 @@ def curriculum(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
     """A row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, position.
 
     Sizes are words (null or wordless text: 0). Sources rank by code point, null last as a source of
-    its own; an empty table gives no rows. Within a source, documents follow the md5 of their id (a
-    null id: of the empty text), ties by id and size, so reruns agree; the mix takes whole documents
-    in that order, over again up to ``repeats`` times, and cuts the one that reaches the target.
-    position is that of the document's first word in 0..1, and above 1 for documents not taken.
-    Only the three columns are read, so further columns of any name do no harm.
+    its own; an empty table gives no rows. Within a source, documents follow the md5 of their id and text
+    (null: empty), ties by id and size, so reruns agree; the mix takes whole documents in that order, over
+    again up to ``repeats`` times, and cuts the one that reaches the target. position is that of the
+    document's first word in 0..1, and above 1 for documents not taken; each later pass has its own (``passes``).
+    Of very long texts the words are counted like any other's. Only the three columns are read, so further columns of any name do no harm.
     """
-    return _mix(spark, docs, weights, schedules, share, repeats, scratch).drop("key", "text_key")
+    return _mix(spark, docs, weights, schedules, share, repeats, scratch).drop("key", "text_key", "class", "at")
 
 
 def _mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES, share: float = SHARE, repeats: int = REPEATS, scratch: Scratch | None = None) -> DataFrame:
-    """curriculum() with the source's key and the text's hash; rows alike in both and in the id follow each other."""
+    """curriculum() with the source's key and class, the text's hash, and the words of the source before the row (at).
+    As the order's hash takes in the text, rows that share an id or have none are dealt out like any others."""
     scratch = scratch or Scratch(spark)
     key = source_key()
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    text_hash = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    h = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash).cast("binary"))
     sized = scratch.save(docs.select("doc_id", F.col("source").cast("string"), key.alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"), text_key().alias("text_key")), "sizes")
     sized = sized.withColumn("part", F.substring("h", 1, SPREAD))
     inner = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -92,14 +94,29 @@ def _mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHT
     rows = placed.join(bases, ["key", "part"]).withColumn("at", F.col("inner") + F.col("base")).withColumn("limit", F.floor(F.col("target") + F.lit(0.5)))
     rest = F.col("limit") - F.col("at")
     taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("source_size") * p)) for p in range(repeats)), F.lit(0))
-    share_at = F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("target")), F.lit(0.0))
-    position = None
-    for k in range(len(weights)):
-        here, at = F.col("class") == k, invert(schedules[k % len(schedules)], share_at)
-        position = F.when(here, at) if position is None else position.when(here, at)
     unplaced = F.lit(1.0) + F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("source_size").cast("double")), F.lit(0.0))
-    position = F.when((rest > 0) & (F.col("size") > 0), position).otherwise(unplaced)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.round(position, 9).alias("position"), "key", "text_key")
+    position = F.when((rest > 0) & (F.col("size") > 0), placed_at(F.col("at"), weights, schedules)).otherwise(F.round(unplaced, 9))
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position"), "key", "text_key", "class", "at")
+
+
+def placed_at(at: Column, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES) -> Column:
+    """The training position at which a source has given ``at`` words, by the row's class and target."""
+    share_at, position = F.coalesce(F.try_divide(at.cast("double"), F.col("target")), F.lit(0.0)), None
+    for k in range(len(weights)):
+        here, found = F.col("class") == k, F.round(invert(schedules[k % len(schedules)], share_at), 9)
+        position = F.when(here, found) if position is None else position.when(here, found)
+    return position
+
+
+def passes(repeats: int = REPEATS) -> Column:
+    """Of a row with size, source_size, class, target and at: an array with (pass from 0, position, words, whole) for each
+    pass over its source that takes words of it. Each pass has the position at which the source's demand reaches it."""
+    made = []
+    for p in range(repeats):
+        begins = F.col("at") + F.col("source_size") * p
+        words = F.least(F.col("size"), F.floor(F.col("target") + F.lit(0.5)) - begins).cast("long")
+        made.append(F.struct(F.lit(p).alias("pass"), placed_at(begins).alias("position"), words.alias("words"), (words == F.col("size")).alias("whole")))
+    return F.filter(F.array(*made), lambda x: x["words"] > 0)
 
 
 def range_sorted(mixed: DataFrame) -> DataFrame:
@@ -111,38 +128,40 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each once for every pass over its source that takes it,
-    the last pass's document cut to the words taken, rows not taken left out. n_chars follows the text.
-
-    Rows that share an id, or have none, but differ in text or source are taken each for itself. Of rows
-    alike in all three, which the mix can't tell apart, one stands for all: its copies hold the words
-    that the mix takes from them together. Further columns come along, whatever their names."""
-    id_, row, n, size, taken, place, block, copy, cut = (f"__mix_{x}" for x in ("id", "row", "n", "size", "taken", "position", "block", "copy", "text"))
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.xxhash64(F.col("doc_id").isNull(), F.col("key"), F.col("text_key")).alias(row)]
+    """The rows of ``docs`` in the mix's order: each once for every pass over its source that takes it, at that pass's
+    own position, the last one cut to the words taken; rows not taken left out. n_chars follows the text.
+
+    Null, empty and wordless texts are never taken; an empty table gives no rows. Rows that share an id, or have
+    none, but differ in text or source are taken each for itself. Of rows alike in all three, which the mix can't tell
+    apart, one stands for all and is repeated as often as the mix takes them. Further columns come along, whatever their names."""
+    id_, row, n, each, cut, slot = (f"__mix_{x}" for x in ("id", "row", "n", "pass", "text", "slot"))
+    own_key = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row: F.xxhash64(F.col("doc_id").isNull(), source_key(), text_key())}
+    mix_key = [own_key[id_].alias(id_), F.xxhash64(F.col("doc_id").isNull(), F.col("key"), F.col("text_key")).alias(row)]
+    facts, taken = ["size", "source_size", "class", "target", "at"], passes()
     scratch = Scratch(spark)
-    mix = _mix(spark, docs, scratch=scratch).select(*keys, "size", "taken", "position").groupBy(id_, row)
-    mix = mix.agg(F.count("*").alias(n), F.min("size").alias(size), F.sum("taken").alias(taken), F.min("position").alias(place)).where(F.col(taken) > 0)
-    mix = scratch.save(mix, "taken")
-    own = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row: F.xxhash64(F.col("doc_id").isNull(), source_key(), text_key())})
-    each = own.join(mix.where(F.col(n) == 1), [id_, row])
-    if not (repeated := mix.where(F.col(n) > 1)).isEmpty():  # else the texts need not be read for them
-        each = each.unionByName(own.join(repeated, [id_, row]).dropDuplicates([id_, row]))
-    each = each.withColumn("__mix_last", F.expr(f"({taken} - 1) div {size}"))
-    each = each.withColumn(block, F.explode(F.expr("sequence(0, __mix_last div 1024)")))  # in blocks, as rows alike may be many
-    each = each.withColumn(copy, F.explode(F.expr(f"sequence({block} * 1024, least(__mix_last, {block} * 1024 + 1023))")))
-    left = F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size))
+    placed = scratch.save(_mix(spark, docs, scratch=scratch).select(*mix_key, *facts), "placed")
+    per = placed.groupBy(id_, row).agg(F.count("*").alias(n), *(F.min(c).alias(c) for c in facts))
+    per = scratch.save(per.select(id_, row, n, taken.alias(each)), "taken")
+    own = docs.withColumns(own_key)
+    rows = own.join(per.where((F.col(n) == 1) & (F.size(each) > 0)).drop(n), [id_, row])
+    if not (alike := per.where(F.col(n) > 1)).isEmpty():  # else the texts need not be read for them
+        alike = alike.select(id_, row, F.ceil(F.col(n) / 1024).alias(n))  # rows alike may be many: about 1024 of them to a slot
+        one = own.join(alike, [id_, row]).dropDuplicates([id_, row]).withColumn(slot, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+        many = placed.join(alike, [id_, row]).select(id_, row, F.pmod(F.xxhash64("at"), F.col(n)).alias(slot), taken.alias(each)).where(F.size(each) > 0)
+        rows = rows.unionByName(one.drop(n).join(many, [id_, row, slot]).drop(slot))
+    rows = rows.withColumn(each, F.explode(each))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
-    text = F.when(left < F.col(size), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
-    out = each.withColumn(cut, text).withColumn("__mix_order", F.floor(F.col(copy) / F.col(n)) + F.col(place))
+    text = F.when(F.col(f"{each}.whole"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(f"{each}.words").cast("int")), " "))
+    out = rows.withColumn(cut, text)
     cols = [F.col(cut).alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    order = ["__mix_order", id_, row, copy]
+    order = [f"{each}.position", id_, row, f"{each}.pass"]
     return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)
 
 
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS key, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         md5(concat(coalesce(doc_id::VARCHAR, ''), '|', coalesce(md5(text), ''))) AS h FROM documents),
 per AS (
   SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),
 ranked AS (

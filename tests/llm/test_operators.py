@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from molspark.llm import ann, langid, lm, mixing, neardup, packing, pii, secrets, simhash, toxicity
 from molspark.llm.queries import ORACLES, QUERIES
@@ -388,3 +389,37 @@ def test_mix_of_shared_ids(spark):
     assert {i: sum(len(t.split()) for (d, _), own in found.items() if d == i for t in own) for i in want} == want
     whole = {t for _, t, _, _ in rows}
     assert all(any(t == w or w.startswith(t + " ") for w in whole) for own in found.values() for t in own)
+
+
+def test_each_pass_has_its_own_position(spark):
+    """Three sources of one size under 5:2:1 weights: in every tenth of the mix each source's words follow its schedule,
+    second passes too, and the order of the rows is that of the passes' positions."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 4, "abc"[i % 3], 9) for i in range(1200)], "doc_id long, text string, source string, position int")
+    mix = {r.source_size: r for r in mixing._mix(spark, docs).collect()}
+    assert list(mix) == [1600]
+    rows = [r.source for r in mixing.mixed_documents(spark, docs).collect()]
+    target = {s: r.target for s, r in zip("abc", mixing.source_targets(docs.select(mixing.source_key().alias("key"), "source", F.lit(4).alias("size")), mixing.WEIGHTS, 1.5, 2).orderBy("key").collect(), strict=True)}
+    assert target["a"] == 3200 and max(rows.count(s) * 4 - target[s] for s in "abc") <= 4
+    done, whole = dict.fromkeys("abc", 0), {s: rows.count(s) for s in "abc"}
+    by = {s: mixing.SCHEDULES[k] for k, s in enumerate("abc")}
+
+    def integral(schedule, t):
+        out = 0.0
+        for (t0, v0), (t1, v1) in zip(schedule, schedule[1:], strict=False):
+            if t > t0:
+                e = min(t, t1)
+                out += (v0 + v0 + (v1 - v0) * (e - t0) / (t1 - t0)) / 2 * (e - t0)
+        return out
+
+    def time_of(k):  # at which all sources together have given k rows
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(whole[s] * integral(by[s], mid) for s in "abc") < k else (lo, mid)
+        return lo
+
+    for k, s in enumerate(rows, 1):
+        done[s] += 1
+        if k % (len(rows) // 10) == 0:
+            for x in "abc":
+                assert abs(done[x] - whole[x] * integral(by[x], time_of(k))) <= 3
