@@ -119,12 +119,12 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+def digest(found: DataFrame, base: tuple[str, ...], *more: Column) -> DataFrame:
     """doc_id, a count for each base kind, the hash of the base spans, all spans."""
     own = F.filter("spans", lambda x: x["kind"].isin(*base))
     of = lambda k: F.filter("spans", lambda x: x["kind"] == k)
     count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *count, sha_of(joined(own)).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, sha_of(joined(own)).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
