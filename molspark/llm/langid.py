@@ -7,6 +7,7 @@ hashed n-gram counts, at length one.
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 
 import numpy as np
@@ -14,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, load, small_batches, trim
+from .common import id_crc, load, small_batches, text_key, trim
 
 ORDERS, BITS = (1, 2, 3), 12
-#: Documents of a language, and characters of a document, that the classifiers are fitted on at most.
+#: Documents of a language and of all of them, and characters of a document, that the classifiers are fitted on at most.
 #: (For a prediction, texts are read whole.)
-SAMPLE, LONGEST = 300, 60_000
+SAMPLE, MOST, LONGEST = 300, 12_000, 60_000
+#: Parts that a language's documents are ranked in first, so that no task ranks all of a language.
+PARTS = 16
 UNKNOWN = "und"
 
 
@@ -77,7 +80,7 @@ class Hierarchy:
         out = []
         for a, b in combinations(classes, 2):
             rows = (y == a) | (y == b)
-            out.append((a, b, machine(x[rows], np.where(y[rows] == a, 1.0, -1.0))))
+            out.append((a, b, machine(x[rows], np.where(y[rows] == a, 1.0, -1.0)).astype(np.float32)))
         return out
 
     @staticmethod
@@ -110,25 +113,44 @@ class Hierarchy:
         return [self.names[k] for k in lang], score
 
 
-def sample(docs: DataFrame, may_learn=None, limit: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``limit`` documents of each language, the same in every run; the number of languages is taken as bounded.
+def sample(docs: DataFrame, may_learn=None, limit: int = SAMPLE) -> DataFrame:
+    """(doc_id, lang, text) of at most ``limit`` documents of each language and MOST of all, the same in every run: those
+    with the least hash of their id. An id counts once for a language, with the text of the least hash.
 
-    A window group limit keeps ``limit`` rows of a language in each task before the shuffle.
+    The ids are ranked in parts of a language, then the parts' first ones together; only the chosen ones' keys come to
+    the driver, and their texts are read in a second scan.
     """
-    known = docs.where("lang is not null and text is not null and doc_id is not null and text rlike '\\\\p{L}'").where(F.length("text") <= LONGEST)
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(F.length("text") <= LONGEST).where("text rlike '\\\\p{L}'")
     if may_learn is not None:
         known = known.where(may_learn)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    chosen = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most ``limit`` rows a language
-    rows = docs.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "text", "lang").collect()
-    rows = sorted({(r.doc_id, r.text, r.lang) for r in rows})
-    return [r[1] for r in rows], [r[2] for r in rows]
+    once = known.groupBy("lang", "doc_id").agg(F.min(text_key()).alias("key")).withColumn("h", F.xxhash64("doc_id"))
+    for by in (["lang", F.pmod(F.col("h"), F.lit(PARTS))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        once = once.withColumn("k", rank).where(F.col("k") <= limit)
+    chosen = once.orderBy("k", "lang").limit(MOST).select("doc_id", "lang", "key")
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "_id long, _lang string, _key long")  # at most MOST rows
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")) & (text_key() == F.col("_key"))
+    return docs.join(F.broadcast(chosen), same).groupBy("_id", "_lang").agg(F.min(F.col("text").cast("string")).alias("text")).select(F.col("_id").alias("doc_id"), F.col("_lang").alias("lang"), "text")
+
+
+def _train(batches):
+    rows = sorted((r["lang"], r["doc_id"], r["text"]) for b in batches for r in b.to_pylist())
+    made = pickle.dumps(Hierarchy([r[2] for r in rows], [r[0] for r in rows]))
+    trim()
+    yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
+
+
+def model(spark: SparkSession, docs: DataFrame, may_learn=None):
+    """A broadcast of the Hierarchy that one task fits on the bounded sample (16 kB a pair of languages in a family)."""
+    small_batches(spark)
+    got = sample(docs, may_learn).repartition(1).mapInArrow(_train, "model binary").first()
+    return spark.sparkContext.broadcast(pickle.loads(got.model) if got else Hierarchy([], []))
 
 
 def identify(docs: DataFrame, held) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text): ``und`` with score 0 for a null
-    text or one without a letter. Repeated rows and null ids stay; other columns are not read."""
+    text, an empty one or one without a letter, and for all where nothing was learned. Very long texts are read whole;
+    repeated rows and null ids stay; an empty table gives no rows; other columns are not read."""
 
     def run(batches):
         for b in batches:
@@ -148,5 +170,4 @@ def identify(docs: DataFrame, held) -> DataFrame:
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = load(spark, sf_dir, "documents"), id_crc() % 3
-    held = spark.sparkContext.broadcast(Hierarchy(*sample(docs, fold != 1)))
-    return identify(docs, held).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model(spark, docs, fold != 1)).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
