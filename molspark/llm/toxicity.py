@@ -13,21 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, load, small_batches, trim
+from .common import id_crc, load, small_batches, text_key, trim
 
 ORDERS, BITS, TIERS = (4, 7), 20, 3
 #: Labelled documents that the classifier is fitted on at most (those with the least hash of their id),
 #: and the characters of the longest one among them. Scoring reads every text whole.
 SAMPLE, LONGEST = 3000, 30_000
 LEAST_DOCS, THRESHOLD = 3, 0.3
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[9:14] = 32
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashes of the n-grams of each order at each place, letters A-Z folded, white space alike."""
-    raw = _FOLD[np.frombuffer(b" " + text + b" ", np.uint8)].astype(np.uint32)
+    """Hashes of the n-grams of each order at each place, of characters (code points); letters A-Z folded, white space alike."""
+    raw = np.frombuffer(f" {text.decode()} ".encode("utf-32-le"), "<u4").copy()
+    raw[(raw >= 65) & (raw <= 90)] += np.uint32(32)
+    raw[(raw >= 9) & (raw <= 13)] = 32
     h, out = raw + np.uint32(1), []
     for n in range(2, max(ORDERS) + 1):
         h = h[:-1] * np.uint32(0x01000193) + raw[n - 1 :]
@@ -62,7 +61,6 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 40, penalty: float
         return np.zeros(size, np.float32), float(prior)
     p, q = toxic[keep] + alpha, (df - toxic)[keep] + alpha
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio -= np.average(ratio, weights=df[keep])  # features that most documents have say nothing
     compact = (np.cumsum(keep) - 1).astype(np.int32)
     for i, x in enumerate(own):
         own[i] = compact[x[keep[x]]]
@@ -145,17 +143,20 @@ def scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, longest: int = LONGEST, may_learn=None) -> DataFrame:
-    """(doc_id, text, y) of at most ``limit`` labelled documents, the same in every run. A document with
-    several labels is toxic if one says so; null labels and texts are left out."""
+    """(doc_id, text, y) of at most ``limit`` labelled documents, the same in every run: those with the least hash of
+    their id among the labelled ones that ``docs`` has a text for. A document with several labels is toxic if one says
+    so, and of several texts under one id the shortest counts; null labels, ids and texts are left out."""
     known = labels.where("toxic is not null and doc_id is not null")
     if may_learn is not None:
         known = known.where(may_learn)
     small_batches(docs.sparkSession)
     one = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_y"))
-    one = one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    ids = docs.sparkSession.createDataFrame(one.collect(), "_id long, _y int")  # at most ``limit`` rows
-    rows = docs.where("text is not null").select("doc_id", "text").where(F.length("text") <= longest)
-    return rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y"))
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).where(F.length("text") <= longest)
+    first = F.struct(F.length("text").alias("n"), text_key().alias("key"))
+    there = rows.join(one, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("_y").alias("_y"), F.min(first).alias("first"))
+    chosen = there.orderBy(F.xxhash64("_id"), "_id").limit(limit).select("_id", "_y", F.col("first.key").alias("_key"))
+    ids = docs.sparkSession.createDataFrame(chosen.collect(), "_id long, _y int, _key long")  # at most ``limit`` rows
+    return rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (text_key() == F.col("_key"))).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y"))
 
 
 def _train(batches):
@@ -188,7 +189,7 @@ def score_column(column: pa.Array, held) -> np.ndarray:
 
 def toxicity(docs: DataFrame, held) -> DataFrame:
     """(doc_id, score) for each row of ``docs`` (doc_id, text), repeated or not. A null text is scored as an
-    empty one; other columns are not read; an empty table gives no rows."""
+    empty one, a very long one whole; null ids stay; other columns are not read; an empty table gives no rows."""
 
     def run(batches):
         for b in batches:
@@ -199,7 +200,8 @@ def toxicity(docs: DataFrame, held) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, held, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold."""
+    """The rows of ``docs`` that score below the threshold, with all their columns. A null text is scored as an empty one
+    and a very long one whole; repeated rows and null ids are judged each for itself; an empty table gives no rows."""
     at = docs.columns.index("text")
 
     def run(batches):
