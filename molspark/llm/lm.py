@@ -1,25 +1,29 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
 Each document is scored by the rest of the corpus: of every n-gram's count the document's own is taken
-off, so that no text vouches for itself. Documents are dealt into chunks; a chunk's distinct n-grams
-travel to the count tables as sorted blocks of hashes, one for each hash partition, and the
-totals come back in the same order, which joins them to the chunk's exploded n-grams.
+off, so that no text vouches for itself. Documents are dealt into chunks of bounded size. The rows
+(chunk, n-gram, count) of a chunk travel to the count tables sorted and packed, as columns: a block for
+each hash partition. There counts are added up by n-gram; the totals come back to each block in its order,
+which joins them to the chunk's exploded n-grams, and a document's log scores are summed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, load, mix64, small_batches, trim
 
-#: BITS of an n-gram's hash: two of 10**13 n-grams meet with a chance of about 1 in 7,000 for each.
-ORDER, BACKOFF, BITS = 3, 0.4, 56
-#: Characters of a chunk, whose n-grams one task holds at a time, and of text for each hash partition.
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of a chunk, whose n-grams one task holds at a time (a longer text is a chunk of its own or with a few
+#: others), and of text for each hash partition; bytes and rows that travel together to a chunk; tasks at most.
 CHUNK, PART = 12_000_000, 24_000_000
+BLOCK, ROWS, TASKS = 1_000_000, 20_000, 20_000
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -46,7 +50,7 @@ def ngrams(words: np.ndarray, of: np.ndarray, order: int = ORDER) -> list[tuple[
         h = mix64(h[: len(h) - 1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :] + np.uint64(n)) if len(h) > 1 else h[:0]
         inside = of[: len(h)] == of[n - 1 :][: len(h)]
         out.append((h[inside], np.flatnonzero(inside) + n - 1))
-    return [(g >> np.uint64(64 - BITS), at) for g, at in out]
+    return out
 
 
 def blocks(texts: list[bytes], size: int = 1_000_000):
@@ -61,11 +65,11 @@ def blocks(texts: list[bytes], size: int = 1_000_000):
         yield held
 
 
-_ZSTD = zstandard.ZstdDecompressor()
+_ZSTD, _PACK = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1, write_content_size=True)
 
 
 def zstd(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(raw)
+    return _PACK.compress(raw)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -97,10 +101,46 @@ def chunk_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return every[first], np.diff(first, append=len(every))
 
 
+def _dealt(chunks: int):
+    """(doc_id, text) to blocks of documents, which go around the chunks from a place that depends on the task."""
+
+    def run(batches):
+        at, ids, texts, size = int(mix64(np.array([TaskContext.get().partitionId()], np.uint64))[0]) % chunks, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            facts = np.array([([i or 0 for i in ids]), [i is None for i in ids], [len(t) for t in texts]], "<i8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstd(facts)], pa.binary()), pa.array([zstd(b"".join(texts))], pa.binary())], names=["chunk", "facts", "texts"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(i)
+                texts.append((t.as_py() or "").encode())
+                size += len(texts[-1])
+                if size >= BLOCK or len(ids) >= ROWS:
+                    yield block()
+                    at, ids, texts, size = (at + 1) % chunks, [], [], 0
+        if ids:
+            yield block()
+        trim()
+
+    return run
+
+
+def whole(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """A chunk's documents: their ids and whether they lack one (rows of an array), and their texts. The order of its blocks doesn't matter."""
+    facts, texts = [np.zeros((2, 0), np.int64)], []
+    for block, raw in zip(pdf["facts"], pdf["texts"], strict=True):
+        got, raw = np.frombuffer(_ZSTD.decompress(block), "<i8").reshape(3, -1), _ZSTD.decompress(raw)
+        ends = np.cumsum(got[2]).tolist()
+        texts += [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        facts.append(got[:2])
+    return np.concatenate(facts, axis=1), texts
+
+
 def _emit(parts: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, n = chunk_ngrams([(t or "").encode() for t in pdf["text"]])
-        cut = np.searchsorted(own, np.array([(p << BITS) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(own)]
+        own, n = chunk_ngrams(whole(pdf)[1])
+        cut = np.searchsorted(own, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(own)]
         rows = [(key[0], p, packed(own[a:b]), small(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
         del own, n
         trim()
@@ -152,12 +192,12 @@ def backoff(texts: list[bytes], own: np.ndarray, totals: np.ndarray) -> np.ndarr
 
 
 def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    texts = [(t or "").encode() for t in docs["text"]]
+    ids, texts = whole(docs)
     own, _ = chunk_ngrams(texts)
     answers = answers.sort_values("part")
     totals = np.concatenate([counts_of(b) for b in answers["totals"]]) if len(answers) else np.zeros(1, np.int64)
     got = np.concatenate([backoff(some, own, totals) for some in blocks(texts)], axis=1) if len(texts) else np.zeros((4, 0))
-    out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": got[0].astype(np.int64), "seen": got[1].astype(np.int64), "unseen": got[2].astype(np.int64), "logs": got[3]})
+    out = pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids[0].copy(), ids[1] > 0), "n_words": got[0].astype(np.int64), "seen": got[1].astype(np.int64), "unseen": got[2].astype(np.int64), "logs": got[3]})
     del own, totals
     trim()
     return out
@@ -168,16 +208,18 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     S(w | h) is c(hw) / c(h) where the rest of the corpus has hw, else 0.4 S(w | h without its first
     word); a word that the rest lacks scores 1 / (rest's words + 1). A null or wordless text has no
-    words, log_score 0 and a null mean. Repeated rows are documents of their own, so each vouches for the
-    other; null ids stay; other columns are not read.
+    words, log_score 0 and a null mean; an empty table gives no rows. Repeated rows are documents of their own, so
+    each vouches for the other, and go to different chunks; a very long text is scored whole, by one task; null ids
+    stay; other columns are not read.
     """
     scratch = Scratch(small_batches(spark))
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     chunks, parts = max(1, -(-size // CHUNK)), max(1, -(-size // PART))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk")
-    sent = rows.groupBy("chunk").applyInPandas(_emit(parts), "chunk long, part int, grams binary, counts binary")
-    answers = sent.groupBy("part").applyInPandas(_total, "chunk long, part int, totals binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_dealt(chunks), "chunk int, facts binary, texts binary")
+    rows = rows.repartition(min(chunks, TASKS), "chunk")
+    sent = rows.groupBy("chunk").applyInPandas(_emit(parts), "chunk int, part int, grams binary, counts binary")
+    answers = sent.repartition(min(parts, TASKS), "part").groupBy("part").applyInPandas(_total, "chunk int, part int, totals binary")
+    answers = answers.repartition(min(chunks, TASKS), "chunk")
     got = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score, "doc_id long, n_words long, seen long, unseen long, logs double")
     got = scratch.save(got, "scores")  # one job: the texts' shuffle serves both passes
     corpus = got.agg(F.sum("n_words")).first()[0] or 0

@@ -36,7 +36,7 @@ def test_agrees_with_sql(spark, data, agree, name):
 def run_all(spark, docs):
     labels = spark.createDataFrame([(2, 1, 1), (5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     held = toxicity.model(spark, docs, labels)
-    lang = spark.sparkContext.broadcast(langid.Hierarchy(*langid.sample(docs)))
+    lang = langid.model(spark, docs)
     return {
         "mix": mixing.curriculum(spark, docs), "toxicity": toxicity.toxicity(docs, held), "lm": lm.lm_scores(spark, docs), "secrets": secrets.secret_spans(docs),
         "pii": pii.pii_spans(docs), "langid": langid.identify(docs, lang), "simhash": simhash.simhash(spark, docs),
@@ -423,3 +423,97 @@ def test_each_pass_has_its_own_position(spark):
         if k % (len(rows) // 10) == 0:
             for x in "abc":
                 assert abs(done[x] - whole[x] * integral(by[x], time_of(k))) <= 3
+
+
+def test_lm_over_many_chunks_and_parts(spark, data, agree, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 40_000)
+    monkeypatch.setattr(lm, "PART", 60_000)
+    monkeypatch.setattr(lm, "BLOCK", 10_000)
+    agree(QUERIES["op4_lm"](spark, data), ORACLES["op4_lm"])
+
+
+def test_lm_copies_and_a_very_long_text(spark, monkeypatch):
+    """Copies of one row go to different chunks and vouch for each other; scores don't depend on the chunks."""
+    rows = [(7, "the same text again and again")] * 3000 + [(8, "word and word " * 20_000), (None, "nobody says xyzzy"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def scored():
+        return sorted((r.doc_id or 0, r.n_words, r.log_score) for r in lm.lm_scores(spark, docs).collect())
+
+    want = scored()
+    for name, n in (("CHUNK", 5000), ("PART", 20_000), ("BLOCK", 500)):
+        monkeypatch.setattr(lm, name, n)
+    assert scored() == want and len(want) == 3003
+    assert {r[2] for r in want if r[0] == 7} == {next(r[2] for r in want if r[0] == 7)}
+
+
+def test_pii_in_a_dense_text_and_context(spark):
+    n = 12_000
+    dense = " ".join(f"a{i}@b{i}.com" for i in range(n))
+    rows = [(1, dense), (2, "call +49 30 1234567"), (3, "hotel +49 30 1234567"), (4, "x 1.2.3.4 host"), (5, "1.2.3.4 then 5.6.7.8 server")]
+    got = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, s.end) for s in got[1]] == [m.span() for m in re.finditer(r"a\d+@b\d+\.com", dense)]
+    assert {i: [s.score for s in got[i]] for i in (2, 3, 4, 5)} == {2: [0.8], 3: [0.6], 4: [0.7], 5: [0.5, 0.7]}
+
+
+def plain_hashes(text, orders, bits):
+    """The n-gram hashes of the toxicity features, one by one."""
+    raw, out = [{**{k: 32 for k in range(9, 14)}, **{k: k + 32 for k in range(65, 91)}}.get(ord(c), ord(c)) for c in f" {text} "], []
+    for n in orders:
+        for i in range(len(raw) - n + 1):
+            h = raw[i] + 1
+            for c in raw[i + 1 : i + n]:
+                h = (h * 0x01000193 + c) % 2**32
+            x = (h * 0x9E3779B1 + n) % 2**32
+            x ^= x >> 15
+            out.append(((x * 0x85EBCA77) % 2**32) >> (32 - bits))
+    return out
+
+
+def test_toxicity_brute(spark, data):
+    """The query against a plain choice of the sample and a plain scorer over each text's own n-grams."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    held = {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in text and r.doc_id not in held and text[r.doc_id] is not None and len(text[r.doc_id]) <= toxicity.LONGEST}
+    ids = sorted(sorted(y, key=lambda i: (order[i], i))[: toxicity.SAMPLE])
+    weights, bias = toxicity.fit_calibrated([text[i].encode() for i in ids], np.array([y[i] for i in ids], float))
+    for r in QUERIES["op2_toxicity"](spark, data).collect():
+        count, z = {}, bias
+        for h in plain_hashes(text[r.doc_id] or "", toxicity.ORDERS, toxicity.BITS):
+            count[h] = count.get(h, 0) + 1
+            if count[h] <= toxicity.TIERS:
+                z += float(weights[h + ((count[h] - 1) << toxicity.BITS)])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.held_out == (r.doc_id in held) and r.predicted == int(r.score >= 0.3)
+
+
+def test_toxicity_sample_is_of_documents_there(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(5000)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4000, 4100)] + [(4000, "t")] * 3 + [(4500, None)], "doc_id long, text string")
+    got = toxicity.sample(docs, labels, limit=80).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 80
+
+
+def test_langid_brute(spark, data):
+    """The query against a plain choice of the sample and one-by-one predictions."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("h", F.xxhash64("doc_id")).collect()
+    held, own = {d.doc_id for d in docs if zlib.crc32(str(d.doc_id).encode()) % 3 == 1}, {}
+    for d in sorted(docs, key=lambda d: (d.h, d.doc_id)):
+        if d.doc_id not in held and d.lang and d.text and len(d.text) <= langid.LONGEST and any(c.isalpha() for c in d.text):
+            own.setdefault(d.lang, []).append(d)
+    rows = sorted((g, d.doc_id, d.text) for g, some in own.items() for d in some[: langid.SAMPLE])
+    plain = langid.Hierarchy([r[2] for r in rows], [r[0] for r in rows])
+    text = {d.doc_id: d.text or "" for d in docs}
+    for r in QUERIES["op7_langid"](spark, data).collect():
+        names, score = plain.predict([text[r.doc_id]])
+        letters = any(c.isalpha() for c in text[r.doc_id])
+        assert r.lang_pred == (names[0] if letters else "und") and abs(r.score - (score[0] if letters else 0)) < 1e-6 and r.held_out == (r.doc_id in held)
+
+
+def test_langid_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, f"un texte {i} ou deux", "fr") for i in range(2000)] + [(1, "un texte", "fr")] * 500 + [(i, f"some words {i}", "en") for i in range(2, 900)] + [(5, "autre", "fr")]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((g, len([r for r in got if r.lang == g])) for g in ("en", "fr")) == [("en", 300), ("fr", 2)]
+    monkeypatch.setattr(langid, "MOST", 40)
+    assert langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 40
