@@ -152,8 +152,8 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, longest: int
     small_batches(docs.sparkSession)
     one = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).where(F.length("text") <= longest)
-    first = F.struct(F.length("text").alias("n"), text_key().alias("key"))
-    there = rows.join(one, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("_y").alias("_y"), F.min(first).alias("first"))
+    keys = rows.select("doc_id", F.struct(F.length("text").alias("n"), text_key().alias("key")).alias("first"))  # not the texts themselves
+    there = keys.join(one, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("first").alias("first"))
     chosen = there.orderBy(F.xxhash64("_id"), "_id").limit(limit).select("_id", "_y", F.col("first.key").alias("_key"))
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "_id long, _y int, _key long")  # at most ``limit`` rows
     return rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (text_key() == F.col("_key"))).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y"))
