@@ -22,7 +22,7 @@ from .common import Scratch, load, mix64, small_batches, trim
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of a chunk, whose n-grams one task holds at a time (a longer text is a chunk of its own or with a few
 #: others), and of text for each hash partition; bytes and rows that travel together to a chunk; tasks at most.
-CHUNK, PART = 12_000_000, 24_000_000
+CHUNK, PART = 12_000_000, 16_000_000
 BLOCK, ROWS, TASKS = 1_000_000, 20_000, 20_000
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -156,7 +156,7 @@ def _total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     sums = np.zeros(len(every), np.int64)
     at = []
     for b, n in zip(own, pdf["counts"], strict=True):
-        at.append(np.searchsorted(every, b))
+        at.append(np.searchsorted(every, b).astype(np.uint32))
         sums[at[-1]] += counts_of(n)
     out = pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "totals": [small(sums[i]) for i in at]})
     del own, every, sums
