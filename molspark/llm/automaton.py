@@ -245,7 +245,7 @@ class Scanner:
         n, c = len(raw), self.all.classes
         lanes = max(1, min(self.LANES, n // self.LEAST))
         length = -(-n // lanes)
-        grid = np.full(lanes * length, self.all.of_byte[10], np.uint8)
+        grid = np.full(lanes * length, self.all.of_byte[255], np.uint8)
         grid[:n] = self.all.of_byte[raw]
         grid = np.ascontiguousarray(grid.reshape(lanes, length).T)
         out, s, nxt = np.empty((length, lanes), np.int32), np.zeros(lanes, np.int32), self.all.next

@@ -20,7 +20,8 @@ RULES = {
     "slack": (r"xox[abprs]-[A-Za-z0-9-]+", False),
     "google": (r"AIza[A-Za-z0-9_-]+", False),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False),
+    # the first line, headers, the key's lines, and the last line, as far as they are there
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(\x0D?\n(Proc-Type|DEK-Info): [\x20-~]+)*((\x0D?\n)+[A-Za-z0-9+/=]{16,})*((\x0D?\n[A-Za-z0-9+/=]+)?\x0D?\n-----END [A-Z ]*PRIVATE KEY-----)?", False),
 }
 LEAST = {"access": 20, "hex": 24, "github": 40, "slack": 15, "google": 39}
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
@@ -44,11 +45,11 @@ def keeps(kind: str, value: bytes) -> bool:
 
 
 def find_all(texts: list[bytes]) -> list[list[tuple[str, int, int, bytes]]]:
-    """Spans of each text, in code points, by start, then kind as listed. A line feed, which no rule takes, parts the texts."""
+    """Spans of each text, in code points, by start, then kind as listed. A byte that no text holds parts the texts."""
     scan, found = scanner(), [[] for _ in texts]
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     points: dict[int, np.ndarray] = {}
-    for k, s, e in scan.spans(b"\n".join(texts)):
+    for k, s, e in scan.spans(b"\xff".join(texts)):
         d = int(np.searchsorted(at, s, "right")) - 1
         s, e = s - int(at[d]), e - int(at[d])
         if keeps(kind := scan.kinds[k], value := texts[d][s:e]):
@@ -81,14 +82,17 @@ def _scan(batches):
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of ``docs``: kind, start and end in code points (end exclusive), value.
 
-    A null or empty text has no spans; repeated rows and ids stay as they are; other columns are not read.
+    A null or empty text has no spans; a very long one is scanned whole; repeated rows and ids stay as they are; an
+    empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, f"doc_id long, spans {SPAN}")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with each span of ``text`` (overlapping ones as one) replaced by ``[SECRET]``; n_chars follows."""
+    """The rows of ``docs`` with each span of ``text`` (overlapping ones as one) replaced by ``[SECRET]``;
+    n_chars follows where it is there. Null texts stay null, empty ones empty, very long ones are scanned whole; repeated
+    rows and null ids stay, further columns come along; an empty table gives no rows."""
     names = docs.columns
     text_at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
