@@ -24,6 +24,7 @@ SEED, LIMIT, SHINGLE = 42, 3, 3
 GROUPS, AGREE = 6, 3
 #: Fingerprints of a cell that one block compares; larger cells are dealt out as pairs of blocks.
 BLOCK = 8192
+#: Cells up to this size are compared together, a distance along the sorted rows at a time; longer ones one by one.
 SHORT = 64
 LOW = np.uint64(0x5555555555555555)
 
@@ -106,8 +107,8 @@ def _compare(forest: Forest, own: np.ndarray, other: np.ndarray | None = None) -
     ends, c_to = to.view(np.int64), counts(to)
     for i, x in enumerate(own):
         at = i + 1 if other is None else 0
-        hits = np.flatnonzero(np.bitwise_count(to[at:] ^ x) <= LIMIT) + at
-        hits = hits[manhattan(c_to[hits], counts(own[i : i + 1])) <= LIMIT]
+        hits = np.flatnonzero(manhattan(c_to[at:], counts(own[i : i + 1])) <= LIMIT) + at
+        hits = hits[np.bitwise_count(to[hits] ^ x) <= LIMIT]
         for j in hits:
             forest.join(int(own[i : i + 1].view(np.int64)[0]), int(ends[j]))
 
@@ -180,8 +181,8 @@ def grouped(spark: SparkSession, docs: DataFrame, keyed: bool = False) -> DataFr
 def simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
 
-    Rows keep their number: repeated rows and null ids stay. A null or wordless text has fingerprint
-    0, which links like any other. component_id is the smallest non-null doc_id reachable over links
+    Rows keep their number: repeated rows and null ids stay; an empty table gives no rows. A null or wordless text
+    has fingerprint 0, which links like any other; a very long one is read whole. component_id is the smallest non-null doc_id reachable over links
     of at most 3 differing bits (null where a component has only null ids). Other columns are not read.
     """
     return grouped(spark, docs).select("doc_id", "fp", "component_id")
