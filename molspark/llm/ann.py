@@ -17,8 +17,8 @@ from .common import Scratch, load, small_batches, trim
 from .neardup import valid
 
 #: Vectors that graph, parts and classifier are fitted on at most.
-SAMPLE, SEED = 4000, 11
-NEIGHBOURS, PER_PART, MOST_PARTS = 10, 1500, 256
+SAMPLE, SEED = 8000, 11
+NEIGHBOURS, PER_PART, MOST_PARTS = 10, 250, 128
 TOP, EVERY, RECALL = 5, 50, 0.97
 #: Candidates and queries that one block of the rerank compares.
 BLOCK, QUERIES = 20_000, 4_000
@@ -176,7 +176,9 @@ def search(spark: SparkSession, table: DataFrame, every: int = EVERY, top: int =
 
     Null ids and vectors that are null, empty, zero or not finite take no part. Of equal vectors those of the
     ``top`` + 1 least ids, and of each id ``top`` rows, can be among a query's nearest, so those alone are
-    candidates; no row that could be a result is left out. Repeated ids: each query row has its own ranks. Other columns are not read.
+    candidates; no row that could be a result is left out. Repeated ids: each query row has its own ranks. An empty
+    table gives no rows. Other columns are not read. A part's candidates are dealt into blocks, and are sent as often as
+    QUERIES goes into the queries routed to that part.
     """
     scratch = Scratch(small_batches(spark))
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(valid() & F.col("vec_id").isNotNull())
@@ -194,11 +196,13 @@ def search(spark: SparkSession, table: DataFrame, every: int = EVERY, top: int =
     homes = base.mapInArrow(_route(held, False), "part long, vec_id long, embedding array<double>")
     asked = queries.select("query_id", "embedding", "qkey").mapInArrow(_route(held, True), "part long, query_id long, embedding array<double>, qkey long")
     homes = scratch.save(homes, "index")
-    blocks = homes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    some = max(1, -(-queries.count() // QUERIES))
-    sizes = scratch.save(blocks, "sizes")
-    homes = homes.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(some - 1))))
-    asked = asked.join(sizes.select(F.col("part").alias("p"), F.col("nb").alias("n")), F.col("part") == F.col("p")).withColumn("q", F.pmod(F.xxhash64("qkey"), F.lit(some)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    asked = scratch.save(asked, "asked")
+    sizes = homes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part")
+    sizes = scratch.save(sizes, "sizes")  # a row a part
+    block, turn = F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("qkey"), F.col("turns")).cast("int")
+    own, theirs = F.broadcast(sizes), F.broadcast(sizes.withColumnsRenamed({"part": "to", "nb": "blocks", "nq": "turns"}))
+    homes = homes.join(own, "part").withColumn("b", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("part", "b", "q", "vec_id", "embedding")
+    asked = asked.join(theirs, F.col("part") == F.col("to")).withColumn("q", turn).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "b", "q", "query_id", "qkey", "embedding")
     pairs = asked.groupBy("part", "b", "q").cogroup(homes.groupBy("part", "b", "q")).applyInPandas(_rerank, "qkey long, query_id long, vec_id long, score double")
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -306,7 +306,7 @@ def test_router_probes_less_than_all():
     rng = np.random.default_rng(0)
     x = (rng.standard_normal((8, 16))[rng.integers(0, 8, 1600)] + 0.3 * rng.standard_normal((1600, 16)))
     got = ann.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 12_000)
-    assert got.parts == 8 and got.probes < 8
+    assert got.parts == 32 and got.probes < 16  # 250 vectors a part and 40 sampled ones at least
 
 
 def test_held_out_accuracy(spark, data):
@@ -517,3 +517,74 @@ def test_langid_sample_is_bounded(spark, monkeypatch):
     assert sorted((g, len([r for r in got if r.lang == g])) for g in ("en", "fr")) == [("en", 300), ("fr", 2)]
     monkeypatch.setattr(langid, "MOST", 40)
     assert langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 40
+
+
+def test_secrets_query_brute(spark, data):
+    """Counts, hash and spans of the query against regular expressions over whole texts."""
+    every = {k: (re.compile(p, (re.I if either else 0) | re.A), (lambda m: len(m[2]) >= 6) if k == "assign" else (lambda m, n=secrets.LEAST.get(k, 0): len(m[0]) >= n)) for k, (p, either) in secrets.RULES.items()}
+    every["assign"] = BASE["assign"]
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    joined = lambda own: ",".join(f"{k}:{s}:{e}" for s, k, e in own)
+    for r in QUERIES["op5_secrets"](spark, data).collect():
+        base = spans(BASE, text[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == b for _, k, _ in base) for b in BASE)
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert r.spans == joined(spans(every, text[r.doc_id]))
+
+
+def test_private_keys_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq0x" * 3] * 4)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\nabc=\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"é {key}\nmore text"), (2, key.replace("\n", "\r\n") + key), (3, "-----BEGIN PRIVATE KEY-----\nand words"), (4, f"-----BEGIN PRIVATE KEY-----\n{body}")]
+    got = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "é [SECRET]\nmore text", 2: "[SECRET][SECRET]", 3: "[SECRET]\nand words", 4: "[SECRET]"}
+
+
+def test_fingerprints_brute(spark, data):
+    import xxhash
+
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in QUERIES["op8_simhash"](spark, data).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[r.doc_id]))
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        assert int(r.fingerprint, 16) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h) and h)
+
+
+def brute_nearest(ids, x, every=50, top=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        s = u @ u[i]
+        s[ids == ids[i]] = -9
+        out[int(ids[i])] = [(int(ids[k]), s[k]) for k in np.lexsort((ids, -s))[:top]]
+    return out
+
+
+def test_ann_in_parts_and_blocks(spark, monkeypatch):
+    """Learned parts, several blocks of a part and several turns of its queries, against brute force."""
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((60, 24))[rng.integers(0, 60, 6000)] + 0.5 * rng.standard_normal((6000, 24))).astype(np.float32)
+    ids = np.arange(6000) * 7 % 6007
+    for name, n in (("BLOCK", 150), ("QUERIES", 10)):
+        monkeypatch.setattr(ann, name, n)
+    got = {}
+    for r in ann.search(spark, vectors(spark, x, ids)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    want, hits = brute_nearest(ids, x.astype(float)), []
+    assert set(got) == set(want)
+    for q, near in want.items():
+        own = [got[q][k] for k in range(1, 6)]
+        assert own == sorted(own, key=lambda p: (-p[1], p[0])) and len({v for v, _ in own}) == 5
+        score = dict(near)
+        assert all(abs(s - score[v]) < 1e-12 for v, s in own if v in score)
+        hits.append(len({v for v, _ in own} & set(score)))
+    assert ann.fit(ann.unit(x.astype(float)), 6000).parts > 8 and np.mean(hits) >= 4.5
+
+
+@pytest.mark.parametrize("kind", ["orthogonal", "scaled", "binary"])
+def test_ann_ties_of_all_kinds(spark, kind):
+    n = 60
+    x = {"orthogonal": np.eye(64)[: n + 1], "scaled": np.array([[1.0, 0.0]] + [[k, k] for k in range(1, n + 1)]), "binary": np.array([[1, 1, 0, 0]] + [[1, 0, 1, 0], [0, 1, 0, 1]] * (n // 2), float)}[kind]
+    got = {r["rank"]: r.vec_id for r in ann.search(spark, vectors(spark, x[np.r_[0, n:0:-1]], np.r_[0, n:0:-1])).collect() if r.query_id == 0}
+    assert got == {k: k for k in range(1, 6)}
