@@ -585,6 +585,6 @@ def test_ann_in_parts_and_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("kind", ["orthogonal", "scaled", "binary"])
 def test_ann_ties_of_all_kinds(spark, kind):
     n = 60
-    x = {"orthogonal": np.eye(64)[: n + 1], "scaled": np.array([[1.0, 0.0]] + [[k, k] for k in range(1, n + 1)]), "binary": np.array([[1, 1, 0, 0]] + [[1, 0, 1, 0], [0, 1, 0, 1]] * (n // 2), float)}[kind]
+    x = {"orthogonal": np.eye(64)[: n + 1], "scaled": np.array([[1.0, 0.0]] + [[2.0**k, 2.0**k] for k in range(1, n + 1)]), "binary": np.array([[1, 1, 0, 0]] + [[1, 0, 1, 0], [0, 1, 0, 1]] * (n // 2), float)}[kind]
     got = {r["rank"]: r.vec_id for r in ann.search(spark, vectors(spark, x[np.r_[0, n:0:-1]], np.r_[0, n:0:-1])).collect() if r.query_id == 0}
     assert got == {k: k for k in range(1, 6)}
