@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stats import long_form
-
 
 @dataclass
 class Network:
@@ -88,32 +87,44 @@ def summary(spark: SparkSession, net: Network) -> DataFrame:
     return spark.createDataFrame([(k, a, b, a * b + b) for k, (a, b) in enumerate(net.sizes())], "layer int, inputs int, outputs int, params int")
 
 
-def dense(rows: DataFrame, weights: DataFrame, biases: DataFrame, activation) -> DataFrame:
-    """One layer as a plan: rows (id, dim, x), weights (dim, unit, w), biases (unit, b) to (id, dim, x)."""
-    summed = rows.join(F.broadcast(weights), "dim").groupBy("id", "unit").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
-    return summed.join(F.broadcast(biases), "unit").select("id", F.col("unit").alias("dim"), activation(F.col("s") + F.col("b")).alias("x"))
-
-
-def apply_network(df: DataFrame, net: Network, part: str) -> DataFrame:
-    """(id, v) through the encoder, the decoder or both, in Arrow batches."""
+def apply_network(df: DataFrame, net: Network, part: str, *keep: str) -> DataFrame:
+    """(id, v, the columns to keep) through the encoder, the decoder or both, in Arrow batches, without a shuffle."""
     f = {"encode": net.encode, "decode": net.decode, "both": net.forward}[part]
 
     def run(batches):
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, net.width))
-            yield pd.DataFrame({"id": pdf["id"], "v": list(f(x))})
+            yield pd.DataFrame({"id": pdf["id"], "v": list(f(x)), **{c: pdf[c] for c in keep}})
+
+    types = dict(df.dtypes)
+    return df.select("id", "v", *keep).mapInPandas(run, ", ".join(["id long, v array<double>", *(f"`{c}` {types[c]}" for c in keep)]))
 
-    return df.select("id", "v").mapInPandas(run, "id long, v array<double>")
 
+def mse(df: DataFrame, net: Network) -> DataFrame:
+    """(mse): of all components of all rows, from each task's sum and number."""
+
+    def run(batches):
+        total, n = 0.0, 0
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                total, n = total + float(((net.forward(x) - x) ** 2).sum()), n + x.size
+        yield pd.DataFrame({"s": [total], "n": [n]})
+
+    sums = df.select("v").mapInPandas(run, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select(F.try_divide(F.col("s"), F.col("n").cast("double")).alias("mse"))
 
-def mse(df: DataFrame, other: DataFrame) -> DataFrame:
-    a, b = long_form(df), long_form(other).withColumnRenamed("x", "y")
-    return a.join(b, ["id", "dim"]).agg(F.avg((F.col("x") - F.col("y")) ** 2).alias("mse"))
 
+def train(
+    train_df: DataFrame, val_df: DataFrame, net: Network, epochs: int = 20, rate: float = 1e-2, decay: float = 1e-4, step: int = 10, gamma: float = 0.5, steps: int = 1, on_epoch: Callable[[int, float, float, Network, bool], None] | None = None
+) -> tuple[Network, Network, list[tuple[int, float, float]]]:
+    """(last, best on validation, history) of (id, v).
 
-def train(train_df: DataFrame, val_df: DataFrame, net: Network, epochs: int = 20, rate: float = 1e-2, decay: float = 1e-4, step: int = 10, gamma: float = 0.5) -> tuple[Network, Network, list[tuple[int, float, float]]]:
-    """(last, best on validation, history). One synchronous step an epoch: each task sends its gradient sums, the
-    driver applies Adam. Large batches in place of batches of 32, which one after another can't be distributed."""
+    An epoch takes ``steps`` synchronous steps, each on a share of the rows that the epoch deals by a hash of their
+    id: large batches in place of batches of 32, which one after another can't be distributed. Tasks send their
+    gradient sums by place, which are added up before the driver applies Adam, so it gets one row a weight.
+    on_epoch(epoch, train loss, validation loss, network, improved) runs after each epoch.
+    """
     sizes = [a.size for pair in net.layers for a in pair]
 
     def sums(df: DataFrame, own: Network) -> tuple[np.ndarray, float, int]:
@@ -125,26 +136,34 @@ def train(train_df: DataFrame, val_df: DataFrame, net: Network, epochs: int = 20
                     parts, more = own.gradients(x)
                     g += np.concatenate([p.ravel() for p in parts])
                     loss, n = loss + more, n + len(x)
-            yield pd.DataFrame({"g": [g], "loss": [loss], "n": [n]})
+            if n:
+                yield pd.DataFrame({"at": np.arange(len(g) + 2), "x": np.concatenate([g, [loss, n]])})
 
-        got = df.select("v").mapInPandas(run, "g array<double>, loss double, n long").collect()  # one row a task
-        return sum(np.array(r.g) for r in got), sum(r.loss for r in got), sum(r.n for r in got)
+        out = np.zeros(sum(sizes) + 2)
+        for r in df.select("v").mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            out[r.at] = r.x
+        return out[:-2], out[-2], int(out[-1])
 
     train_df, val_df = train_df.persist(), val_df.persist()
     try:
         flat = np.concatenate([a.ravel() for pair in net.layers for a in pair])
-        m, v, best, best_loss, history = np.zeros_like(flat), np.zeros_like(flat), net, np.inf, []
+        m, v, best, best_loss, history, t = np.zeros_like(flat), np.zeros_like(flat), net, np.inf, [], 0
         for e in range(epochs):
-            g, loss, n = sums(train_df, net)
-            g = g / max(n, 1) + decay * flat
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            flat = flat - rate * gamma ** (e // step) * (m / (1 - 0.9 ** (e + 1))) / (np.sqrt(v / (1 - 0.999 ** (e + 1))) + 1e-8)
-            cut = np.split(flat, np.cumsum(sizes)[:-1])
-            net = Network(net.width, net.hidden, net.activation, [(cut[2 * k].reshape(s), cut[2 * k + 1]) for k, s in enumerate(net.sizes())])
+            total = 0.0
+            for k in range(steps):
+                g, loss, n = sums(train_df if steps == 1 else train_df.where(F.pmod(F.xxhash64("id", F.lit(e)), F.lit(steps)) == k), net)
+                t, total = t + 1, total + loss / max(n, 1) / steps
+                g = g / max(n, 1) + decay * flat
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                flat = flat - rate * gamma ** (e // step) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                cut = np.split(flat, np.cumsum(sizes)[:-1])
+                net = Network(net.width, net.hidden, net.activation, [(cut[2 * k].reshape(s), cut[2 * k + 1]) for k, s in enumerate(net.sizes())])
             _, val, nv = sums(val_df, net)
-            history.append((e, loss / max(n, 1), val / max(nv, 1)))
-            if history[-1][2] < best_loss:
+            history.append((e, total, val / max(nv, 1)))
+            if better := history[-1][2] < best_loss:
                 best, best_loss = net, history[-1][2]
+            if on_epoch:
+                on_epoch(*history[-1], net, better)
     finally:
         train_df.unpersist()
         val_df.unpersist()

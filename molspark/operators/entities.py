@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ATOM_FEATURES, BOND_FEATURES, BONDS, CHIRAL, HYBRIDS, MASS_SCALE, MASS_SHIFT, STEREO, SYMBOLS
+from ..schema import ATOM_FEATURES, BOND_FEATURES, BONDS, CHIRAL, COVALENT_SCALE, COVALENT_SHIFT, HYBRIDS, MASS_SCALE, MASS_SHIFT, RADII, STEREO, SYMBOLS, VDW_SCALE, VDW_SHIFT
 
 
 def entity_sums(df: DataFrame, entity: str, index: str, made: dict[str, Column], drop_last: bool = False) -> DataFrame:
     """A row for each entity; drop_last leaves out the rows with its highest index (an entity of one row then sums to 0).
-    The window and the aggregation share one shuffle."""
+
+    Then sums by (entity, index) come first and the last index's are taken off, so that a large entity's rows meet
+    in no task; sums of fractions may differ from direct ones in their last digits.
+    """
     if not drop_last:
         return df.groupBy(entity).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in made.items()))
-    last = F.max(index).over(Window.partitionBy(entity))
-    own = df.withColumn("_in", F.col(index) < last)
-    return own.groupBy(entity).agg(*(F.coalesce(F.sum(F.when(F.col("_in"), c)), F.lit(0)).alias(k) for k, c in made.items()))
+    own = df.groupBy(entity, index).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in made.items()))
+    # nulls sort below every index; an entity without any index keeps no row
+    last = F.max(F.struct(F.col(index), *made)).alias("_last")
+    return own.groupBy(entity).agg(last, *(F.sum(k).alias(k) for k in made)).select(entity, *(F.when(F.col(f"_last.{index}").isNull(), F.col(k) - F.col(k)).otherwise(F.col(k) - F.col(f"_last.{k}")).alias(k) for k in made))
 
 
 def joined_features(atoms: DataFrame, bonds: DataFrame, entity: str) -> DataFrame:
@@ -29,8 +33,15 @@ def _hot(value: str, names: list[str], permitted: list[str], item) -> list[Colum
     return [(own == p).cast("double") for p, _ in zip(permitted, names, strict=True)]
 
 
-def featurize(parsed: DataFrame, drop_last_atom: bool = True) -> DataFrame:
-    """(mol_id, error, 68 features) from parsed molecules, row by row without a shuffle.
+def radii(symbol: Column) -> list[Column]:
+    """The scaled van der Waals and covalent radius of an element; null for one without an entry. Not among the 68 features."""
+    table = F.create_map(*(F.lit(x) for s, (vdw, covalent) in RADII.items() for x in (s, F.array(F.lit(vdw), F.lit(covalent)))))
+    found = F.try_element_at(table, symbol)
+    return [((found[0] - F.lit(VDW_SHIFT)) / F.lit(VDW_SCALE)).alias("vdw_scaled"), ((found[1] - F.lit(COVALENT_SHIFT)) / F.lit(COVALENT_SCALE)).alias("covalent_scaled")]
+
+
+def featurize(parsed: DataFrame, drop_last_atom: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(mol_id, error, the columns to keep, 68 features) from parsed molecules, row by row without a shuffle.
 
     Atom features are summed over all atoms but the last (as the models were trained), bond features over all
     bonds. Unlisted symbols count as Unknown, other bond kinds as aromatic, other stereo marks as none.
@@ -47,5 +58,5 @@ def featurize(parsed: DataFrame, drop_last_atom: bool = True) -> DataFrame:
     def bond(x: Column) -> list[Column]:
         return [*_hot("kind", BONDS, BONDS, x), x["conjugated"].cast("double"), x["in_ring"].cast("double"), *_hot("stereo", STEREO, STEREO, x)]
 
-    both = parsed.select("mol_id", "error", sums(taken, atom, ATOM_FEATURES).alias("a"), sums(F.col("bonds"), bond, BOND_FEATURES).alias("b"))
-    return both.select("mol_id", "error", *(F.get("a", F.lit(i)).alias(n) for i, n in enumerate(ATOM_FEATURES)), *(F.get("b", F.lit(i)).alias(n) for i, n in enumerate(BOND_FEATURES)))
+    both = parsed.select("mol_id", "error", *keep, sums(taken, atom, ATOM_FEATURES).alias("a"), sums(F.col("bonds"), bond, BOND_FEATURES).alias("b"))
+    return both.select("mol_id", "error", *keep, *(F.get("a", F.lit(i)).alias(n) for i, n in enumerate(ATOM_FEATURES)), *(F.get("b", F.lit(i)).alias(n) for i, n in enumerate(BOND_FEATURES)))

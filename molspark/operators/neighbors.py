@@ -7,57 +7,115 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be held by every task; more are searched in blocks of this size.
-BLOCK = 20_000
+#: Queries that every task may hold; beyond that, the queries and rows of a block.
+BLOCK, QUERIES, ROWS = 5_000, 10_000, 50_000
+SCHEMA = "query long, id long, d2 double"
 
 
-def _search(base: DataFrame, queries: DataFrame, k: int, other_only: bool) -> DataFrame:
-    held = queries.orderBy("id").collect()
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, other_only: bool, d0: np.ndarray, i0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of rows ``own`` and of those found before (d0, i0) for each query; ties to the smaller id."""
+    d = np.stack([((x - row) ** 2).sum(axis=1) for row in q])
+    if other_only:
+        d[ids[:, None] == own[None, :]] = np.inf
+    d, i = np.concatenate([d0, d], 1), np.concatenate([i0, np.broadcast_to(own, d.shape)], 1)
+    order = np.lexsort((i, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+
+def _frame(ids: np.ndarray, d: np.ndarray, i: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"query": np.repeat(ids, d.shape[1]), "id": i.ravel(), "d2": d.ravel()})
+    return out[np.isfinite(out["d2"])]
+
+
+def _none(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((n, 0), np.inf), np.zeros((n, 0), np.int64)
+
+
+def _held(base: DataFrame, held: list, k: int, other_only: bool) -> DataFrame:
+    """Few queries: every task has them all and keeps their k best of its rows."""
     ids, q = np.array([r.id for r in held], np.int64), np.array([r.v for r in held], float)
 
     def run(batches):
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        d, i = _none(len(ids))
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]
-                x, own = np.stack(some["v"].to_numpy()), some["id"].to_numpy()
-                d = np.stack([((x - row) ** 2).sum(axis=1) for row in q])
-                if other_only:
-                    d[ids[:, None] == own[None, :]] = np.inf
-                best_d, best_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.tile(own, (len(ids), 1))], 1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_d.shape[1]
-        out = pd.DataFrame({"query": np.repeat(ids, n), "id": best_i.ravel(), "d2": best_d.ravel()})
-        yield out[np.isfinite(out["d2"])]
+                d, i = _best(ids, q, some["id"].to_numpy(), np.stack(some["v"].to_numpy()), k, other_only, d, i)
+        yield _frame(ids, d, i)
+
+    return base.select("id", "v").mapInPandas(run, SCHEMA)
+
 
-    return base.select("id", "v").mapInPandas(run, "query long, id long, d2 double")
+def _blocks(base: DataFrame, queries: DataFrame, n: int, k: int, other_only: bool) -> DataFrame:
+    """Many queries: both sides in blocks, each pair of which is a task's work."""
+    a, b = -(-n // QUERIES), max(1, -(-base.count() // ROWS))
+
+    def run(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [_frame(np.zeros(0, np.int64), *_none(0))]
+        if len(asked) and len(rows):
+            own, x = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
+            for at in range(0, len(asked), 256):
+                some = asked.iloc[at : at + 256]
+                ids, q = some["id"].to_numpy(), np.stack(some["v"].to_numpy())
+                d, i = _none(len(ids))
+                for r in range(0, len(own), 512):
+                    d, i = _best(ids, q, own[r : r + 512], x[r : r + 512], k, other_only, d, i)
+                out.append(_frame(ids, d, i))
+        return pd.concat(out).astype({"query": "int64", "id": "int64", "d2": "float64"})
+
+    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.select("id", "v", block(a).alias("qb")).withColumn("bb", every(b))
+    right = base.select("id", "v", block(b).cast("int").alias("bb")).withColumn("qb", every(a))
+    left = left.withColumn("qb", F.col("qb").cast("int"))
+    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(run, SCHEMA)
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int = 1, other_only: bool = False) -> DataFrame:
     """(query, rank, id, d2): squared Euclidean distance, ties to the smaller id. Both sides are (id, v).
 
-    Each task keeps the k best of its rows for each query, so the shuffle has k rows a query and task.
+    Up to BLOCK queries go to every task (their number is checked first); more meet the rows block by block. Either
+    way the last shuffle has k rows a query and task.
     """
     n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    found = None
-    for b in range(blocks):
-        some = _search(base, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, other_only)
-        found = some if found is None else found.unionByName(some)
+    found = _held(base, queries.orderBy("id").collect(), k, other_only) if n <= BLOCK else _blocks(base, queries, n, k, other_only)
     w = Window.partitionBy("query").orderBy("d2", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "d2")
 
 
+def smooth_weights(graph: DataFrame, rounds: int = 64) -> DataFrame:
+    """(query, id, w) of a graph of (query, id, d2): w = exp(-(d - rho) / sigma), 1 up to rho. rho is a query's least distance
+    above 0; sigma, found by halving, makes its weights sum to log2 of its number of neighbours."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for query, near in zip(pdf["query"], pdf["near"], strict=True):
+                d = np.sqrt(np.array([x["d2"] for x in near]))
+                rho = min(d[d > 0], default=0.0)
+                lo, hi, sigma, goal = 0.0, np.inf, 1.0, np.log2(max(len(d), 2))
+                for _ in range(rounds):
+                    total = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
+                    lo, hi = (lo, sigma) if total > goal else (sigma, hi)
+                    sigma = 2 * sigma if np.isinf(hi) else (lo + hi) / 2
+                sigma = max(sigma, 1e-3 * d.mean(), 1e-12)
+                rows += [(query, x["id"], float(w)) for x, w in zip(near, np.exp(-np.maximum(d - rho, 0) / sigma), strict=True)]
+            yield pd.DataFrame(rows, columns=["query", "id", "w"])
+
+    own = graph.groupBy("query").agg(F.collect_list(F.struct("id", "d2")).alias("near"))  # as many as neighbours were asked for
+    return own.mapInPandas(run, "query long, id long, w double")
+
+
 def fuzzy_union(graph: DataFrame) -> DataFrame:
-    """(a, b, w) for a < b: weights exp(-d2) of both directions, joined as w1 + w2 - w1 w2."""
-    w = graph.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), F.exp(-F.col("d2")).alias("w"))
+    """(a, b, w) for a < b: the weights of both directions (those given, else exp(-d2)) joined as w1 + w2 - w1 w2."""
+    own = F.col("w") if "w" in graph.columns else F.exp(-F.col("d2"))
+    w = graph.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), own.alias("w"))
     return w.groupBy("a", "b").agg((F.sum("w") - F.when(F.count("*") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
 
 
 def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: int = 42) -> DataFrame:
     """(id, x, y): a force layout of the fuzzy graph of at most ``limit`` points (an error beyond), on the driver."""
-    edges = fuzzy_union(graph).orderBy("a", "b").limit(limit * 40).toPandas()
+    edges = fuzzy_union(smooth_weights(graph)).orderBy("a", "b").limit(limit * 40).toPandas()
     ids = np.unique(np.concatenate([edges["a"], edges["b"]]))
     if len(ids) > limit:
         raise ValueError(f"{len(ids)} points; a layout takes {limit}")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stats import per_dim
+
 RADIUS = math.sqrt(61)
 
 
@@ -16,6 +18,18 @@ def first_rows(df: DataFrame, n: int) -> np.ndarray:
     return np.array([r.v for r in df.orderBy("id").limit(n).collect()], float)
 
 
+def starting(df: DataFrame, n: int, how: str = "first", seed: int = 42) -> np.ndarray:
+    """Neurons to start from. ``first``: the first rows; ``kde``: draws from a Gaussian density estimate, that is, rows that a hash
+    picks, moved by noise of Scott's width in each dimension. Fewer rows repeat."""
+    if how == "first":
+        return first_rows(df, n)
+    rows = np.array([r.v for r in df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).collect()], float)
+    count = df.count()
+    spread = np.array([r.sd or 0.0 for r in per_dim(df, rows.shape[1], sd=F.stddev_samp).orderBy("dim").collect()])
+    rows = np.resize(rows, (n, rows.shape[1]))
+    return rows + np.random.default_rng(seed).standard_normal(rows.shape) * spread * count ** (-1 / (rows.shape[1] + 4))
+
+
 def bmu(df: DataFrame, neurons: np.ndarray, *keep: str) -> DataFrame:
     """(id, keep ..., neuron, d2): the closest neuron (ties: the first), in Arrow batches."""
 
@@ -69,9 +83,10 @@ def neuron_table(spark: SparkSession, neurons: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, d, float(x)) for i, w in enumerate(neurons) for d, x in enumerate(w)], "neuron int, dim int, w double")
 
 
-def train(df: DataFrame, m: int = 10, n: int = 10, epochs: int = 10, radius: float = RADIUS, start: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
+def train(df: DataFrame, m: int = 10, n: int = 10, epochs: int = 10, radius: float = RADIUS, start: np.ndarray | None = None, rate: float = 1.0) -> tuple[np.ndarray, list[float]]:
     """Neurons after ``epochs`` steps with a shrinking radius, and the mean quantization error before each. ``start``:
-    a warm start from another map's neurons; else the first rows. Fewer rows than neurons repeat."""
+    neurons, as from ``starting`` or another map; else the first rows. Fewer rows than neurons repeat. rate: how far
+    the first step moves the neurons towards their means; the rate falls to 0 with the epochs, and at 1 stays 1."""
     df = df.persist()
     try:
         w = first_rows(df, m * n) if start is None else start
@@ -79,7 +94,8 @@ def train(df: DataFrame, m: int = 10, n: int = 10, epochs: int = 10, radius: flo
         errors = []
         for e in range(epochs):
             errors.append(bmu(df, w).agg(F.avg(F.sqrt("d2"))).first()[0])
-            w = epoch(df, w, m, n, max(0.5, radius * (1 - e / epochs)))
+            pace = 1.0 if rate >= 1 else rate * (1 - e / epochs)
+            w = w + pace * (epoch(df, w, m, n, max(0.5, radius * (1 - e / epochs))) - w)
     finally:
         df.unpersist()
     return w, errors

@@ -40,23 +40,36 @@ def restored(z: DataFrame, stats: DataFrame) -> DataFrame:
     return z.join(F.broadcast(stats), "dim").select("id", "dim", (F.col("z") * F.col("sd") + F.col("mu")).alias("x"))
 
 
+def unscaled(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    """The rows with v = z * sd + mu."""
+    mu, sd = (F.array(*(F.lit(r[c]) for r in scale.orderBy("dim").collect())) for c in ("mu", "sd"))
+    return rows.withColumn("v", F.zip_with(F.zip_with("v", sd, lambda x, s: x * s), mu, lambda x, m: x + m))
+
+
 def correlation(df: DataFrame, n: int) -> DataFrame:
-    """(i, j, corr) for i <= j; null where a column is constant. One row of partial sums a task."""
-    mean = np.array([r.mu for r in per_dim(df, n, mu=F.avg).orderBy("dim").collect()], float)
+    """(i, j, corr) for i <= j, over the rows that have both; null where a column is constant on them, but for rounding.
+    Sums about the columns' means, a row a pair and task."""
+    mean = np.array([r.mu if r.mu is not None else 0.0 for r in per_dim(df, n, mu=F.avg).orderBy("dim").collect()], float)
+    i, j = np.triu_indices(n)
 
     def partial(batches):
-        total, rows = np.zeros((n, n)), 0
+        s, rows = np.zeros((6, len(i))), 0
         for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()) - mean if len(pdf) else np.zeros((0, n))
-            total += x.T @ x
-            rows += len(x)
-        i, j = np.triu_indices(n)
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": total[i, j]})
-
-    sums = df.select("v").mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    own = F.broadcast(sums.where("i = j").select(F.col("i").alias("k"), F.when(F.col("s") > 1e-18, F.sqrt("s")).alias("d")))
-    a, b = own.withColumnsRenamed({"k": "i", "d": "di"}), own.withColumnsRenamed({"k": "j", "d": "dj"})
-    return sums.join(a, "i").join(b, "j").select("i", "j", F.try_divide(F.col("s"), F.col("di") * F.col("dj")).alias("corr"))
+            if not len(pdf):
+                continue
+            x = np.array([[np.nan if c is None else c for c in v] for v in pdf["v"]], float) - mean
+            there = np.isfinite(x)
+            x, t = np.where(there, x, 0.0), there.astype(float)
+            full = (t.T @ t, x.T @ t, t.T @ x, (x * x).T @ t, t.T @ (x * x), x.T @ x)
+            s, rows = s + np.stack([f[i, j] for f in full]), rows + len(x)
+        if rows:
+            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), **dict(zip("n a b aa bb ab".split(), s, strict=True))})
+
+    sums = df.select("v").mapInPandas(partial, "i int, j int, n double, a double, b double, aa double, bb double, ab double").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")))
+    va, vb, cov = (F.col(xy) - F.col(x) * F.col(y) / F.col("n") for x, y, xy in (("a", "a", "aa"), ("b", "b", "bb"), ("a", "b", "ab")))
+    noise = F.array(*(F.lit((4.5e-16 * m) ** 2) for m in mean.tolist()))  # of a value next to its column's mean, squared
+    varies = (va > F.element_at(noise, F.col("i") + 1) * F.col("n")) & (vb > F.element_at(noise, F.col("j") + 1) * F.col("n"))
+    return sums.select("i", "j", F.when(varies, cov / (F.sqrt(va) * F.sqrt(vb))).alias("corr"))
 
 
 def safe_corr(x: Column, y: Column) -> Column:

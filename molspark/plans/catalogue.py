@@ -6,16 +6,18 @@ or bonds; embeddings are the feature matrix; ten times the discount is the score
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import autoencoder, buckets, density, entities, neighbors, ordering, som, stats
-from ..schema import EDGES, FEATURES
+from ..schema import EDGES, FEATURES, RADII
 from ..sources import tables
 from ..sources.smiles import parse_smiles
-from ..sources.tables import table
+from ..sources.tables import Config, table
 from ..streaming import history
+from . import molecules as hand
 from . import pipelines
 
 QUERIES: dict = {}
@@ -223,16 +225,9 @@ VEC = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE
 KNN = f"{VEC}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, {D2} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS rank FROM p) WHERE rank <= 10)"
 
 
-@query(f"WITH {VEC}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, {D2} AS d2 FROM e a JOIN e b ON a.vec_id < 50 AND b.vec_id >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS k FROM p) SELECT query, id, label, round(d2, 6) AS d2 FROM r WHERE k = 1")
-def nearest_neighbor_label(spark, d):
-    e = emb(spark, d)
-    near = neighbors.nearest(e.where("id >= 50"), e.where("id < 50"))
-    return near.join(e.select("id", "label"), "id").select("query", "id", "label", r6("d2").alias("d2"))
-
-
 @query(f"WITH {VEC}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, {D2} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS k FROM p) SELECT query, id, label, round(d2, 6) AS d2 FROM r WHERE k = 1")
-def nearest_neighbor_label_all(spark, d):
-    """Every row's nearest other row; ``nearest_neighbor_label`` holds rows 0 to 49 against the others, as its SQL does."""
+def nearest_neighbor_label(spark, d):
+    """Every row's nearest other row."""
     e = emb(spark, d)
     near = neighbors.nearest(e, e, 1, other_only=True)
     return near.join(e.select("id", "label"), "id").select("query", "id", "label", r6("d2").alias("d2"))
@@ -293,39 +288,48 @@ def _weights(name: str, inputs: int, outputs: int, step: str) -> str:
     return f"{name} AS (SELECT i.range AS dim, j.range AS unit, sin((i.range * {outputs} + j.range + 1)::DOUBLE) * {step}::DOUBLE AS w FROM range({inputs}) i, range({outputs}) j)"
 
 
-def _layer(spark, inputs: int, outputs: int, step: float):
-    w = spark.createDataFrame(pipelines.fixed_weights(inputs, outputs, step), "dim int, unit int, w double")
-    return w, spark.range(outputs).select(F.col("id").cast("int").alias("unit"), (F.col("id").cast("double") / F.lit(100.0)).alias("b"))
+def _net(activation: str = "tanh") -> autoencoder.Network:
+    """64 to 8 and back, with weights and biases from a rule."""
+
+    def layer(inputs: int, outputs: int):
+        at = np.arange(inputs * outputs, dtype=float).reshape(inputs, outputs)
+        return np.sin(at + 1) * 0.3, np.arange(outputs) / 100.0
+
+    return autoencoder.Network(DIM, (8,), activation, [layer(DIM, 8), layer(8, DIM)])
 
 
 _ENC = f"l AS ({LONG}), {_weights('w1', 64, 8, '0.3')}, {_weights('w2', 8, 64, '0.3')}, enc AS (SELECT id, unit AS dim, {{act}} AS x FROM (SELECT id, unit, sum(x * w) + unit::DOUBLE / 100::DOUBLE AS s FROM l JOIN w1 USING (dim) GROUP BY id, unit)), dec AS (SELECT id, unit AS dim, tanh(s) AS x FROM (SELECT id, unit, sum(x * w) + unit::DOUBLE / 100::DOUBLE AS s FROM enc JOIN w2 USING (dim) GROUP BY id, unit))"
 TANH = _ENC.replace("{act}", "tanh(s)")
 
 
-def _encoded(spark, d, act=F.tanh):
-    return autoencoder.dense(stats.long_form(emb(spark, d)), *_layer(spark, 64, 8, 0.3), act)
+def _through(spark, d, part: str, activation: str = "tanh"):
+    out = autoencoder.apply_network(emb(spark, d), _net(activation), part)
+    return stats.long_form(out).select("id", "dim", r6("x").alias("x"))
 
 
 @query(f"WITH {TANH} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM enc")
 def linear_tanh_forward(spark, d):
-    return _encoded(spark, d).select("id", "dim", r6("x").alias("x"))
+    return _through(spark, d, "encode")
 
 
 @query(f"WITH {_ENC.replace('{act}', 'greatest(0::DOUBLE, s)')} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM enc")
 def relu_forward(spark, d):
-    return _encoded(spark, d, scalar.relu).select("id", "dim", r6("x").alias("x"))
+    return _through(spark, d, "encode", "relu")
+
+
+@query(f"WITH {_ENC.replace('{act}', 'greatest(0::DOUBLE, s)').replace('tanh(s) AS x', 's AS x')} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM dec")
+def relu_decoder_forward(spark, d):
+    return _through(spark, d, "both", "relu")
 
 
 @query(f"WITH {TANH} SELECT id, dim::INT AS dim, round(x, 6) AS x FROM dec")
 def decoder_forward(spark, d):
-    return autoencoder.dense(_encoded(spark, d), *_layer(spark, 8, 64, 0.3), F.tanh).select("id", "dim", r6("x").alias("x"))
+    return _through(spark, d, "both")
 
 
 @query(f"WITH {TANH} SELECT round(avg((l.x - dec.x) * (l.x - dec.x)), 8) AS mse FROM l JOIN dec ON l.id = dec.id AND l.dim = dec.dim")
 def mse_loss(spark, d):
-    a = stats.long_form(emb(spark, d))
-    b = autoencoder.dense(_encoded(spark, d), *_layer(spark, 8, 64, 0.3), F.tanh).withColumnRenamed("x", "y")
-    return a.join(b, ["id", "dim"]).agg(r6(F.avg((F.col("x") - F.col("y")) ** 2), 8).alias("mse"))
+    return autoencoder.mse(emb(spark, d), _net()).select(r6("mse", 8).alias("mse"))
 
 
 @query("SELECT * FROM (VALUES (0, 28, 16, 464), (1, 16, 8, 136), (2, 8, 16, 144), (3, 16, 28, 476)) AS t(layer, inputs, outputs, params)")
@@ -411,50 +415,147 @@ def append_history(spark, d):
 
 
 # ---- molecules
-SMILES = ["CCO", "C=C", "C#N", "C1CCCCC1", "c1ccccc1", "CCCl", "ClCC", "C", "[Na+].[Cl-]", "not_a_smiles", "C1=CC=CC=C1", "CC(=O)N", "F/C=C/F", "N[C@@H](C)C(=O)O"]
+def molecules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, s, (i * 0.07 + 0.05) % 1) for i, s in enumerate(hand.SMILES)], "mol_id long, smiles string, qed double")
 
 
-def molecules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, s, (i * 0.07 + 0.05) % 1) for i, s in enumerate(SMILES)], "mol_id long, smiles string, qed double")
+def _values(rows: list[tuple], columns: str) -> str:
+    cell = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x).lower()
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
-@query("SELECT mol_id::BIGINT AS mol_id, atoms, bonds FROM (VALUES (0, 3, 2), (1, 2, 1), (2, 2, 1), (3, 6, 6), (4, 6, 6), (5, 3, 2), (6, 3, 2), (7, 1, 0), (8, 2, 0), (9, 0, 0), (10, 6, 6), (11, 4, 3), (12, 4, 3), (13, 6, 5)) AS t(mol_id, atoms, bonds)")
+@query(f"SELECT mol_id::BIGINT AS mol_id, atoms, bonds, readable FROM {_values([(m, len([r for r in hand.atom_rows() if r[0] == m]), sum(r[1] for r in hand.bond_rows() if r[0] == m), m in hand.ATOMS) for m in range(len(hand.SMILES))], 'mol_id, atoms, bonds, readable')}")
 def smiles_counts(spark, d):
-    return parse_smiles(molecules(spark)).select("mol_id", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds"))
+    return parse_smiles(molecules(spark)).select("mol_id", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds"), F.col("error").isNull().alias("readable"))
 
 
-@query("SELECT mol_id::BIGINT AS mol_id, idx, symbol, hybridization FROM (VALUES (0, 0, 'C', 'SP3'), (0, 1, 'C', 'SP3'), (0, 2, 'O', 'SP3'), (1, 0, 'C', 'SP2'), (1, 1, 'C', 'SP2'), (2, 0, 'C', 'SP'), (2, 1, 'N', 'SP'), (5, 0, 'C', 'SP3'), (5, 1, 'C', 'SP3'), (5, 2, 'Cl', 'SP3'), (7, 0, 'C', 'SP3')) AS t(mol_id, idx, symbol, hybridization)")
+@query(f"SELECT mol_id::BIGINT AS mol_id, * EXCLUDE (mol_id) FROM {_values(hand.atom_rows(), 'mol_id, idx, symbol, hybridization, charge, degree, hydrogens, chirality')}")
 def smiles_atoms(spark, d):
-    rows = parse_smiles(molecules(spark)).where("mol_id in (0, 1, 2, 5, 7)").select("mol_id", F.inline("atoms"))
-    return rows.select("mol_id", "idx", "symbol", "hybridization")
+    return parse_smiles(molecules(spark)).select("mol_id", F.inline("atoms")).select("mol_id", "idx", "symbol", "hybridization", "charge", "degree", "hydrogens", "chirality")
 
 
-@query("SELECT mol_id::BIGINT AS mol_id, kind, conjugated, in_ring, stereo, n::BIGINT AS n FROM (VALUES (3, 'SINGLE', false, true, 'STEREONONE', 6), (4, 'AROMATIC', true, true, 'STEREONONE', 6), (10, 'AROMATIC', true, true, 'STEREONONE', 6), (12, 'SINGLE', false, false, 'STEREONONE', 2), (12, 'DOUBLE', false, false, 'STEREOE', 1)) AS t(mol_id, kind, conjugated, in_ring, stereo, n)")
+@query(f"SELECT mol_id::BIGINT AS mol_id, kind, conjugated, in_ring, stereo, n::BIGINT AS n FROM {_values(hand.bond_rows(), 'mol_id, n, kind, conjugated, in_ring, stereo')}")
 def smiles_bonds(spark, d):
-    rows = parse_smiles(molecules(spark)).where("mol_id in (3, 4, 10, 12)").select("mol_id", F.inline("bonds"))
+    rows = parse_smiles(molecules(spark)).select("mol_id", F.inline("bonds"))
     return rows.groupBy("mol_id", "kind", "conjugated", "in_ring", "stereo").agg(F.count("*").alias("n"))
 
 
-_GOLD = {0: dict(atom_C=2, hyb_SP3=2, total_CHI_UNSPECIFIED=2, atomic_mass=0.020656, total_single=2, total_STEREONONE=2), 1: dict(atom_C=1, hyb_SP2=1, total_CHI_UNSPECIFIED=1, atomic_mass=0.010328, total_double=1, total_STEREONONE=1), 2: dict(atom_C=1, hyb_SP=1, total_CHI_UNSPECIFIED=1, atomic_mass=0.010328, total_triple=1, total_STEREONONE=1), 3: dict(atom_C=5, hyb_SP3=5, total_atom_in_ring=5, total_CHI_UNSPECIFIED=5, atomic_mass=0.05164, total_single=6, total_bond_in_ring=6, total_STEREONONE=6), 4: dict(atom_C=5, hyb_SP2=5, total_atom_in_ring=5, total_atom_in_aromatic_ring=5, total_CHI_UNSPECIFIED=5, atomic_mass=0.05164, total_aromatic=6, total_conjugated_bond=6, total_bond_in_ring=6, total_STEREONONE=6), 5: dict(atom_C=2, hyb_SP3=2, total_CHI_UNSPECIFIED=2, atomic_mass=0.020656, total_single=2, total_STEREONONE=2), 6: dict(atom_Cl=1, atom_C=1, hyb_SP3=2, total_CHI_UNSPECIFIED=2, atomic_mass=0.222582, total_single=2, total_STEREONONE=2), 7: {}}
+_GOLD = hand.features()
+_GOLD_SQL = "SELECT m::BIGINT AS mol_id, " + ", ".join(f"coalesce({f}, 0::DOUBLE) AS {f}" for f in FEATURES) + " FROM " + _values([(m, *(float(g.get(f, 0)) for f in FEATURES)) for m, g in _GOLD.items()], ", ".join(["m", *FEATURES]))
+_KEPT = [f for f in FEATURES if len({g.get(f, 0) for m, g in _GOLD.items() if m in hand.ATOMS}) > 1]
 
 
-@query(" UNION ALL ".join(f"SELECT {m}::BIGINT AS mol_id, " + ", ".join(f"{float(g.get(f, 0))}::DOUBLE AS {f}" for f in FEATURES) for m, g in _GOLD.items()))
+@query(f"SELECT mol_id, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM ({_GOLD_SQL})")
 def smiles_features(spark, d):
-    got = entities.featurize(parse_smiles(molecules(spark).where("mol_id < 8")))
+    got = entities.featurize(parse_smiles(molecules(spark)))
     return got.select("mol_id", *(r6(f).alias(f) for f in FEATURES))
 
 
-@query()
+@query(f"SELECT symbol, round((vdw - 1.5::DOUBLE) / 0.6::DOUBLE, 6) AS vdw_scaled, round((covalent - 0.64::DOUBLE) / 0.76::DOUBLE, 6) AS covalent_scaled FROM (SELECT DISTINCT symbol FROM {_values(hand.atom_rows(), 'mol_id, idx, symbol, hybridization, charge, degree, hydrogens, chirality')}) LEFT JOIN (SELECT * FROM {_values([(s, float(a), float(b)) for s, (a, b) in RADII.items()], 'name, vdw, covalent')}) ON symbol = name")
+def smiles_radii(spark, d):
+    rows = parse_smiles(molecules(spark)).select(F.inline("atoms")).select("symbol").distinct()
+    vdw, covalent = entities.radii(F.col("symbol"))
+    return rows.select("symbol", r6(vdw).alias("vdw_scaled"), r6(covalent).alias("covalent_scaled"))
+
+
+_CLEAN = ", ".join(f"round((t.{f} - avg(t.{f}) OVER ()) / stddev_pop(t.{f}) OVER (), 6) AS {f}" for f in _KEPT)
+
+
+@query(f"SELECT mol_id AS id, (mol_id * 0.07::DOUBLE + 0.05::DOUBLE) % 1::DOUBLE AS label, {_CLEAN} FROM ({_GOLD_SQL}) t WHERE mol_id IN ({', '.join(map(str, hand.ATOMS))})")
 def clean_pipeline(spark, d):
     rows, _, kept = pipelines.clean(molecules(spark))
-    return rows.select("id", "label", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(kept)))
+    return rows.select("id", "label", *(r6(F.get("v", F.lit(i))).alias(c) for i, c in enumerate(kept)))
+
+
+# ---- plans from files to files
+CODES = {"F": 0, "O": 1}
+PRICED = ["o_totalprice", "o_custkey"]
+
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in PRICED) + ", CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END::INT AS label FROM orders")
+def load_and_preprocess(spark, d):
+    """A CSV file of features and a label to scaled features and a code."""
+    path = tables.shared_folder(spark)
+    tables.write_csv(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *(F.col(c).cast("double") for c in PRICED), F.col("o_orderstatus").alias("label")), path)
+    rows, _ = pipelines.load_and_preprocess(spark, path, PRICED, CODES)
+    return rows.select("id", *(r6(F.get("v", F.lit(i))).alias(c) for i, c in enumerate(PRICED)), "label")
+
+
+def _files(spark, d) -> tuple[str, list[str]]:
+    """The embeddings as the two CSV files that the plans start from: clean features, and scores by id."""
+    path, names = tables.shared_folder(spark), [f"f{i}" for i in range(DIM)]
+    rows = emb(spark, d)
+    tables.write_csv(rows.select("id", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(names)), F.col("label").cast("string").alias("label")), f"{path}/features")
+    tables.write_csv(rows.select("id", (F.col("label") / F.lit(10.0)).alias("qed")), f"{path}/scores")
+    return path, names
+
+
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY md5(concat(vec_id::VARCHAR, '|42')), vec_id) <= ceil(0.3::DOUBLE * (SELECT count(*) FROM embeddings)) AS is_test, 8 AS width, true AS saved FROM embeddings")
+def train_from_files(spark, d):
+    """Load, split, train with a checkpoint on improvement, encode both parts: a row for each row of the file, with its part, its
+    code's width and whether the saved network gives the same code."""
+    path, names = _files(spark, d)
+    rows, _ = pipelines.load_and_preprocess(spark, f"{path}/features", names, {str(k): k for k in range(10)})
+    _, past, codes = pipelines.run_train(rows, Config(hidden_sizes=(16, 8), epochs=3, learning_rate=1e-2, steps=2), f"{path}/out")
+    saved = autoencoder.Network(DIM, (16, 8)).load(spark, f"{path}/out/model")
+    again = autoencoder.apply_network(rows, saved, "encode").withColumnsRenamed({"id": "own", "v": "w"})
+    same = F.aggregate(F.zip_with("v", "w", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) < 1e-9
+    kept = history.read_history(spark, f"{path}/out/training_losses").where("epoch between 1 and 3").count() == len(past)
+    return codes.join(again, F.col("id") == F.col("own")).select("id", "is_test", F.size("v").alias("width"), (same & F.lit(kept)).alias("saved"))
+
+
+@query(f"SELECT bucket::INT AS bucket, count(*) AS labeled, 16::BIGINT AS decoded, count(*) AS matrix, count(*) AS tokenized, 128::BIGINT AS centers FROM embeddings JOIN {LIMITS} ON label / 10::DOUBLE >= lo AND label / 10::DOUBLE < hi GROUP BY bucket")
+def cluster_from_files(spark, d):
+    """Two CSV files and a saved network to the five outputs of each range; their numbers of rows, as read back."""
+    path, names = _files(spark, d)
+    autoencoder.Network(DIM, (16, 8)).start().save(spark, f"{path}/model")
+    config = Config(hidden_sizes=(16, 8), som_epochs=2)
+    pipelines.train_som(spark, f"{path}/scores", f"{path}/features", f"{path}/model", names, config, f"{path}/out", 4, 4)
+    out, wide = None, ", ".join(f"`{i}` double" for i in range(DIM))
+    for k, _, _ in buckets.limits():
+        at = f"{path}/out/group_{k}"
+        read = {"labeled": tables.read_csv(spark, f"{at}/labeled_data", f"{wide}, label int"), "decoded": tables.read_csv(spark, f"{at}/decoded_data", wide), "matrix": tables.read_csv(spark, f"{at}/matrix_data", wide)}
+        read |= {"tokenized": tables.read_csv(spark, f"{at}/tokenized_data", ", ".join(f"`{i}` float" for i in range(8))), "centers": spark.read.parquet(f"{at}/cluster_center")}
+        row = spark.range(1).select(F.lit(k).alias("bucket"), *(F.lit(df.count()).cast("long").alias(c) for c, df in read.items()))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT row_number() OVER (ORDER BY bucket, n) - 1 AS index, bucket, n FROM (SELECT bucket::INT AS bucket, count(*) AS n FROM lineitem JOIN " + LIMITS + f" ON {SCORE} >= lo AND {SCORE} < hi GROUP BY bucket)")
+def index_sheet(spark, d):
+    """A small result as a CSV file with row numbers, read back."""
+    path = tables.shared_folder(spark)
+    tables.write_csv(range_bucket_profile(spark, d).select("bucket", "n"), path, index=True)
+    return tables.read_csv(spark, path, "index long, bucket int, n long")
+
+
+@query("SELECT concat_ws(chr(9), layer, inputs, outputs, params) AS line FROM (VALUES (0, 28, 16, 464), (1, 16, 8, 136), (2, 8, 16, 144), (3, 16, 28, 476)) AS t(layer, inputs, outputs, params)")
+def summary_report(spark, d):
+    """The network's layers as a text file, read back."""
+    path = tables.shared_folder(spark)
+    tables.write_report(param_count_summary(spark, d), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(f"SELECT id, dim, x::FLOAT AS x FROM ({LONG})")
+def float_cast(spark, d):
+    return stats.long_form(emb(spark, d)).select("id", "dim", F.col("x").cast("float").alias("x"))
+
+
+@query(f"""WITH {VEC}, s AS ({SCALE}), z AS (SELECT id, label, dim, (x - mu) / sd * sd + mu AS x FROM ({LONG}) JOIN s USING (dim))
+ SELECT dim, round(corr(x, label::DOUBLE), 6) AS corr FROM z GROUP BY dim""")
+def center_correlation(spark, d):
+    """Correlation with the score over the unscaled rows of all groups together."""
+    rows, scale = pipelines.scaled(emb(spark, d), DIM)
+    back = stats.unscaled(rows, scale).withColumn("score", F.col("label").cast("double"))
+    return pipelines.center_correlation(back, DIM).select("dim", r6("corr").alias("corr"))
 
 
 @query()
 def cluster_pipeline(spark, d):
-    """Encode, cluster by range, decode, and look up each center's nearest row."""
+    """Train on the rows, cluster their codes by range, decode, and look up each center's nearest row."""
     rows = emb(spark, d).select("id", "v", (F.col("label") / F.lit(10.0)).alias("score"))
-    net = autoencoder.Network(DIM, (16, 8)).start()
+    net, _, _ = pipelines.run_train(rows.select("id", "v"), Config(hidden_sizes=(16, 8), epochs=8, learning_rate=1e-2))
     _, centers = pipelines.cluster_ranges(spark, rows, "score", net, 4, 4, epochs=2)
     _, scored = pipelines.explain(centers, stats.scaler_stats(rows, DIM), rows, "score")
     return scored.select("bucket", "neuron", "score")

@@ -1,63 +1,125 @@
-"""Whole plans: clean, train, cluster by range, explain."""
+"""Whole plans: clean, load, train, cluster by range, explain; with the files that they read and write."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import lookup
 from ..operators import autoencoder, buckets, entities, neighbors, ordering, som, stats
 from ..schema import EDGES, FEATURES
+from ..sources import tables
 from ..sources.smiles import parse_smiles
-from ..sources.tables import Config
+from ..sources.tables import LOG, Config
+from ..streaming import history
+
+
+def scaled(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with v standardized in place, and the scaler's (dim, mu, sd)."""
+    scale = stats.scaler_stats(rows, n)
+    found = scale.orderBy("dim").collect()  # a row a feature
+    mu, sd = (F.array(*(F.lit(r[c]) for r in found)) for c in ("mu", "sd"))
+    z = F.zip_with(F.zip_with("v", mu, lambda x, m: x - m), sd, lambda x, s: x / s)
+    return rows.withColumn("v", z), scale
 
 
 def clean(molecules: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """(id, v, label) standardized, the scaler's (dim, mu, sd), and the features kept: those that vary.
 
-    molecules: (mol_id, smiles, qed); the score travels with its row, so no join by position is needed.
+    molecules: (mol_id, smiles, qed); the score travels with its row, so no join by position or id is needed.
     """
-    raw = entities.featurize(parse_smiles(molecules)).where("error is null")
-    wide = raw.join(molecules.select("mol_id", "qed"), "mol_id").persist()
-    spread = wide.agg(*(F.stddev_pop(c).alias(c) for c in FEATURES)).first()
+    parsed = parse_smiles(molecules, keep=("qed",))
+    raw = entities.featurize(parsed, keep=("qed",)).where("error is null")
+    spread = raw.agg(*(F.stddev_pop(c).alias(c) for c in FEATURES)).first()
     kept = [c for c in FEATURES if (spread[c] or 0) > 0]
-    rows = wide.select(F.col("mol_id").alias("id"), F.array(*kept).alias("v"), F.col("qed").alias("label"))
-    scale = stats.scaler_stats(rows, len(kept))
-    mu, sd = ([r[c] for r in scale.orderBy("dim").collect()] for c in ("mu", "sd"))
-    z = F.zip_with(F.zip_with("v", F.array(*map(F.lit, mu)), lambda x, m: x - m), F.array(*map(F.lit, sd)), lambda x, s: x / s)
-    return rows.withColumn("v", z), scale, kept
+    rows = raw.select(F.col("mol_id").alias("id"), F.array(*kept).alias("v"), F.col("qed").alias("label"))
+    return *scaled(rows, len(kept)), kept
+
+
+def load_and_preprocess(spark: SparkSession, path: str, features: list[str], encoder: dict[str, int] | None = None, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(id, v, label) of a CSV file and the scaler's (dim, mu, sd): the label by ``encoder`` (null for one that it lacks; as a
+    number without an encoder), the features standardized. id is the row's place by the file's ``id`` column."""
+    kind = "string" if encoder else "double"
+    rows = tables.read_csv(spark, path, ", ".join(["id long", *(f"`{f}` double" for f in features), f"`{label}` {kind}"]))
+    code = lookup(F.col(label), encoder) if encoder else F.col(label)
+    out = scaled(rows.select("id", F.array(*(f"`{f}`" for f in features)).alias("v"), code.alias("label")), len(features))
+    LOG.info("data loaded and scaled from %s", path)
+    return out
 
 
-def run_train(rows: DataFrame, config: Config) -> tuple[autoencoder.Network, list[tuple[int, float, float]]]:
-    """The best network on the held-out share of (id, v), and its history."""
+def run_train(rows: DataFrame, config: Config, folder: str | None = None) -> tuple[autoencoder.Network, list[tuple[int, float, float]], DataFrame]:
+    """The best network on the held-out share of (id, v), its history, and (id, v, is_test): all rows' codes.
+
+    With a folder it keeps there: ``summary`` (the layers), ``training_losses`` (a row an epoch, as epochs end),
+    ``model`` (overwritten whenever the validation loss improves) and ``encoded``.
+    """
+    spark = rows.sparkSession
     split = ordering.exact_split(rows, "id", config.test_share, config.seed)
     net = autoencoder.Network(stats.width(rows), config.hidden_sizes).start(config.seed)
-    _, best, history = autoencoder.train(split.where("not is_test"), split.where("is_test"), net, config.epochs, config.learning_rate, config.weight_decay, config.step_size, config.gamma)
-    return best, history
+    if folder:
+        tables.write_report(autoencoder.summary(spark, net), f"{folder}/summary")
+
+    def keep(epoch: int, loss: float, val: float, now: autoencoder.Network, better: bool) -> None:
+        LOG.info("epoch %d of %d: %.4f, validation %.4f", epoch + 1, config.epochs, loss, val)
+        if folder:
+            history.append_history(spark, f"{folder}/training_losses", [(epoch + 1, float(loss), float(val))])
+            if better:
+                now.save(spark, f"{folder}/model")
+
+    _, best, past = autoencoder.train(split.where("not is_test"), split.where("is_test"), net, config.epochs, config.learning_rate, config.weight_decay, config.step_size, config.gamma, config.steps, keep)
+    codes = autoencoder.apply_network(split, best, "encode", "is_test")
+    if folder:
+        codes.write.mode("overwrite").parquet(f"{folder}/encoded")
+        codes = spark.read.schema(codes.schema).parquet(f"{folder}/encoded")
+    return best, past, codes
 
 
-def cluster_ranges(spark: SparkSession, rows: DataFrame, score: str, net: autoencoder.Network, m: int = 10, n: int = 10, epochs: int = 10, warm_start: bool = False, edges=EDGES) -> tuple[DataFrame, DataFrame]:
+def cluster_ranges(spark: SparkSession, rows: DataFrame, score: str, net: autoencoder.Network, m: int = 10, n: int = 10, epochs: int = 10, warm_start: bool = False, edges=EDGES, folder: str | None = None, start: str = "first", rate: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """For each range of the score: encode, fit a map, label. Returns (bucket, id, score, neuron) and the decoded
-    centers (bucket, neuron, v). One pass assigns all ranges; rows outside of them are left out."""
-    own = rows.withColumn("bucket", buckets.bucket(F.col(score), edges)).where("bucket is not null").persist()
-    labels, centers, last = None, [], None
+    centers (bucket, neuron, v). Rows outside of the ranges are left out, ranges without rows too.
+
+    With a folder it writes, by range (``group_k``): ``labeled_data`` (features, label), ``decoded_data`` (the decoded
+    centers), ``matrix_data`` (features by number), ``tokenized_data`` (codes as floats), all CSV, and ``cluster_center``.
+    """
+    own = rows.withColumn("bucket", buckets.bucket(F.col(score), edges)).where("bucket is not null")
+    width, labels, centers, last = net.width, None, [], None
     for k, _, _ in buckets.limits(edges):
         part = own.where(F.col("bucket") == k)
-        codes = autoencoder.apply_network(part, net, "encode")
         if part.isEmpty():
             continue
-        last, _ = som.train(codes, m, n, epochs, start=last if warm_start else None)
+        codes = autoencoder.apply_network(part, net, "encode")
+        LOG.info("range %d", k)
+        last, _ = som.train(codes, m, n, epochs, start=last if warm_start and last is not None else som.starting(codes, m * n, start), rate=rate)
         got = som.bmu(codes, last).select("id", "neuron", F.lit(k).alias("bucket"))
         labels = got if labels is None else labels.unionByName(got)
-        centers += [(k, i, [float(x) for x in v]) for i, v in enumerate(net.decode(last))]
+        decoded = net.decode(last)
+        centers += [(k, i, [float(x) for x in v]) for i, v in enumerate(decoded)]
+        if folder:
+            wide = lambda n, kind="double": [F.get("v", F.lit(i)).cast(kind).alias(str(i)) for i in range(n)]
+            at = f"{folder}/group_{k}"
+            tables.write_csv(part.join(got, "id").select(*wide(width), F.col("neuron").alias("label")), f"{at}/labeled_data")
+            tables.write_csv(spark.createDataFrame(decoded.tolist(), ", ".join(f"`{i}` double" for i in range(width))), f"{at}/decoded_data")
+            tables.write_csv(part.select(*wide(width)), f"{at}/matrix_data")
+            tables.write_csv(codes.select(*wide(last.shape[1], "float")), f"{at}/tokenized_data")
+            som.neuron_table(spark, last).coalesce(1).write.mode("overwrite").parquet(f"{at}/cluster_center")
     labels = labels if labels is not None else spark.createDataFrame([], "id long, neuron int, bucket int")
     return labels.join(own.select("id", score), "id"), spark.createDataFrame(centers, "bucket int, neuron int, v array<double>")
 
 
+def train_som(spark: SparkSession, scores_path: str, clean_path: str, model_path: str, features: list[str], config: Config, folder: str, m: int = 10, n: int = 10, start: str = "kde", rate: float = 0.5, edges=EDGES) -> tuple[DataFrame, DataFrame]:
+    """From files to files: the clean features (id, features) with the scores (id, qed) of another CSV file, a saved network, and
+    cluster_ranges() over them. Rows meet by id; one without a score is in no range."""
+    net = autoencoder.Network(len(features), config.hidden_sizes).load(spark, model_path)
+    LOG.info("network loaded from %s", model_path)
+    rows = tables.read_csv(spark, clean_path, ", ".join(["id long", *(f"`{f}` double" for f in features)]))
+    scores = tables.read_csv(spark, scores_path, "id long, qed double")
+    rows = rows.select("id", F.array(*(f"`{f}`" for f in features)).alias("v")).join(scores, "id", "left").withColumnRenamed("qed", "score")
+    return cluster_ranges(spark, rows, "score", net, m, n, config.som_epochs, False, edges, folder, start, rate)
+
+
 def explain(centers: DataFrame, scale: DataFrame, rows: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
-    """Means and deviations of the unscaled centers by range, and each center with the score of its nearest row."""
-    mu, sd = (F.array(*(F.lit(r[c]) for r in scale.orderBy("dim").collect())) for c in ("mu", "sd"))
-    back = centers.withColumn("v", F.zip_with(F.zip_with("v", sd, lambda x, s: x * s), mu, lambda x, m: x + m))
+    """Means and deviations of the unscaled centers by range, and each center (unscaled v) with the score of its nearest row."""
+    back = stats.unscaled(centers, scale)
     n = stats.width(back)
     near = neighbors.nearest(rows.select("id", "v"), centers.select((F.col("bucket") * 100_000 + F.col("neuron")).cast("long").alias("id"), "v"))
     scored = near.join(rows.select("id", F.col(score).alias("score")), "id").select((F.col("query") / 100_000).cast("int").alias("bucket"), (F.col("query") % 100_000).cast("int").alias("neuron"), "score")
@@ -65,9 +127,5 @@ def explain(centers: DataFrame, scale: DataFrame, rows: DataFrame, score: str) -
 
 
 def center_correlation(centers: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """(dim, corr): of each feature with the score, over the centers of all ranges together."""
     return stats.correlation_with(centers, n, score)
-
-
-def fixed_weights(inputs: int, outputs: int, step: float) -> list[tuple[int, int, float]]:
-    """Weights from a rule, for plans that any engine repeats."""
-    return [(i, j, float(np.sin(i * outputs + j + 1)) * step) for i in range(inputs) for j in range(outputs)]

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ast
+import logging
 import os
 import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LOG = logging.getLogger("molspark")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -26,11 +30,15 @@ class Config:
     test_share: float = 0.3
     seed: int = 42
     som_epochs: int = 128
+    steps: int = 1
     column_encoder: dict = field(default_factory=dict)
+    dataset: str = ""
+    model_path: str = ""
 
     @classmethod
     def from_env(cls) -> Config:
         found = {k: ast.literal_eval(v) for k, v in (("hidden_sizes", os.getenv("AUTOENCODER_HIDDEN_SIZE")), ("column_encoder", os.getenv("COLUMN_ENCODER"))) if v}
+        found |= {k: v for k, v in (("dataset", os.getenv("TRAIN_DATASET_PATH")), ("model_path", os.getenv("AUTOENCODER_MODEL_PATH"))) if v}
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
 
 
@@ -39,19 +47,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path below spark.checkpoint.dir, which driver and executors share; a local one only where none is set and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/molspark-{uuid.uuid4().hex}"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """A typed scan of CSV files with a header. A missing path is logged and raises Spark's PATH_NOT_FOUND at once."""
+    try:
+        return spark.read.schema(schema).option("header", True).csv(path)
+    except AnalysisException as e:
+        LOG.error("can't read %s: %s", path, e.getCondition())
+        raise
+
+
+def log_to(path: str) -> logging.Handler:
+    """Sends what the package logs to a file of the driver as well; returns the handler, for ``LOG.removeHandler``."""
+    handler = logging.FileHandler(path)
+    handler.setFormatter(logging.Formatter("%(asctime)s - %(levelname)s - %(message)s"))
+    LOG.addHandler(handler)
+    LOG.setLevel(logging.INFO)
+    return handler
 
 
 def write_csv(df: DataFrame, path: str, index: bool = False) -> None:
-    """Overwrites. index: with a leading row number, as for spreadsheets; small results only, as it sorts by it."""
+    """Overwrites. index: with a leading row number from 0 in the order of the columns, as for spreadsheets; that is for
+    small results, which go to one file."""
     if index:
-        df = df.select(F.monotonically_increasing_id().alias("index"), "*")
+        order = Window.orderBy(*df.columns)
+        df = df.select((F.row_number().over(order) - 1).cast("long").alias("index"), "*").coalesce(1).sortWithinPartitions("index")
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

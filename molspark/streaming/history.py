@@ -1,4 +1,4 @@
-"""A training history that grows by one row an epoch, and can be followed as a stream."""
+"""A training history that grows by one row an epoch."""
 
 from __future__ import annotations
 
@@ -13,8 +13,3 @@ def append_history(spark: SparkSession, path: str, rows: list[tuple[int, float,
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
-
-
-def follow_history(spark: SparkSession, path: str) -> DataFrame:
-    """Rows as epochs append them."""
-    return spark.readStream.schema(SCHEMA).parquet(path)

@@ -1,8 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from molspark.operators import autoencoder, density, ordering
+from molspark.operators import autoencoder, density, entities, neighbors, ordering, som, stats
 from molspark.plans.catalogue import ORACLES, QUERIES
+from molspark.sources import tables
 from molspark.sources.smiles import parse
 
 
@@ -11,7 +14,7 @@ def test_query_agrees(spark, data, agree, name):
     agree(QUERIES[name](spark, data), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["clean_pipeline", "umap_layout"])
+@pytest.mark.parametrize("name", ["umap_layout", "som_train"])
 def test_query_has_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
@@ -23,7 +26,7 @@ def test_every_row_gets_a_neighbour_label(spark, data):
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d2, np.inf)
     want = {int(i): int(ids[np.lexsort((ids, d))[0]]) for i, d in zip(ids, d2, strict=True)}
-    got = QUERIES["nearest_neighbor_label_all"](spark, data).collect()
+    got = QUERIES["nearest_neighbor_label"](spark, data).collect()
     assert len(got) == len(rows) and {r["query"]: r.id for r in got} == want and all(r.label == label[r.id] for r in got)
     assert any(r.id < 50 for r in got)
 
@@ -80,6 +83,130 @@ def test_smiles_errors_and_order():
     assert error is None and all(a["aromatic"] for a in atoms) and {b["kind"] for b in bonds} == {"AROMATIC"}
 
 
-def test_missing_file(spark):
+def test_missing_file_is_logged(spark, caplog):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        spark.read.parquet("/no/such/table.parquet")
+        tables.read_csv(spark, "/no/such/table.csv", "a int")
+    assert "/no/such/table.csv" in caplog.text and "PATH_NOT_FOUND" in caplog.text
+
+
+def test_log_file_and_settings(tmp_path, monkeypatch):
+    handler = tables.log_to(str(tmp_path / "run.log"))
+    tables.LOG.info("one line")
+    tables.LOG.removeHandler(handler)
+    assert "INFO - one line" in (tmp_path / "run.log").read_text()
+    for k, v in (("AUTOENCODER_HIDDEN_SIZE", "[12, 4]"), ("COLUMN_ENCODER", "{'a': 0}"), ("TRAIN_DATASET_PATH", "/x.csv"), ("AUTOENCODER_MODEL_PATH", "/m")):
+        monkeypatch.setenv(k, v)
+    got = tables.Config.from_env()
+    assert (got.hidden_sizes, got.column_encoder, got.dataset, got.model_path) == ((12, 4), {"a": 0}, "/x.csv", "/m")
+    monkeypatch.setenv("COLUMN_ENCODER", "__import__('os')")
+    with pytest.raises(ValueError):
+        tables.Config.from_env()
+
+
+def vectors(spark, x, ids=None):
+    return spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(range(len(x)) if ids is None else ids, x, strict=True)], "id long, v array<double>")
+
+
+@pytest.mark.parametrize("block", [10_000, 0])
+def test_nearest_brute(spark, monkeypatch, block):
+    """Queries held by every task, and both sides in blocks; ties to the smaller id."""
+    for name, n in (("BLOCK", block), ("QUERIES", 30), ("ROWS", 40)):
+        monkeypatch.setattr(neighbors, name, n)
+    x = np.random.default_rng(0).integers(0, 4, (150, 4)).astype(float)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    rows = vectors(spark, x)
+    got = {(r["query"], r["rank"]): (r.id, r.d2) for r in neighbors.nearest(rows, rows, 3, other_only=True).collect()}
+    assert got == {(i, k + 1): (int(j), d2[i, j]) for i in range(150) for k, j in enumerate(np.lexsort((np.arange(150), d2[i]))[:3])}
+
+
+def test_smooth_weights(spark):
+    graph = spark.createDataFrame([(q, 100 + i, float((q + 1) * (i + 1)) ** 2) for q in range(3) for i in range(10)] + [(9, 100 + i, 0.0) for i in range(10)], "query long, id long, d2 double")
+    got = neighbors.smooth_weights(graph).collect()
+    for q in range(3):
+        w = sorted((r.w for r in got if r["query"] == q), reverse=True)
+        assert w[0] == 1 and abs(sum(w) - np.log2(10)) < 1e-4
+    assert {r.w for r in got if r["query"] == 9} == {1.0}
+
+
+def test_positions_of_keys_far_apart(spark):
+    keys = [10**12 + i**3 for i in range(400)] + [5, 7, -3]
+    got = ordering.by_position(spark.createDataFrame([(k,) for k in keys], "k long").repartition(7), "k", rows=40).collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.row)] == sorted(keys) and sorted(r.row for r in got) == list(range(1, len(keys) + 1))
+    assert ordering.by_position(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_correlation_with_nulls_and_constants(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 5))
+    x[:, 1] += x[:, 0]
+    x[:, 2] = 0.1 + 0.2  # constant
+    x[:, 3] *= 1e-12  # small, but not constant
+    rows = [(i, [None if rng.random() < 0.2 and k != 2 else float(c) for k, c in enumerate(v)]) for i, v in enumerate(x)]
+    frame = pd.DataFrame([v for _, v in rows], dtype=float).corr()
+    for r in stats.correlation(spark.createDataFrame(rows, "id long, v array<double>"), 5).collect():
+        if 2 in (r.i, r.j):
+            assert r["corr"] is None
+        else:
+            assert abs(r["corr"] - frame.iloc[r.i, r.j]) < 1e-9
+
+
+def test_entity_sums_brute(spark):
+    rows = [(1, i, 1.0) for i in range(500)] + [(2, 1, 5.0), (2, 2, 6.0), (2, 2, 7.0), (3, 4, 1.0), (4, None, 2.0), (5, 1, None), (5, 2, 3.0)]
+    df = spark.createDataFrame(rows, "e long, i int, x double")
+    got = {r.e: (r.n, r.x) for r in entities.entity_sums(df, "e", "i", {"n": F.lit(1), "x": F.col("x")}, drop_last=True).collect()}
+    assert got == {1: (499, 499.0), 2: (1, 5.0), 3: (0, 0.0), 4: (0, 0.0), 5: (1, 0.0)}
+
+
+def test_adam_and_steps(spark):
+    """Two epochs of two steps against the update written out."""
+    x = np.random.default_rng(1).standard_normal((40, 5))
+    rows, net = vectors(spark, x), autoencoder.Network(5, (3,)).start(2)
+    share = {r.id: tuple(r)[1:] for r in rows.select("id", *(F.pmod(F.xxhash64("id", F.lit(e)), F.lit(2)) for e in range(2))).collect()}
+    last, best, past = autoencoder.train(rows, rows, net, epochs=2, rate=0.01, decay=0.1, step=1, steps=2)
+    w = [a.copy() for pair in net.layers for a in pair]
+    m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
+    for e in range(2):
+        for k in range(2):
+            own, t = [i for i in range(40) if share[i][e] == k], t + 1
+            g, _ = autoencoder.Network(5, (3,), "tanh", [(w[0], w[1]), (w[2], w[3])]).gradients(x[own])
+            for a, b, c, d in zip(w, g, m, v, strict=True):
+                b = b / len(own) + 0.1 * a
+                c += 0.1 * (b - c)
+                d += 0.001 * (b * b - d)
+                a -= 0.01 * 0.5**e * (c / (1 - 0.9**t)) / (np.sqrt(d / (1 - 0.999**t)) + 1e-8)
+    assert all(np.allclose(a, b) for a, b in zip(w, (a for pair in last.layers for a in pair), strict=True))
+    assert len(past) == 2 and abs(past[1][2] - float(((last.forward(x) - x) ** 2).mean())) < 1e-12
+    assert abs(autoencoder.mse(rows, last).first().mse - past[1][2]) < 1e-12
+
+
+def test_map_starts_near_the_rows(spark):
+    x = np.random.default_rng(5).standard_normal((80, 3)) * [1, 10, 0]
+    got = som.starting(vectors(spark, x), 30, "kde")
+    assert got.shape == (30, 3) and not got[:, 2].any() and 3 < got[:, 1].std() < 30
+    w, _ = som.train(vectors(spark, x), 2, 2, 1, start=got[:4], rate=0.5)
+    assert np.allclose(w, got[:4] + 0.5 * (som.epoch(vectors(spark, x), got[:4], 2, 2) - got[:4]))
+
+
+def test_cluster_pipeline_brute(spark, data):
+    """The query's centers: each has the score of the row that is nearest to it."""
+    from molspark.plans import pipelines
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id as id", "cast(embedding as array<double>) as v", "label / 10 as score")
+    net = autoencoder.Network(64, (16, 8)).start()
+    labels, centers = pipelines.cluster_ranges(spark, rows, "score", net, 3, 3, 2)
+    _, scored = pipelines.explain(centers, stats.scaler_stats(rows, 64), rows, "score")
+    own = rows.collect()
+    x, ids = np.array([r.v for r in own]), np.array([r.id for r in own])
+    score = {(r.bucket, r.neuron): r.score for r in scored.collect()}
+    for r in centers.collect():
+        d = ((x - np.array(r.v)) ** 2).sum(1)
+        assert score[r.bucket, r.neuron] == own[np.lexsort((ids, d))[0]].score
+    assert labels.count() == sum(r.score < 1 for r in own) and len(score) == 9 * labels.select("bucket").distinct().count()
+
+
+def test_marks_and_unlisted_elements():
+    assert [parse(f"F/C=C{m}F")[1][1]["stereo"] for m in "/\\"] == ["STEREOE", "STEREOZ"]
+    assert [parse(f"N[C{m}H](C)O")[0][1]["chirality"] for m in ("", "@", "@@", "@TH1", "@TH2", "@SP1")] == ["CHI_UNSPECIFIED", "CHI_TETRAHEDRAL_CCW", "CHI_TETRAHEDRAL_CW", "CHI_TETRAHEDRAL_CCW", "CHI_TETRAHEDRAL_CW", "CHI_SQUAREPLANAR"]
+    assert parse("[Ru]")[0][0]["mass"] == 101.07 and parse("[Xx]")[2] and parse("C*")[0][1]["mass"] == 0
+    assert parse("N<-C")[1][0]["kind"] == "DATIVE" and parse("[Fe+2]")[0][0]["charge"] == 2
