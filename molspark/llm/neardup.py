@@ -1,11 +1,13 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Unit vectors are projected on many random directions. Projections come in groups; the windows of a
-group are laid out as a randomly shifted grid, so that vectors whose projections collide throughout a
-group meet in one cell. Within a cell, each pair's window collisions over one projection of every group
-are counted, and the pairs that reach the count which pairs at the threshold reach almost surely are verified
-exactly. A pair counts in the first group in which it shares a cell, so each link counts once; therefore a
-cell must leave out no pair for reasons of its own group.
+Unit vectors are projected on many random directions. As a window that holds a pair at the threshold holds a large
+share of all unrelated vectors too, projections come in groups: the windows of a group are laid out as a randomly shifted
+grid, and rows are sorted by cell, so that vectors whose projections collide throughout a group lie next to each other.
+Around each row, window collisions over one projection of every group are counted for each pair in its cell, first on
+projections rounded to a byte, which alone travel. Vectors follow to the cells where they have a partner that
+reaches the count which pairs at the threshold reach almost surely; there the pairs are counted and verified exactly.
+A pair counts in the first group in which it shares a cell, so each link counts once; therefore a cell must leave out no
+pair for reasons of its own group.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ THRESHOLD, MISS, SEED = 0.9, 0.002, 20
 #: Cell width; vectors of a cell that one block compares; half-width of a counting window in standard deviations of a pair at the threshold.
 WIDTH, BLOCK, SPAN = 2.0, 4096, 2.5
 FAR = 0.45  # the share of unrelated pairs that meet in one projection's cell
+#: Width of a rounded projection's step (a byte reaches to 6.35, and what lies beyond counts as nearer), and the size up to which cells are compared together.
+STEP, SHORT = 0.05, 64
 
 
 def shape(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -51,11 +55,12 @@ class Projections:
         rng = np.random.default_rng([SEED, dim])
         self.k, self.groups = k, groups
         self.lines, self.shift = rng.standard_normal((dim, k * groups)), rng.random(k * groups) * WIDTH
+        self.firsts = np.ascontiguousarray(self.lines[:, ::k])
         self.coef = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def along(self, unit: np.ndarray) -> np.ndarray:
         """One projection of each group."""
-        return unit @ self.lines[:, :: self.k]
+        return unit @ self.firsts
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """[vector, group]: 64-bit names of the cells."""
@@ -66,7 +71,7 @@ class Projections:
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of one length as doubles at length one, and the lengths before."""
-    x = np.array(column.to_pylist(), np.float64)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), x
 
@@ -79,7 +84,7 @@ def valid(column: str = "embedding"):
 
 
 def _deal(k: int, groups: int, whole: bool):
-    """Rows by cell: with the vector, or only the cell's name."""
+    """Rows by cell: with the rounded projections, or only the cell's name."""
 
     def run(batches):
         by_dim: dict[int, Projections] = {}
@@ -90,69 +95,108 @@ def _deal(k: int, groups: int, whole: bool):
                 own = by_dim.setdefault(int(dim), Projections(int(dim), k, groups))
                 for at in range(0, len(part), 1024):
                     some = part.slice(at, 1024)
-                    cells = own.cells(units(some.column(1))[0]).view(np.int64)
+                    unit = units(some.column(1))[0]
+                    cells = own.cells(unit).view(np.int64)
                     if not whole:
                         yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
                         continue
+                    rounded = np.clip(np.rint(own.along(unit) / STEP), -127, 127).astype(np.int8)
+                    codes = pa.array([r.tobytes() for r in rounded], pa.binary())
                     for g in range(groups):
-                        yield pa.RecordBatch.from_arrays([pa.array(cells[:, g]), pa.array(np.full(len(some), g, np.int32)), *some.columns], names=["cell", "g", "rep", "embedding", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cells[:, g]), pa.array(np.full(len(some), g, np.int32)), some.column(0), codes], names=["cell", "g", "rep", "code"])
 
     return run
 
 
-def _pairs(k: int, groups: int, threshold: float, need: int):
-    """Rows sorted by (cell, side): per task, links' weights by vector, and the spanning stars of its links."""
-    reach = SPAN * math.sqrt(2 - 2 * threshold)
+def close_pairs(cell: np.ndarray, side: np.ndarray, along: np.ndarray, reach: float, need: int):
+    """Of rows sorted by (cell, side): pairs (left, right) of places in one cell, of other sides if it has sides, whose
+    projections collide in a window at least ``need`` times. In pieces of bounded size."""
+    bounds = blocks_of_equal(cell)
+    size = np.diff(bounds)
+    short = np.repeat(size <= SHORT, size)
+    for k in range(1, min(SHORT, int(size.max(initial=1)))):
+        at = np.flatnonzero((cell[k:] == cell[:-k]) & short[k:] & ~((side[k:] > 0) & (side[k:] == side[:-k])))
+        for i in range(0, len(at), 65536):
+            some = at[i : i + 65536]
+            some = some[(np.abs(along[some] - along[some + k]) <= reach).sum(axis=1) >= need]
+            yield some, some + k
+    for c in np.flatnonzero(size > SHORT):
+        lo, hi = bounds[c], bounds[c + 1]
+        for i0 in range(lo, hi, 256):
+            left, right = np.arange(i0, min(hi, i0 + 256)), np.arange(i0, hi)
+            count = np.zeros((len(left), len(right)), np.int16)
+            for line in along.T:
+                count += np.abs(line[left][:, None] - line[right][None, :]) <= reach
+            a, b = np.nonzero((count >= need) & (right[None, :] > left[:, None]) & ~((side[left][:, None] > 0) & (side[left][:, None] == side[right][None, :])))
+            yield left[a], right[b]
+
+
+def whole_cells(batches, least: int = 20_000):
+    """Tables of whole cells, from batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held += [b] if len(b) else []
+        if sum(map(len, held)) < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        at = int(blocks_of_equal(rows.column("cell").to_numpy())[-2])  # the last cell may go on
+        if at:
+            yield rows.slice(0, at)
+        held = rows.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(reach: float, need: int):
+    """Rows (cell, side, g, rep, code) sorted by (cell, side): those that have a partner, without the code. Rounding lets
+    more pairs pass, but no fewer."""
+
+    def run(batches):
+        for rows in whole_cells(batches):
+            cell, side = (rows.column(c).to_numpy() for c in ("cell", "side"))
+            width = np.array([len(c) for c in rows.column("code").to_pylist()[:1]])[0]
+            along = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(len(rows), width).astype(np.int16)
+            met = np.zeros(len(rows), bool)
+            for a, b in close_pairs(cell, side, along, int(reach / STEP) + 1, need):
+                met[a] = met[b] = True
+            yield from rows.select(["cell", "side", "g", "rep"]).filter(pa.array(met)).combine_chunks().to_batches()
+        trim()
+
+    return run
+
+
+def _pairs(k: int, groups: int, threshold: float, reach: float, need: int):
+    """Rows (cell, side, g, rep, embedding, n) sorted by (cell, side): per task, links' weights by vector, and the spanning stars of its links."""
 
     def run(batches):
         forest, weight, by_dim = Forest(), {}, {}
 
         def settle(rows: pa.Table) -> None:
-            if len(rows) < 2:
-                return
-            vectors, side = rows.column("embedding").combine_chunks(), rows.column("side").to_numpy()
+            vectors = rows.column("embedding").combine_chunks()
             unit, _ = units(vectors)
             own = by_dim.setdefault(unit.shape[1], Projections(unit.shape[1], k, groups))
-            rep, n, g = rows.column("rep").to_numpy(), rows.column("n").to_numpy(), int(rows.column("g")[0].as_py())
-            along, names = own.along(unit), None
-            for i0 in range(0, len(rep), 256):
-                left, right = np.arange(i0, min(len(rep), i0 + 256)), np.arange(i0, len(rep))
-                open_ = right[None, :] > left[:, None]
-                if side[0] or side[-1]:
-                    open_ &= side[left][:, None] != side[right][None, :]
-                if groups > 1 and len(right) * len(left) > 64:
-                    count = np.zeros(open_.shape, np.int16)
-                    for c in range(groups):
-                        count += np.abs(along[left, c][:, None] - along[right, c][None, :]) <= reach
-                    open_ &= count >= need
-                if not open_.any():
-                    continue
-                a, b = np.nonzero(open_ & (unit[left] @ unit[right].T >= threshold))
-                a, b = left[a], right[b]
-                if len(a) and g:
-                    names = own.cells(unit)[:, :g] if names is None else names
-                    first = np.concatenate([~(names[a[s : s + 65536]] == names[b[s : s + 65536]]).any(axis=1) for s in range(0, len(a), 65536)])
+            cell, side, rep, n, g = (rows.column(c).to_numpy() for c in ("cell", "side", "rep", "n", "g"))
+            for left, right in close_pairs(cell, side, own.along(unit), reach, need):
+                for i in range(0, len(left), 32768):
+                    a, b = left[i : i + 32768], right[i : i + 32768]
+                    near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+                    a, b = a[near], b[near]
+                    if not len(a):
+                        continue
+                    at, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    names = own.cells(unit[at])
+                    same = names[back[: len(a)]] == names[back[len(a) :]]
+                    first = same.argmax(axis=1) == g[a]
                     a, b = a[first], b[first]
-                for x, y, p, q in zip(rep[a].tolist(), rep[b].tolist(), n[a].tolist(), n[b].tolist(), strict=True):
-                    weight[x] = weight.get(x, 0) + q
-                    weight[y] = weight.get(y, 0) + p
-                    forest.join(x, y)
-
-        held: pa.Table | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            cell = held.column("cell").to_numpy()
-            bounds = blocks_of_equal(cell)
-            size = np.diff(bounds)
-            for c in np.flatnonzero(size[:-1] > 1):
-                settle(held.slice(bounds[c], size[c]))
-            held = held.slice(bounds[-2])
-        if held is not None:
-            settle(held)
-        held = None
+                    for x, y, p, q in zip(rep[a].tolist(), rep[b].tolist(), n[a].tolist(), n[b].tolist(), strict=True):
+                        weight[x] = weight.get(x, 0) + q
+                        weight[y] = weight.get(y, 0) + p
+                        forest.join(x, y)
+
+        for rows in whole_cells(batches):
+            sizes = np.diff(rows.column("embedding").combine_chunks().offsets.to_numpy())
+            for dim in np.unique(sizes):
+                settle(rows.filter(pa.array(sizes == dim)))
         trim()
         u, v = forest.stars()
         rows = [(a, b, 0) for a, b in zip(u, v, strict=True)] + [(a, a, c) for a, c in weight.items()]
@@ -166,8 +210,8 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = TH
     """(vec_id, n_links, component_id, kept) for each row of ``table`` (vec_id, embedding).
 
     Vectors that are null, empty, zero or not finite link with nothing and stay by themselves. Equal
-    vectors, however many, are compared as one and count each; only vectors of one length compare.
-    Repeated or null ids stay as rows; a component's id is its least non-null one. Other columns are not read.
+    vectors, however many, are compared as one and count each; only vectors of one length compare. An empty table
+    gives no rows. Repeated or null ids stay as rows; a component's id is its least non-null one. Other columns are not read.
     """
     scratch = Scratch(small_batches(spark))
     kind = "array<float>" if dict(table.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats travel as they are
@@ -180,12 +224,16 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = TH
     names = vectors.mapInArrow(_deal(k, groups, False), "cell long")
     large = names.groupBy("cell").count().where(F.col("count") > BLOCK)
     large = scratch.save(large.select(F.col("cell").alias("big"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "large")
-    dealt = vectors.mapInArrow(_deal(k, groups, True), f"cell long, g int, rep long, embedding {kind}, n long")
+    dealt = vectors.mapInArrow(_deal(k, groups, True), "cell long, g int, rep long, code binary")
     split = dealt.join(large, F.col("cell") == F.col("big"), "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     pairs = F.expr("transform(sequence(0, parts - 1), j -> named_struct('cell', xxhash64(cell, least(j, own), greatest(j, own)), 'side', if(j = own, 0, if(own < j, 1, 2))))")
     at = F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.col("cell"), F.lit(0).alias("side")))).otherwise(pairs))
-    blocks = split.select(at.alias("x"), "g", "rep", "embedding", "n").select("x.cell", "x.side", "g", "rep", "embedding", "n")
-    found = blocks.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_pairs(k, groups, threshold, least_count(groups)), "u long, v long, n long")
+    blocks = split.select(at.alias("x"), "g", "rep", "code").select("x.cell", "x.side", "g", "rep", "code")
+    reach, need = SPAN * math.sqrt(2 - 2 * threshold), least_count(groups)
+    met = blocks.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_candidates(reach, need), "cell long, side int, g int, rep long")
+    met = scratch.save(met, "candidates")
+    met = met.join(vectors.withColumnRenamed("rep", "own"), F.col("rep") == F.col("own")).select("cell", "side", "g", "rep", "embedding", "n")
+    found = met.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_pairs(k, groups, threshold, reach, need), "u long, v long, n long")
     found = scratch.save(found, "links")
     weight = found.where("u = v").groupBy(F.col("u").alias("w")).agg(F.sum("n").alias("others"))
     roots = connected_components(spark, found.where("u <> v").select("u", "v"), scratch)

@@ -216,6 +216,31 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
+def components(linked):
+    """The least place reachable from each."""
+    at = list(range(len(linked)))
+    while True:
+        now = [min([at[i], *(at[j] for j in np.flatnonzero(linked[i]))]) for i in range(len(linked))]
+        if now == at:
+            return at
+        at = now
+
+
+def test_neardup_large_cells(spark, monkeypatch):
+    """Cells dealt out as pairs of blocks, and long ones: every link, counted once."""
+    rng = np.random.default_rng(9)
+    center = rng.standard_normal((3, 12))
+    x = (center[rng.integers(0, 3, 900)] + 0.12 * rng.standard_normal((900, 12))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, 0)
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark, vectors(spark, x)).collect()}
+    found, linked, sure = np.array([got[i].n_links for i in range(900)]), (cosine >= 0.9).sum(1), (cosine >= 0.95).sum(1)
+    assert (found <= linked).all() and (found >= sure * 0.99).all() and found.sum() >= 0.995 * linked.sum()
+    assert [got[i].component_id for i in range(900)] == components(cosine >= 0.9)
+
+
 def test_neardup_brute(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16))
@@ -227,6 +252,7 @@ def test_neardup_brute(spark):
     got = {r.vec_id: r for r in neardup.near_duplicates(spark, vectors(spark, [*x, *odd])).collect()}
     found = np.array([got[i].n_links for i in range(len(x))])
     assert (found <= linked.sum(1)).all() and found.sum() >= 0.99 * linked.sum()
+    assert [got[i].component_id for i in range(len(x))] == components(linked)
     assert all(got[len(x) + k].n_links == 0 and got[len(x) + k].kept for k in range(4))
 
 
