@@ -19,8 +19,8 @@ SHARE, REPEATS = 1.5, 2
 Schedule = Sequence[tuple[float, float]]
 #: (time, relative weight) knots by the source's place in WEIGHTS; each integrates to 1, so that a source's weight is its schedule's mean.
 SCHEDULES: tuple[Schedule, ...] = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
-#: Hex digits of the order key that deal a source's documents into independent prefix sums.
-SPREAD = 4
+#: Hex digits of the order key that deal a source's documents into independent prefix sums, and those sums into wider ones.
+SPREAD, WIDE = 4, 2
 
 
 def source_key() -> Column:
@@ -87,10 +87,13 @@ def _mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHT
     inner = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("inner", F.sum("size").over(inner) - F.col("size"))
     parts = sized.groupBy("key", "part").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("wide", F.substring("part", 1, WIDE))  # a source's parts are added up in wider ones first
+    wide = parts.groupBy("key", "wide").agg(F.sum("n").alias("n")).select("key", "wide", before(Window.partitionBy("key").orderBy("wide")).alias("from"))
+    fine = parts.select("key", "part", "wide", before(Window.partitionBy("key", "wide").orderBy("part")).alias("fine"))
+    bases = fine.join(wide, ["key", "wide"]).select("key", "part", (F.col("from") + F.col("fine")).alias("base"))
     per = source_targets(sized, weights, share, repeats)
-    bases = bases.join(per, "key").drop("n")
+    bases = bases.join(per, "key")
     rows = placed.join(bases, ["key", "part"]).withColumn("at", F.col("inner") + F.col("base")).withColumn("limit", F.floor(F.col("target") + F.lit(0.5)))
     rest = F.col("limit") - F.col("at")
     taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("source_size") * p)) for p in range(repeats)), F.lit(0))

@@ -228,7 +228,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     """The pieces of every row of ``docs`` (doc_id, text) and their places in windows of 4096 ids.
 
     A null or empty text is the end id alone. Rows that share or lack an id are packed each for
-    itself; an empty table gives no rows; other columns are not read. Each piece's row is written to
+    itself; a very long text is cut into as many pieces as it needs; an empty table gives no rows; other columns are not read. Each piece's row is written to
     the shared scratch folder with its number, so that a lost executor deals the same groups again.
     """
     scratch = Scratch(small_batches(spark))

@@ -397,6 +397,10 @@ def test_pipeline_stages_on_odd_rows(spark):
     words = sorted(len(r.text.split()) for r in got.collect())
     assert got.columns == single.columns and sum(words) == sum(taken.values())
     none = texts(spark, [])
+    held = toxicity.model(spark, texts(spark), spark.createDataFrame([(2, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int"))
+    clean, score = toxicity.clean_documents(texts(spark, rows), held), [r.score for r in toxicity.toxicity(texts(spark, rows), held).collect()]
+    assert clean.columns == single.columns and clean.count() == sum(x < toxicity.THRESHOLD for x in score) and len(score) == len(rows)
+    assert toxicity.clean_documents(none, held).count() == p.redact_secrets(spark, none, None).count() == 0
     assert p.one_of_each_group(spark, none, None).count() == p.mix_sources(spark, none, None).count() == p.pack_windows(spark, none, None).count() == 0
 
 
