@@ -553,6 +553,7 @@ def test_secrets_query_brute(spark, data):
     """Counts, hash and spans of the query against regular expressions over whole texts."""
     every = {k: (re.compile(p, (re.I if either else 0) | re.A), (lambda m: len(m[2]) >= 6) if k == "assign" else (lambda m, n=secrets.LEAST.get(k, 0): len(m[0]) >= n)) for k, (p, either) in secrets.RULES.items()}
     every["assign"] = BASE["assign"]
+    every["pem"] = (re.compile(secrets.RULES["pem"][0] + secrets.KEY.pattern.decode()), lambda m: True)
     text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     joined = lambda own: ",".join(f"{k}:{s}:{e}" for s, k, e in own)
     for r in QUERIES["op5_secrets"](spark, data).collect():
