@@ -26,7 +26,7 @@ RULES = {
 }
 LEAST = {"access": 20, "hex": 24, "github": 40, "slack": 15, "google": 39}
 #: What a private key's span takes in behind its first line: headers, the key's lines and the last line, as far as they are
-#: there. As rules of the automaton they would multiply its states by thirty, so the span is extended where the rule has matched.
+#: there. As part of the rule they would triple the automaton (24,667 states), so the span is extended where the rule has matched.
 KEY = re.compile(rb"(?:\r?\n(?:Proc-Type|DEK-Info): [\x20-~]+)*(?:(?:\r?\n)+[A-Za-z0-9+/=]{16,})*(?:(?:\r?\n[A-Za-z0-9+/=]+)?\r?\n-----END [A-Z ]*PRIVATE KEY-----)?")
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
