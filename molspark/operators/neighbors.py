@@ -1,12 +1,17 @@
-"""Exact nearest neighbours of a bounded set of queries, and the fuzzy neighbour graph."""
+"""Exact nearest neighbours, the fuzzy neighbour graph, and its layout."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+from .ordering import numbered
+
 #: Queries that every task may hold; beyond that, the queries and rows of a block.
 BLOCK, QUERIES, ROWS = 5_000, 10_000, 50_000
 SCHEMA = "query long, id long, d2 double"
@@ -89,18 +94,21 @@ def smooth_weights(graph: DataFrame, rounds: int = 64) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for query, near in zip(pdf["query"], pdf["near"], strict=True):
-                d = np.sqrt(np.array([x["d2"] for x in near]))
-                rho = min(d[d > 0], default=0.0)
-                lo, hi, sigma, goal = 0.0, np.inf, 1.0, np.log2(max(len(d), 2))
-                for _ in range(rounds):
-                    total = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
-                    lo, hi = (lo, sigma) if total > goal else (sigma, hi)
-                    sigma = 2 * sigma if np.isinf(hi) else (lo + hi) / 2
-                sigma = max(sigma, 1e-3 * d.mean(), 1e-12)
-                rows += [(query, x["id"], float(w)) for x, w in zip(near, np.exp(-np.maximum(d - rho, 0) / sigma), strict=True)]
-            yield pd.DataFrame(rows, columns=["query", "id", "w"])
+            size = pdf["near"].map(len).to_numpy(int)
+            there = np.arange(size.max(initial=1)) < size[:, None]
+            d = np.zeros(there.shape)
+            d[there] = np.sqrt([x["d2"] for near in pdf["near"] for x in near])
+            rho = np.where(there & (d > 0), d, np.inf).min(axis=1)
+            over = np.where(there, np.maximum(d - np.where(np.isinf(rho), 0.0, rho)[:, None], 0), np.inf)
+            lo, hi, sigma, goal = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d)), np.log2(np.maximum(size, 2))
+            for _ in range(rounds):
+                high = np.exp(-over / sigma[:, None]).sum(axis=1) > goal
+                lo, hi = np.where(high, lo, sigma), np.where(high, sigma, hi)
+                sigma = np.where(np.isinf(hi), 2 * sigma, (lo + hi) / 2)
+            sigma = np.maximum(sigma, np.maximum(1e-3 * d.sum(axis=1) / np.maximum(size, 1), 1e-12))
+            w = np.exp(-over / sigma[:, None])[there]
+            ids = np.array([x["id"] for near in pdf["near"] for x in near], np.int64)
+            yield pd.DataFrame({"query": np.repeat(pdf["query"].to_numpy(), size), "id": ids, "w": w})
 
     own = graph.groupBy("query").agg(F.collect_list(F.struct("id", "d2")).alias("near"))  # as many as neighbours were asked for
     return own.mapInPandas(run, "query long, id long, w double")
@@ -113,23 +121,60 @@ def fuzzy_union(graph: DataFrame) -> DataFrame:
     return w.groupBy("a", "b").agg((F.sum("w") - F.when(F.count("*") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
 
 
+def scattered(points: DataFrame, seed: int) -> DataFrame:
+    """(id, slot, x, y) of distinct ids: numbered from 0 in the order of a hash, at normal places of deviation 10 that a hash picks."""
+    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    far, turn, h = F.sqrt(F.lit(-2.0) * F.log(unit(0))) * F.lit(10.0), F.lit(2 * math.pi) * unit(1), F.xxhash64("id", F.lit(seed + 2))
+    out = numbered(points.select("id"), F.struct(h.alias("h"), "id"), F.shiftright(h, 48), "slot")
+    return out.select("id", (F.col("slot") - 1).alias("slot"), (far * F.cos(turn)).alias("x"), (far * F.sin(turn)).alias("y"))
+
+
+def layout_step(edges: DataFrame, places: DataFrame, shift: int, n: int, rate: float) -> DataFrame:
+    """The places (id, slot, x, y) of n points after a step: edges (own, other, w), both ways, pull their ends together, and the
+    point ``shift`` slots on pushes each away. Edges are joined to places twice; a row a point and task is added up."""
+    there = places.select(*(F.col(c).alias(f"_{c}") for c in places.columns))
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    s = dx * dx + dy * dy
+    held = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c)) * F.lit(rate / 2)
+    pull = edges.join(there, F.col("other") == F.col("_id")).join(places, F.col("own") == F.col("id"))
+    push = places.join(there, F.pmod(F.col("slot") + F.lit(shift), F.lit(n)) == F.col("_slot"))
+    pull = pull.select("id", *(held(F.lit(-2.0) * F.col("w") * d / (F.lit(1.0) + s)).alias(k) for k, d in (("mx", dx), ("my", dy))))
+    push = push.select("id", *(held(F.lit(2.0) * d / ((F.lit(0.001) + s) * (F.lit(1.0) + s))).alias(k) for k, d in (("mx", dx), ("my", dy))))
+    moves = pull.unionByName(push).groupBy(F.col("id").alias("mover")).agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
+    return places.join(moves, F.col("id") == F.col("mover")).select("id", "slot", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"))
+
+
 def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: int = 42) -> DataFrame:
-    """(id, x, y): a force layout of the fuzzy graph of at most ``limit`` points (an error beyond), on the driver."""
-    edges = fuzzy_union(smooth_weights(graph)).orderBy("a", "b").limit(limit * 40).toPandas()
-    ids = np.unique(np.concatenate([edges["a"], edges["b"]]))
-    if len(ids) > limit:
-        raise ValueError(f"{len(ids)} points; a layout takes {limit}")
-    rng = np.random.default_rng(seed)
-    p = rng.standard_normal((len(ids), 2)) * 10
-    a, b, w = np.searchsorted(ids, edges["a"]), np.searchsorted(ids, edges["b"]), edges["w"].to_numpy()
+    """(id, x, y): a force layout of the fuzzy graph of (query, id, d2).
+
+    Up to ``limit`` points (and 40 edges for each of these) are laid out on the driver. More stay distributed: a join
+    a step, whose places are written to the shared folder, which cuts lineage. Both ways take the same steps.
+    """
+    spark = graph.sparkSession
+    root = shared_folder(spark)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    edges = kept(fuzzy_union(smooth_weights(graph)), "edges")
+    edges = kept(edges.select(F.col("a").alias("own"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("other"), "w")), "both")
+    places = kept(scattered(edges.select(F.col("own").alias("id")).distinct(), seed), "places-0")
+    n = places.count()
+    shifts = np.random.default_rng(seed).integers(1, max(n, 2), epochs).tolist()
+    if n > limit or edges.count() > 80 * limit:
+        for e in range(epochs):  # of the places, the last two steps' are there at a time
+            places = kept(layout_step(edges, places, shifts[e], n, 1 - e / epochs), f"places-{(e + 1) % 2}")
+        return places.select("id", "x", "y")
+    start, links = places.orderBy("slot").toPandas(), edges.toPandas()
+    slot = pd.Series(np.arange(n), index=start["id"].to_numpy())
+    a, b, w = slot[links["own"]].to_numpy(), slot[links["other"]].to_numpy(), links["w"].to_numpy()[:, None]
+    p = start[["x", "y"]].to_numpy(float).copy()
     for e in range(epochs):
-        rate = 1 - e / epochs
+        rate, move = (1 - e / epochs) / 2, np.zeros_like(p)
         d = p[a] - p[b]
-        pull = np.clip(-2 * w[:, None] * d / (1 + (d**2).sum(1, keepdims=True)), -4, 4) * rate * 0.5
-        np.add.at(p, a, pull)
-        np.add.at(p, b, -pull)
-        other = rng.permutation(len(ids))
-        d = p - p[other]
+        np.add.at(move, a, np.clip(-2 * w * d / (1 + (d**2).sum(1, keepdims=True)), -4, 4) * rate)
+        d = p - np.roll(p, -shifts[e], axis=0)
         s = (d**2).sum(1, keepdims=True)
-        p += np.clip(2 * d / ((0.001 + s) * (1 + s)), -4, 4) * rate * 0.5
-    return graph.sparkSession.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(ids, p, strict=True)], "id long, x double, y double")
+        p += move + np.clip(2 * d / ((0.001 + s) * (1 + s)), -4, 4) * rate
+    return spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(start["id"], p, strict=True)], "id long, x double, y double")

@@ -247,8 +247,10 @@ def fuzzy_union(spark, d):
 
 @query()
 def umap_layout(spark, d):
+    """Every row's place, and its label."""
     e = emb(spark, d)
-    return neighbors.umap_layout(neighbors.nearest(e, e, 10, other_only=True))
+    placed = neighbors.umap_layout(neighbors.nearest(e, e, 10, other_only=True))
+    return placed.join(e.select("id", "label"), "id")
 
 
 # ---- self-organizing map

@@ -129,6 +129,21 @@ def test_smooth_weights(spark):
     assert {r.w for r in got if r["query"] == 9} == {1.0}
 
 
+def test_layout_distributed_or_not(spark):
+    """Either way takes the same steps; groups that only link within themselves end up nearer than others."""
+    x = np.random.default_rng(4).standard_normal((60, 3)) + 50 * (np.arange(60) % 3)[:, None]
+    rows = vectors(spark, x, ids=range(100, 160))
+    graph = spark.createDataFrame(neighbors.nearest(rows, rows, 5, other_only=True).collect())
+    near = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=4).collect()}
+    far = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=4, limit=0).collect()}
+    assert set(near) == set(far) == set(range(100, 160)) and all(np.allclose(near[i], far[i]) for i in near)
+    got = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=400).collect()}
+    p = np.array([got[i] for i in range(100, 160)])
+    d, same = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)), (np.arange(60) % 3)[:, None] == (np.arange(60) % 3)[None]
+    assert d[same].mean() < d[~same].mean()
+    assert neighbors.umap_layout(graph.limit(0)).count() == 0
+
+
 def test_positions_of_keys_far_apart(spark):
     keys = [10**12 + i**3 for i in range(400)] + [5, 7, -3]
     got = ordering.by_position(spark.createDataFrame([(k,) for k in keys], "k long").repartition(7), "k", rows=40).collect()
