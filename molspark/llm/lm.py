@@ -216,10 +216,10 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     chunks, parts = max(1, -(-size // CHUNK)), max(1, -(-size // PART))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_dealt(chunks), "chunk int, facts binary, texts binary")
-    rows = rows.repartition(min(chunks, TASKS), "chunk")
+    rows = rows.repartitionById(min(chunks, TASKS), F.col("chunk"))  # by number, as hashes would put several in one task
     sent = rows.groupBy("chunk").applyInPandas(_emit(parts), "chunk int, part int, grams binary, counts binary")
-    answers = sent.repartition(min(parts, TASKS), "part").groupBy("part").applyInPandas(_total, "chunk int, part int, totals binary")
-    answers = answers.repartition(min(chunks, TASKS), "chunk")
+    answers = sent.repartitionById(min(parts, TASKS), F.col("part")).groupBy("part").applyInPandas(_total, "chunk int, part int, totals binary")
+    answers = answers.repartitionById(min(chunks, TASKS), F.col("chunk"))
     got = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score, "doc_id long, n_words long, seen long, unseen long, logs double")
     got = scratch.save(got, "scores")  # one job: the texts' shuffle serves both passes
     corpus = got.agg(F.sum("n_words")).first()[0] or 0
