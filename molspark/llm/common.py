@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A value that so small a part of all rows has, or a larger one, is joined by broadcast: there are at most as many.
+HOT = 1000
 
 
 def id_crc(col: str = "doc_id") -> Column:
@@ -65,6 +67,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_labels(rows: DataFrame, labels: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the columns of ``labels``, which has a row for each value of ``on`` that rows have, and the number ``n`` of
+    those. Values that a HOT-th of all rows have are at most HOT: they are broadcast, so that no task gets all rows of
+    one value; the rest meet by a shuffle. ``labels`` is read three times, so it should be a written table."""
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT >= total
+    hot = F.broadcast(labels.where(is_hot).drop("n"))
+    rest = rows.join(F.broadcast(labels.where(is_hot).select(on)), on, "left_anti").join(labels.where(~is_hot).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def small_batches(spark: SparkSession, limit: int = 8 << 20) -> SparkSession:
     """Bounds the bytes of an Arrow batch in this session, as texts may be long; returns the session."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

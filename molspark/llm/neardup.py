@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, mix64, small_batches, trim
+from .common import Scratch, load, mix64, small_batches, trim, with_labels
 from .components import Forest, blocks_of_equal, connected_components
 
 THRESHOLD, MISS, SEED = 0.9, 0.002, 20
@@ -239,8 +239,8 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = TH
     roots = connected_components(spark, found.where("u <> v").select("u", "v"), scratch)
     of = reps.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).join(weight, F.col("rep") == F.col("w"), "left")
     least = of.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    label = of.join(least, F.col("root") == F.col("r")).select(F.col("embedding").alias("e"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
-    linked = good.join(label, F.col("embedding") == F.col("e"), "left").select("vec_id", F.col("links").alias("n_links"), "component_id")
+    label = of.join(least, F.col("root") == F.col("r")).select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", "n")
+    linked = with_labels(good, scratch.save(label, "labels"), "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, mix64, small_batches, text_key, trim
+from .common import Scratch, load, mix64, small_batches, text_key, trim, with_labels
 from .components import EDGES, SCHEMA, Forest, blocks_of_equal, connected_components
 
 SEED, LIMIT, SHINGLE = 42, 3, 3
@@ -170,12 +170,12 @@ def grouped(spark: SparkSession, docs: DataFrame, keyed: bool = False) -> DataFr
     """(doc_id, fp, root, component_id) of every row, with text_key if ``keyed``; root names the row's component."""
     scratch = Scratch(small_batches(spark))
     fp = scratch.save(fingerprints(docs, keyed), "fingerprints")
-    reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    reps = scratch.save(fp.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = connected_components(spark, fingerprint_links(reps), scratch)
-    of = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    of = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    label = of.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
-    return fp.join(label, F.col("fp") == F.col("f"), "left").drop("f")
+    label = scratch.save(of.join(least, F.col("root") == F.col("r")).select("fp", "root", "component_id", "n"), "labels")
+    return with_labels(fp, label, "fp")
 
 
 def simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:

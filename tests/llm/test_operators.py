@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.llm import ann, langid, lm, mixing, neardup, packing, pii, secrets, simhash, toxicity
+from molspark.llm import ann, common, langid, lm, mixing, neardup, packing, pii, secrets, simhash, toxicity
 from molspark.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, score string"
@@ -619,3 +619,24 @@ def test_ann_ties_of_all_kinds(spark, kind):
     x = {"orthogonal": np.eye(64)[: n + 1], "scaled": np.array([[1.0, 0.0]] + [[2.0**k, 2.0**k] for k in range(1, n + 1)]), "binary": np.array([[1, 1, 0, 0]] + [[1, 0, 1, 0], [0, 1, 0, 1]] * (n // 2), float)}[kind]
     got = {r["rank"]: r.vec_id for r in ann.search(spark, vectors(spark, x[np.r_[0, n:0:-1]], np.r_[0, n:0:-1])).collect() if r.query_id == 0}
     assert got == {k: k for k in range(1, 6)}
+
+
+def test_labels_of_frequent_and_rare_values(spark, monkeypatch):
+    """Every row meets its value's label once, whether the value is broadcast or shuffled; at most HOT are broadcast."""
+    values = [0] * 300 + [1] * 40 + [k for k in range(2, 62) for _ in range(2)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
+    labels = rows.groupBy("v").agg((F.col("v") * 10).alias("label"), F.count("*").alias("n"))
+    for most in (1, 5, 1000):
+        monkeypatch.setattr(common, "HOT", most)
+        got = common.with_labels(rows, labels, "v")
+        assert got.columns == ["v", "id", "label"]
+        assert sorted((r.id, r.label) for r in got.collect()) == [(i, v * 10) for i, v in enumerate(values)]
+        assert labels.where(F.col("n") * most >= len(values)).count() == {1: 0, 5: 1, 1000: 62}[most]
+    assert common.with_labels(rows.limit(0), labels.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_groups_whatever_is_frequent(spark, data, monkeypatch, most):
+    want = [sorted(map(tuple, QUERIES[q](spark, data).collect())) for q in ("op3_neardup", "op8_simhash")]
+    monkeypatch.setattr(common, "HOT", most)
+    assert [sorted(map(tuple, QUERIES[q](spark, data).collect())) for q in ("op3_neardup", "op8_simhash")] == want
