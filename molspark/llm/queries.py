@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, lm, mixing, neardup, packing, pii, secrets, simhash, toxicity
+from . import ann, clusters, fim, langid, linededup, lm, mixing, neardup, packing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_ann": ann.op9_ann,
     "op10_packing": packing.op10_packing,
+    "op11_fim": fim.op11_fim,
+    "op12_clusters": clusters.op12_clusters,
+    "op13_linededup": linededup.op13_linededup,
 }
 #: The others have no SQL (models, automata, hashes, packing); tests hold them against brute force.
-ORACLES = {"op1_mixing": mixing.ORACLE, "op4_lm": lm.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op4_lm": lm.ORACLE, "op11_fim": fim.ORACLE, "op12_clusters": clusters.ORACLE, "op13_linededup": linededup.ORACLE}
