@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import load, text_of
 
 #: What a text may be cut between, by name. None of them parts an escape from its letter but the first, which has it as a unit.
-UNITS = {"code points": r"[\s\S]", "words": r"\S+\s*|\s+", "lines": r"[^\n]*\n|[^\n]+"}
+UNITS = {"code points": r"(?s:.)", "words": r"\S+\s*|\s+", "lines": r"[^\n]*\n|[^\n]+"}
 DELIMITER, ESCAPE = "\x01", "\x02"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percent of the texts that are transformed, and of these with the suffix first; the salt of the hash that picks them.
@@ -36,12 +36,14 @@ def unescaped(part: Column) -> Column:
     return F.replace(F.replace(bare, F.lit(ESCAPE + "a"), F.lit(DELIMITER)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
 
 
-def ranked(marked: Column, start: Column, end: Column | None = None) -> Column:
-    """The units from number ``start`` (from 0) up to ``end``, of a marked text; without an end, of one whose units ``start`` counts from its end."""
-    if end is None:
-        return unescaped(F.call_function("substring_index", marked, F.lit(DELIMITER), -(start + 1)))
-    head = F.call_function("substring_index", marked, F.lit(DELIMITER), end)
-    return unescaped(F.call_function("substring_index", head, F.lit(DELIMITER), start - end))
+def head(marked: Column, units: Column) -> Column:
+    """The first units of a marked text, without the last one's delimiter."""
+    return F.call_function("substring_index", marked, F.lit(DELIMITER), units)
+
+
+def tail(marked: Column, units: Column) -> Column:
+    """The units after the delimiter with this number from the end."""
+    return F.call_function("substring_index", marked, F.lit(DELIMITER), -units)
 
 
 def restored(output: Column, form: Column) -> Column:
@@ -66,7 +68,7 @@ def fill_in_middle(docs: DataFrame, units: str = "code points", rate: int = RATE
     h = picks(salt)
     text = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     text = text.select("doc_id", "text", escaped(F.col("text")).alias("escaped"))
-    marked = text.select("doc_id", "text", "escaped", F.regexp_replace("escaped", f"({ESCAPE}[ab]|{UNITS[units]})", f"$1{DELIMITER}").alias("marked"))
+    marked = text.select("doc_id", "text", "escaped", F.regexp_replace("escaped", f"{ESCAPE}[ab]|{UNITS[units]}", f"$0{DELIMITER}").alias("marked"))
     counted = marked.select("doc_id", "text", "marked", (F.length("marked") - F.length("escaped")).cast("long").alias("n"))
     a, b = (x % (F.col("n") + 1) for x in h[:2])
     whole = (F.col("text") == "") | (h[2] % 100 >= rate)
@@ -75,8 +77,9 @@ def fill_in_middle(docs: DataFrame, units: str = "code points", rate: int = RATE
     form = F.when(whole, "plain").when(h[3] % 100 < suffix_first, "spm").otherwise("psm")
     cut = counted.select("doc_id", "text", "marked", "n", form.alias("form"), F.least(a, b).cast("int").alias("a"), F.greatest(a, b).cast("int").alias("b"))
     here = F.col("form") != "plain"
-    parts = cut.select("doc_id", "text", "n", "form", *(F.when(here, p).alias(name) for name, p in (
-        ("prefix", ranked(F.col("marked"), F.lit(0), F.col("a"))), ("middle", ranked(F.col("marked"), F.col("a"), F.col("b"))), ("suffix", ranked(F.col("marked"), (F.col("n") - F.col("b")).cast("int"))))))
+    m, a, b = F.col("marked"), F.col("a"), F.col("b")
+    made = {"prefix": head(m, a), "middle": tail(head(m, b), b - a), "suffix": tail(m, (F.col("n") - b + 1).cast("int"))}
+    parts = cut.select("doc_id", "text", "n", "form", *(F.when(here, unescaped(p)).alias(name) for name, p in made.items()))
     psm = F.concat(F.lit(PREFIX), "prefix", F.lit(SUFFIX), "suffix", F.lit(MIDDLE), "middle")
     spm = F.concat(F.lit(SUFFIX), "suffix", F.lit(PREFIX), "prefix", F.lit(MIDDLE), "middle")
     return parts.select("doc_id", "n", "form", "prefix", "middle", "suffix", F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(F.col("text")).alias("output"))
