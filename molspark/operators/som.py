@@ -1,4 +1,4 @@
-"""Batch self-organizing map: neurons are a small table, rows stay distributed."""
+"""Batch self-organizing maps: neurons are a small table, rows stay distributed; maps of many groups are trained together."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .metric import closest
 from .stats import per_dim
 
 RADIUS = math.sqrt(61)
+#: Rows compared at a time.
+SLICE = 2048
+Maps = dict[int, np.ndarray]
 
 
 def first_rows(df: DataFrame, n: int) -> np.ndarray:
@@ -26,27 +30,56 @@ def starting(df: DataFrame, n: int, how: str = "first", seed: int = 42) -> np.nd
     rows = np.array([r.v for r in df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).collect()], float)
     count = df.count()
     spread = np.array([r.sd or 0.0 for r in per_dim(df, rows.shape[1], sd=F.stddev_samp).orderBy("dim").collect()])
-    rows = np.resize(rows, (n, rows.shape[1]))
+    return moved(np.resize(rows, (n, rows.shape[1])), spread, count, seed)
+
+
+def moved(rows: np.ndarray, spread: np.ndarray, count: int, seed: int) -> np.ndarray:
     return rows + np.random.default_rng(seed).standard_normal(rows.shape) * spread * count ** (-1 / (rows.shape[1] + 4))
 
 
-def bmu(df: DataFrame, neurons: np.ndarray, *keep: str) -> DataFrame:
-    """(id, keep ..., neuron, d2): the closest neuron (ties: the first), in Arrow batches."""
+def starting_groups(df: DataFrame, group: str, n: int, how: str = "first", seed: int = 42) -> Maps:
+    """``starting`` of every group at once: a ranking that keeps n rows a group, and for ``kde`` one aggregate by group."""
+    order = ["id"] if how == "first" else [F.xxhash64("id", F.lit(seed)), "id"]
+    ranked = df.select(group, "id", "v").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
+    picked: dict[int, list] = {}
+    for r in ranked.orderBy(group, "rank").collect():  # n rows a group
+        picked.setdefault(r[group], []).append(r.v)
+    out = {g: np.resize(np.array(v, float), (n, len(v[0]))) for g, v in picked.items()}
+    if how == "first" or not out:
+        return out
+    width = next(iter(out.values())).shape[1]
+    sd = F.array(*(F.coalesce(F.stddev_samp(F.get("v", F.lit(i))), F.lit(0.0)) for i in range(width)))
+    facts = df.groupBy(group).agg(F.count("*").alias("n"), sd.alias("sd")).collect()  # a row a group
+    return {r[group]: moved(out[r[group]], np.array(r.sd), r.n, seed) for r in facts}
+
+
+def _units(pdf: pd.DataFrame, maps: Maps, group: str | None):
+    """(rows, vectors, neurons, squared distances) of a batch, by group and slice."""
+    parts = [(0, np.arange(len(pdf)))] if group is None else list(pdf.groupby(group).indices.items())
+    for g, rows in parts:
+        for at in range(0, len(rows) if g in maps else 0, SLICE):
+            some = rows[at : at + SLICE]
+            x = np.stack(pdf["v"].iloc[some].to_numpy())
+            yield g, some, x, *closest(x, maps[g])
+
+
+def bmu(df: DataFrame, neurons: np.ndarray | Maps, *keep: str, group: str | None = None) -> DataFrame:
+    """(id, keep ..., neuron, d2): the closest neuron (ties: the first), in Arrow batches. With a group, that of the group's
+    own map; rows whose group has none are left out."""
+    maps = {0: neurons} if group is None else neurons
+    held = list(dict.fromkeys([*keep, *([group] if group else [])]))
 
     def run(batches):
         for pdf in batches:
-            near, dist = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
-            for at in range(0, len(pdf), 512):
-                x = np.stack(pdf["v"].iloc[at : at + 512].to_numpy())
-                d = np.stack([((x - w) ** 2).sum(axis=1) for w in neurons], 1)
-                near[at : at + 512] = d.argmin(axis=1)
-                dist[at : at + 512] = d.min(axis=1)
-            out = pdf[["id", *keep]].copy()
+            near, dist = np.full(len(pdf), -1, np.int32), np.zeros(len(pdf))
+            for _, rows, _, n, d in _units(pdf, maps, group):
+                near[rows], dist[rows] = n, d
+            out = pdf[["id", *held]].copy()
             out["neuron"], out["d2"] = near, dist
-            yield out
+            yield out[out["neuron"] >= 0]
 
     types = dict(df.dtypes)
-    return df.select("id", "v", *keep).mapInPandas(run, ", ".join(["id long", *(f"{c} {types[c]}" for c in keep), "neuron int", "d2 double"]))
+    return df.select("id", "v", *held).mapInPandas(run, ", ".join(["id long", *(f"`{c}` {types[c]}" for c in held), "neuron int", "d2 double"]))
 
 
 def kernel(m: int, n: int, radius: float) -> np.ndarray:
@@ -54,48 +87,65 @@ def kernel(m: int, n: int, radius: float) -> np.ndarray:
     return np.exp(-((g[:, None] - g[None]) ** 2).sum(-1) / (2 * radius**2))
 
 
-def epoch(df: DataFrame, neurons: np.ndarray, m: int = 10, n: int = 10, radius: float = RADIUS) -> np.ndarray:
-    """One batch step: sums of the rows by closest neuron, a row a neuron and task, then neighbourhood means."""
-    k, dim = neurons.shape
+def sums(df: DataFrame, maps: Maps, group: str | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each group the sums and numbers of its rows by closest neuron, and its rows' mean distance: one pass over all groups, of
+    which a task sends one row for each neuron that it met."""
+    k, dim = next(iter(maps.values())).shape
 
     def run(batches):
-        s, c = np.zeros((k, dim)), np.zeros(k)
+        total = {g: np.zeros((k, dim + 2)) for g in maps}
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                x = np.stack(pdf["v"].iloc[at : at + 512].to_numpy())
-                near = np.stack([((x - w) ** 2).sum(axis=1) for w in neurons], 1).argmin(axis=1)
-                np.add.at(s, near, x)
-                np.add.at(c, near, 1)
-        own = np.flatnonzero(c)
-        yield pd.DataFrame({"neuron": own.astype("int32"), "c": c[own], "s": list(s[own])})
-
-    sums = df.select("v").mapInPandas(run, "neuron int, c double, s array<double>")
-    total = sums.select("neuron", "c", F.posexplode("s").alias("dim", "x")).groupBy("neuron", "dim").agg(F.sum("x").alias("x"), F.sum("c").alias("c"))
-    s, c = np.zeros((k, dim)), np.zeros(k)
-    for r in total.collect():  # neurons times width
-        s[r.neuron, r.dim], c[r.neuron] = r.x, r.c
-    h = kernel(m, n, radius)
+            for g, _, x, near, d in _units(pdf, maps, group):
+                np.add.at(total[g], near, np.concatenate([x, np.ones((len(x), 1)), np.sqrt(d)[:, None]], 1))
+        for g, t in total.items():
+            own = np.flatnonzero(t[:, dim])
+            yield pd.DataFrame({"g": np.full(len(own), g), "neuron": own.astype("int32"), "s": list(t[own])})
+
+    rows = df.select("v", *([group] if group else [])).mapInPandas(run, "g long, neuron int, s array<double>")
+    total = rows.select("g", "neuron", F.posexplode("s").alias("i", "x")).groupBy("g", "neuron", "i").agg(F.sum("x").alias("x")).toArrow()  # groups times neurons times width
+    g, neuron, i, x = (c.to_numpy() for c in total.columns)
+    out = {own: np.zeros((k, dim + 2)) for own in maps}
+    for own, held in out.items():
+        held[neuron[g == own], i[g == own]] = x[g == own]
+    return {g: (t[:, :dim], t[:, dim], float(t[:, dim + 1].sum() / max(t[:, dim].sum(), 1))) for g, t in out.items()}
+
+
+def means(s: np.ndarray, c: np.ndarray, neurons: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Neighbourhood means; a neuron that no row reaches stays."""
     weight = h @ c
     return np.where(weight[:, None] > 0, (h @ s) / np.maximum(weight, 1e-300)[:, None], neurons)
 
 
+def epoch(df: DataFrame, neurons: np.ndarray, m: int = 10, n: int = 10, radius: float = RADIUS) -> np.ndarray:
+    """One batch step."""
+    s, c, _ = sums(df, {0: neurons})[0]
+    return means(s, c, neurons, kernel(m, n, radius))
+
+
 def neuron_table(spark: SparkSession, neurons: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, d, float(x)) for i, w in enumerate(neurons) for d, x in enumerate(w)], "neuron int, dim int, w double")
 
 
+def train_groups(df: DataFrame, group: str | None, start: Maps, m: int = 10, n: int = 10, epochs: int = 10, radius: float = RADIUS, rate: float = 1.0) -> tuple[Maps, dict[int, list[float]]]:
+    """The maps of all groups after ``epochs`` steps with a shrinking radius, and each one's mean quantization error before
+    each step. An epoch is one pass over (group, v), whatever the number of groups, which yields the sums and the errors
+    together. Fewer starting neurons than m * n repeat. rate: how far the first step moves the neurons towards their
+    means; the rate falls to 0 with the epochs, and at 1 stays 1. ``df`` is read once an epoch: give a written table."""
+    maps = {g: np.resize(w, (m * n, w.shape[1])) for g, w in start.items()}
+    errors: dict[int, list[float]] = {g: [] for g in maps}
+    for e in range(epochs if maps else 0):
+        pace, h = 1.0 if rate >= 1 else rate * (1 - e / epochs), kernel(m, n, max(0.5, radius * (1 - e / epochs)))
+        for g, (s, c, error) in sums(df, maps, group).items():
+            errors[g].append(error)
+            maps[g] = maps[g] + pace * (means(s, c, maps[g], h) - maps[g])
+    return maps, errors
+
+
 def train(df: DataFrame, m: int = 10, n: int = 10, epochs: int = 10, radius: float = RADIUS, start: np.ndarray | None = None, rate: float = 1.0) -> tuple[np.ndarray, list[float]]:
-    """Neurons after ``epochs`` steps with a shrinking radius, and the mean quantization error before each. ``start``:
-    neurons, as from ``starting`` or another map; else the first rows. Fewer rows than neurons repeat. rate: how far
-    the first step moves the neurons towards their means; the rate falls to 0 with the epochs, and at 1 stays 1."""
+    """``train_groups`` of one map; ``start``: neurons, as from ``starting`` or another map; else the first rows."""
     df = df.persist()
     try:
-        w = first_rows(df, m * n) if start is None else start
-        w = np.resize(w, (m * n, w.shape[1]))
-        errors = []
-        for e in range(epochs):
-            errors.append(bmu(df, w).agg(F.avg(F.sqrt("d2"))).first()[0])
-            pace = 1.0 if rate >= 1 else rate * (1 - e / epochs)
-            w = w + pace * (epoch(df, w, m, n, max(0.5, radius * (1 - e / epochs))) - w)
+        maps, errors = train_groups(df, None, {0: first_rows(df, m * n) if start is None else start}, m, n, epochs, radius, rate)
     finally:
         df.unpersist()
-    return w, errors
+    return maps[0], errors[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import lookup
-from ..operators import autoencoder, buckets, entities, neighbors, ordering, som, stats
+from ..operators import autoencoder, buckets, entities, localsgd, neighbors, ordering, som, stats
 from ..schema import EDGES, FEATURES
 from ..sources import tables
 from ..sources.smiles import parse_smiles
@@ -36,11 +36,12 @@ def clean(molecules: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     return *scaled(rows, len(kept)), kept
 
 
-def load_and_preprocess(spark: SparkSession, path: str, features: list[str], encoder: dict[str, int] | None = None, label: str = "label") -> tuple[DataFrame, DataFrame]:
+def load_and_preprocess(spark: SparkSession, path: str, features: list[str], encoder: dict[str, int] | None = None, label: str = "label", key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, v, label) of a CSV file and the scaler's (dim, mu, sd): the label by ``encoder`` (null for one that it lacks; as a
-    number without an encoder), the features standardized. id is the row's place by the file's ``id`` column."""
+    number without an encoder), the features standardized. id is the file's column ``key``, or without one the row's place, from 0."""
     kind = "string" if encoder else "double"
-    rows = tables.read_csv(spark, path, ", ".join(["id long", *(f"`{f}` double" for f in features), f"`{label}` {kind}"]))
+    own = ", ".join([*(f"`{f}` double" for f in features), f"`{label}` {kind}"])
+    rows = tables.read_csv(spark, path, f"`{key}` long, {own}").withColumnRenamed(key, "id") if key else tables.read_csv_in_order(spark, path, own, "id")
     code = lookup(F.col(label), encoder) if encoder else F.col(label)
     out = scaled(rows.select("id", F.array(*(f"`{f}`" for f in features)).alias("v"), code.alias("label")), len(features))
     LOG.info("data loaded and scaled from %s", path)
@@ -51,10 +52,11 @@ def run_train(rows: DataFrame, config: Config, folder: str | None = None) -> tup
     """The best network on the held-out share of (id, v), its history, and (id, v, is_test): all rows' codes.
 
     With a folder it keeps there: ``summary`` (the layers), ``training_losses`` (a row an epoch, as epochs end),
-    ``model`` (overwritten whenever the validation loss improves) and ``encoded``.
+    ``model`` (overwritten whenever the validation loss improves), ``encoded``, and ``state``, from which another call
+    goes on after the last whole epoch.
     """
-    spark = rows.sparkSession
-    split = ordering.exact_split(rows, "id", config.test_share, config.seed)
+    spark, at = rows.sparkSession, tables.shared_folder(rows.sparkSession)
+    split = tables.written(ordering.exact_split(rows.select("id", "v"), "id", config.test_share, config.seed), at)
     net = autoencoder.Network(stats.width(rows), config.hidden_sizes).start(config.seed)
     if folder:
         tables.write_report(autoencoder.summary(spark, net), f"{folder}/summary")
@@ -66,63 +68,98 @@ def run_train(rows: DataFrame, config: Config, folder: str | None = None) -> tup
             if better:
                 now.save(spark, f"{folder}/model")
 
-    _, best, past = autoencoder.train(split.where("not is_test"), split.where("is_test"), net, config.epochs, config.learning_rate, config.weight_decay, config.step_size, config.gamma, config.steps, keep)
+    common = (config.epochs, config.learning_rate, config.weight_decay, config.step_size, config.gamma)
+    if config.steps:
+        _, best, past = autoencoder.train(split.where("not is_test"), split.where("is_test"), net, *common, config.steps, keep)
+    else:
+        _, best, past = localsgd.train(split, net, *common, config.batch_size, on_epoch=keep, folder=f"{folder}/state" if folder else None)
     codes = autoencoder.apply_network(split, best, "encode", "is_test")
     if folder:
-        codes.write.mode("overwrite").parquet(f"{folder}/encoded")
-        codes = spark.read.schema(codes.schema).parquet(f"{folder}/encoded")
+        codes = tables.written(codes, f"{folder}/encoded")
+        tables.remove(spark, at)
     return best, past, codes
 
 
-def cluster_ranges(spark: SparkSession, rows: DataFrame, score: str, net: autoencoder.Network, m: int = 10, n: int = 10, epochs: int = 10, warm_start: bool = False, edges=EDGES, folder: str | None = None, start: str = "first", rate: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def cluster_ranges(
+    spark: SparkSession, rows: DataFrame, score: str, net: autoencoder.Network, m: int = 10, n: int = 10, epochs: int = 10, warm_start: bool = False, edges=EDGES, folder: str | None = None,
+    start: str = "first", rate: float = 1.0, features: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """For each range of the score: encode, fit a map, label. Returns (bucket, id, score, neuron) and the decoded
     centers (bucket, neuron, v). Rows outside of the ranges are left out, ranges without rows too.
 
-    With a folder it writes, by range (``group_k``): ``labeled_data`` (features, label), ``decoded_data`` (the decoded
-    centers), ``matrix_data`` (features by number), ``tokenized_data`` (codes as floats), all CSV, and ``cluster_center``.
+    The rows are encoded and written once; the maps of all ranges are trained together, a pass an epoch. warm_start: one
+    map is fitted to one range after the other instead, each from where the one before left it.
+
+    With a folder it writes, by range (``group_k``), as CSV: ``labeled_data`` (id, the features by name, the score, label),
+    ``decoded_data`` (the centers by the features' names, in their order), ``matrix_data`` (features by number) and
+    ``tokenized_data`` (codes as floats by number); and ``cluster_center``. Without names features go by number.
     """
-    own = rows.withColumn("bucket", buckets.bucket(F.col(score), edges)).where("bucket is not null")
-    width, labels, centers, last = net.width, None, [], None
-    for k, _, _ in buckets.limits(edges):
-        part = own.where(F.col("bucket") == k)
-        if part.isEmpty():
-            continue
-        codes = autoencoder.apply_network(part, net, "encode")
+    at = tables.shared_folder(spark)
+    own = rows.select("id", "v", F.col("v").alias("_x"), score).withColumn("bucket", buckets.bucket(F.col(score), edges)).where("bucket is not null")
+    codes = tables.written(autoencoder.apply_network(own, net, "encode", "_x", score, "bucket"), f"{at}/codes")
+    maps = som.starting_groups(codes, "bucket", m * n, start)
+    if warm_start:
+        last = None
+        for k in sorted(maps):
+            last, _ = som.train(codes.where(F.col("bucket") == k), m, n, epochs, start=maps[k] if last is None else last, rate=rate)
+            maps[k] = last
+    else:
+        maps, _ = som.train_groups(codes, "bucket", maps, m, n, epochs, rate=rate)
+    decoded = {k: net.decode(w) for k, w in sorted(maps.items())}
+    centers = [(k, i, [float(x) for x in v]) for k, d in decoded.items() for i, v in enumerate(d)]
+    if not maps:
+        return spark.createDataFrame([], f"bucket int, id long, `{score}` double, neuron int"), spark.createDataFrame([], "bucket int, neuron int, v array<double>")
+    found = som.bmu(codes.withColumn("_code", F.col("v")), maps, score, "_x", "_code", group="bucket").drop("d2")
+    found.write.partitionBy("bucket").parquet(f"{at}/labels")
+    found = spark.read.schema(found.schema).parquet(f"{at}/labels")
+    for k, w in maps.items() if folder else ():
         LOG.info("range %d", k)
-        last, _ = som.train(codes, m, n, epochs, start=last if warm_start and last is not None else som.starting(codes, m * n, start), rate=rate)
-        got = som.bmu(codes, last).select("id", "neuron", F.lit(k).alias("bucket"))
-        labels = got if labels is None else labels.unionByName(got)
-        decoded = net.decode(last)
-        centers += [(k, i, [float(x) for x in v]) for i, v in enumerate(decoded)]
-        if folder:
-            wide = lambda n, kind="double": [F.get("v", F.lit(i)).cast(kind).alias(str(i)) for i in range(n)]
-            at = f"{folder}/group_{k}"
-            tables.write_csv(part.join(got, "id").select(*wide(width), F.col("neuron").alias("label")), f"{at}/labeled_data")
-            tables.write_csv(spark.createDataFrame(decoded.tolist(), ", ".join(f"`{i}` double" for i in range(width))), f"{at}/decoded_data")
-            tables.write_csv(part.select(*wide(width)), f"{at}/matrix_data")
-            tables.write_csv(codes.select(*wide(last.shape[1], "float")), f"{at}/tokenized_data")
-            som.neuron_table(spark, last).coalesce(1).write.mode("overwrite").parquet(f"{at}/cluster_center")
-    labels = labels if labels is not None else spark.createDataFrame([], "id long, neuron int, bucket int")
-    return labels.join(own.select("id", score), "id"), spark.createDataFrame(centers, "bucket int, neuron int, v array<double>")
-
-
-def train_som(spark: SparkSession, scores_path: str, clean_path: str, model_path: str, features: list[str], config: Config, folder: str, m: int = 10, n: int = 10, start: str = "kde", rate: float = 0.5, edges=EDGES) -> tuple[DataFrame, DataFrame]:
-    """From files to files: the clean features (id, features) with the scores (id, qed) of another CSV file, a saved network, and
-    cluster_ranges() over them. Rows meet by id; one without a score is in no range."""
+        part, to = found.where(F.col("bucket") == k), f"{folder}/group_{k}"
+        names = features or [str(i) for i in range(net.width)]
+        wide = lambda c, names, kind="double": [F.get(c, F.lit(i)).cast(kind).alias(x) for i, x in enumerate(names)]
+        tables.write_csv(part.select("id", *wide("_x", names), score, F.col("neuron").alias("label")), f"{to}/labeled_data")
+        tables.write_csv(spark.createDataFrame(decoded[k].tolist(), ", ".join(f"`{c}` double" for c in names)).coalesce(1), f"{to}/decoded_data")
+        tables.write_csv(part.select(*wide("_x", [str(i) for i in range(net.width)])), f"{to}/matrix_data")
+        tables.write_csv(part.select(*wide("_code", [str(i) for i in range(w.shape[1])], "float")), f"{to}/tokenized_data")
+        som.neuron_table(spark, w).coalesce(1).write.mode("overwrite").parquet(f"{to}/cluster_center")
+    return found.select("bucket", "id", score, "neuron"), spark.createDataFrame(centers, "bucket int, neuron int, v array<double>")
+
+
+def train_som(spark: SparkSession, scores_path: str, clean_path: str, model_path: str, features: list[str], config: Config, folder: str, m: int = 10, n: int = 10, start: str = "kde", rate: float = 0.5, edges=EDGES, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """From files to files: the clean features with the scores (qed) of another CSV file, a saved network, and cluster_ranges()
+    over them. Rows of both files meet by their column ``key``, or without one by their place; one without a score is in no range."""
     net = autoencoder.Network(len(features), config.hidden_sizes).load(spark, model_path)
     LOG.info("network loaded from %s", model_path)
-    rows = tables.read_csv(spark, clean_path, ", ".join(["id long", *(f"`{f}` double" for f in features)]))
-    scores = tables.read_csv(spark, scores_path, "id long, qed double")
-    rows = rows.select("id", F.array(*(f"`{f}`" for f in features)).alias("v")).join(scores, "id", "left").withColumnRenamed("qed", "score")
-    return cluster_ranges(spark, rows, "score", net, m, n, config.som_epochs, False, edges, folder, start, rate)
+
+    def read(path: str, columns: str) -> DataFrame:
+        return tables.read_csv(spark, path, f"`{key}` long, {columns}").withColumnRenamed(key, "id") if key else tables.read_csv_in_order(spark, path, columns, "id")
+
+    rows, scores = read(clean_path, ", ".join(f"`{f}` double" for f in features)), read(scores_path, "qed double")
+    rows = rows.select("id", F.array(*(f"`{f}`" for f in features)).alias("v")).join(scores, "id", "left")
+    return cluster_ranges(spark, rows, "qed", net, m, n, config.som_epochs, False, edges, folder, start, rate, features)
+
+
+def decoded_centers(spark: SparkSession, folder: str, features: list[str]) -> DataFrame:
+    """(bucket, neuron, v) of the ``decoded_data`` of all groups in a folder, by the features' names; a center's number is its place."""
+    found = None
+    for name in tables.children(spark, folder):  # a folder a range
+        if name.startswith("group_") and name[6:].isdigit():
+            rows = tables.read_csv_in_order(spark, f"{folder}/{name}/decoded_data", ", ".join(f"`{f}` double" for f in features), "neuron")
+            rows = rows.select(F.lit(int(name[6:])).alias("bucket"), F.col("neuron").cast("int").alias("neuron"), F.array(*(f"`{f}`" for f in features)).alias("v"))
+            found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], "bucket int, neuron int, v array<double>") if found is None else found
 
 
 def explain(centers: DataFrame, scale: DataFrame, rows: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
-    """Means and deviations of the unscaled centers by range, and each center (unscaled v) with the score of its nearest row."""
+    """What centers (bucket, neuron, v), in the scaled units of training, mean in raw ones: (bucket, dim, mean, std) by range, and
+    each center's unscaled v with the score of the row nearest to it. ``rows``: (id, v, score), v as it was before scaling."""
     back = stats.unscaled(centers, scale)
     n = stats.width(back)
-    near = neighbors.nearest(rows.select("id", "v"), centers.select((F.col("bucket") * 100_000 + F.col("neuron")).cast("long").alias("id"), "v"))
-    scored = near.join(rows.select("id", F.col(score).alias("score")), "id").select((F.col("query") / 100_000).cast("int").alias("bucket"), (F.col("query") % 100_000).cast("int").alias("neuron"), "score")
+    most = (centers.agg(F.max("neuron")).first()[0] or 0) + 1
+    code = F.col("bucket").cast("long") * F.lit(most) + F.col("neuron")
+    near = neighbors.nearest(rows.select("id", "v"), back.select(code.alias("id"), "v"))
+    scored = near.join(rows.select("id", F.col(score).alias("score")), "id")
+    scored = scored.select(F.floor(F.col("query") / F.lit(most)).cast("int").alias("bucket"), (F.col("query") % F.lit(most)).cast("int").alias("neuron"), "score")
     return stats.group_mean_std(back, n, "bucket"), back.join(scored, ["bucket", "neuron"])
 
 

@@ -19,7 +19,7 @@ LOG = logging.getLogger("molspark")
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of the training and clustering plans; ``from_env`` reads literals, never code."""
+    """Settings of the training and clustering plans; ``from_env`` reads literals, never code. The defaults are fixed values."""
 
     hidden_sizes: tuple[int, ...] = (16, 8)
     epochs: int = 256
@@ -30,7 +30,8 @@ class Config:
     test_share: float = 0.3
     seed: int = 42
     som_epochs: int = 128
-    steps: int = 1
+    batch_size: int = 32
+    steps: int = 0  # instead of batches, so many synchronous steps an epoch
     column_encoder: dict = field(default_factory=dict)
     dataset: str = ""
     model_path: str = ""
@@ -49,12 +50,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share; a local one only where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = held.get()
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = root or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/molspark-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table at the path: cuts lineage and survives lost executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own, store = _path(spark, path)
+    return store.exists(own)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    own, store = _path(spark, path)
+    store.delete(own, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; of one that isn't there, none."""
+    own, store = _path(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(own)) if store.exists(own) else []
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """A typed scan of CSV files with a header. A missing path is logged and raises Spark's PATH_NOT_FOUND at once."""
     try:
@@ -64,6 +95,20 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
         raise
 
 
+def read_csv_in_order(spark: SparkSession, path: str | list[str], schema: T.StructType | str, name: str = "row") -> DataFrame:
+    """``read_csv`` with each row's place in the file, from 0; files follow one another by path.
+
+    A scan's partition holds pieces of files, each whole and in its order, so a row's place in its piece is its number in the
+    partition less the piece's first one. One pass counts the pieces; a row a piece is broadcast; rows aren't shuffled.
+    """
+    scan = read_csv(spark, path, schema)
+    rows = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_number", F.monotonically_increasing_id())
+    pieces = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(starts), ["_file", "_block"]).select((F.col("_number") + F.col("_shift")).alias(name), *(f"`{c}`" for c in scan.columns))
+
+
 def log_to(path: str) -> logging.Handler:
     """Sends what the package logs to a file of the driver as well; returns the handler, for ``LOG.removeHandler``."""
     handler = logging.FileHandler(path)
