@@ -94,7 +94,7 @@ def apply_network(df: DataFrame, net: Network, part: str, *keep: str) -> DataFra
     def run(batches):
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, net.width))
-            yield pd.DataFrame({"id": pdf["id"], "v": list(f(x)), **{c: pdf[c] for c in keep}})
+            yield pd.DataFrame({"id": pdf["id"], "v": pd.Series(list(f(x)), dtype=object, index=pdf.index), **{c: pdf[c] for c in keep}})
 
     types = dict(df.dtypes)
     return df.select("id", "v", *keep).mapInPandas(run, ", ".join(["id long, v array<double>", *(f"`{c}` {types[c]}" for c in keep)]))

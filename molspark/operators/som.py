@@ -99,7 +99,7 @@ def sums(df: DataFrame, maps: Maps, group: str | None = None) -> dict[int, tuple
                 np.add.at(total[g], near, np.concatenate([x, np.ones((len(x), 1)), np.sqrt(d)[:, None]], 1))
         for g, t in total.items():
             own = np.flatnonzero(t[:, dim])
-            yield pd.DataFrame({"g": np.full(len(own), g), "neuron": own.astype("int32"), "s": list(t[own])})
+            yield pd.DataFrame({"g": np.full(len(own), g), "neuron": own.astype("int32"), "s": pd.Series(list(t[own]), dtype=object)})
 
     rows = df.select("v", *([group] if group else [])).mapInPandas(run, "g long, neuron int, s array<double>")
     total = rows.select("g", "neuron", F.posexplode("s").alias("i", "x")).groupBy("g", "neuron", "i").agg(F.sum("x").alias("x")).toArrow()  # groups times neurons times width

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import autoencoder, buckets, density, entities, neighbors, ordering, som, stats
+from ..operators import autoencoder, buckets, density, entities, localsgd, neighbors, ordering, som, stats
 from ..schema import EDGES, FEATURES, RADII
 from ..sources import tables
 from ..sources.smiles import parse_smiles
@@ -281,7 +281,8 @@ def som_group_profile(spark, d):
 
 @query()
 def som_train(spark, d):
-    w, errors = som.train(emb(spark, d), epochs=5)
+    """A map of 10 x 10 over 128 epochs: its error before each."""
+    _, errors = som.train(emb(spark, d), epochs=128)
     return spark.createDataFrame([(e, float(x)) for e, x in enumerate(errors)], "epoch int, quantization_error double")
 
 
@@ -341,9 +342,9 @@ def param_count_summary(spark, d):
 
 @query()
 def ae_train(spark, d):
-    split = ordering.exact_split(emb(spark, d).select("id", "v"), "id")
-    net = autoencoder.Network(DIM, (16, 8)).start()
-    _, _, rows = autoencoder.train(split.where("not is_test"), split.where("is_test"), net, epochs=8)
+    """256 epochs in batches of 32: the losses of both parts after each."""
+    split = tables.written(ordering.exact_split(emb(spark, d).select("id", "v"), "id"), tables.shared_folder(spark))
+    _, _, rows = localsgd.train(split, autoencoder.Network(DIM, (16, 8)).start(), 256)
     return spark.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], history.SCHEMA)
 
 
@@ -479,48 +480,71 @@ def load_and_preprocess(spark, d):
     """A CSV file of features and a label to scaled features and a code."""
     path = tables.shared_folder(spark)
     tables.write_csv(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *(F.col(c).cast("double") for c in PRICED), F.col("o_orderstatus").alias("label")), path)
-    rows, _ = pipelines.load_and_preprocess(spark, path, PRICED, CODES)
+    rows, _ = pipelines.load_and_preprocess(spark, path, PRICED, CODES, key="id")
     return rows.select("id", *(r6(F.get("v", F.lit(i))).alias(c) for i, c in enumerate(PRICED)), "label")
 
 
-def _files(spark, d) -> tuple[str, list[str]]:
-    """The embeddings as the two CSV files that the plans start from: clean features, and scores by id."""
-    path, names = tables.shared_folder(spark), [f"f{i}" for i in range(DIM)]
-    rows = emb(spark, d)
-    tables.write_csv(rows.select("id", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(names)), F.col("label").cast("string").alias("label")), f"{path}/features")
-    tables.write_csv(rows.select("id", (F.col("label") / F.lit(10.0)).alias("qed")), f"{path}/scores")
-    return path, names
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """Several partitions that follow one another by the key, as files of a table without a key do."""
+    return rows.repartitionByRange(4, key).sortWithinPartitions(key)
+
+
+@query("""SELECT o.r - 1 AS row, o_totalprice, c_acctbal FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) o LEFT JOIN (SELECT c_acctbal, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) c ON o.r = c.r""")
+def csv_position_align(spark, d):
+    """Two CSV tables without a key meet by the rows' places in their files."""
+    path = tables.shared_folder(spark)
+    tables.write_csv(in_order(table(spark, d, "orders"), "o_orderkey").select("o_totalprice"), f"{path}/orders")
+    tables.write_csv(in_order(table(spark, d, "customer"), "c_custkey").select("c_acctbal"), f"{path}/customers")
+    right = tables.read_csv_in_order(spark, f"{path}/customers", "c_acctbal double")
+    return tables.read_csv_in_order(spark, f"{path}/orders", "o_totalprice double").join(right, "row", "left")
+
+
+NAMES = [f"f{i}" for i in range(DIM)]
 
 
-@query("SELECT vec_id AS id, row_number() OVER (ORDER BY md5(concat(vec_id::VARCHAR, '|42')), vec_id) <= ceil(0.3::DOUBLE * (SELECT count(*) FROM embeddings)) AS is_test, 8 AS width, true AS saved FROM embeddings")
+def _files(spark, d) -> str:
+    """The embeddings as the two CSV tables that the plans start from, both without ids: features and label, and scores."""
+    path, rows = tables.shared_folder(spark), emb(spark, d)
+    tables.write_csv(in_order(rows, "id").select(*(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(NAMES)), F.col("label").cast("string").alias("label")), f"{path}/features")
+    tables.write_csv(in_order(rows, "id").select((F.col("label") / F.lit(10.0)).alias("qed")), f"{path}/scores")
+    return path
+
+
+#: Rows of the embeddings by their place in the files.
+PLACED = "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, label, embedding FROM embeddings)"
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY md5(concat(id::VARCHAR, '|42')), id) <= ceil(0.3::DOUBLE * (SELECT count(*) FROM embeddings)) AS is_test, true AS saved FROM {PLACED}")
 def train_from_files(spark, d):
-    """Load, split, train with a checkpoint on improvement, encode both parts: a row for each row of the file, with its part, its
-    code's width and whether the saved network gives the same code."""
-    path, names = _files(spark, d)
-    rows, _ = pipelines.load_and_preprocess(spark, f"{path}/features", names, {str(k): k for k in range(10)})
-    _, past, codes = pipelines.run_train(rows, Config(hidden_sizes=(16, 8), epochs=3, learning_rate=1e-2, steps=2), f"{path}/out")
+    """Load, split, train with a checkpoint on improvement, encode both parts: a row for each row of the file, with its part and
+    whether the saved network gives the same code."""
+    path = _files(spark, d)
+    rows, _ = pipelines.load_and_preprocess(spark, f"{path}/features", NAMES, {str(k): k for k in range(10)})
+    _, past, codes = pipelines.run_train(rows, Config(hidden_sizes=(16, 8), epochs=3, learning_rate=1e-2), f"{path}/out")
     saved = autoencoder.Network(DIM, (16, 8)).load(spark, f"{path}/out/model")
     again = autoencoder.apply_network(rows, saved, "encode").withColumnsRenamed({"id": "own", "v": "w"})
     same = F.aggregate(F.zip_with("v", "w", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) < 1e-9
     kept = history.read_history(spark, f"{path}/out/training_losses").where("epoch between 1 and 3").count() == len(past)
-    return codes.join(again, F.col("id") == F.col("own")).select("id", "is_test", F.size("v").alias("width"), (same & F.lit(kept)).alias("saved"))
+    return codes.join(again, F.col("id") == F.col("own")).select("id", "is_test", (same & F.lit(kept)).alias("saved"))
 
 
-@query(f"SELECT bucket::INT AS bucket, count(*) AS labeled, 16::BIGINT AS decoded, count(*) AS matrix, count(*) AS tokenized, 128::BIGINT AS centers FROM embeddings JOIN {LIMITS} ON label / 10::DOUBLE >= lo AND label / 10::DOUBLE < hi GROUP BY bucket")
+@query(f"SELECT bucket::INT AS bucket, id, dim, round(x, 6) AS x, true AS labelled FROM (SELECT id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM {PLACED}) JOIN {LIMITS} ON label / 10::DOUBLE >= lo AND label / 10::DOUBLE < hi")
 def cluster_from_files(spark, d):
-    """Two CSV files and a saved network to the five outputs of each range; their numbers of rows, as read back."""
-    path, names = _files(spark, d)
-    autoencoder.Network(DIM, (16, 8)).start().save(spark, f"{path}/model")
-    config = Config(hidden_sizes=(16, 8), som_epochs=2)
-    pipelines.train_som(spark, f"{path}/scores", f"{path}/features", f"{path}/model", names, config, f"{path}/out", 4, 4)
-    out, wide = None, ", ".join(f"`{i}` double" for i in range(DIM))
+    """Two CSV tables and a saved network to the outputs of each range, 10 x 10 over 128 epochs: the labelled rows, read back by
+    the features' names; labelled: whether the label is the neuron nearest to the row's code of the same place."""
+    path = _files(spark, d)
+    net = autoencoder.Network(DIM, (16, 8)).start()
+    net.save(spark, f"{path}/model")
+    pipelines.train_som(spark, f"{path}/scores", f"{path}/features", f"{path}/model", NAMES, Config(hidden_sizes=(16, 8)), f"{path}/out")
+    out = None
     for k, _, _ in buckets.limits():
-        at = f"{path}/out/group_{k}"
-        read = {"labeled": tables.read_csv(spark, f"{at}/labeled_data", f"{wide}, label int"), "decoded": tables.read_csv(spark, f"{at}/decoded_data", wide), "matrix": tables.read_csv(spark, f"{at}/matrix_data", wide)}
-        read |= {"tokenized": tables.read_csv(spark, f"{at}/tokenized_data", ", ".join(f"`{i}` float" for i in range(8))), "centers": spark.read.parquet(f"{at}/cluster_center")}
-        row = spark.range(1).select(F.lit(k).alias("bucket"), *(F.lit(df.count()).cast("long").alias(c) for c, df in read.items()))
-        out = row if out is None else out.unionByName(row)
-    return out
+        rows = tables.read_csv(spark, f"{path}/out/group_{k}/labeled_data", ", ".join(["id long", *(f"{c} double" for c in NAMES), "qed double", "label int"]))
+        rows = rows.select("id", F.array(*NAMES).alias("v"), F.array(*NAMES).alias("x"), "label")
+        center = spark.read.parquet(f"{path}/out/group_{k}/cluster_center").orderBy("neuron", "dim").collect()
+        near = som.bmu(autoencoder.apply_network(rows, net, "encode", "x", "label"), np.array([r.w for r in center]).reshape(100, -1), "x", "label")
+        near = near.select(F.lit(k).alias("bucket"), "id", F.posexplode("x").alias("dim", "x"), (F.col("neuron") == F.col("label")).alias("labelled"))
+        out = near if out is None else out.unionByName(near)
+    return out.select("bucket", "id", "dim", r6("x").alias("x"), "labelled")
 
 
 @query("SELECT row_number() OVER (ORDER BY bucket, n) - 1 AS index, bucket, n FROM (SELECT bucket::INT AS bucket, count(*) AS n FROM lineitem JOIN " + LIMITS + f" ON {SCORE} >= lo AND {SCORE} < hi GROUP BY bucket)")
@@ -544,20 +568,66 @@ def float_cast(spark, d):
     return stats.long_form(emb(spark, d)).select("id", "dim", F.col("x").cast("float").alias("x"))
 
 
-@query(f"""WITH {VEC}, s AS ({SCALE}), z AS (SELECT id, label, dim, (x - mu) / sd * sd + mu AS x FROM ({LONG}) JOIN s USING (dim))
- SELECT dim, round(corr(x, label::DOUBLE), 6) AS corr FROM z GROUP BY dim""")
+#: Centers stated by a rule, in scaled units: the mean of the rows of a range whose ids leave the same remainder of 4, times 1.5.
+CENTERS = f"""s AS ({SCALE}), r AS (SELECT bucket::INT AS bucket, id, dim, x, label / 10::DOUBLE AS score FROM ({LONG}) JOIN {LIMITS} ON label / 10::DOUBLE >= lo AND label / 10::DOUBLE < hi),
+ c AS (SELECT bucket, (id % 4)::INT AS neuron, dim, avg((x - mu) / sd) * 1.5::DOUBLE * sd + mu AS x FROM r JOIN s USING (dim) GROUP BY bucket, id % 4, dim, sd, mu)"""
+NEAREST = f"""{CENTERS}, v AS (SELECT bucket, neuron, list(x ORDER BY dim) AS v FROM c GROUP BY bucket, neuron), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ n AS (SELECT bucket, neuron, label / 10::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY bucket, neuron ORDER BY d2, vec_id) AS k FROM (SELECT b.bucket, b.neuron, a.vec_id, a.label, {D2} AS d2 FROM e a CROSS JOIN v b)) WHERE k = 1)"""
+
+
+def _explained(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The stated centers as the files of groups, read by the features' names and explained in raw units."""
+    rows = emb(spark, d).withColumn("score", F.col("label") / F.lit(10.0))
+    z, scale = pipelines.scaled(rows, DIM)
+    own = z.withColumn("bucket", buckets.bucket(F.col("score"))).where("bucket is not null").withColumn("neuron", (F.col("id") % 4).cast("int"))
+    means = own.groupBy("bucket", "neuron").agg(*((F.avg(F.get("v", F.lit(i))) * F.lit(1.5)).alias(c) for i, c in enumerate(NAMES)))
+    means, path = tables.written(means, tables.shared_folder(spark)), tables.shared_folder(spark)
+    for k, _, _ in buckets.limits():
+        tables.write_csv(means.where(F.col("bucket") == k).coalesce(1).sortWithinPartitions("neuron").select(*NAMES), f"{path}/group_{k}/decoded_data")
+    return pipelines.explain(pipelines.decoded_centers(spark, path, NAMES), scale, rows, "score")
+
+
+@query(f"WITH {NEAREST} SELECT bucket, neuron, score FROM n")
+def center_scores(spark, d):
+    """Each center, from the groups' files, with the score of the row nearest to it in raw units."""
+    return _explained(spark, d)[1].select("bucket", "neuron", "score")
+
+
+@query(f"WITH {NEAREST} SELECT dim, round(corr(x, score), 6) AS corr FROM c JOIN n USING (bucket, neuron) GROUP BY dim")
 def center_correlation(spark, d):
-    """Correlation with the score over the unscaled rows of all groups together."""
-    rows, scale = pipelines.scaled(emb(spark, d), DIM)
-    back = stats.unscaled(rows, scale).withColumn("score", F.col("label").cast("double"))
-    return pipelines.center_correlation(back, DIM).select("dim", r6("corr").alias("corr"))
+    """Correlation of each feature with the score over the centers of all groups together."""
+    return pipelines.center_correlation(_explained(spark, d)[1], DIM).select("dim", r6("corr").alias("corr"))
+
+
+@query(f"""WITH {CENTERS}, m AS (SELECT bucket, dim, round_even(avg(x) * 100::DOUBLE, 0) / 100::DOUBLE AS mean, stddev_samp(x) AS std FROM c GROUP BY bucket, dim),
+ k AS (SELECT bucket, 'f' || dim AS feature, mean FROM m WHERE dim IN (SELECT dim FROM m GROUP BY dim HAVING min(mean) > -0.05::DOUBLE)) SELECT row_number() OVER (ORDER BY bucket, feature) - 1 AS index, bucket, feature, mean FROM k""")
+def center_means_sheet(spark, d):
+    """Means of the groups' centers in raw units, rounded, without features that are small in any group, as a sheet read back."""
+    means, path = _explained(spark, d)[0], tables.shared_folder(spark)
+    named = means.select("bucket", F.concat(F.lit("f"), F.col("dim").cast("string")).alias("feature"), "mean")
+    tables.write_csv(stats.surviving_means(named, "bucket", "feature", -0.05), path, index=True)
+    return tables.read_csv(spark, path, "index long, bucket int, feature string, mean double")
+
+
+@query(f"""WITH {VALLEYS}, p AS (SELECT h.lo AS edge, row_number() OVER (ORDER BY v.bin) - 1 AS pick FROM v JOIN h ON h.bin = v.bin + 1),
+ q AS (SELECT edge, row_number() OVER (ORDER BY edge) AS k FROM p WHERE pick IN (7, 10, 14, 17)), w AS (SELECT k AS bucket, edge AS lo, lead(edge) OVER (ORDER BY edge) AS hi FROM q UNION ALL SELECT 0, 0, min(edge) FROM q)
+ SELECT bucket::INT AS bucket, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std FROM lineitem JOIN w ON l_extendedprice >= w.lo AND (l_extendedprice < w.hi OR w.hi IS NULL) GROUP BY bucket""")
+def valley_range_profile(spark, d):
+    """Ranges whose edges are the density's valleys, joined to the rows as a table of limits."""
+    lines = table(spark, d, "lineitem")
+    edges = [r.edge for r in density.valley_edges(_hist(spark, d), [7, 10, 14, 17]).orderBy("edge").collect()]
+    limits = buckets.limits_table(spark, edges, 0.0, None)
+    own = buckets.by_limits(lines.select(F.col("l_extendedprice").alias("x"), "l_quantity"), "x", limits)
+    return own.groupBy("bucket").agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("mean"), r6(F.stddev_samp("l_quantity")).alias("std"))
 
 
 @query()
 def cluster_pipeline(spark, d):
-    """Train on the rows, cluster their codes by range, decode, and look up each center's nearest row."""
+    """Train on the scaled rows for 256 epochs, cluster their codes by range on maps of 10 x 10 over 128 epochs, decode, and look
+    up each center's nearest row in raw units."""
     rows = emb(spark, d).select("id", "v", (F.col("label") / F.lit(10.0)).alias("score"))
-    net, _, _ = pipelines.run_train(rows.select("id", "v"), Config(hidden_sizes=(16, 8), epochs=8, learning_rate=1e-2))
-    _, centers = pipelines.cluster_ranges(spark, rows, "score", net, 4, 4, epochs=2)
-    _, scored = pipelines.explain(centers, stats.scaler_stats(rows, DIM), rows, "score")
+    z, scale = pipelines.scaled(rows, DIM)
+    net, _, _ = pipelines.run_train(z.select("id", "v"), Config(hidden_sizes=(16, 8)))
+    _, centers = pipelines.cluster_ranges(spark, z, "score", net, epochs=128, start="kde", rate=0.5)
+    _, scored = pipelines.explain(centers, scale, rows, "score")
     return scored.select("bucket", "neuron", "score")

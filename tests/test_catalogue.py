@@ -204,20 +204,23 @@ def test_map_starts_near_the_rows(spark):
 
 
 def test_cluster_pipeline_brute(spark, data):
-    """The query's centers: each has the score of the row that is nearest to it."""
+    """The centers of scaled rows whose features have unlike scales: each has the score of the raw row that is nearest to it in raw units."""
     from molspark.plans import pipelines
 
-    rows = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id as id", "cast(embedding as array<double>) as v", "label / 10 as score")
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id as id", "transform(cast(embedding as array<double>), (x, i) -> x * pow(3.0, i % 7) + i) as v", "label / 10 as score")
+    z, scale = pipelines.scaled(rows, 64)
     net = autoencoder.Network(64, (16, 8)).start()
-    labels, centers = pipelines.cluster_ranges(spark, rows, "score", net, 3, 3, 2)
-    _, scored = pipelines.explain(centers, stats.scaler_stats(rows, 64), rows, "score")
+    labels, centers = pipelines.cluster_ranges(spark, z, "score", net, 3, 3, 2)
+    means, scored = pipelines.explain(centers, scale, rows, "score")
     own = rows.collect()
     x, ids = np.array([r.v for r in own]), np.array([r.id for r in own])
     score = {(r.bucket, r.neuron): r.score for r in scored.collect()}
-    for r in centers.collect():
-        d = ((x - np.array(r.v)) ** 2).sum(1)
-        assert score[r.bucket, r.neuron] == own[np.lexsort((ids, d))[0]].score
+    back = {(r.bucket, r.neuron): np.array(r.v) * x.std(axis=0) + x.mean(axis=0) for r in centers.collect()}
+    for key, v in back.items():
+        assert score[key] == own[np.lexsort((ids, ((x - v) ** 2).sum(1)))[0]].score
     assert labels.count() == sum(r.score < 1 for r in own) and len(score) == 9 * labels.select("bucket").distinct().count()
+    for r in means.collect():
+        assert np.isclose(r["mean"], np.mean([v[r.dim] for (b, _), v in back.items() if b == r.bucket]))
 
 
 def test_marks_and_unlisted_elements():
