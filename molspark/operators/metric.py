@@ -24,3 +24,30 @@ def closest(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(close[i])
         near[i] = some[((x[i] - w[some]) ** 2).sum(axis=1).argmin()]
     return near, ((x - w[near]) ** 2).sum(axis=1)
+
+
+def nearest_k(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, other_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, ids) of the k rows (own, x) nearest to each query (ids, q), in order; ties to the smaller id. Where there
+    are fewer, distances are infinite."""
+    d, off = approximate(q, x)
+    if other_only:
+        d[ids[:, None] == own[None, :]] = np.inf
+    if d.shape[1] > k:
+        least = np.partition(d, k - 1, axis=1)[:, k - 1]
+        d[d > (least + 2 * off)[:, None]] = np.inf
+    row, col = np.nonzero(np.isfinite(d))
+    exact = ((q[row] - x[col]) ** 2).sum(axis=1)
+    order = np.lexsort((own[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    first = place < k
+    out_d, out_i = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+    out_d[row[first], place[first]], out_i[row[first], place[first]] = exact[first], own[col[first]]
+    return out_d, out_i
+
+
+def merged(d0: np.ndarray, i0: np.ndarray, d1: np.ndarray, i1: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two such results."""
+    d, i = np.concatenate([d0, d1], 1), np.concatenate([i0, i1], 1)
+    order = np.lexsort((i, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)

@@ -10,80 +10,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
+from . import knnindex
+from .metric import merged, nearest_k
 from .ordering import numbered
 
-#: Queries that every task may hold; beyond that, the queries and rows of a block.
-BLOCK, QUERIES, ROWS = 5_000, 10_000, 50_000
+#: Queries that every task may hold, by number and bytes; more go through the index.
+BLOCK, BYTES = 5_000, 8 << 20
 SCHEMA = "query long, id long, d2 double"
 
 
-def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, other_only: bool, d0: np.ndarray, i0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of rows ``own`` and of those found before (d0, i0) for each query; ties to the smaller id."""
-    d = np.stack([((x - row) ** 2).sum(axis=1) for row in q])
-    if other_only:
-        d[ids[:, None] == own[None, :]] = np.inf
-    d, i = np.concatenate([d0, d], 1), np.concatenate([i0, np.broadcast_to(own, d.shape)], 1)
-    order = np.lexsort((i, d), axis=1)[:, :k]
-    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-
-
-def _frame(ids: np.ndarray, d: np.ndarray, i: np.ndarray) -> pd.DataFrame:
-    out = pd.DataFrame({"query": np.repeat(ids, d.shape[1]), "id": i.ravel(), "d2": d.ravel()})
-    return out[np.isfinite(out["d2"])]
-
-
-def _none(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.full((n, 0), np.inf), np.zeros((n, 0), np.int64)
-
-
-def _held(base: DataFrame, held: list, k: int, other_only: bool) -> DataFrame:
+def _held(base: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, other_only: bool) -> DataFrame:
     """Few queries: every task has them all and keeps their k best of its rows."""
-    ids, q = np.array([r.id for r in held], np.int64), np.array([r.v for r in held], float)
+    held = base.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches):
-        d, i = _none(len(ids))
+        ids, q = held.value
+        d, i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                some = pdf.iloc[at : at + 512]
-                d, i = _best(ids, q, some["id"].to_numpy(), np.stack(some["v"].to_numpy()), k, other_only, d, i)
-        yield _frame(ids, d, i)
+            for at in range(0, len(pdf), 2048):
+                some = pdf.iloc[at : at + 2048]
+                own, x = some["id"].to_numpy(), np.stack(some["v"].to_numpy())
+                found = [nearest_k(ids[n : n + 512], q[n : n + 512], own, x, k, other_only) for n in range(0, len(ids), 512)]
+                d, i = merged(d, i, *(np.concatenate(p) for p in zip(*found, strict=True)), k)
+        there = np.isfinite(d)
+        yield pd.DataFrame({"query": np.repeat(ids, there.sum(axis=1)), "id": i[there], "d2": d[there]})
 
     return base.select("id", "v").mapInPandas(run, SCHEMA)
 
 
-def _blocks(base: DataFrame, queries: DataFrame, n: int, k: int, other_only: bool) -> DataFrame:
-    """Many queries: both sides in blocks, each pair of which is a task's work."""
-    a, b = -(-n // QUERIES), max(1, -(-base.count() // ROWS))
-
-    def run(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [_frame(np.zeros(0, np.int64), *_none(0))]
-        if len(asked) and len(rows):
-            own, x = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
-            for at in range(0, len(asked), 256):
-                some = asked.iloc[at : at + 256]
-                ids, q = some["id"].to_numpy(), np.stack(some["v"].to_numpy())
-                d, i = _none(len(ids))
-                for r in range(0, len(own), 512):
-                    d, i = _best(ids, q, own[r : r + 512], x[r : r + 512], k, other_only, d, i)
-                out.append(_frame(ids, d, i))
-        return pd.concat(out).astype({"query": "int64", "id": "int64", "d2": "float64"})
-
-    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.select("id", "v", block(a).alias("qb")).withColumn("bb", every(b))
-    right = base.select("id", "v", block(b).cast("int").alias("bb")).withColumn("qb", every(a))
-    left = left.withColumn("qb", F.col("qb").cast("int"))
-    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(run, SCHEMA)
-
-
 def nearest(base: DataFrame, queries: DataFrame, k: int = 1, other_only: bool = False) -> DataFrame:
     """(query, rank, id, d2): squared Euclidean distance, ties to the smaller id. Both sides are (id, v).
 
-    Up to BLOCK queries go to every task (their number is checked first); more meet the rows block by block. Either
-    way the last shuffle has k rows a query and task.
+    Up to BLOCK queries of BYTES together, which are checked first, go to every task, and the last shuffle has k rows a query and
+    task; more are searched through the index of ``knnindex``, which compares no pair that its bounds rule out.
     """
-    n = queries.count()
-    found = _held(base, queries.orderBy("id").collect(), k, other_only) if n <= BLOCK else _blocks(base, queries, n, k, other_only)
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("v")).first()
+    if size.n > BLOCK or 8 * size.v > BYTES:
+        return knnindex.nearest(base, queries, k, other_only)[0]
+    rows = queries.select("id", "v").orderBy("id").collect()
+    if not rows:
+        return base.sparkSession.createDataFrame([], "query long, rank int, id long, d2 double")
+    found = _held(base, np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], float), k, other_only)
     w = Window.partitionBy("query").orderBy("d2", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "d2")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import autoencoder, buckets, density, entities, localsgd, neighbors, ordering, som, stats
+from ..operators import autoencoder, buckets, density, entities, knnindex, localsgd, neighbors, ordering, som, stats
 from ..schema import EDGES, FEATURES, RADII
 from ..sources import tables
 from ..sources.smiles import parse_smiles
@@ -239,6 +239,13 @@ def knn10(spark, d):
     return neighbors.nearest(e, e, 10, other_only=True).select("query", "rank", "id", r6("d2").alias("d2"))
 
 
+@query(f"WITH {KNN} SELECT query, rank::INT AS rank, id, round(d2, 6) AS d2 FROM knn")
+def knn10_indexed(spark, d):
+    """The same through the index of pivots and bounds."""
+    e = emb(spark, d)
+    return knnindex.nearest(e, e, 10, other_only=True)[0].select("query", "rank", "id", r6("d2").alias("d2"))
+
+
 @query(f"WITH {KNN}, w AS (SELECT least(query, id) AS a, greatest(query, id) AS b, exp(-d2) AS w FROM knn) SELECT a, b, round(CASE WHEN count(*) > 1 THEN sum(w) - max(w) * min(w) ELSE sum(w) END, 6) AS w FROM w GROUP BY a, b")
 def fuzzy_union(spark, d):
     e = emb(spark, d)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.operators import autoencoder, density, entities, neighbors, ordering, som, stats
+from molspark.operators import autoencoder, density, entities, knnindex, neighbors, ordering, som, stats
 from molspark.plans.catalogue import ORACLES, QUERIES
 from molspark.sources import tables
 from molspark.sources.smiles import parse
@@ -107,17 +107,53 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(range(len(x)) if ids is None else ids, x, strict=True)], "id long, v array<double>")
 
 
+def nearest_by_hand(x, k):
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    return {(i, n + 1): (int(j), d2[i, j]) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), d2[i]))[:k])}
+
+
 @pytest.mark.parametrize("block", [10_000, 0])
 def test_nearest_brute(spark, monkeypatch, block):
-    """Queries held by every task, and both sides in blocks; ties to the smaller id."""
-    for name, n in (("BLOCK", block), ("QUERIES", 30), ("ROWS", 40)):
-        monkeypatch.setattr(neighbors, name, n)
+    """Queries held by every task, and through the index in many blocks; ties to the smaller id."""
+    for name, n in (("ROWS", 40), ("LEAST_ROWS", 10), ("QUERIES", 30)):
+        monkeypatch.setattr(knnindex, name, n)
+    monkeypatch.setattr(neighbors, "BLOCK", block)
     x = np.random.default_rng(0).integers(0, 4, (150, 4)).astype(float)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d2, np.inf)
     rows = vectors(spark, x)
     got = {(r["query"], r["rank"]): (r.id, r.d2) for r in neighbors.nearest(rows, rows, 3, other_only=True).collect()}
-    assert got == {(i, k + 1): (int(j), d2[i, j]) for i in range(150) for k, j in enumerate(np.lexsort((np.arange(150), d2[i]))[:3])}
+    assert got == nearest_by_hand(x, 3)
+
+
+def test_index_compares_few_pairs_of_grouped_rows(spark):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((40, 6)) * 20, 50, axis=0) + rng.standard_normal((2000, 6))
+    rows = vectors(spark, x)
+    near, pairs = knnindex.nearest(rows, rows, 4, other_only=True)
+    want = nearest_by_hand(x, 4)
+    got = {(r["query"], r["rank"]): (r.id, r.d2) for r in near.collect()}
+    assert got == want and pairs.first().pairs < 2000 * 2000 / 10
+
+
+def test_index_with_a_large_group_of_copies(spark):
+    """A third of all rows are one vector: they cost what a few rows do, and every one has its neighbours."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.ones((500, 3)), rng.standard_normal((1000, 3)) * 5])
+    rows = vectors(spark, x)
+    near, pairs = knnindex.nearest(rows, rows, 3, other_only=True)
+    assert {(r["query"], r["rank"]): (r.id, r.d2) for r in near.collect()} == nearest_by_hand(x, 3) and pairs.first().pairs < 1000 * 1010
+
+
+def test_index_on_odd_tables(spark):
+    one, none = vectors(spark, np.ones((1, 2))), vectors(spark, np.ones((0, 2)))
+    for base, asked, n in ((one, one, 0), (none, one, 0), (one, none, 0)):
+        near, pairs = knnindex.nearest(base, asked, 3, other_only=True)
+        assert near.count() == n and pairs.first().pairs <= 1
+    rng = np.random.default_rng(9)
+    base, asked = rng.standard_normal((300, 3)) + 1e5, rng.standard_normal((40, 3)) * 3 + 1e5
+    near = knnindex.nearest(vectors(spark, base), vectors(spark, asked), 2)[0].collect()
+    d2 = ((asked[:, None] - base[None]) ** 2).sum(2)
+    assert {(r["query"], r["rank"]): (r.id, r.d2) for r in near} == {(i, k + 1): (int(j), d2[i, j]) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(300), d2[i]))[:2])}
 
 
 def test_smooth_weights(spark):
