@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, load, text_key
+from .common import HOT, WORD, Scratch, load, text_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, REPEATS = 1.5, 2
@@ -21,6 +21,8 @@ Schedule = Sequence[tuple[float, float]]
 SCHEDULES: tuple[Schedule, ...] = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 #: Hex digits of the order key that deal a source's documents into independent prefix sums, and those sums into wider ones.
 SPREAD, WIDE = 4, 2
+#: Of more copies of one row than these, each so many are placed by a task of their own.
+SLOT = 1024
 
 
 def source_key() -> Column:
@@ -76,49 +78,67 @@ def curriculum(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
 
 
 def _mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES, share: float = SHARE, repeats: int = REPEATS, scratch: Scratch | None = None) -> DataFrame:
-    """curriculum() with the source's key and class, the text's hash, and the words of the source before the row (at).
-    As the order's hash takes in the text, rows that share an id or have none are dealt out like any others."""
-    scratch = scratch or Scratch(spark)
+    """curriculum() with the source's key and class, the text's hash, and the words of the source before the row (at)."""
+    placed, sizes = _placed(spark, docs, weights, share, repeats, scratch or Scratch(spark))
+    own = ["doc_id", "size", "source_size", "class", "target", "key", "text_key"]
+    rows = placed.where(F.col("copies") <= SLOT).select(*own, F.explode(copies(F.lit(0), F.col("copies"))).alias("at"))
+    if not sizes.where(F.col("copies") > SLOT).isEmpty():  # else no row need travel once more
+        first = F.col("slot") * SLOT
+        slots = placed.where(F.col("copies") > SLOT).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / SLOT)))).repartition("h", "slot")
+        rows = rows.unionByName(slots.select(*own, F.explode(copies(first, F.least(F.col("copies"), first + SLOT))).alias("at")))
+    rest = F.floor(F.col("target") + F.lit(0.5)) - F.col("at")
+    taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("source_size") * p)) for p in range(repeats)), F.lit(0))
+    unplaced = F.lit(1.0) + F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("source_size").cast("double")), F.lit(0.0))
+    position = F.when((rest > 0) & (F.col("size") > 0), placed_at(F.col("at"), weights, schedules)).otherwise(F.round(unplaced, 9))
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position"), "key", "text_key", "class", "at")
+
+
+def copies(first: Column, end: Column) -> Column:
+    """The words of the source before each of a row's copies from number ``first`` up to ``end``."""
+    return F.transform(F.sequence(first.cast("long"), end.cast("long") - 1), lambda i: F.col("at") + i * F.col("size"))
+
+
+def _placed(spark: SparkSession, docs: DataFrame, weights: Sequence[float], share: float, repeats: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """A row for all rows of ``docs`` that are alike in id, source and text: doc_id, size, source_size, target, its source's key and
+    class, the text's hash, h (the order's hash), the words of the source before the first of them (at), and their number (copies),
+    which tasks add up before rows travel, so that copies never meet in one. As the order's hash takes in the text, rows that
+    share an id or have none are dealt out like any others. Also the table of sizes that this is made from."""
     key = source_key()
     text_hash = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
     h = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash).cast("binary"))
-    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string"), key.alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"), text_key().alias("text_key")), "sizes")
-    sized = sized.withColumn("part", F.substring("h", 1, SPREAD))
+    sized = docs.select("doc_id", F.col("source").cast("string"), key.alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"), text_key().alias("text_key"))
+    sized = scratch.save(sized.groupBy("doc_id", "source", "key", "size", "h", "text_key").agg(F.count("*").alias("copies")), "sizes")
+    sized, words = sized.withColumn("part", F.substring("h", 1, SPREAD)), F.col("size") * F.col("copies")
     inner = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("inner", F.sum("size").over(inner) - F.col("size"))
-    parts = sized.groupBy("key", "part").agg(F.sum("size").alias("n"))
+    placed = sized.withColumn("inner", F.sum(words).over(inner) - words)
+    parts = sized.groupBy("key", "part").agg(F.sum(words).alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("wide", F.substring("part", 1, WIDE))  # a source's parts are added up in wider ones first
     wide = parts.groupBy("key", "wide").agg(F.sum("n").alias("n")).select("key", "wide", before(Window.partitionBy("key").orderBy("wide")).alias("from"))
     fine = parts.select("key", "part", "wide", before(Window.partitionBy("key", "wide").orderBy("part")).alias("fine"))
     bases = fine.join(wide, ["key", "wide"]).select("key", "part", (F.col("from") + F.col("fine")).alias("base"))
-    per = source_targets(sized, weights, share, repeats)
-    bases = bases.join(per, "key")
-    rows = placed.join(bases, ["key", "part"]).withColumn("at", F.col("inner") + F.col("base")).withColumn("limit", F.floor(F.col("target") + F.lit(0.5)))
-    rest = F.col("limit") - F.col("at")
-    taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("source_size") * p)) for p in range(repeats)), F.lit(0))
-    unplaced = F.lit(1.0) + F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("source_size").cast("double")), F.lit(0.0))
-    position = F.when((rest > 0) & (F.col("size") > 0), placed_at(F.col("at"), weights, schedules)).otherwise(F.round(unplaced, 9))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position"), "key", "text_key", "class", "at")
+    per = source_targets(sized.withColumn("size", words), weights, share, repeats)
+    rows = placed.join(bases.join(per, "key"), ["key", "part"]).withColumn("at", F.col("inner") + F.col("base"))
+    return rows.select("doc_id", "size", "source_size", "target", "key", "text_key", "class", "h", "at", "copies"), sized
 
 
-def placed_at(at: Column, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES) -> Column:
+def placed_at(at: Column, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES, prefix: str = "") -> Column:
     """The training position at which a source has given ``at`` words, by the row's class and target."""
-    share_at, position = F.coalesce(F.try_divide(at.cast("double"), F.col("target")), F.lit(0.0)), None
+    share_at, position = F.coalesce(F.try_divide(at.cast("double"), F.col(f"{prefix}target")), F.lit(0.0)), None
     for k in range(len(weights)):
-        here, found = F.col("class") == k, F.round(invert(schedules[k % len(schedules)], share_at), 9)
+        here, found = F.col(f"{prefix}class") == k, F.round(invert(schedules[k % len(schedules)], share_at), 9)
         position = F.when(here, found) if position is None else position.when(here, found)
     return position
 
 
-def passes(repeats: int = REPEATS) -> Column:
+def passes(repeats: int = REPEATS, prefix: str = "") -> Column:
     """Of a row with size, source_size, class, target and at: an array with (pass from 0, position, words, whole) for each
     pass over its source that takes words of it. Each pass has the position at which the source's demand reaches it."""
     made = []
     for p in range(repeats):
-        begins = F.col("at") + F.col("source_size") * p
-        words = F.least(F.col("size"), F.floor(F.col("target") + F.lit(0.5)) - begins).cast("long")
-        made.append(F.struct(F.lit(p).alias("pass"), placed_at(begins).alias("position"), words.alias("words"), (words == F.col("size")).alias("whole")))
+        begins = F.col(f"{prefix}at") + F.col(f"{prefix}source_size") * p
+        words = F.least(F.col(f"{prefix}size"), F.floor(F.col(f"{prefix}target") + F.lit(0.5)) - begins).cast("long")
+        made.append(F.struct(F.lit(p).alias("pass"), placed_at(begins, prefix=prefix).alias("position"), words.alias("words"), (words == F.col(f"{prefix}size")).alias("whole")))
     return F.filter(F.array(*made), lambda x: x["words"] > 0)
 
 
@@ -140,18 +160,28 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     id_, row, n, each, cut, slot = (f"__mix_{x}" for x in ("id", "row", "n", "pass", "text", "slot"))
     own_key = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row: F.xxhash64(F.col("doc_id").isNull(), source_key(), text_key())}
     mix_key = [own_key[id_].alias(id_), F.xxhash64(F.col("doc_id").isNull(), F.col("key"), F.col("text_key")).alias(row)]
-    facts, taken = ["size", "source_size", "class", "target", "at"], passes()
+    facts = ["size", "source_size", "class", "target", "at"]
     scratch = Scratch(spark)
-    placed = scratch.save(_mix(spark, docs, scratch=scratch).select(*mix_key, *facts), "placed")
-    per = placed.groupBy(id_, row).agg(F.count("*").alias(n), *(F.min(c).alias(c) for c in facts))
-    per = scratch.save(per.select(id_, row, n, taken.alias(each)), "taken")
-    own = docs.withColumns(own_key)
-    rows = own.join(per.where((F.col(n) == 1) & (F.size(each) > 0)).drop(n), [id_, row])
-    if not (alike := per.where(F.col(n) > 1)).isEmpty():  # else the texts need not be read for them
-        alike = alike.select(id_, row, F.ceil(F.col(n) / 1024).alias(n))  # rows alike may be many: about 1024 of them to a slot
-        one = own.join(alike, [id_, row]).dropDuplicates([id_, row]).withColumn(slot, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
-        many = placed.join(alike, [id_, row]).select(id_, row, F.pmod(F.xxhash64("at"), F.col(n)).alias(slot), taken.alias(each)).where(F.size(each) > 0)
-        rows = rows.unionByName(one.drop(n).join(many, [id_, row, slot]).drop(slot))
+    placed, _ = _placed(spark, docs, WEIGHTS, SHARE, REPEATS, scratch)
+    placed = placed.select(*mix_key, F.col("copies").alias(n), *facts)
+    placed = scratch.save(placed.groupBy(id_, row).agg(F.sum(n).alias(n), *(F.min(c).alias(c) for c in facts)), "placed")
+    own, single = docs.withColumns(own_key), placed.where(F.col(n) == 1).select(id_, row, passes().alias(each)).where(F.size(each) > 0)
+    if (alike := placed.where(F.col(n) > 1)).isEmpty():  # then no text need be looked at for copies
+        rows = own.join(single, [id_, row])
+    else:
+        total = placed.agg(F.sum(n)).first()[0]
+        often = F.col(n) * HOT >= total  # HOT rows of it at most: these go to the copies, which tasks thin out before texts travel
+        hot, rest = F.broadcast(alike.where(often)), alike.where(~often)
+        others = own.join(F.broadcast(alike.where(often).select(id_, row)), [id_, row], "left_anti")
+        first = own.join(F.broadcast(alike.where(often).select(id_, row)), [id_, row]).groupBy(id_, row).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(cut))
+        one = first.join(hot, [id_, row]).select(id_, row, f"{cut}.*", n, *(F.col(c).alias(f"__mix_{c}") for c in facts))
+        some = others.join(rest.select(id_, row, n, *(F.col(c).alias(f"__mix_{c}") for c in facts)), [id_, row]).dropDuplicates([id_, row])
+        one = one.unionByName(some.select(*one.columns)).withColumn(slot, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / SLOT))))
+        one = one.repartition(id_, row, slot)  # about SLOT copies to a slot
+        begins = F.explode(F.sequence(F.col(slot) * SLOT, F.least(F.col(n), (F.col(slot) + 1) * SLOT) - 1))
+        many = one.withColumn(slot, begins).withColumn("__mix_at", F.col("__mix_at") + F.col(slot) * F.col("__mix_size"))
+        many = many.withColumn(each, passes(prefix="__mix_")).where(F.size(each) > 0)
+        rows = others.join(single, [id_, row]).select(id_, row, *docs.columns, each).unionByName(many.select(id_, row, *docs.columns, each))
     rows = rows.withColumn(each, F.explode(each))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
     text = F.when(F.col(f"{each}.whole"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(f"{each}.words").cast("int")), " "))
