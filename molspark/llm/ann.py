@@ -182,10 +182,10 @@ def search(spark: SparkSession, table: DataFrame, every: int = EVERY, top: int =
     """
     scratch = Scratch(small_batches(spark))
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(valid() & F.col("vec_id").isNotNull())
-    w = Window.partitionBy("embedding").orderBy("vec_id")
-    own = Window.partitionBy("embedding", "vec_id").orderBy("vec_id")
-    thin = rows.withColumn("k", F.dense_rank().over(w)).withColumn("c", F.row_number().over(own)).where((F.col("k") <= top + 1) & (F.col("c") <= top))
-    base = scratch.save(thin.drop("k", "c"), "candidates")
+    # copies are counted within tasks first, and of one vector's ids each task sends on top + 1, so no task gets a common vector's rows
+    ids = rows.groupBy("embedding", "vec_id").agg(F.count("*").alias("n"))
+    thin = ids.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("k") <= top + 1)
+    base = scratch.save(thin.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(top)))).alias("n")).drop("n"), "candidates")
     total = base.count()
     got = base.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()
     by_dim: dict[int, list] = {}

@@ -180,3 +180,68 @@ def test_one_document_in_all_rows(spark):
     rows = [(7, "same\nsame again")] * 400 + [(i, f"same\nown {i}") for i in range(100, 108)]
     check_lines(spark, rows, 9, parts=4)
     check_lines(spark, rows, 10, parts=4)
+
+
+def largest_shuffle(spark, run):
+    """The most rows that one task of ``run`` read from a shuffle, from the status store."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before, coalesce = {s.stageId() for s in _stages(store)}, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, False)  # else small tables meet in one task anyway
+    run()
+    spark.conf.unset(coalesce)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most = 0
+    for s in _stages(store):
+        if s.stageId() not in before and s.shuffleReadRecords():
+            tasks = store.taskList(s.stageId(), s.attemptId(), 10_000)
+            for i in range(tasks.size()):
+                t = tasks.apply(i).taskMetrics()
+                if t.isDefined():
+                    m = t.get().shuffleReadMetrics()
+                    most = max(most, m.recordsRead())
+    return most
+
+
+def _stages(store):
+    seq = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_mix_with_many_copies_of_a_row(spark, monkeypatch):
+    """80 % of all rows are alike: the same rows as plain arithmetic, and no task of the mix gets all the copies."""
+    from molspark.llm import mixing
+
+    monkeypatch.setattr(mixing, "SLOT", 50)
+    rows = [(7, "a b c", "s", 1)] * 4000 + [(i, "w " * (i % 5), "st"[i % 2], 1) for i in range(1000, 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(8)
+    out = []
+    most = largest_shuffle(spark, lambda: out.extend(mixing.curriculum(spark, docs).collect()))
+    sizes = {"s": sum(len(t.split()) for _, t, s, _ in rows if s == "s"), "t": sum(len(t.split()) for _, t, s, _ in rows if s == "t")}
+    taken = Counter()
+    for r in out:
+        taken[r.source_size] += r.taken
+    target = {r.source_size: r.target for r in out}
+    assert len(out) == 5000 and set(target) == set(sizes.values()) and all(abs(taken[n] - target[n]) <= 1 for n in target)
+    assert sum(r.doc_id == 7 for r in out) == 4000 and all(r.taken <= 2 * r.size for r in out)
+    assert len({r.position for r in out if r.doc_id == 7 and r.size}) > 3900  # each has a place of its own
+    assert most < 2500
+    got = [r.text for r in mixing.mixed_documents(spark, docs).collect()]
+    assert sum(len(t.split()) for t in got) == sum(taken.values())
+    assert sum(len(t.split()) for t in got if t.startswith("a")) == sum(r.taken for r in out if r.doc_id == 7)
+
+
+def test_search_with_a_common_vector(spark):
+    """80 % of all rows have one vector: plain results, and the copies are thinned out before they meet."""
+    from molspark.llm import ann
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(4000)] + [(9000, [3.0, 1.0, 2.0])] * 500 + [(i, rng.normal(size=3).tolist()) for i in range(4000, 5000)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, n int").repartition(8)
+    valid = table.select("vec_id", "embedding")
+    out = []
+    most = largest_shuffle(spark, lambda: out.extend(ann.search(spark, valid).collect()))
+    for r in out:
+        if r.query_id < 4000:
+            want = [i for i in range(7) if i != r.query_id][r["rank"] - 1]
+            assert r.vec_id == want and abs(r.score - 1) < 1e-12
+    assert len(out) == 5 * (sum(i % 50 == 0 for i, _ in rows)) and most < 2500
