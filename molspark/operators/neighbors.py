@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
@@ -88,34 +88,76 @@ def fuzzy_union(graph: DataFrame) -> DataFrame:
     return w.groupBy("a", "b").agg((F.sum("w") - F.when(F.count("*") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
 
 
-def scattered(points: DataFrame, seed: int) -> DataFrame:
-    """(id, slot, x, y) of distinct ids: numbered from 0 in the order of a hash, at normal places of deviation 10 that a hash picks."""
-    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    far, turn, h = F.sqrt(F.lit(-2.0) * F.log(unit(0))) * F.lit(10.0), F.lit(2 * math.pi) * unit(1), F.xxhash64("id", F.lit(seed + 2))
+def chance(*cols) -> Column:
+    """A number in (0, 1) that a hash of the columns picks."""
+    return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def hashed(*cols, seed: int = 42) -> np.ndarray:
+    """xxhash64() of columns of longs, as the expression has it."""
+    p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    cols, h = np.broadcast_arrays(*(np.asarray(c, np.int64) for c in cols)), np.uint64(seed)
+    for c in cols:
+        h = h + p[4] + np.uint64(8)
+        h = turn(h ^ (turn(c.view(np.uint64) * p[1], 31) * p[0]), 27) * p[0] + p[3]
+        h = (h ^ (h >> np.uint64(33))) * p[1]
+        h = (h ^ (h >> np.uint64(29))) * p[2]
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def numbered_points(points: DataFrame, seed: int) -> DataFrame:
+    """(id, slot, x, y) of distinct ids: numbered from 0 in the order of a hash, at normal places that a hash picks."""
+    unit = lambda k: chance("id", F.lit(seed + k).cast("long"))
+    far, turn, h = F.sqrt(F.lit(-2.0) * F.log(unit(0))), F.lit(2 * math.pi) * unit(1), F.xxhash64("id", F.lit(seed + 2).cast("long"))
     out = numbered(points.select("id"), F.struct(h.alias("h"), "id"), F.shiftright(h, 48), "slot")
     return out.select("id", (F.col("slot") - 1).alias("slot"), (far * F.cos(turn)).alias("x"), (far * F.sin(turn)).alias("y"))
 
 
-def layout_step(edges: DataFrame, places: DataFrame, shift: int, n: int, rate: float) -> DataFrame:
-    """The places (id, slot, x, y) of n points after a step: edges (own, other, w), both ways, pull their ends together, and the
-    point ``shift`` slots on pushes each away. Edges are joined to places twice; a row a point and task is added up."""
+def orthonormal(sums: dict) -> np.ndarray:
+    """From sums of products with the trivial vector t (tt, tx, ty) and among x and y (xx, xy, yy): the matrix that takes (t, x, y)
+    to x and y without their part along t, of length 1, y without its part along x."""
+    t, x, y = sums["tx"] / sums["tt"], sums["xx"] - sums["tx"] ** 2 / sums["tt"], sums["xy"] - sums["tx"] * sums["ty"] / sums["tt"]
+    x = max(x, 1e-300)
+    c = y / x
+    rest = max(sums["yy"] - sums["ty"] ** 2 / sums["tt"] - c * y, 1e-300)
+    return np.array([[-t, 1.0, 0.0], [c * t - sums["ty"] / sums["tt"], -c, 1.0]]) / np.sqrt([[x], [rest]])
+
+
+def spectral_step(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """One power step of (id, slot, t, x, y) with half the identity and half the normalized graph (own, other, a): a join, and a row a point and task."""
+    there = points.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    pulled = edges.join(there, F.col("other") == F.col("_id")).groupBy("own").agg(*(F.sum(F.col("a") * F.col(f"_{c}")).alias(f"_{c}") for c in "xy"))
+    return points.join(pulled, F.col("id") == F.col("own")).select("id", "slot", "t", *(((F.col(c) + F.col(f"_{c}")) / 2).alias(c) for c in "xy"))
+
+
+def layout_step(edges: DataFrame, places: DataFrame, epoch: int, n: int, rate: float, negatives: int) -> DataFrame:
+    """The places (id, slot, x, y) of n points after a step: of the edges (own, other, w), both ways, those that a hash picks with
+    probability w pull ``own`` to ``other``, and as many points as ``negatives``, which a hash picks, push it away from each."""
     there = places.select(*(F.col(c).alias(f"_{c}") for c in places.columns))
     dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
     s = dx * dx + dy * dy
-    held = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c)) * F.lit(rate / 2)
-    pull = edges.join(there, F.col("other") == F.col("_id")).join(places, F.col("own") == F.col("id"))
-    push = places.join(there, F.pmod(F.col("slot") + F.lit(shift), F.lit(n)) == F.col("_slot"))
-    pull = pull.select("id", *(held(F.lit(-2.0) * F.col("w") * d / (F.lit(1.0) + s)).alias(k) for k, d in (("mx", dx), ("my", dy))))
+    held = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c)) * F.lit(rate)
+    at = F.lit(epoch).cast("long")
+    used = edges.where(chance("own", "other", at) < F.col("w")).join(places, F.col("own") == F.col("id"))
+    pull = used.join(there, F.col("other") == F.col("_id"))
+    pull = pull.select("id", *(held(F.lit(-2.0) * d / (F.lit(1.0) + s)).alias(k) for k, d in (("mx", dx), ("my", dy))))
+    asked = used.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(negatives).cast("long"))))
+    push = asked.withColumn("far", F.pmod(F.xxhash64("own", "other", at, "j"), F.lit(n))).join(there, F.col("far") == F.col("_slot"))
     push = push.select("id", *(held(F.lit(2.0) * d / ((F.lit(0.001) + s) * (F.lit(1.0) + s))).alias(k) for k, d in (("mx", dx), ("my", dy))))
     moves = pull.unionByName(push).groupBy(F.col("id").alias("mover")).agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
-    return places.join(moves, F.col("id") == F.col("mover")).select("id", "slot", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"))
+    moved = places.join(moves, F.col("id") == F.col("mover"), "left")
+    return moved.select("id", "slot", *((F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))).alias(c) for c in "xy"))
 
 
-def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: int = 42) -> DataFrame:
-    """(id, x, y): a force layout of the fuzzy graph of (query, id, d2).
+def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: int = 42, power: int = 30, negatives: int = 3, rate: float = 0.3) -> DataFrame:
+    """(id, x, y): a layout of the fuzzy graph of (query, id, d2).
 
-    Up to ``limit`` points (and 40 edges for each of these) are laid out on the driver. More stay distributed: a join
-    a step, whose places are written to the shared folder, which cuts lineage. Both ways take the same steps.
+    Points start from the two leading non-trivial vectors of the normalized graph, after ``power`` power steps, drawn to
+    deviation 10. Each of ``epochs`` steps samples edges in proportion to their weights and points that push. Up to ``limit`` points
+    (and 40 edges for each of these) are laid out on the driver. More stay distributed: a join a step, whose points are
+    written to the shared folder, which cuts lineage. Both ways take the same steps.
     """
     spark = graph.sparkSession
     root = shared_folder(spark)
@@ -124,24 +166,59 @@ def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: in
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    edges = kept(fuzzy_union(smooth_weights(graph)), "edges")
-    edges = kept(edges.select(F.col("a").alias("own"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("other"), "w")), "both")
-    places = kept(scattered(edges.select(F.col("own").alias("id")).distinct(), seed), "places-0")
-    n = places.count()
-    shifts = np.random.default_rng(seed).integers(1, max(n, 2), epochs).tolist()
+    edges = kept(fuzzy_union(smooth_weights(graph)).where("w > 0"), "edges")
+    edges = edges.select(F.col("a").alias("own"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("other"), "w"))
+    degree = edges.groupBy("own").agg(F.sqrt(F.sum("w")).alias("t"))
+    degree = kept(degree.select(F.col("own").alias("id"), "t"), "degree")
+    ends = [degree.select(F.col("id").alias(k), F.col("t").alias(t)) for k, t in (("own", "_t"), ("other", "_s"))]
+    edges = kept(edges.join(ends[0], "own").join(ends[1], "other").select("own", "other", "w", (F.col("w") / (F.col("_t") * F.col("_s"))).alias("a")), "both")
+    points = kept(numbered_points(degree, seed).join(degree, "id"), "points-0")
+    n = points.count()
+    if not n:
+        return points.select("id", "x", "y")
+    products = {a + b: F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("tt", "tx", "ty", "xx", "xy", "yy")}
+
+    def turned(df: DataFrame) -> DataFrame:
+        m = orthonormal(df.agg(*products.values()).first().asDict()).tolist()
+        return df.select("id", "slot", "t", *((F.lit(a) * F.col("t") + F.lit(b) * F.col("x") + F.lit(c) * F.col("y")).alias(k) for k, (a, b, c) in zip("xy", m, strict=True)))
+
+    wide = 10.0 * math.sqrt(n)
     if n > limit or edges.count() > 80 * limit:
-        for e in range(epochs):  # of the places, the last two steps' are there at a time
-            places = kept(layout_step(edges, places, shifts[e], n, 1 - e / epochs), f"places-{(e + 1) % 2}")
+        for p in range(power):  # of the points, the last two steps' are there at a time
+            points = kept(spectral_step(edges, turned(points)), f"points-{(p + 1) % 2}")
+        places = kept(turned(points).select("id", "slot", (F.col("x") * F.lit(wide)).alias("x"), (F.col("y") * F.lit(wide)).alias("y")), "places-0")
+        for e in range(epochs):
+            places = kept(layout_step(edges, places, e, n, rate * (1 - e / epochs), negatives), f"places-{(e + 1) % 2}")
         return places.select("id", "x", "y")
-    start, links = places.orderBy("slot").toPandas(), edges.toPandas()
+    start, links = points.orderBy("slot").toPandas(), edges.toPandas()
     slot = pd.Series(np.arange(n), index=start["id"].to_numpy())
-    a, b, w = slot[links["own"]].to_numpy(), slot[links["other"]].to_numpy(), links["w"].to_numpy()[:, None]
-    p = start[["x", "y"]].to_numpy(float).copy()
+    own, other = links["own"].to_numpy(), links["other"].to_numpy()
+    a, b, w = slot[own].to_numpy(), slot[other].to_numpy(), links["w"].to_numpy()
+    v = start[["t", "x", "y"]].to_numpy(float)
+
+    def turn(v: np.ndarray) -> np.ndarray:
+        g = v.T @ v
+        v[:, 1:] = v @ orthonormal({"tt": g[0, 0], "tx": g[0, 1], "ty": g[0, 2], "xx": g[1, 1], "xy": g[1, 2], "yy": g[2, 2]}).T
+        return v
+
+    for _ in range(power):
+        v = turn(v)
+        v[:, 1:] = (v[:, 1:] + np.stack([np.bincount(a, links["a"].to_numpy() * v[b, c], n) for c in (1, 2)], 1)) / 2
+    p = turn(v)[:, 1:] * wide
     for e in range(epochs):
-        rate, move = (1 - e / epochs) / 2, np.zeros_like(p)
-        d = p[a] - p[b]
-        np.add.at(move, a, np.clip(-2 * w * d / (1 + (d**2).sum(1, keepdims=True)), -4, 4) * rate)
-        d = p - np.roll(p, -shifts[e], axis=0)
-        s = (d**2).sum(1, keepdims=True)
-        p += move + np.clip(2 * d / ((0.001 + s) * (1 + s)), -4, 4) * rate
+        pace, used = rate * (1 - e / epochs), ((hashed(own, other, e) % (1 << 52)) + 0.5) / float(1 << 52) < w
+        i, move = a[used], np.zeros_like(p)
+        d = p[i] - p[b[used]]
+        np.add.at(move, i, np.clip(-2 * d / (1 + (d**2).sum(1, keepdims=True)), -4, 4) * pace)
+        for j in range(1, negatives + 1):
+            d = p[i] - p[hashed(own[used], other[used], e, j) % n]
+            s = (d**2).sum(1, keepdims=True)
+            np.add.at(move, i, np.clip(2 * d / ((0.001 + s) * (1 + s)), -4, 4) * pace)
+        p += move
     return spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(start["id"], p, strict=True)], "id long, x double, y double")
+
+
+def preserved(near: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(kept): the share of pairs (query, id) of ``near`` whose id is among the k points placed nearest to the query."""
+    laid = nearest(*[places.select("id", F.array("x", "y").alias("v"))] * 2, k, other_only=True).select("query", "id")
+    return near.select("query", "id").join(laid.withColumn("hit", F.lit(1)), ["query", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("kept"))

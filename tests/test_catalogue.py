@@ -170,8 +170,8 @@ def test_layout_distributed_or_not(spark):
     x = np.random.default_rng(4).standard_normal((60, 3)) + 50 * (np.arange(60) % 3)[:, None]
     rows = vectors(spark, x, ids=range(100, 160))
     graph = spark.createDataFrame(neighbors.nearest(rows, rows, 5, other_only=True).collect())
-    near = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=4).collect()}
-    far = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=4, limit=0).collect()}
+    near = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=2, power=3).collect()}
+    far = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=2, power=3, limit=0).collect()}
     assert set(near) == set(far) == set(range(100, 160)) and all(np.allclose(near[i], far[i]) for i in near)
     got = {r.id: (r.x, r.y) for r in neighbors.umap_layout(graph, epochs=400).collect()}
     p = np.array([got[i] for i in range(100, 160)])
@@ -180,6 +180,32 @@ def test_layout_distributed_or_not(spark):
     assert neighbors.umap_layout(graph.limit(0)).count() == 0
 
 
+def test_hash_of_longs_is_sparks(spark):
+    rows = [(0, 1), (-5, 2**62), (7, -(2**63))]
+    got = [r.h for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b", F.lit(3).cast("long")).alias("h")).collect()]
+    assert neighbors.hashed(*np.array(rows).T, 3).tolist() == got
+
+
+def test_spectral_start_equals_the_eigenvectors(spark):
+    """On a graph of two loosely joined rings the start spans the leading non-trivial vectors; the layout keeps neighbours that a random one loses."""
+    x = np.concatenate([np.stack([np.cos(t), np.sin(t), np.full(40, z)], 1) * 10 for t in [np.arange(40) * 2 * np.pi / 40] for z in (0.0, 0.3)])
+    rows = vectors(spark, x)
+    near = spark.createDataFrame(neighbors.nearest(rows, rows, 6, other_only=True).collect())
+    placed = neighbors.umap_layout(near, epochs=0, power=400).collect()
+    w = np.zeros((80, 80))
+    for r in neighbors.fuzzy_union(neighbors.smooth_weights(near)).collect():
+        w[r.a, r.b] = w[r.b, r.a] = r.w
+    t = np.sqrt(w.sum(1))
+    _, vectors_of = np.linalg.eigh(w / np.outer(t, t))
+    lead = vectors_of[:, [-2, -3]]
+    p = np.array([(r.x, r.y) for r in sorted(placed, key=lambda r: r.id)])
+    rest = p - lead @ (lead.T @ p)
+    assert np.linalg.norm(rest) < 0.05 * np.linalg.norm(p) and abs(p.T @ t).max() < 1e-6 * np.linalg.norm(p)
+    score = lambda places: neighbors.preserved(near, places, 6).first().kept
+    random_ = neighbors.numbered_points(rows, 1)
+    assert score(neighbors.umap_layout(near, epochs=150)) > max(0.5, 3 * score(random_))
+
+
 def test_positions_of_keys_far_apart(spark):
     keys = [10**12 + i**3 for i in range(400)] + [5, 7, -3]
     got = ordering.by_position(spark.createDataFrame([(k,) for k in keys], "k long").repartition(7), "k", rows=40).collect()
