@@ -7,6 +7,7 @@ or bonds; embeddings are the feature matrix; ten times the discount is the score
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,6 +253,18 @@ def fuzzy_union(spark, d):
     return neighbors.fuzzy_union(neighbors.nearest(e, e, 10, other_only=True)).select("a", "b", r6("w").alias("w"))
 
 
+@query(f"""WITH RECURSIVE {KNN}, g AS (SELECT query, list(id ORDER BY id) AS ids, list(sqrt(d2) ORDER BY id) AS d FROM knn GROUP BY query),
+ r AS (SELECT query, d, coalesce(list_min(list_filter(d, lambda x: x > 0)), 0::DOUBLE) AS rho FROM g),
+ b AS (SELECT query, d, rho, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS sigma, 0 AS step FROM r UNION ALL
+  SELECT query, d, rho, CASE WHEN high THEN lo ELSE sigma END, CASE WHEN high THEN sigma ELSE hi END, CASE WHEN high THEN (lo + sigma) / 2::DOUBLE WHEN isinf(hi) THEN 2::DOUBLE * sigma ELSE (sigma + hi) / 2::DOUBLE END, step + 1
+  FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0::DOUBLE) / sigma))) > log2(greatest(len(d), 2)) AS high FROM b) WHERE step < 64)
+ SELECT query, unnest(ids) AS id, round(unnest(list_transform(b.d, lambda x: exp(-greatest(x - rho, 0::DOUBLE) / greatest(sigma, 0.001::DOUBLE * list_sum(b.d) / len(b.d), 1e-12::DOUBLE)))), 6) AS w FROM b JOIN g USING (query) WHERE step = 64""")
+def smooth_weights(spark, d):
+    """Weights of every row's neighbours, whose widths make them sum to the logarithm of their number."""
+    e = emb(spark, d)
+    return neighbors.smooth_weights(neighbors.nearest(e, e, 10, other_only=True)).select("query", "id", r6("w").alias("w"))
+
+
 @query()
 def umap_layout(spark, d):
     """Every row's place, and its label."""
@@ -416,6 +429,31 @@ def group_glob_scan(spark, d):
     return found.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
 
 
+@query(f"SELECT bucket::INT AS bucket, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN {LIMITS} ON {SCORE} >= lo AND {SCORE} < hi WHERE hi > 0.6 GROUP BY bucket")
+def group_scan_pruned(spark, d):
+    """Only the groups that a table of ranges asks for are read: their folders are chosen when the plan runs."""
+    path = tables.shared_folder(spark)
+    rows = table(spark, d, "lineitem").withColumn("bucket", buckets.bucket(F.col("l_discount") * F.lit(10.0))).where("bucket is not null").select("l_orderkey", "l_quantity", "bucket")
+    tables.write_groups(rows, path, "bucket")
+    asked = tables.written(buckets.limits_table(spark), f"{path}-limits").where("hi > 0.6").select("bucket")
+    found = tables.read_groups(spark, path, "bucket", rows.schema).join(F.broadcast(asked), "bucket")
+    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+@query("SELECT p_partkey AS key, p_name AS A, p_size AS size FROM part")
+def csv_first_named(spark, d):
+    """A table whose header has one name twice, for the name and the brand: the first stays."""
+    path = tables.shared_folder(spark)
+    lines = table(spark, d, "part").select(F.to_csv(F.struct("p_partkey", "p_name", "p_size", "p_brand")).alias("value"))
+
+    def headed(batches):
+        yield pd.DataFrame({"value": ["key,A,size,A"]})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.text(path)  # each file has the header
+    return tables.read_csv_first_named(spark, path, {"key": "long", "size": "int"})
+
+
 @query("SELECT range::INT AS epoch, 1::DOUBLE / (range + 1)::DOUBLE AS train_loss, 2::DOUBLE / (range + 1)::DOUBLE AS val_loss FROM range(4)")
 def append_history(spark, d):
     path = tables.shared_folder(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import csv
 import logging
 import os
 import tempfile
@@ -86,15 +87,19 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(own)) if store.exists(own) else []
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """A typed scan of CSV files with a header. A missing path is logged and raises Spark's PATH_NOT_FOUND at once."""
+def _found(read, path: str | list[str]):
     try:
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return read()
     except AnalysisException as e:
         LOG.error("can't read %s: %s", path, e.getCondition())
         raise
 
 
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """A typed scan of CSV files with a header. A missing path is logged and raises Spark's PATH_NOT_FOUND at once."""
+    return _found(lambda: spark.read.schema(schema).option("header", True).csv(path), path)
+
+
 def read_csv_in_order(spark: SparkSession, path: str | list[str], schema: T.StructType | str, name: str = "row") -> DataFrame:
     """``read_csv`` with each row's place in the file, from 0; files follow one another by path.
 
@@ -133,9 +138,19 @@ def write_groups(df: DataFrame, path: str, key: str) -> None:
 
 
 def read_groups(spark: SparkSession, path: str, key: str, schema: T.StructType) -> DataFrame:
-    """All groups in one scan; the group is taken from the file's path."""
-    found = read_csv(spark, f"{path}/{key}=*/*.csv", schema)
-    return found.withColumn(key, F.regexp_extract(F.col("_metadata.file_path"), rf"{key}=(\d+)", 1).cast("int"))
+    """All groups in one scan, whose key is a partition column: a filter or a join on it leaves out the other groups' files."""
+    held = T.StructType([f for f in schema.fields if f.name != key] + [T.StructField(key, T.IntegerType())])
+    return read_csv(spark, path, held)
+
+
+def read_csv_first_named(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+    """A CSV table whose header names some columns twice or more: the first of each name, in the header's order, as ``types`` says
+    and as a string else. Columns are read by their place, so neither names that differ in case only nor empty ones clash."""
+    header = _found(lambda: spark.read.text(path).first(), path)
+    names = next(csv.reader([header.value])) if header else []
+    whole = ", ".join(f"_{i} {types.get(c, 'string')}" for i, c in enumerate(names))
+    rows = spark.read.schema(whole).option("header", True).option("enforceSchema", True).csv(path) if names else spark.createDataFrame([], T.StructType([]))
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names) if c not in names[:i]))
 
 
 def write_report(df: DataFrame, path: str) -> None:

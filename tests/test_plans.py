@@ -157,3 +157,39 @@ def test_training_from_files_goes_on(spark):
         assert all(np.allclose(r.v, model.encode(np.array([x[r.id]]))[0]) for r in codes.collect())
         runs[name] = (past, sorted(map(tuple, history.read_history(spark, f"{folder}/training_losses").collect())), [a.tolist() for pair in net.layers for a in pair])
     assert runs["whole"] == runs["parts"] and len(runs["whole"][1]) == 4
+
+
+def test_density_without_pairs(spark):
+    """The binned estimate against all kernels, with outliers and repeated values."""
+    from molspark.operators import density
+
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=3000), np.concatenate([rng.normal(size=500), [1e4, -3e3], np.zeros(300)]), np.array([1.0, 2.0])):
+        got = density.kde(spark, spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double"), "x", 50).orderBy("point").collect()
+        h = x.std(ddof=1) * len(x) ** -0.2
+        grid = np.linspace(x.min(), x.max(), 50)
+        want = np.exp(-0.5 * ((grid[:, None] - x[None]) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        assert len(got) == 50 and np.allclose([r.x for r in got], grid) and abs(np.array([r.density for r in got]) - want).max() < 1e-10 * want.max()
+    assert density.kde(spark, spark.createDataFrame([], "x double"), "x").count() == 0
+
+
+def test_scan_reads_only_the_groups_asked_for(spark, data):
+    from molspark.plans.catalogue import QUERIES
+
+    plan = QUERIES["group_scan_pruned"](spark, data)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    path = tables.shared_folder(spark)
+    rows = spark.range(40).selectExpr("id", "cast(id % 4 as int) as g")
+    tables.write_groups(rows, path, "g")
+    got = tables.read_groups(spark, path, "g", rows.schema).where("g >= 2")
+    assert "PartitionFilters: [isnotnull(g" in got._jdf.queryExecution().toString() and got.count() == 20
+    tables.remove(spark, f"{path}/g=0")  # the others are never opened
+    assert {r.g for r in got.select("g").distinct().collect()} == {2, 3}
+
+
+def test_csv_with_names_twice(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('S,a b,"x,y",S,,s\n1,p,2.5,9,7,z\n,"q,r",,8,,\n')
+    got = tables.read_csv_first_named(spark, str(tmp_path / "a.csv"), {"S": "int", "x,y": "double"})
+    assert got.columns == ["S", "a b", "x,y", "", "s"] and [tuple(r) for r in got.collect()] == [(1, "p", 2.5, "7", "z"), (None, "q,r", None, None, None)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_csv_first_named(spark, str(tmp_path / "none.csv"), {})
