@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ATOM_FEATURES, BOND_FEATURES, BONDS, CHIRAL, COVALENT_SCALE, COVALENT_SHIFT, HYBRIDS, MASS_SCALE, MASS_SHIFT, RADII, STEREO, SYMBOLS, VDW_SCALE, VDW_SHIFT
 
 
-def entity_sums(df: DataFrame, entity: str, index: str, made: dict[str, Column], drop_last: bool = False) -> DataFrame:
-    """A row for each entity; drop_last leaves out the rows with its highest index (an entity of one row then sums to 0).
+#: An entity is a giant from this many rows and this part of all rows on; there are at most PART giants.
+GIANT, PART = 100_000, 1000
 
-    Then sums by (entity, index) come first and the last index's are taken off, so that a large entity's rows meet
-    in no task; sums of fractions may differ from direct ones in their last digits.
+
+def giants(df: DataFrame, entity: str) -> list:
+    """Entities so large that their rows shouldn't meet in one task: frequent items of one pass, which shuffles nothing."""
+    found = df.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{entity}`, {PART}, {8 * PART})").alias("top")).first()
+    return [r.item for r in found.top or [] if r["count"] >= GIANT and r["count"] * PART >= found.n and r.item is not None]
+
+
+def entity_sums(df: DataFrame, entity: str, index: str, made: dict[str, Column], drop_last: bool = False, whole: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each entity; drop_last leaves out the rows with its highest index (an entity of one row then sums to 0). ``whole``:
+    further sums beside these, over all rows, from the same pass.
+
+    Without the last, an entity's rows meet in one shuffle by entity. A giant's don't: its sums by (entity, index) come
+    first and the last index's are taken off, so sums of fractions may differ from direct ones in their last digits.
     """
+    whole = whole or {}
     if not drop_last:
-        return df.groupBy(entity).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in made.items()))
-    own = df.groupBy(entity, index).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in made.items()))
-    # nulls sort below every index; an entity without any index keeps no row
-    last = F.max(F.struct(F.col(index), *made)).alias("_last")
-    return own.groupBy(entity).agg(last, *(F.sum(k).alias(k) for k in made)).select(entity, *(F.when(F.col(f"_last.{index}").isNull(), F.col(k) - F.col(k)).otherwise(F.col(k) - F.col(f"_last.{k}")).alias(k) for k in made))
+        return df.groupBy(entity).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in (made | whole).items()))
+    some = df.select(entity, index, *(c.alias(k) for k, c in (made | whole).items()))
+    large = giants(df, entity)
+    is_large = F.coalesce(F.col(entity).isin(large), F.lit(False)) if large else F.lit(False)
+    kept = F.col(index) < F.max(index).over(Window.partitionBy(entity))  # no row of an entity without any index
+    met = some.where(~is_large).withColumn("_kept", kept).groupBy(entity)
+    out = met.agg(*(F.coalesce(F.sum(F.when(F.col("_kept"), F.col(k))), F.lit(0)).alias(k) for k in made), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in whole))
+    if not large:
+        return out
+    own = some.where(is_large).groupBy(entity, index).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*made, *whole)))
+    last = F.max(F.struct(F.col(index), *made)).alias("_last")  # nulls sort below every index
+    own = own.groupBy(entity).agg(last, *(F.sum(k).alias(k) for k in (*made, *whole)))
+    none = F.col(f"_last.{index}").isNull()
+    return out.unionByName(own.select(entity, *(F.when(none, F.col(k) - F.col(k)).otherwise(F.col(k) - F.col(f"_last.{k}")).alias(k) for k in made), *whole))
 
 
 def joined_features(atoms: DataFrame, bonds: DataFrame, entity: str) -> DataFrame:

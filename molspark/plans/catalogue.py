@@ -100,8 +100,16 @@ def entity_sum_except_last(spark, d):
 
 @query(f"SELECT l_orderkey, a.n AS atoms, a.qty AS atom_qty, b.n AS bonds, b.qty AS bond_qty FROM ({EXCEPT}) a FULL JOIN (SELECT l_orderkey, {SUMS} FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)")
 def entity_feature_join(spark, d):
-    a = entity_sum_except_last(spark, d).select("l_orderkey", F.col("n").alias("atoms"), F.col("qty").alias("atom_qty"))
-    b = entity_sum_all(spark, d).select("l_orderkey", F.col("n").alias("bonds"), F.col("qty").alias("bond_qty"))
+    """Both kinds of sums of one table side by side, from one scan and one shuffle."""
+    n, qty = F.lit(1), F.col("l_quantity")
+    return entities.entity_sums(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", {"atoms": n, "atom_qty": qty}, True, {"bonds": n, "bond_qty": qty})
+
+
+@query(f"SELECT l_orderkey, a.n AS atoms, a.qty AS atom_qty, b.n AS bonds, b.qty AS bond_qty FROM (SELECT * FROM ({EXCEPT}) WHERE n > 3) a FULL JOIN (SELECT l_orderkey, {SUMS} FROM lineitem GROUP BY l_orderkey HAVING count(*) < 6) b USING (l_orderkey)".replace("a.n AS atoms, a.qty AS atom_qty, b.n AS bonds, b.qty AS bond_qty", "coalesce(a.n, 0) AS atoms, coalesce(a.qty, 0::DOUBLE) AS atom_qty, coalesce(b.n, 0) AS bonds, coalesce(b.qty, 0::DOUBLE) AS bond_qty"))
+def entity_tables_join(spark, d):
+    """Sums of two tables side by side, each of which lacks some entities of the other."""
+    a = entity_sum_except_last(spark, d).where("n > 3").select("l_orderkey", F.col("n").alias("atoms"), F.col("qty").alias("atom_qty"))
+    b = entity_sum_all(spark, d).where("n < 6").select("l_orderkey", F.col("n").alias("bonds"), F.col("qty").alias("bond_qty"))
     return entities.joined_features(a, b, "l_orderkey")
 
 

@@ -228,10 +228,15 @@ def test_correlation_with_nulls_and_constants(spark):
             assert abs(r["corr"] - frame.iloc[r.i, r.j]) < 1e-9
 
 
-def test_entity_sums_brute(spark):
+@pytest.mark.parametrize("giant", [100_000, 100])
+def test_entity_sums_brute(spark, monkeypatch, giant):
+    monkeypatch.setattr(entities, "GIANT", giant)
     rows = [(1, i, 1.0) for i in range(500)] + [(2, 1, 5.0), (2, 2, 6.0), (2, 2, 7.0), (3, 4, 1.0), (4, None, 2.0), (5, 1, None), (5, 2, 3.0)]
     df = spark.createDataFrame(rows, "e long, i int, x double")
-    got = {r.e: (r.n, r.x) for r in entities.entity_sums(df, "e", "i", {"n": F.lit(1), "x": F.col("x")}, drop_last=True).collect()}
+    assert entities.giants(df, "e") == ([1] if giant == 100 else [])
+    both = entities.entity_sums(df, "e", "i", {"n": F.lit(1), "x": F.col("x")}, drop_last=True, whole={"all": F.lit(1)}).collect()
+    got = {r.e: (r.n, r.x) for r in both}
+    assert {r.e: r["all"] for r in both} == {1: 500, 2: 3, 3: 1, 4: 1, 5: 2}
     assert got == {1: (499, 499.0), 2: (1, 5.0), 3: (0, 0.0), 4: (0, 0.0), 5: (1, 0.0)}
 
 
