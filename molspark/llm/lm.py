@@ -137,11 +137,17 @@ def whole(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     return np.concatenate(facts, axis=1), texts
 
 
+def parted(own: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of the parts that sorted hashes fall into: found from the hashes, so however many parts there are."""
+    part = (((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint32)
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(own)]
+    return [(int(part[a]), a, b) for a, b in zip(cut, cut[1:], strict=False) if b > a]
+
+
 def _emit(parts: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own, n = chunk_ngrams(whole(pdf)[1])
-        cut = np.searchsorted(own, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(own)]
-        rows = [(key[0], p, packed(own[a:b]), small(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        rows = [(key[0], p, packed(own[a:b]), small(n[a:b])) for p, a, b in parted(own, parts)]
         del own, n
         trim()
         return pd.DataFrame(rows, columns=["chunk", "part", "grams", "counts"])

@@ -245,3 +245,71 @@ def test_search_with_a_common_vector(spark):
             want = [i for i in range(7) if i != r.query_id][r["rank"] - 1]
             assert r.vec_id == want and abs(r.score - 1) < 1e-12
     assert len(out) == 5 * (sum(i % 50 == 0 for i, _ in rows)) and most < 2500
+
+
+def test_parts_of_hashes():
+    """Cuts by part equal a plain loop; a chunk's cost doesn't grow with the number of parts."""
+    import time
+
+    from molspark.llm import lm
+
+    own = np.unique(np.random.default_rng(6).integers(0, 2**64, 5000, dtype=np.uint64))
+    for parts in (1, 3, 1000):
+        got = lm.parted(own, parts)
+        assert [x for p, a, b in got for x in [p] * (b - a)] == [((int(h) >> 32) * parts) >> 32 for h in own]
+        assert got[0][1] == 0 and got[-1][2] == len(own) and len({p for p, _, _ in got}) == len(got)
+    start = time.perf_counter()
+    assert len(lm.parted(own, 6_250_000)) <= len(own) and time.perf_counter() - start < 0.5
+    assert lm.parted(own[:0], 4) == []
+
+
+def test_toxicity_fit_is_the_optimum():
+    """Log-count ratios by hand; at the fitted weights the penalized loss is what plain Newton steps over all features reach."""
+    from molspark.llm import toxicity
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["vile", "awful", "nice", "calm", "tree", "house", "river"][(2 if k % 3 else 0) :]) for _ in range(6)).encode() for k in range(90)]
+    y = np.array([k % 3 == 0 for k in range(90)], float)
+    weights, bias = toxicity.fit(texts, y, rounds=500)
+    own = [toxicity.tiered(t) for t in texts]
+    df, toxic = Counter(int(f) for x in own for f in x), Counter(int(f) for x, t in zip(own, y, strict=True) if t for f in x)
+    kept = sorted(f for f, n in df.items() if n >= toxicity.LEAST_DOCS)
+    p, q = sum(toxic[f] + 1 for f in kept), sum(df[f] - toxic[f] + 1 for f in kept)
+    ratio = np.array([math.log((toxic[f] + 1) / p) - math.log((df[f] - toxic[f] + 1) / q) for f in kept])
+    x = np.array([[f in held for f in kept] for held in map(set, own)], float) * ratio
+    ridge = 3.0 / len(y) * (x * x).sum(axis=1).mean() * 1e-2
+    z = np.column_stack([x, np.ones(len(y))])
+
+    def loss(w):
+        return np.logaddexp(0, -(2 * y - 1) * (z @ w)).mean() + ridge * (w[:-1] @ w[:-1])
+
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        s = 1 / (1 + np.exp(-z @ w))
+        pull = np.append(2 * ridge * w[:-1], 0)
+        w = w - np.linalg.solve((z * (s * (1 - s))[:, None]).T @ z / len(y) + np.diag(np.append(np.full(len(kept), 2 * ridge), 0)), z.T @ (s - y) / len(y) + pull)
+    got = np.append(np.divide(weights[kept], ratio, out=np.zeros(len(kept)), where=ratio != 0), bias)
+    assert not np.delete(weights, kept).any()
+    assert loss(got) < loss(w) + 1e-4 and np.corrcoef(z @ got, z @ w)[0, 1] > 0.999
+
+
+def test_language_machine_is_the_optimum():
+    """The squared hinge machine against Newton steps on its active rows."""
+    from molspark.llm import langid
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((120, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x @ rng.standard_normal(6) + 0.2 * rng.standard_normal(120) > 0.3, 1.0, -1.0)
+    z, weight = np.column_stack([x, np.ones(120)]), np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def loss(w):
+        return 0.5e-3 * (w @ w) + weight @ np.maximum(0, 1 - y * (z @ w)) ** 2
+
+    w = np.zeros(7)
+    for _ in range(100):
+        on = y * (z @ w) < 1
+        w = 0.5 * w + 0.5 * np.linalg.solve(1e-3 * np.eye(7) + 2 * (z[on] * weight[on, None]).T @ z[on], 2 * z[on].T @ (weight * y)[on])
+    assert abs(loss(langid.machine(x, y, rounds=3000)) - loss(w)) < 1e-6
+    quick = langid.machine(x, y)
+    assert loss(quick) < 1.05 * loss(w) and ((z @ quick > 0) == (z @ w > 0)).mean() > 0.97
