@@ -2,11 +2,16 @@
 
 On a bounded sample, a graph of nearest neighbours is cut into balanced parts that keep neighbours
 together; a small classifier learns a vector's part. It deals every vector to its most probable part
-and routes each query to several; how many is calibrated on sampled queries. Parts are reranked exactly.
+and routes each query to several; how many is calibrated on sampled queries. A part of more than LEAF vectors
+is cut again in the same way, on a sample of its own, so parts stay of one size however many vectors there are. Every
+fit runs in a task. Parts are reranked exactly.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,9 +21,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, load, small_batches, trim
 from .neardup import valid
 
-#: Vectors that graph, parts and classifier are fitted on at most.
+#: Vectors that the graph, parts and classifier of one cut are fitted on at most.
 SAMPLE, SEED = 8000, 11
-NEIGHBOURS, PER_PART, MOST_PARTS = 10, 250, 128
+#: Vectors a part and parts a cut; a part above LEAF is cut again, LEVELS times at most (what is larger then is compared in blocks).
+NEIGHBOURS, PER_PART, MOST_PARTS, LEAF, LEVELS = 10, 250, 128, 1000, 5
+#: Classifiers of so many bytes together are broadcast; beyond it they meet the rows of their part in a shuffle.
+HELD_BYTES = 64 << 20
+#: Up to so many parts their sizes are broadcast.
+MANY_PARTS = 50_000
 TOP, EVERY, RECALL = 5, 50, 0.97
 #: Candidates and queries that one block of the rerank compares.
 BLOCK, QUERIES = 20_000, 4_000
@@ -107,10 +117,10 @@ class Router:
         self.probes = next((p for p in range(1, self.parts) if (seen < p).mean() >= recall), self.parts)
 
 
-def fit(x: np.ndarray, total: int) -> Router:
+def fit(x: np.ndarray, total: int, most: int | None = None, per_part: int | None = None) -> Router:
     """x: sampled unit vectors. total: vectors that will be searched. Of the sample a tenth only calibrates."""
-    parts = 1
-    while parts * 2 <= min(MOST_PARTS, total / PER_PART, len(x) / 40):
+    parts, most, per_part = 1, most or MOST_PARTS, per_part or PER_PART
+    while parts * 2 <= min(most, total / per_part, len(x) / 40):
         parts *= 2
     if parts == 1:
         return Router(x, np.zeros(len(x), int), 1)
@@ -126,25 +136,100 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _route(held, probes: bool):
-    """(id, embedding) to (part, id, embedding): the most probable part, or as many as are calibrated. Vectors of a
-    length that the sample has none of go to part 0 of that length."""
+def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, at length one."""
+    return unit(np.array(column.to_pylist(), np.float64))
+
+
+def _fit(sample: int, most: int, per_part: int):
+    """A part's sample (part, n, u, vec_id, embedding) to its classifier; none where nearly all of it would stay together."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "vec_id"]).head(sample)
+        x, made = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)), []
+        router = fit(x, int(pdf["n"].iloc[0]), most, per_part)
+        if router.parts > 1 and np.bincount(np.argmax(router.logits(x), axis=1)).max() <= 0.9 * len(x):
+            made = [pickle.dumps(router)]
+        del x, router
+        trim()
+        return pd.DataFrame({"part": pd.Series([key[0]] * len(made), dtype="int64"), "model": made})
+
+    return run
+
+
+def children(x: np.ndarray, router: Router | None, probes: bool) -> np.ndarray:
+    """[vector, choice]: numbers of the most probable parts, one or as many as are calibrated; without a classifier 0."""
+    take = router.probes if router and probes else 1
+    return np.argsort(-router.logits(x), axis=1, kind="stable")[:, :take] if router else np.zeros((len(x), 1), int)
+
+
+def _route(held, most: int, probes: bool):
+    """(part, id, embedding, ...): rows with the parts below that they go to."""
 
     def run(batches):
         for b in batches:
-            sizes = np.diff(b.column(1).offsets.to_numpy()) if len(b) else np.zeros(0, int)
-            for dim in np.unique(sizes):
-                own = b.filter(pa.array(sizes == dim))
-                router = held.value.get(int(dim))
-                x = unit(np.array(own.column(1).to_pylist(), np.float64))
-                take = router.probes if router and probes else 1
-                best = np.argsort(-router.logits(x), axis=1, kind="stable")[:, :take] if router else np.zeros((len(x), 1), int)
-                for c in range(take):
-                    yield pa.RecordBatch.from_arrays([pa.array(best[:, c] + int(dim) * 100_000, pa.int64()), *own.columns], names=["part", *own.schema.names])
+            part = b.column(0).to_numpy()
+            for p in np.unique(part):
+                own, router = b.filter(pa.array(part == p)), held.value.get(int(p))
+                best = children(vectors_of(own.column(2)) if router else np.zeros((len(own), 0)), router, probes)
+                for c in range(best.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(best[:, c] + int(p) * most, pa.int64()), *own.columns[1:]], names=own.schema.names)
 
     return run
 
 
+def _route_part(most: int, probes: bool):
+    """As _route(), for some rows (part, id, embedding, ..., slice) of one part and its classifier."""
+
+    def run(key: tuple, rows: pa.Table, models: pa.Table) -> pa.Table:
+        rows, router = rows.drop_columns(["slice"]), pickle.loads(models.column("model")[0].as_py()) if len(models) else None
+        best = children(vectors_of(rows.column("embedding")), router, probes) if len(rows) else np.zeros((0, 1), int)
+        out = [rows.set_column(0, "part", pa.array(best[:, c] + key[0].as_py() * most, pa.int64())) for c in range(best.shape[1])]
+        trim()
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _size_hint(spark: SparkSession, sizes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """broadcast(), where a table of a row a part is small enough for it."""
+    return F.broadcast if sizes.count() <= MANY_PARTS else lambda t: t
+
+
+def cut(spark: SparkSession, scratch: Scratch, base: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors (vec_id, embedding) and queries (query_id, embedding, qkey) with the parts they are in and go to. At first a part
+    holds all vectors of one length; parts above LEAF are cut until none is left."""
+    first = F.size("embedding").cast("long")
+    homes, asked = base.select(first.alias("part"), "vec_id", "embedding"), asked.select(first.alias("part"), "query_id", "embedding", "qkey")
+    for level in range(LEVELS):
+        sizes = scratch.save(homes.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).withColumnRenamed("part", "p"), f"parts-{level}")
+        small = _size_hint(spark, sizes)
+        u = F.shiftrightunsigned(F.xxhash64("vec_id", "embedding", F.lit(SEED + level)), 1).cast("double") / F.lit(2.0**63)
+        some = homes.join(small(sizes), F.col("part") == F.col("p")).withColumn("u", u).where(F.col("u") * F.col("n") <= 1.25 * SAMPLE)
+        models = scratch.save(some.select("part", "n", "u", "vec_id", "embedding").groupBy("part").applyInPandas(_fit(SAMPLE, MOST_PARTS, PER_PART), "part long, model binary"), f"models-{level}")
+        size = models.agg(F.sum(F.octet_length("model"))).first()[0]
+        if not size:
+            break
+        held = spark.sparkContext.broadcast({r.part: pickle.loads(r.model) for r in models.collect()}) if size <= HELD_BYTES else None
+        down = []
+        for rows, name in ((homes, "index"), (asked, "asked")):
+            if held is not None:
+                got = rows.mapInArrow(_route(held, MOST_PARTS, name == "asked"), rows.schema)
+            else:
+                of = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices")).withColumnRenamed("part", "p")
+                of = scratch.save(of.join(models.select(F.col("part").alias("own")), F.col("p") == F.col("own"), "left"), f"{name}-slices-{level}")
+                dealt = rows.join(_size_hint(spark, of)(of), F.col("part") == F.col("p"))
+                sliced = dealt.where("own is not null").withColumn("slice", F.pmod(F.xxhash64(*rows.columns[1:]), F.col("slices")).cast("int")).select(*rows.columns, "slice")
+                there = models.join(of, F.col("part") == F.col("p")).select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "model")
+                got = sliced.groupBy("part", "slice").cogroup(there.groupBy("part", "slice")).applyInArrow(_route_part(MOST_PARTS, name == "asked"), rows.schema)
+                got = got.unionByName(dealt.where("own is null").select((F.col("part") * MOST_PARTS).alias("part"), *rows.columns[1:]))
+            down.append(scratch.save(got, f"{name}-{level}"))
+            if level:
+                scratch.drop(f"{name}-{level - 1}")
+        homes, asked = down
+    return homes, asked
+
+
 def _rerank(key: tuple, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
     out = {"qkey": [], "query_id": [], "vec_id": [], "score": []}
     if len(queries) and len(base):
@@ -186,21 +271,13 @@ def search(spark: SparkSession, table: DataFrame, every: int = EVERY, top: int =
     ids = rows.groupBy("embedding", "vec_id").agg(F.count("*").alias("n"))
     thin = ids.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("k") <= top + 1)
     base = scratch.save(thin.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(top)))).alias("n")).drop("n"), "candidates")
-    total = base.count()
-    got = base.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()
-    by_dim: dict[int, list] = {}
-    for r in got:
-        by_dim.setdefault(len(r.embedding), []).append(r.embedding)
-    held = spark.sparkContext.broadcast({d: fit(unit(np.array(x)), total) for d, x in by_dim.items()})
     queries = scratch.save(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.monotonically_increasing_id().alias("qkey"), F.col("vec_id").alias("query_id"), "embedding"), "queries")
-    homes = base.mapInArrow(_route(held, False), "part long, vec_id long, embedding array<double>")
-    asked = queries.select("query_id", "embedding", "qkey").mapInArrow(_route(held, True), "part long, query_id long, embedding array<double>, qkey long")
-    homes = scratch.save(homes, "index")
-    asked = scratch.save(asked, "asked")
+    homes, asked = cut(spark, scratch, base, queries)
     sizes = homes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part")
     sizes = scratch.save(sizes, "sizes")  # a row a part
-    block, turn = F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("qkey"), F.col("turns")).cast("int")
-    own, theirs = F.broadcast(sizes), F.broadcast(sizes.withColumnsRenamed({"part": "to", "nb": "blocks", "nq": "turns"}))
+    block, turn = F.pmod(F.xxhash64("vec_id", "embedding"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("qkey"), F.col("turns")).cast("int")
+    small = _size_hint(spark, sizes)
+    own, theirs = small(sizes), small(sizes.withColumnsRenamed({"part": "to", "nb": "blocks", "nq": "turns"}))
     homes = homes.join(own, "part").withColumn("b", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("part", "b", "q", "vec_id", "embedding")
     asked = asked.join(theirs, F.col("part") == F.col("to")).withColumn("q", turn).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "b", "q", "query_id", "qkey", "embedding")
     pairs = asked.groupBy("part", "b", "q").cogroup(homes.groupBy("part", "b", "q")).applyInPandas(_rerank, "qkey long, query_id long, vec_id long, score double")

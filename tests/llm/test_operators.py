@@ -613,6 +613,28 @@ def test_ann_in_parts_and_blocks(spark, monkeypatch):
     assert ann.fit(ann.unit(x.astype(float)), 6000).parts > 8 and np.mean(hits) >= 4.5
 
 
+def test_ann_tree_of_parts(spark, monkeypatch):
+    """Parts that are cut again: both ways of routing agree, and a query is compared with a small share of all vectors."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((150, 24))[rng.integers(0, 150, 6000)] + 0.4 * rng.standard_normal((6000, 24))
+    ids, want, found = np.arange(6000), brute_nearest(np.arange(6000), x), []
+    for name, n in (("SAMPLE", 1500), ("MOST_PARTS", 4), ("PER_PART", 100), ("LEAF", 400), ("BLOCK", 500)):
+        monkeypatch.setattr(ann, name, n)
+    table = vectors(spark, x, ids)
+    for held, many in ((64 << 20, 50_000), (0, 0)):
+        monkeypatch.setattr(ann, "HELD_BYTES", held)
+        monkeypatch.setattr(ann, "MANY_PARTS", many)
+        found.append(sorted(map(tuple, ann.search(spark, table).collect())))
+    assert found[0] == found[1]
+    assert len(found[0]) == 5 * len(want)
+    assert np.mean([v in {k for k, _ in want[q]} for q, _, v, _ in found[0]]) >= 0.9
+    homes, asked = ann.cut(spark, common.Scratch(spark), table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), table.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("vec_id").alias("qkey")))
+    size = {r.part: r["count"] for r in homes.groupBy("part").count().collect()}
+    assert sum(size.values()) == 6000 and len(size) > 8 and max(size.values()) <= 400
+    visits = [r.part for r in asked.select("part").collect()]
+    assert sum(size.get(p, 0) for p in visits) < 0.4 * 6000 * len(want)
+
+
 @pytest.mark.parametrize("kind", ["orthogonal", "scaled", "binary"])
 def test_ann_ties_of_all_kinds(spark, kind):
     n = 60
