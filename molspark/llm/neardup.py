@@ -4,7 +4,7 @@ Unit vectors are projected on many random directions. As a window that holds a p
 share of all unrelated vectors too, projections come in groups: the windows of a group are laid out as a randomly shifted
 grid, and rows are sorted by cell, so that vectors whose projections collide throughout a group lie next to each other.
 Around each row, window collisions over one projection of every group are counted for each pair in its cell, first on
-projections rounded to a byte, which alone travel. Vectors follow to the cells where they have a partner that
+at most FILTER of these projections rounded to a byte, which alone travel. Vectors follow to the cells where they have a partner that
 reaches the count which pairs at the threshold reach almost surely; there the pairs are counted and verified exactly.
 A pair counts in the first group in which it shares a cell, so each link counts once; therefore a cell must leave out no
 pair for reasons of its own group.
@@ -25,6 +25,8 @@ from .components import Forest, blocks_of_equal, connected_components
 THRESHOLD, MISS, SEED = 0.9, 0.002, 20
 #: Cell width; vectors of a cell that one block compares; half-width of a counting window in standard deviations of a pair at the threshold.
 WIDTH, BLOCK, SPAN = 2.0, 4096, 2.5
+#: Projections that travel with a vector to each of its cells: groups grow with the table, so all of them would make bytes a vector grow with their square.
+FILTER = 64
 FAR = 0.45  # the share of unrelated pairs that meet in one projection's cell
 #: Width of a rounded projection's step (a byte reaches to 6.35, and what lies beyond counts as nearer), and the size up to which cells are compared together.
 STEP, SHORT = 0.05, 64
@@ -83,8 +85,8 @@ def valid(column: str = "embedding"):
     return c.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def _deal(k: int, groups: int, whole: bool):
-    """Rows by cell: with the rounded projections, or only the cell's name."""
+def _deal(k: int, groups: int, whole: bool, most: int = FILTER):
+    """Rows by cell: with the first ``most`` rounded projections, or only the cell's name."""
 
     def run(batches):
         by_dim: dict[int, Projections] = {}
@@ -100,7 +102,7 @@ def _deal(k: int, groups: int, whole: bool):
                     if not whole:
                         yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
                         continue
-                    rounded = np.clip(np.rint(own.along(unit) / STEP), -127, 127).astype(np.int8)
+                    rounded = np.clip(np.rint(own.along(unit)[:, :most] / STEP), -127, 127).astype(np.int8)
                     codes = pa.array([r.tobytes() for r in rounded], pa.binary())
                     for g in range(groups):
                         yield pa.RecordBatch.from_arrays([pa.array(cells[:, g]), pa.array(np.full(len(some), g, np.int32)), some.column(0), codes], names=["cell", "g", "rep", "code"])
@@ -224,13 +226,13 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = TH
     names = vectors.mapInArrow(_deal(k, groups, False), "cell long")
     large = names.groupBy("cell").count().where(F.col("count") > BLOCK)
     large = scratch.save(large.select(F.col("cell").alias("big"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "large")
-    dealt = vectors.mapInArrow(_deal(k, groups, True), "cell long, g int, rep long, code binary")
+    dealt = vectors.mapInArrow(_deal(k, groups, True, FILTER), "cell long, g int, rep long, code binary")
     split = dealt.join(large, F.col("cell") == F.col("big"), "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     pairs = F.expr("transform(sequence(0, parts - 1), j -> named_struct('cell', xxhash64(cell, least(j, own), greatest(j, own)), 'side', if(j = own, 0, if(own < j, 1, 2))))")
     at = F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.col("cell"), F.lit(0).alias("side")))).otherwise(pairs))
     blocks = split.select(at.alias("x"), "g", "rep", "code").select("x.cell", "x.side", "g", "rep", "code")
     reach, need = SPAN * math.sqrt(2 - 2 * threshold), least_count(groups)
-    met = blocks.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_candidates(reach, need), "cell long, side int, g int, rep long")
+    met = blocks.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_candidates(reach, least_count(min(groups, FILTER))), "cell long, side int, g int, rep long")
     met = scratch.save(met, "candidates")
     met = met.join(vectors.withColumnRenamed("rep", "own"), F.col("rep") == F.col("own")).select("cell", "side", "g", "rep", "embedding", "n")
     found = met.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_pairs(k, groups, threshold, reach, need), "u long, v long, n long")

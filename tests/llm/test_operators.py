@@ -241,6 +241,28 @@ def test_neardup_large_cells(spark, monkeypatch):
     assert [got[i].component_id for i in range(900)] == components(cosine >= 0.9)
 
 
+def test_neardup_filter_of_fewer_projections(spark, monkeypatch):
+    """Fewer projections than groups travel: no link is lost, and a row's code has no more bytes than those."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.standard_normal(x.shape)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    c = rng.uniform(0.901, 0.93, (400, 1))
+    table = vectors(spark, np.concatenate([x, c * x + np.sqrt(1 - c * c) * turn]))
+    sets = []
+    for most in (8, 64):
+        monkeypatch.setattr(neardup, "FILTER", most)
+        sets.append(sorted(map(tuple, neardup.near_duplicates(spark, table).collect())))
+    k, groups = neardup.shape(800)
+    assert groups > 8 and sum(n > 0 for _, n, _, _ in sets[0]) >= 0.99 * 800
+    assert sum(a != b for a, b in zip(*sets, strict=True)) <= 0.005 * 800
+    rows = table.select(F.col("vec_id").alias("rep"), F.col("embedding").cast("array<double>").alias("embedding"))
+    code = rows.mapInArrow(neardup._deal(k, groups, True, 8), "cell long, g int, rep long, code binary")
+    assert code.agg(F.max(F.octet_length("code"))).first()[0] == 8
+
+
 def test_neardup_brute(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16))
