@@ -141,21 +141,20 @@ def train_som(spark: SparkSession, scores_path: str, clean_path: str, model_path
 
 def decoded_centers(spark: SparkSession, folder: str, features: list[str]) -> DataFrame:
     """(bucket, neuron, v) of the ``decoded_data`` of all groups in a folder, by the features' names; a center's number is its place."""
-    found = None
-    for name in tables.children(spark, folder):  # a folder a range
-        if name.startswith("group_") and name[6:].isdigit():
-            rows = tables.read_csv_in_order(spark, f"{folder}/{name}/decoded_data", ", ".join(f"`{f}` double" for f in features), "neuron")
-            rows = rows.select(F.lit(int(name[6:])).alias("bucket"), F.col("neuron").cast("int").alias("neuron"), F.array(*(f"`{f}`" for f in features)).alias("v"))
-            found = rows if found is None else found.unionByName(rows)
-    return spark.createDataFrame([], "bucket int, neuron int, v array<double>") if found is None else found
+    paths = [f"{folder}/{c}/decoded_data" for c in tables.children(spark, folder) if c.startswith("group_") and c[6:].isdigit()]
+    if not paths:
+        return spark.createDataFrame([], "bucket int, neuron int, v array<double>")
+    rows = tables.read_csv_in_order(spark, paths, ", ".join(f"`{f}` double" for f in features), "neuron", ("bucket", r"group_(\d+)/decoded_data/[^/]+$"))
+    return rows.select("bucket", F.col("neuron").cast("int").alias("neuron"), F.array(*(f"`{f}`" for f in features)).alias("v"))
 
 
 def explain(centers: DataFrame, scale: DataFrame, rows: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
     """What centers (bucket, neuron, v), in the scaled units of training, mean in raw ones: (bucket, dim, mean, std) by range, and
     each center's unscaled v with the score of the row nearest to it. ``rows``: (id, v, score), v as it was before scaling."""
-    back = stats.unscaled(centers, scale)
+    spark = rows.sparkSession
+    back = tables.written(stats.unscaled(centers, scale), tables.shared_folder(spark))  # a row a center, read several times
     n = stats.width(back)
-    most = (centers.agg(F.max("neuron")).first()[0] or 0) + 1
+    most = (back.agg(F.max("neuron")).first()[0] or 0) + 1
     code = F.col("bucket").cast("long") * F.lit(most) + F.col("neuron")
     near = neighbors.nearest(rows.select("id", "v"), back.select(code.alias("id"), "v"))
     scored = near.join(rows.select("id", F.col(score).alias("score")), "id")

@@ -100,8 +100,10 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return _found(lambda: spark.read.schema(schema).option("header", True).csv(path), path)
 
 
-def read_csv_in_order(spark: SparkSession, path: str | list[str], schema: T.StructType | str, name: str = "row") -> DataFrame:
-    """``read_csv`` with each row's place in the file, from 0; files follow one another by path.
+def read_csv_in_order(spark: SparkSession, path: str | list[str], schema: T.StructType | str, name: str = "row", group: tuple[str, str] | None = None) -> DataFrame:
+    """``read_csv`` with each row's place in the file, from 0; files follow one another by path. group: a column's name and a
+    pattern whose first group finds that column's number in a file's path; places then start anew in each of these groups, all of
+    which are read in one scan.
 
     A scan's partition holds pieces of files, each whole and in its order, so a row's place in its piece is its number in the
     partition less the piece's first one. One pass counts the pieces; a row a piece is broadcast; rows aren't shuffled.
@@ -109,9 +111,11 @@ def read_csv_in_order(spark: SparkSession, path: str | list[str], schema: T.Stru
     scan = read_csv(spark, path, schema)
     rows = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_number", F.monotonically_increasing_id())
     pieces = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    of = F.regexp_extract("_file", group[1], 1).cast("int") if group else F.lit(0)
+    before = Window.partitionBy(of).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    own = [of.alias(group[0])] if group else []
     starts = pieces.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return rows.join(F.broadcast(starts), ["_file", "_block"]).select((F.col("_number") + F.col("_shift")).alias(name), *(f"`{c}`" for c in scan.columns))
+    return rows.join(F.broadcast(starts), ["_file", "_block"]).select((F.col("_number") + F.col("_shift")).alias(name), *own, *(f"`{c}`" for c in scan.columns))
 
 
 def log_to(path: str) -> logging.Handler:

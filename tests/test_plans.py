@@ -128,6 +128,17 @@ def test_rows_by_their_place_in_files(spark, limit, cost):
     assert [r.x for r in sorted(got, key=lambda r: r.row)] == want and sorted(r.row for r in got) == list(range(1600))
 
 
+def test_places_start_anew_in_each_group(spark):
+    """Groups of several files in one scan: places count from 0 in each, and only the paths given are read."""
+    folder = tables.shared_folder(spark)
+    for k, n in ((0, 50), (3, 1), (12, 400)):
+        tables.write_csv(spark.range(n).repartitionByRange(5, "id").sortWithinPartitions("id").selectExpr(f"cast(id + {k} * 1000 as double) as x"), f"{folder}/group_{k}/decoded_data")
+    tables.write_csv(spark.range(9).selectExpr("cast(id as double) as x"), f"{folder}/group_0/labeled_data")
+    got = pipelines.decoded_centers(spark, folder, ["x"])
+    assert got.columns == ["bucket", "neuron", "v"]
+    assert sorted((r.bucket, r.neuron, r.v[0]) for r in got.collect()) == [(k, i, float(i + k * 1000)) for k, n in ((0, 50), (3, 1), (12, 400)) for i in range(n)]
+
+
 def test_ranges_as_a_table(spark):
     rng = np.random.default_rng(4)
     limits = [(i, float(a), float(a + b)) for i, (a, b) in enumerate(zip(rng.normal(size=60) * 10, 10.0 ** rng.integers(-4, 3, 60), strict=True))]
