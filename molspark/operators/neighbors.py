@@ -125,11 +125,17 @@ def orthonormal(sums: dict) -> np.ndarray:
     return np.array([[-t, 1.0, 0.0], [c * t - sums["ty"] / sums["tt"], -c, 1.0]]) / np.sqrt([[x], [rest]])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows as the side of a join that is shuffled and hashed part by part: points are never broadcast, as that takes all of
+    them through the driver, once a step."""
+    return df.hint("shuffle_hash")
+
+
 def spectral_step(edges: DataFrame, points: DataFrame) -> DataFrame:
     """One power step of (id, slot, t, x, y) with half the identity and half the normalized graph (own, other, a): a join, and a row a point and task."""
     there = points.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    pulled = edges.join(there, F.col("other") == F.col("_id")).groupBy("own").agg(*(F.sum(F.col("a") * F.col(f"_{c}")).alias(f"_{c}") for c in "xy"))
-    return points.join(pulled, F.col("id") == F.col("own")).select("id", "slot", "t", *(((F.col(c) + F.col(f"_{c}")) / 2).alias(c) for c in "xy"))
+    pulled = edges.join(dealt(there), F.col("other") == F.col("_id")).groupBy("own").agg(*(F.sum(F.col("a") * F.col(f"_{c}")).alias(f"_{c}") for c in "xy"))
+    return dealt(points).join(pulled, F.col("id") == F.col("own")).select("id", "slot", "t", *(((F.col(c) + F.col(f"_{c}")) / 2).alias(c) for c in "xy"))
 
 
 def layout_step(edges: DataFrame, places: DataFrame, epoch: int, n: int, rate: float, negatives: int) -> DataFrame:
@@ -140,14 +146,14 @@ def layout_step(edges: DataFrame, places: DataFrame, epoch: int, n: int, rate: f
     s = dx * dx + dy * dy
     held = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c)) * F.lit(rate)
     at = F.lit(epoch).cast("long")
-    used = edges.where(chance("own", "other", at) < F.col("w")).join(places, F.col("own") == F.col("id"))
-    pull = used.join(there, F.col("other") == F.col("_id"))
+    used = edges.where(chance("own", "other", at) < F.col("w")).join(dealt(places), F.col("own") == F.col("id"))
+    pull = used.join(dealt(there), F.col("other") == F.col("_id"))
     pull = pull.select("id", *(held(F.lit(-2.0) * d / (F.lit(1.0) + s)).alias(k) for k, d in (("mx", dx), ("my", dy))))
     asked = used.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(negatives).cast("long"))))
-    push = asked.withColumn("far", F.pmod(F.xxhash64("own", "other", at, "j"), F.lit(n))).join(there, F.col("far") == F.col("_slot"))
+    push = asked.withColumn("far", F.pmod(F.xxhash64("own", "other", at, "j"), F.lit(n))).join(dealt(there), F.col("far") == F.col("_slot"))
     push = push.select("id", *(held(F.lit(2.0) * d / ((F.lit(0.001) + s) * (F.lit(1.0) + s))).alias(k) for k, d in (("mx", dx), ("my", dy))))
     moves = pull.unionByName(push).groupBy(F.col("id").alias("mover")).agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
-    moved = places.join(moves, F.col("id") == F.col("mover"), "left")
+    moved = places.join(dealt(moves), F.col("id") == F.col("mover"), "left")
     return moved.select("id", "slot", *((F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))).alias(c) for c in "xy"))
 
 
@@ -156,8 +162,8 @@ def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: in
 
     Points start from the two leading non-trivial vectors of the normalized graph, after ``power`` power steps, drawn to
     deviation 10. Each of ``epochs`` steps samples edges in proportion to their weights and points that push. Up to ``limit`` points
-    (and 40 edges for each of these) are laid out on the driver. More stay distributed: a join a step, whose points are
-    written to the shared folder, which cuts lineage. Both ways take the same steps.
+    (and 40 edges for each of these) are laid out on the driver. More stay distributed: shuffled joins a step, whose points are
+    written to the shared folder, which cuts lineage, and never pass the driver. Both ways take the same steps.
     """
     spark = graph.sparkSession
     root = shared_folder(spark)
@@ -171,8 +177,8 @@ def umap_layout(graph: DataFrame, epochs: int = 100, limit: int = 5000, seed: in
     degree = edges.groupBy("own").agg(F.sqrt(F.sum("w")).alias("t"))
     degree = kept(degree.select(F.col("own").alias("id"), "t"), "degree")
     ends = [degree.select(F.col("id").alias(k), F.col("t").alias(t)) for k, t in (("own", "_t"), ("other", "_s"))]
-    edges = kept(edges.join(ends[0], "own").join(ends[1], "other").select("own", "other", "w", (F.col("w") / (F.col("_t") * F.col("_s"))).alias("a")), "both")
-    points = kept(numbered_points(degree, seed).join(degree, "id"), "points-0")
+    edges = kept(edges.join(dealt(ends[0]), "own").join(dealt(ends[1]), "other").select("own", "other", "w", (F.col("w") / (F.col("_t") * F.col("_s"))).alias("a")), "both")
+    points = kept(numbered_points(degree, seed).join(dealt(degree), "id"), "points-0")
     n = points.count()
     if not n:
         return points.select("id", "x", "y")

@@ -180,6 +180,15 @@ def test_layout_distributed_or_not(spark):
     assert neighbors.umap_layout(graph.limit(0)).count() == 0
 
 
+def test_layout_steps_send_no_points_through_the_driver(spark, tmp_path):
+    """However few the points, no join of a step broadcasts them."""
+    points = spark.createDataFrame([(i, i, 1.0, float(i), float(-i)) for i in range(20)], "id long, slot long, t double, x double, y double")
+    edges = spark.createDataFrame([(i, (i + d) % 20, 1.0, 0.5) for i in range(20) for d in (1, 19)], "own long, other long, w double, a double")
+    points, edges = tables.written(points, str(tmp_path / "points")), tables.written(edges, str(tmp_path / "edges"))  # of known size
+    for step in (neighbors.spectral_step(edges, points), neighbors.layout_step(edges.drop("a"), points.drop("t"), 0, 20, 0.3, 3)):
+        assert step.count() == 20 and "Broadcast" not in step._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hash_of_longs_is_sparks(spark):
     rows = [(0, 1), (-5, 2**62), (7, -(2**63))]
     got = [r.h for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b", F.lit(3).cast("long")).alias("h")).collect()]
