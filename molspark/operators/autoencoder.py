@@ -46,8 +46,8 @@ class Network:
     def decode(self, x: np.ndarray) -> np.ndarray:
         return self.forward(x, len(self.hidden))
 
-    def gradients(self, x: np.ndarray) -> tuple[list[np.ndarray], float]:
-        """Summed over rows, of the squared error's mean over the features; and the summed loss."""
+    def gradients(self, x: np.ndarray, into: Network | None = None) -> tuple[list[np.ndarray], float]:
+        """Summed over rows, of the squared error's mean over the features; and the summed loss. into: layers that take the sums."""
         outs = [x]
         for k, (w, b) in enumerate(self.layers):
             outs.append(self.act(k, outs[-1] @ w + b))
@@ -59,9 +59,11 @@ class Network:
                 g = g * (1 - y * y)
             elif k < len(self.layers) - 1:
                 g = g * (y > 0)
-            out += [g.sum(0), outs[k].T @ g]
-            g = g @ self.layers[k][0].T
-        return out[::-1], float((diff**2).mean(axis=1).sum())
+            w, b = into.layers[k] if into else (None, None)
+            out += [np.add.reduce(g, 0, out=b), np.matmul(outs[k].T, g, out=w)]
+            if k:
+                g = g @ self.layers[k][0].T
+        return out[::-1], float((np.add.reduce(diff * diff, 1) / x.shape[1]).sum())
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(k, "w", i, j, float(w[i, j])) for k, (w, _) in enumerate(self.layers) for i in range(w.shape[0]) for j in range(w.shape[1])]

@@ -15,6 +15,8 @@ from .autoencoder import Network
 
 #: Rows of a shard, about; a task holds its shards' vectors, mostly one shard's.
 SHARD = 100_000
+#: Rows whose bytes are packed together.
+PACKED = 4096
 
 
 @dataclass
@@ -72,13 +74,24 @@ def batch_order(ids: np.ndarray, epoch: int, seed: int = 42) -> np.ndarray:
 
 def run_epoch(net: Network, x: np.ndarray, ids: np.ndarray, state: State, rate: float, decay: float, batch: int, seed: int = 42) -> tuple[State, float, int]:
     """An epoch over one shard: Adam after each batch; the state, the batches' summed mean losses and their number."""
-    flat, m, v, t, total, order = state.flat.copy(), state.m.copy(), state.v.copy(), state.steps, 0.0, batch_order(ids, state.epoch, seed)
+    flat, m, v, t, total, drawn = state.flat.copy(), state.m.copy(), state.v.copy(), state.steps, 0.0, x[batch_order(ids, state.epoch, seed)]
+    g, a, b = (np.empty_like(flat) for _ in range(3))
+    now, into = shaped(net, flat), shaped(net, g)  # views, so that a step's arrays are there once
     for at in range(0, len(x), batch):
-        rows = x[order[at : at + batch]]
-        parts, loss = shaped(net, flat).gradients(rows)
-        g, t, total = np.concatenate([p.ravel() for p in parts]) / len(rows) + decay * flat, t + 1, total + loss / len(rows)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        rows = drawn[at : at + batch]
+        _, loss = now.gradients(rows, into)
+        t, total = t + 1, total + loss / len(rows)
+        g /= len(rows)
+        g += np.multiply(flat, decay, out=a)
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=a)
+        v *= 0.999
+        v += np.multiply(np.multiply(g, 0.001, out=a), g, out=a)
+        np.sqrt(np.divide(v, 1 - 0.999**t, out=b), out=b)
+        b += 1e-8
+        np.multiply(np.divide(m, 1 - 0.9**t, out=a), rate, out=a)
+        a /= b
+        flat -= a
     return State(flat, m, v, t, state.epoch), total, -(-len(x) // batch)
 
 
@@ -86,7 +99,21 @@ def shards(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     """(shard, is_test, id, v) dealt by a hash of the id into shards of about so many rows, each in one partition."""
     n = max(1, -(-rows.count() // shard))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "is_test", F.col("id").cast("long").alias("id"), "v")
-    return dealt.repartition(n, "shard")
+    return dealt.repartitionById(n, F.col("shard"))
+
+
+def packed(dealt: DataFrame) -> DataFrame:
+    """(shard, is_test, ids, v) of ``shards``: the bytes of ids and vectors, PACKED rows at most together, in the same partitions.
+    Every epoch reads the rows, and reads bytes as they are."""
+
+    def run(batches):
+        for pdf in batches:
+            for (shard, test), own in pdf.groupby(["shard", "is_test"]):
+                for at in range(0, len(own), PACKED):
+                    some = own.iloc[at : at + PACKED]
+                    yield pd.DataFrame({"shard": [shard], "is_test": [test], "ids": [some["id"].to_numpy(np.int64).tobytes()], "v": [np.stack(some["v"].to_numpy()).astype(float).tobytes()]})
+
+    return dealt.mapInPandas(run, "shard int, is_test boolean, ids binary, v binary")
 
 
 def train(
@@ -98,10 +125,10 @@ def train(
     Each shard takes its epoch from the same parameters and moments, which are then averaged by the shards' rows; with
     one shard that is plain training in batches. Losses are means over batches of their means; validation runs in
     batches by id. One pass an epoch: a network is validated in the pass that trains it further. The rows are dealt out
-    once and held in memory; give a written table, from which a lost executor's shards are read again. folder: keeps the
+    once, a shard to a task, and held in memory as bytes; give a written table, from which a lost executor's shards are read again. folder: keeps the
     state there after each epoch and goes on from the last one that it holds.
     """
-    spark, held = rows.sparkSession, shards(rows, shard).persist()
+    spark, held = rows.sparkSession, packed(shards(rows, shard)).persist()
     size = len(flatten(net))
 
     def one_pass(now: State, lr: float, fit: bool):
@@ -109,7 +136,8 @@ def train(
             parts = [b for b in batches if len(b)]
             for _, own in pd.concat(parts).groupby("shard") if parts else ():
                 for test, part in own.groupby("is_test"):
-                    ids, x = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
+                    ids, x = np.frombuffer(b"".join(part["ids"]), np.int64), np.frombuffer(b"".join(part["v"]))
+                    x = x.reshape(len(ids), -1)
                     out = np.zeros(3 * size + 6)  # parameters, moments and steps times rows, rows, losses and batches of both parts
                     if test:
                         x, whole = x[np.argsort(ids, kind="stable")], shaped(net, now.flat)

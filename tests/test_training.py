@@ -94,3 +94,15 @@ def test_empty_parts(spark, sample):
     assert len(past) == 2 and past[0][2] == 0
     last, _, past = localsgd.train(rows_of(spark, x, test).where(F.lit(False)), net, 1)
     assert (localsgd.flatten(last) == localsgd.flatten(net)).all()
+
+
+def test_each_shard_has_a_task_of_its_own(spark, sample, monkeypatch):
+    """No two shards meet in one partition, whatever their number, and packing keeps every row in its shard's."""
+    monkeypatch.setattr(localsgd, "PACKED", 7)
+    rows = rows_of(spark, *sample)
+    for size in (50, 30, 10):
+        dealt = localsgd.shards(rows, size)
+        held = dealt.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+        assert len({r.p for r in held}) == len(held) == len({r.shard for r in held})
+        got = [(r.shard, r.is_test, i, tuple(v)) for r in localsgd.packed(dealt).collect() for i, v in zip(np.frombuffer(r.ids, np.int64), np.frombuffer(r.v).reshape(-1, 6), strict=True)]
+        assert sorted(got) == sorted((r.shard, r.is_test, r.id, tuple(r.v)) for r in dealt.collect())
