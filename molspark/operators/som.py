@@ -87,22 +87,38 @@ def kernel(m: int, n: int, radius: float) -> np.ndarray:
     return np.exp(-((g[:, None] - g[None]) ** 2).sum(-1) / (2 * radius**2))
 
 
-def sums(df: DataFrame, maps: Maps, group: str | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """For each group the sums and numbers of its rows by closest neuron, and its rows' mean distance: one pass over all groups, of
-    which a task sends one row for each neuron that it met."""
+def packed(df: DataFrame, group: str | None = None) -> DataFrame:
+    """(g, v): the bytes of the vectors of a group, SLICE of them at most. Every epoch reads the rows, and reads bytes as they are."""
+
+    def run(batches):
+        for pdf in batches:
+            for g, rows in [(0, np.arange(len(pdf)))] if group is None else pdf.groupby(group).indices.items():
+                for at in range(0, len(rows), SLICE):
+                    x = np.stack(pdf["v"].iloc[rows[at : at + SLICE]].to_numpy()).astype(float)
+                    yield pd.DataFrame({"g": [g], "v": [x.tobytes()]})
+
+    return df.select("v", *([group] if group else [])).mapInPandas(run, "g long, v binary")
+
+
+def sums(rows: DataFrame, maps: Maps) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each group the sums and numbers of its ``packed`` rows by closest neuron, and its rows' mean distance: one pass over all
+    groups, of which a task sends one row for each neuron that it met."""
     k, dim = next(iter(maps.values())).shape
 
     def run(batches):
         total = {g: np.zeros((k, dim + 2)) for g in maps}
         for pdf in batches:
-            for g, _, x, near, d in _units(pdf, maps, group):
-                np.add.at(total[g], near, np.concatenate([x, np.ones((len(x), 1)), np.sqrt(d)[:, None]], 1))
+            for g, v in zip(pdf["g"], pdf["v"], strict=True):
+                if g in maps:
+                    x = np.frombuffer(v).reshape(-1, dim)
+                    near, d = closest(x, maps[g])
+                    np.add.at(total[g], near, np.concatenate([x, np.ones((len(x), 1)), np.sqrt(d)[:, None]], 1))
         for g, t in total.items():
             own = np.flatnonzero(t[:, dim])
             yield pd.DataFrame({"g": np.full(len(own), g), "neuron": own.astype("int32"), "s": pd.Series(list(t[own]), dtype=object)})
 
-    rows = df.select("v", *([group] if group else [])).mapInPandas(run, "g long, neuron int, s array<double>")
-    total = rows.select("g", "neuron", F.posexplode("s").alias("i", "x")).groupBy("g", "neuron", "i").agg(F.sum("x").alias("x")).toArrow()  # groups times neurons times width
+    sent = rows.mapInPandas(run, "g long, neuron int, s array<double>")
+    total = sent.select("g", "neuron", F.posexplode("s").alias("i", "x")).groupBy("g", "neuron", "i").agg(F.sum("x").alias("x")).toArrow()  # groups times neurons times width
     g, neuron, i, x = (c.to_numpy() for c in total.columns)
     out = {own: np.zeros((k, dim + 2)) for own in maps}
     for own, held in out.items():
@@ -118,7 +134,7 @@ def means(s: np.ndarray, c: np.ndarray, neurons: np.ndarray, h: np.ndarray) -> n
 
 def epoch(df: DataFrame, neurons: np.ndarray, m: int = 10, n: int = 10, radius: float = RADIUS) -> np.ndarray:
     """One batch step."""
-    s, c, _ = sums(df, {0: neurons})[0]
+    s, c, _ = sums(packed(df), {0: neurons})[0]
     return means(s, c, neurons, kernel(m, n, radius))
 
 
@@ -130,14 +146,19 @@ def train_groups(df: DataFrame, group: str | None, start: Maps, m: int = 10, n:
     """The maps of all groups after ``epochs`` steps with a shrinking radius, and each one's mean quantization error before
     each step. An epoch is one pass over (group, v), whatever the number of groups, which yields the sums and the errors
     together. Fewer starting neurons than m * n repeat. rate: how far the first step moves the neurons towards their
-    means; the rate falls to 0 with the epochs, and at 1 stays 1. ``df`` is read once an epoch: give a written table."""
+    means; the rate falls to 0 with the epochs, and at 1 stays 1. ``df`` is packed once and held as bytes, which every
+    epoch reads: give a written table, from which a lost executor's rows are read again."""
     maps = {g: np.resize(w, (m * n, w.shape[1])) for g, w in start.items()}
     errors: dict[int, list[float]] = {g: [] for g in maps}
-    for e in range(epochs if maps else 0):
-        pace, h = 1.0 if rate >= 1 else rate * (1 - e / epochs), kernel(m, n, max(0.5, radius * (1 - e / epochs)))
-        for g, (s, c, error) in sums(df, maps, group).items():
-            errors[g].append(error)
-            maps[g] = maps[g] + pace * (means(s, c, maps[g], h) - maps[g])
+    held = packed(df, group).persist()
+    try:
+        for e in range(epochs if maps else 0):
+            pace, h = 1.0 if rate >= 1 else rate * (1 - e / epochs), kernel(m, n, max(0.5, radius * (1 - e / epochs)))
+            for g, (s, c, error) in sums(held, maps).items():
+                errors[g].append(error)
+                maps[g] = maps[g] + pace * (means(s, c, maps[g], h) - maps[g])
+    finally:
+        held.unpersist()
     return maps, errors
 
 

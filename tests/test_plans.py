@@ -48,6 +48,25 @@ def test_one_pass_an_epoch_over_all_groups(spark):
     assert jobs[1] == jobs[7]
 
 
+def test_rows_are_read_and_packed_once(spark, monkeypatch):
+    """Epochs read bytes that are held: the table itself is read once, whatever the number of epochs."""
+    monkeypatch.setattr(som, "SLICE", 8)
+    rng, seen = np.random.default_rng(5), spark.sparkContext.accumulator(0)
+    x, g = rng.standard_normal((90, 3)), np.arange(90) % 2
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(i, int(k), [float(c) for c in v]) for i, (k, v) in enumerate(zip(g, x, strict=True))], "id long, g int, v array<double>")
+    start = {k: x[g == k][:4] for k in (0, 1)}
+    maps, _ = som.train_groups(rows.mapInPandas(counted, rows.schema), "g", start, 2, 2, 3)
+    assert seen.value == 90 and all(np.allclose(maps[k], plain_map(x[g == k], start[k], 2, 2, 3, som.RADIUS, 1.0)[0]) for k in (0, 1))
+    held = [(r.g, len(r.v) // 24) for r in som.packed(rows, "g").collect()]
+    assert max(n for _, n in held) <= 8 and sum(n for k, n in held if k == 0) == 45
+
+
 def test_starts_of_groups_by_density(spark):
     rng = np.random.default_rng(1)
     rows = spark.createDataFrame([(i, i % 2, [float(c) for c in rng.standard_normal(3) * (1 + 9 * (i % 2))]) for i in range(200)], "id long, g int, v array<double>")
