@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from .metric import approximate, closest, merged, nearest_k
+from .metric import Reached, approximate, closest, merged, nearest_k
 
 #: Pivots at most, and the rows that each is chosen from; bytes of all these; rows of a block at most and at least; queries that one task compares with a block.
-PIVOTS, SAMPLED, PIVOT_BYTES, ROWS, LEAST_ROWS, QUERIES = 1024, 8, 64 << 20, 50_000, 512, 10_000
+PIVOTS, SAMPLED, PIVOT_BYTES, ROWS, LEAST_ROWS, QUERIES = 1024, 8, 64 << 20, 50_000, 512, 40_000
 #: Bounds are widened by it, over the rounding of distances.
 SLACK = 1e-7
-FOUND = "query long, v array<double>, block long, ids array<long>, d2 array<double>, pairs long"
+#: Queries and rows of a whole product, and the share of the rows that bounds must leave to queries for one.
+TILE, SLICE, MANY = 256, 8192, 0.25
+FOUND = "query long, block long, ids array<long>, d2 array<double>, pairs long"
 
 
 @dataclass
@@ -52,14 +54,22 @@ def _stack(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(float)
 
 
+def _unpacked(v: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(v)).reshape(len(v), -1)
+
+
 def _cells(pivots: np.ndarray):
+    """The rows with their cell and the distance to its pivot; vectors go on as bytes."""
+
     def run(batches):
         for pdf in batches:
-            near, r = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+            near, r, v = np.zeros(len(pdf), np.int32), np.zeros(len(pdf)), []
             for at in range(0, len(pdf), 2048):
-                n, d2 = closest(_stack(pdf["v"].iloc[at : at + 2048]), pivots)
+                x = _stack(pdf["v"].iloc[at : at + 2048])
+                n, d2 = closest(x, pivots)
                 near[at : at + 2048], r[at : at + 2048] = n, np.sqrt(d2)
-            yield pdf.assign(cell=near, r=r)
+                v += [y.tobytes() for y in x]
+            yield pdf.assign(v=pd.Series(v, index=pdf.index, dtype=object), cell=near, r=r)
 
     return run
 
@@ -98,9 +108,29 @@ def search_block(index: Index, ids: np.ndarray, q: np.ndarray, reach: np.ndarray
     least = index.bounds(to, size)
     there, starts = np.unique(cell, return_index=True)
     stops = np.append(starts[1:], len(cell))
-    for n in np.argsort(least[:, there].min(axis=0), kind="stable"):
+    home = to[:, there].argmin(axis=1)
+    for n in np.unique(home[np.isinf(reach)]) if len(there) > 1 else ():  # rows of a query's own cell bound how far it must look
+        rows, more = np.flatnonzero((home == n) & np.isinf(reach)), max(0, k - int(stops[n] - starts[n]))
+        s, e = max(0, starts[n] - more), min(len(own), stops[n] + more)
+        reach[rows] = np.sqrt(nearest_k(ids[rows], q[rows], own[s:e], x[s:e], k)[0][:, k - 1]) * (1 + SLACK)
+        pairs[rows] += e - s
+    few, tiles, whole = np.ones(len(q), bool), np.argsort(home, kind="stable"), None
+    for at in range(0, len(q), TILE):  # where bounds leave many rows, whole products cost less than choosing
+        some = tiles[at : at + TILE]
+        if ((least[some][:, there] <= reach[some, None]) @ (stops - starts)).mean() < MANY * len(own):
+            continue
+        whole = whole or Reached(own, x, index.pivots.mean(axis=0))
+        few[some], ready = False, whole.asked(q[some])
+        for a in (0, *range(1024, len(own), SLICE)):
+            b = min(a + SLICE if a else 1024, len(own))
+            got = whole.nearest_k(ids[some], q[some], ready, (reach[some] * (1 + SLACK)) ** 2, a, b, k)
+            if np.isfinite(got[0]).any():
+                d[some], i[some] = merged(d[some], i[some], *got, k)
+                reach[some] = np.minimum(reach[some], np.sqrt(d[some, k - 1]) * (1 + SLACK))
+            pairs[some] += b - a
+    for n in np.argsort(least[:, there].min(axis=0), kind="stable") if few.any() else ():
         c, rc = there[n], r[starts[n] : stops[n]]
-        rows = np.flatnonzero(least[:, c] <= reach)
+        rows = np.flatnonzero(few & (least[:, c] <= reach))
         rows = rows[np.argsort(to[rows, c], kind="stable")]
         for at in range(0, len(rows), 128):  # queries at like distances have like windows
             some = rows[at : at + 128]
@@ -114,34 +144,42 @@ def search_block(index: Index, ids: np.ndarray, q: np.ndarray, reach: np.ndarray
     return d, i, pairs
 
 
-def _search(index: Index, k: int):
+def _search(index: Index, k: int, whole: bool):
+    """whole: a row for each query with its vector; else one for each that found something, and one for all the others' pairs."""
+
     def run(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("query", "v", "block", "ids", "d2", "pairs")}
-        if len(rows) and len(asked):
-            x, own, cell, r = _stack(rows["v"]), rows["id"].to_numpy(), rows["cell"].to_numpy(), rows["r"].to_numpy()
-            for at in range(0, len(asked), 2048):
-                some = asked.iloc[at : at + 2048]
-                d, i, pairs = search_block(index, some["query"].to_numpy(), _stack(some["v"]), some["reach"].to_numpy(), own, x, cell, r, k)
-                near = np.isfinite(d)
-                out["query"] += some["query"].tolist()
+        out = {c: [] for c in ("query", "block", "ids", "d2", "pairs", *(["v"] if whole else []))}
+        x = _unpacked(rows["v"]) if len(rows) else None
+        for at in range(0, len(asked), 2048):
+            some = asked.iloc[at : at + 2048]
+            d, i, pairs = np.full((len(some), k), np.inf), np.zeros((len(some), k), np.int64), np.zeros(len(some), np.int64)
+            if len(rows):
+                d, i, pairs = search_block(index, some["query"].to_numpy(), _unpacked(some["v"]), some["reach"].to_numpy(), rows["id"].to_numpy(), x, rows["cell"].to_numpy(), rows["r"].to_numpy(), k)
+            near = np.isfinite(d)
+            kept = np.arange(len(some)) if whole else np.flatnonzero(near.any(axis=1))
+            out["query"] += some["query"].to_numpy()[kept].tolist()
+            out["ids"] += [i[n][near[n]] for n in kept]
+            out["d2"] += [d[n][near[n]] for n in kept]
+            out["pairs"] += pairs[kept].tolist()
+            if whole:
                 out["v"] += list(some["v"])
-                out["block"] += [key[0]] * len(some)
-                out["ids"] += [a[m] for a, m in zip(i, near, strict=True)]
-                out["d2"] += [a[m] for a, m in zip(d, near, strict=True)]
-                out["pairs"] += pairs.tolist()
-        elif len(asked):
-            out = {"query": asked["query"], "v": asked["v"], "block": key[0], "ids": [[]] * len(asked), "d2": [[]] * len(asked), "pairs": 0}
-        return pd.DataFrame(out).astype({"query": "int64", "block": "int64", "v": object, "ids": object, "d2": object, "pairs": "int64"})
+            elif len(kept) < len(some):
+                out["query"].append(int(some["query"].iloc[0]))
+                out["ids"].append(np.zeros(0, np.int64))
+                out["d2"].append(np.zeros(0))
+                out["pairs"].append(int(pairs.sum() - pairs[kept].sum()))
+        out["block"] = [key[0]] * len(out["query"])
+        return pd.DataFrame(out).astype({"query": "int64", "block": "int64", "ids": object, "d2": object, "pairs": "int64"})
 
     return run
 
 
-def _meet(asked: DataFrame, homes: DataFrame, index: Index, k: int) -> DataFrame:
+def _meet(asked: DataFrame, homes: DataFrame, index: Index, k: int, whole: bool) -> DataFrame:
     """Queries (query, v, block, reach) with the rows of their blocks, which are sent once for every QUERIES queries of the block."""
     turns = F.broadcast(asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")))  # a row a block of rows
     left = asked.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).drop("turns")
     right = homes.join(turns, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
-    return left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(_search(index, k), FOUND)
+    return left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(_search(index, k, whole), FOUND + (", v binary" if whole else ""))
 
 
 def _further(index: Index, k: int):
@@ -155,7 +193,7 @@ def _further(index: Index, k: int):
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 some = pdf.iloc[at : at + 1024]
-                q = _stack(some["v"])
+                q = _unpacked(some["v"])
                 reach = np.array([np.sqrt(d[k - 1]) if len(d) >= k else np.inf for d in some["d2"]])
                 near = index.bounds(index.to_pivots(q), scale_of(q, index.pivots)) <= reach[:, None]
                 go = np.zeros((len(q), len(blocks)), bool)
@@ -191,7 +229,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 1, other_only: bool =
     width = len(thin.select("v").first().v)
     most = min(PIVOTS, max(1, int(n**0.5)), max(1, PIVOT_BYTES // (8 * SAMPLED * max(width, 1))))
     pivots = spread_out(np.array([r.v for r in thin.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLED * most).collect()], float), most)
-    rows = tables.written(thin.mapInPandas(_cells(pivots), "id long, v array<double>, cell int, r double"), f"{at}/cells")
+    rows = tables.written(thin.mapInPandas(_cells(pivots), "id long, v binary, cell int, r double"), f"{at}/cells")
     facts = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).toPandas()  # a row a pivot
     count, low, high = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     count[facts["cell"]], low[facts["cell"]], high[facts["cell"]] = facts["n"], facts["low"], facts["high"]
@@ -199,11 +237,11 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 1, other_only: bool =
     where = F.broadcast(spark.createDataFrame([(c, int(b), int(p)) for c, (b, p) in enumerate(zip(index.block, index.parts, strict=True))], "cell int, first long, parts long"))
     part = lambda c: (F.col("first") + F.pmod(F.xxhash64(c), F.col("parts"))).alias("block")
     homes = rows.join(where, "cell").select(part("id"), "id", "v", "cell", "r")
-    own = alike.mapInPandas(lambda b: _cells(pivots)(b), "v array<double>, query long, cell int, r double")
+    own = alike.mapInPandas(lambda b: _cells(pivots)(b), "v binary, query long, cell int, r double")
     own = own.join(where, "cell").select("query", "v", part("query"), F.lit(float("inf")).alias("reach"))
-    one = tables.written(_meet(own, homes, index, ask), f"{at}/first")
-    rest = tables.written(one.select("query", "v", "block", "d2").mapInPandas(_further(index, ask), "query long, v array<double>, block long, reach double"), f"{at}/asked")
-    two = tables.written(_meet(rest, homes, index, ask), f"{at}/second")
+    one = tables.written(_meet(own, homes, index, ask, True), f"{at}/first")
+    rest = tables.written(one.select("query", "v", "block", "d2").mapInPandas(_further(index, ask), "query long, v binary, block long, reach double"), f"{at}/asked")
+    two = tables.written(_meet(rest, homes, index, ask, False), f"{at}/second")
     both = one.select("query", "ids", "d2", "pairs").unionByName(two.select("query", "ids", "d2", "pairs"))
     near = both.select("query", F.inline(F.arrays_zip("ids", "d2"))).withColumnRenamed("ids", "id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= ask)

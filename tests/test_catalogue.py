@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.operators import autoencoder, density, entities, knnindex, neighbors, ordering, som, stats
+from molspark.operators import autoencoder, density, entities, knnindex, metric, neighbors, ordering, som, stats
 from molspark.plans.catalogue import ORACLES, QUERIES
 from molspark.sources import tables
 from molspark.sources.smiles import parse
@@ -144,6 +144,40 @@ def test_index_with_a_large_group_of_copies(spark):
     assert {(r["query"], r["rank"]): (r.id, r.d2) for r in near.collect()} == nearest_by_hand(x, 3) and pairs.first().pairs < 1000 * 1010
 
 
+def test_rows_about_equally_far_apart_are_ruled_out_in_single_precision(monkeypatch):
+    """Bounds rule out nothing here: blocks are compared in whole products, and few pairs are measured in double precision."""
+    rng, measured, plain = np.random.default_rng(10), [], metric.nearest_k
+
+    def counted(ids, q, own, x, *more):
+        measured.append(len(q) * len(x))
+        return plain(ids, q, own, x, *more)
+
+    for module in (metric, knnindex):
+        monkeypatch.setattr(module, "nearest_k", counted)
+    x, pivots = rng.standard_normal((6000, 32)), rng.standard_normal((20, 32))
+    cell, d2 = metric.closest(x, pivots)
+    low, high = (np.array([f(np.sqrt(d2[cell == c]), initial=0) for c in range(20)]) for f in (lambda v, initial: v.min(), np.max))
+    index = knnindex.Index(pivots, low, high, np.zeros(20, int), np.ones(20, int))
+    d, i, pairs = knnindex.search_block(index, np.arange(300), x[:300], np.full(300, np.inf), np.arange(6000), x, cell, np.sqrt(d2), 5)
+    want = plain(np.arange(300), x[:300], np.arange(6000), x, 5)
+    assert (d == want[0]).all() and (i == want[1]).all() and pairs.min() >= 6000 and sum(measured) < 300 * 6000 / 2
+
+
+@pytest.mark.parametrize("scale, shift", [(1, 0), (1e-30, 0), (1e-3, 1e6), (1e20, 0), (1, 1e3)])
+def test_single_precision_loses_no_row(scale, shift):
+    """Whatever the scale, and with rows exactly as far as the limit: the same as in double precision."""
+    x = np.random.default_rng(11).integers(0, 5, (3000, 6)).astype(float) * scale + shift
+    ids = np.arange(3000)
+    want = metric.nearest_k(ids[:50], x[:50], ids, x, 4)
+    whole = metric.Reached(ids, x, x.mean(axis=0))
+    limit = want[0][:, -1]
+    got = [whole.nearest_k(ids[:50], x[:50], whole.asked(x[:50]), limit, a, a + 1000, 4) for a in (0, 1000, 2000)]
+    d, i = got[0]
+    for more in got[1:]:
+        d, i = metric.merged(d, i, *more, 4)
+    assert (d == want[0]).all() and (i == want[1]).all()
+
+
 def test_index_on_odd_tables(spark):
     one, none = vectors(spark, np.ones((1, 2))), vectors(spark, np.ones((0, 2)))
     for base, asked, n in ((one, one, 0), (none, one, 0), (one, none, 0)):
